@@ -96,7 +96,7 @@ def read_event_pages(spark: SparkSession, path: str | list[str], on_bad_page: st
 
         return pages.map(cut)
 
-    pages = spark.read.option("wholetext", True).text(path)
+    pages = spark.read.text(path, wholetext=True)
     cut = pages.select(F.explode(elements("value")).alias("e"))
     parsed = cut.select(
         F.from_json("e.text", RAW, {"columnNameOfCorruptRecord": CORRUPT}).alias("r"),
