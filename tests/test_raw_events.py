@@ -102,12 +102,12 @@ REJECTS = {
     raw(1, "WatchEvent", None, created_at='"2024-02-30T00:00:00Z"'): "wrong_field_type",
     raw(1, "WatchEvent", None, created_at='"2024-02-03"'): "wrong_field_type",
     raw(1, "WatchEvent", None, created_at="17"): "wrong_field_type",
-    raw(1, "WatchEvent", None, actor="3"): "wrong_field_type",
+    raw(1, "WatchEvent", None, actor="3"): "malformed_json",
     raw(1, "WatchEvent", None, actor='{"id": -3, "login": "a"}'): "wrong_field_type",
     raw(1, "WatchEvent", None, actor='{"id": 1.5, "login": "a"}'): "wrong_field_type",
     raw(1, "WatchEvent", None, actor='{"id": 1, "login": 4}'): "wrong_field_type",
     raw(1, "WatchEvent", None, repo='{"id": "1", "name": "a/b"}'): "wrong_field_type",
-    raw(1, "WatchEvent", None, org="[]"): "wrong_field_type",
+    raw(1, "WatchEvent", None, org="[]"): "malformed_json",
     '{"id":"9"}': "no_type",
 }
 

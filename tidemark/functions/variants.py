@@ -6,45 +6,33 @@ NULL on a mismatch, so that "absent", "null" and "wrong type" can be told apart.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_LONG_DIGITS = 19
-
-
-def member(value: Column, name: str) -> Column:
-    return F.try_variant_get(value, f"$.{name}", "variant")
-
-
-def kind(value: Column) -> Column:
-    """Stored type, with the shape of objects and arrays cut off: STRING, BIGINT, OBJECT, VOID, ..."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
-
 
 def is_missing(value: Column) -> Column:
     return value.isNull() | F.is_variant_null(value)
 
 
-def is_object(value: Column) -> Column:
-    return F.coalesce(kind(value) == "OBJECT", F.lit(False))
-
-
 def is_string(value: Column) -> Column:
-    return F.coalesce(kind(value) == "STRING", F.lit(False))
-
-
-def is_integer(value: Column) -> Column:
-    return F.coalesce(kind(value) == "BIGINT", F.lit(False))
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
 def string_value(value: Column) -> Column:
-    return F.when(is_string(value), F.try_variant_get(value, "$", "string"))
-
-
-def integer_value(value: Column) -> Column:
-    return F.when(is_integer(value), F.try_variant_get(value, "$", "bigint"))
+    """NULL unless a JSON string is stored."""
+    return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
 def digits_to_long(text: Column) -> Column:
     """Unsigned decimal text to BIGINT; signs, blanks, letters and values above 2^63-1 give NULL."""
     return F.when(text.rlike(r"^[0-9]+$"), text.try_cast("bigint"))
+
+
+def compute_once(rows: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns whose expressions later steps must not repeat.
+
+    The optimizer copies a projected expression into every place that uses it, filters included; for a
+    JSON parse that multiplies the work. It never looks through a generator, so a generator that emits
+    exactly one row pins the value. It stays inside whole-stage code.
+    """
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

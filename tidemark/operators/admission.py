@@ -80,14 +80,15 @@ def sliding_window_admission(
         raise ValueError("window_seconds must be at least 1")
     window = window_seconds * MICROS
     limit_value: Column = F.col(limit) if isinstance(limit, str) else F.lit(limit)
-    keyed = requests.withColumns(
-        {"_key": F.col(key), "_us": micros_of(ts), "_limit": limit_value.cast("bigint")}
-    )
-    slots = (
-        keyed.groupBy(F.col("_key").alias("key"), F.col("_us").alias("us"), F.col("_limit").alias("limit"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.floor(F.col("us") / F.lit(window).cast("decimal(20,0)")).cast("bigint"))
-    )
+    bucket = F.floor(F.col("_us") / F.lit(window).cast("decimal(20,0)")).cast("bigint")
+    keyed = requests.withColumns({"_key": F.col(key), "_us": micros_of(ts), "_limit": limit_value.cast("bigint")})
+    known = keyed.withColumn("_bucket", bucket)
+    for column in ("_key", "_us", "_limit", "_bucket"):
+        known = known.filter(F.col(column).isNotNull())
+    # Both uses of the slots below have the same plan up to the shuffle, so it runs once.
+    slots = known.groupBy(
+        *[F.col(f"_{c}").alias(c) for c in ("key", "bucket", "us", "limit")]
+    ).agg(F.count("*").alias("n"))
 
     # One row per key and bucket: their number is bounded by time / window, not by requests.
     timeline = Window.partitionBy("key").orderBy("bucket")
@@ -101,42 +102,43 @@ def sliding_window_admission(
     )
     starts_here = F.when(~F.col("calm") & ~follows_busy, F.col("bucket"))
     feeds_next = (F.lead("bucket").over(timeline) == F.col("bucket") + 1) & ~F.lead("calm").over(timeline)
-    buckets = buckets.select(
-        "key",
-        "bucket",
-        "calm",
-        F.max(starts_here).over(timeline.rowsBetween(Window.unboundedPreceding, 0)).alias("run"),
-        F.coalesce(F.col("calm") & feeds_next, F.lit(False)).alias("feeds_next"),
-    )
-
-    placed = slots.join(buckets, ["key", "bucket"])
-    settled = placed.filter("calm").select(
-        "key", "us", "limit", "n", F.col("n").alias("admitted"), F.lit(0).cast("bigint").alias("retry_after")
-    )
-    walk = placed.filter("NOT calm OR feeds_next").select(
-        "key",
-        F.when(F.col("calm"), F.col("bucket") + 1).otherwise(F.col("run")).alias("piece"),
-        "us",
-        "limit",
-        "n",
-        F.col("calm").alias("seed"),
+    run = F.max(starts_here).over(timeline.rowsBetween(Window.unboundedPreceding, 0))
+    feeds_next = F.coalesce(F.col("calm") & feeds_next, F.lit(False))
+    # Busy buckets belong to the run they stand in, a calm one that feeds a run to the run after it.
+    pieces = (
+        buckets.select("key", "bucket", "calm", run.alias("run"), feeds_next.alias("feeds_next"))
+        .filter("NOT calm OR feeds_next")
+        .select(
+            "key",
+            "bucket",
+            F.when(F.col("calm"), F.col("bucket") + 1).otherwise(F.col("run")).alias("piece"),
+            F.col("calm").alias("seed"),
+        )
     )
     walked = (
-        walk.repartition("key", "piece")
+        slots.join(pieces, ["key", "bucket"])
+        .repartition("key", "piece")
         .sortWithinPartitions("key", "piece", "us", "limit")
         .mapInPandas(_decide(window), "key BIGINT, us BIGINT, limit BIGINT, n BIGINT, admitted BIGINT, retry_after BIGINT")
-    )
-    decided = settled.unionByName(walked).select(
-        F.col("key").alias("_key"), F.col("us").alias("_us"), F.col("limit").alias("_limit"), "admitted", "retry_after"
+        .select(
+            F.col("key").alias("_key"),
+            F.col("us").alias("_us"),
+            F.col("limit").alias("_limit"),
+            F.col("admitted").alias("_admitted"),
+            F.col("retry_after").alias("_retry_after"),
+        )
     )
 
-    # The instant is part of the join key, so a hot key is spread over all tasks again.
+    # What was not walked was calm and is admitted. The instant is part of the join key, so a hot key is
+    # spread over all tasks again.
     place = F.row_number().over(
         Window.partitionBy("_key", "_us", "_limit").orderBy(F.col(order) if order else F.lit(0))
     )
-    joined = keyed.join(decided, ["_key", "_us", "_limit"]).withColumn("_in", place <= F.col("admitted"))
+    joined = keyed.join(walked, ["_key", "_us", "_limit"], "left").withColumn(
+        "_in", F.coalesce(place <= F.col("_admitted"), F.lit(True))
+    )
     return joined.select(
         *requests.columns,
         F.col("_in").alias("admitted"),
-        F.when(F.col("_in"), F.lit(0)).otherwise(F.col("retry_after")).cast("bigint").alias("retry_after"),
+        F.when(F.col("_in"), F.lit(0)).otherwise(F.col("_retry_after")).cast("bigint").alias("retry_after"),
     )

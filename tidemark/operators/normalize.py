@@ -2,20 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import parse_rfc3339
-from tidemark.functions.variants import (
-    digits_to_long,
-    integer_value,
-    is_integer,
-    is_missing,
-    is_object,
-    is_string,
-    member,
-    string_value,
-)
+from tidemark.functions.variants import compute_once, digits_to_long, is_missing, is_string, string_value
 from tidemark.schema import CANONICAL_COLUMNS, CORRUPT, REF_TYPES
 
 MALFORMED = "malformed_json"
@@ -29,16 +23,6 @@ REJECT_REASONS = [MALFORMED, WRONG_TYPE, NO_TYPE, NO_CREATED_AT, BAD_ID]
 _ZERO_TIME = "TIMESTAMP_NTZ '0001-01-01 00:00:00'"
 
 
-def _entity_ok(entity: Column, id_name: str, label_name: str | None) -> Column:
-    """An embedded object may be absent; if present its id is an unsigned integer, its label a string."""
-    ident = member(entity, id_name)
-    ok = is_missing(ident) | (is_integer(ident) & (F.coalesce(integer_value(ident), F.lit(-1)) >= 0))
-    if label_name:
-        label = member(entity, label_name)
-        ok = ok & (is_missing(label) | is_string(label))
-    return is_missing(entity) | (is_object(entity) & ok)
-
-
 def payload_size(payload: Column) -> Column:
     """Bytes of the payload as it stood in the source; absent and `null` count as 0."""
     return F.coalesce(F.octet_length(payload), F.lit(0)).cast("bigint")
@@ -61,47 +45,54 @@ def payload_epoch(raw: DataFrame) -> Column:
 
 
 def tag_events(raw: DataFrame) -> DataFrame:
-    """All canonical columns plus `reject_reason` (NULL = usable): both outcomes in one pass."""
-    c = {name: raw[name] for name in raw.columns}
-    event_type = string_value(c["type"])
-    created_at = parse_rfc3339(string_value(c["created_at"]))
-    event_id = digits_to_long(string_value(c["id"]))
-    fields_ok = (
-        (is_missing(c["id"]) | is_string(c["id"]))
-        & (is_missing(c["type"]) | is_string(c["type"]))
-        & (is_missing(c["created_at"]) | created_at.isNotNull())
-        & _entity_ok(c["actor"], "id", "login")
-        & _entity_ok(c["repo"], "id", "name")
-        & _entity_ok(c["org"], "id", None)
+    """All canonical columns plus `reject_reason` (NULL = usable): both outcomes in one pass.
+
+    Wrong types of ids and of whole embedded objects are noticed by the JSON reader, which then fills
+    the corrupt column; wrong types of texts are noticed here. Missing objects and members are allowed.
+    """
+    texts = {
+        "id": raw["id"],
+        "type": raw["type"],
+        "created": raw["created_at"],
+        "login": raw["actor"]["login"],
+        "name": raw["repo"]["name"],
+    }
+    typed = compute_once(
+        raw,
+        **{f"_{name}": string_value(value) for name, value in texts.items()},
+        _texts_ok=reduce(and_, [is_missing(value) | is_string(value) for value in texts.values()]),
     )
+    typed = compute_once(typed, _time=parse_rfc3339(F.col("_created")), _number=digits_to_long(F.col("_id")))
+
+    def number(entity: str) -> Column:
+        return F.coalesce(raw[entity]["id"], F.lit(0).cast("bigint"))
+
     reason = (
-        F.when(c[CORRUPT].isNotNull(), MALFORMED)
-        .when(~fields_ok, WRONG_TYPE)
-        .when(F.coalesce(event_type, F.lit("")) == "", NO_TYPE)
-        .when(created_at.isNull() | (created_at == F.expr(_ZERO_TIME)), NO_CREATED_AT)
-        .when(event_id.isNull(), BAD_ID)
+        F.when(raw[CORRUPT].isNotNull(), MALFORMED)
+        .when(
+            ~F.col("_texts_ok")
+            | (F.col("_created").isNotNull() & F.col("_time").isNull())
+            | (F.least(number("actor"), number("repo"), number("org")) < 0),
+            WRONG_TYPE,
+        )
+        .when(F.coalesce("_type", F.lit("")) == "", NO_TYPE)
+        .when(F.coalesce(F.col("_time") == F.expr(_ZERO_TIME), F.lit(True)), NO_CREATED_AT)
+        .when(F.col("_number").isNull(), BAD_ID)
     )
-
-    def number(entity: str, name: str) -> Column:
-        return F.coalesce(integer_value(member(c[entity], name)), F.lit(0).cast("bigint"))
-
-    def text(entity: str, name: str) -> Column:
-        return F.coalesce(string_value(member(c[entity], name)), F.lit(""))
-
-    return raw.select(
-        event_id.alias("event_id"),
-        event_type.alias("event_type"),
-        created_at.alias("created_at"),
-        number("actor", "id").alias("actor_id"),
-        text("actor", "login").alias("actor_login"),
-        number("repo", "id").alias("repo_id"),
-        text("repo", "name").alias("repo_name"),
-        number("org", "id").alias("org_id"),
+    return typed.select(
+        F.col("_number").alias("event_id"),
+        F.col("_type").alias("event_type"),
+        F.col("_time").alias("created_at"),
+        number("actor").alias("actor_id"),
+        F.coalesce("_login", F.lit("")).alias("actor_login"),
+        number("repo").alias("repo_id"),
+        F.coalesce("_name", F.lit("")).alias("repo_name"),
+        number("org").alias("org_id"),
         F.lit("").alias("language"),
-        payload_size(c["payload"]).alias("payload_size"),
-        payload_ref(event_type, c["payload"]).alias("ref"),
+        payload_size(raw["payload"]).alias("payload_size"),
+        payload_ref(F.col("_type"), raw["payload"]).alias("ref"),
         reason.alias("reject_reason"),
-        c[CORRUPT].alias("reject_text"),
+        raw[CORRUPT].alias("reject_text"),
     )
 
 

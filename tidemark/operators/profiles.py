@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import as_utc, floor_to_hour, hour_of, ts_lit
 from tidemark.operators.filters import between, has_language
-from tidemark.plans.corpus import distinct_values
+from tidemark.plans.corpus import about_distinct, distinct_values
 
 # --- fixed values of the event feed: the payload format changed between these two hours ---
 OLD_FORMAT_LAST_SEEN = "2025-10-01 15:00:00"
@@ -116,7 +116,7 @@ def payload_size_profile(events: DataFrame) -> DataFrame:
 PROFILED = ["event_type", "actor_id", "actor_login", "repo_id", "repo_name", "org_id", "language"]
 
 
-def column_profile(events: DataFrame, exact: bool = False, rsd: float = 0.02) -> DataFrame:
+def column_profile(events: DataFrame, exact: bool = False) -> DataFrame:
     """One row: distinct values per column, largest ids, share of events with organisation and language."""
     share = {"org_share": F.col("org_id") != 0, "language_share": has_language()}
     base = [
@@ -126,7 +126,7 @@ def column_profile(events: DataFrame, exact: bool = False, rsd: float = 0.02) ->
     ]
     if exact:
         return events.agg(*base).select("*", *[distinct_values(events, c).alias(f"distinct_{c}") for c in PROFILED])
-    return events.agg(*base, *[F.approx_count_distinct(c, rsd).alias(f"distinct_{c}") for c in PROFILED])
+    return events.agg(*base, *[about_distinct(c).alias(f"distinct_{c}") for c in PROFILED])
 
 
 def ref_form_profile(events: DataFrame) -> DataFrame:

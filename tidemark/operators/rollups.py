@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import hour_of, iso_weekday, month_number
-from tidemark.functions.totals import totals_with_label
 from tidemark.operators.filters import has_language, is_star, of_month
 from tidemark.schema import ACTIVITY, LANGUAGE_DAILY, REPO_STARS_HOURLY, ROLLUP_SCHEMAS
+from tidemark.session import run_together
 from tidemark.sources.store import MONTH, read_table, replace_month, rewrite_month, write_table
 
 ROLLUP_KEYS = {
@@ -21,11 +23,21 @@ _TIME_OF = {REPO_STARS_HOURLY: "hour", LANGUAGE_DAILY: "day"}
 
 
 def repo_stars_hourly(events: DataFrame) -> DataFrame:
-    """Stars per repository and hour, with the newest name seen in that hour."""
-    stars = events.filter(is_star()).select("event_id", "repo_id", "repo_name", hour_of("created_at").alias("hour"))
-    return totals_with_label(
-        stars, ["repo_id", "hour"], "repo_name", "event_id", {"stars": F.count("*")}, "last_event_id"
-    ).select("repo_id", "repo_name", "hour", "stars", "last_event_id")
+    """Stars per repository and hour, with the newest name seen in that hour.
+
+    The name is the only string in an aggregation buffer and makes Spark aggregate sorted runs instead of
+    a hash table; queries that do not read the name prune it and get the hash form.
+    """
+    return (
+        events.filter(is_star())
+        .groupBy("repo_id", hour_of("created_at").alias("hour"))
+        .agg(
+            F.max_by("repo_name", "event_id").alias("repo_name"),
+            F.count("*").alias("stars"),
+            F.max("event_id").alias("last_event_id"),
+        )
+        .select("repo_id", "repo_name", "hour", "stars", "last_event_id")
+    )
 
 
 def language_daily(events: DataFrame) -> DataFrame:
@@ -47,9 +59,10 @@ def activity_weekday_hour(events: DataFrame, by_month: bool = False) -> DataFram
 
 def merge_rollup(partials: DataFrame, keys: list[str], sums: list[str], label: str | None = None) -> DataFrame:
     """Sum the partial rows of each key; with a `label`, keep the one with the highest `last_event_id`."""
-    if label is None:
-        return partials.groupBy(*keys).agg(*[F.sum(s).alias(s) for s in sums])
-    return totals_with_label(partials, keys, label, "last_event_id", {s: F.sum(s) for s in sums})
+    totals = [F.sum(s).alias(s) for s in sums]
+    if label is not None:
+        totals += [F.max_by(label, "last_event_id").alias(label), F.max("last_event_id").alias("last_event_id")]
+    return partials.groupBy(*keys).agg(*totals)
 
 
 def merge_stored(name: str, partials: DataFrame) -> DataFrame:
@@ -81,11 +94,14 @@ def write_rollups(events: DataFrame, root: str, load: str) -> None:
 
     Late events simply add to their old hour: nothing is dropped and no watermark is involved.
     """
-    for name in ROLLUP_SCHEMAS:
-        partial = _build(name, events)
+
+    def write(name: str) -> None:
+        rows = _build(name, events)
         if name in _TIME_OF:
-            partial = partial.withColumn(MONTH, month_number(_TIME_OF[name]))
-        write_table(partial, rollup_path(root, name), load, [], ROLLUP_KEYS[name])
+            rows = rows.withColumn(MONTH, month_number(_TIME_OF[name]))
+        write_table(rows, rollup_path(root, name), load, [], ROLLUP_KEYS[name])
+
+    run_together(events.sparkSession, *[partial(write, name) for name in ROLLUP_SCHEMAS])
 
 
 def read_rollup(spark: SparkSession, root: str, name: str, months: list[int] | None = None) -> DataFrame:
@@ -100,17 +116,20 @@ def backfill_rollups(events: DataFrame, root: str, months: list[int]) -> None:
     backfill twice, or after live ingest, gives the same sums. `events` should carry `ym` (see
     `read_table`) so that each round reads one month of folders only.
     """
+
+    def write(name: str, rows: DataFrame, month: int) -> None:
+        replace_month(
+            _build(name, rows).select(*_columns(name)),
+            rollup_path(root, name),
+            month,
+            "backfill",
+            ROLLUP_KEYS[name],
+            ROLLUP_KEYS[name][:1],
+        )
+
     for month in months:
         rows = of_month(events, month)
-        for name in ROLLUP_SCHEMAS:
-            replace_month(
-                _build(name, rows).select(*_columns(name)),
-                rollup_path(root, name),
-                month,
-                "backfill",
-                ROLLUP_KEYS[name],
-                ROLLUP_KEYS[name][:1],
-            )
+        run_together(events.sparkSession, *[partial(write, name, rows, month) for name in ROLLUP_SCHEMAS])
 
 
 def compact_rollup(spark: SparkSession, root: str, name: str, months: list[int]) -> None:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.timestamps import parse_rfc3339
-from tidemark.functions.variants import integer_value, is_integer, is_missing, is_string, member, string_value
+from tidemark.functions.variants import compute_once, string_value
 from tidemark.schema import CANONICAL, CANONICAL_COLUMNS
 
 # --- fixed values of the dead-letter format ---
@@ -17,47 +17,46 @@ POISON_ERROR_TYPE = "PoisonMessageError"
 PLACE_COLUMNS = ["partition", "offset"]
 
 
-def _field(doc: Column, field: T.StructField) -> tuple[Column, Column]:
-    """(value, error text or NULL) of one required field."""
-    value, name = member(doc, field.name), field.name
-    if isinstance(field.dataType, T.LongType):
-        typed, ok, wrong = integer_value(value), is_integer(value), f"{name} is not an integer"
-    elif isinstance(field.dataType, T.TimestampNTZType):
-        typed = parse_rfc3339(string_value(value))
-        ok, wrong = typed.isNotNull(), f"{name} is not a timestamp"
-    else:
-        typed, ok, wrong = string_value(value), is_string(value), f"{name} is not a string"
-    return typed, F.when(is_missing(value), f"{name} is missing").when(~ok, wrong)
+_KINDS = {T.LongType: "an integer", T.StringType: "a string", T.TimestampNTZType: "a timestamp"}
+# Numbers are parsed strictly, a mismatch gives NULL; texts are VARIANT so that a number there shows.
+_DOCUMENT = T.StructType(
+    [
+        T.StructField(f.name, f.dataType if isinstance(f.dataType, T.LongType) else T.VariantType())
+        for f in CANONICAL.fields
+    ]
+)
+
+
+def _typed(value: Column, kind: T.DataType) -> Column:
+    """The field's value, NULL if it is missing, null or of another type."""
+    if isinstance(kind, T.LongType):
+        return value
+    text = string_value(value)
+    return parse_rfc3339(text) if isinstance(kind, T.TimestampNTZType) else text
 
 
 def check_messages(messages: DataFrame) -> DataFrame:
     """Messages plus the canonical columns and `error` (NULL = valid).
 
-    The text is parsed once, wrapped in brackets: text after the object then breaks the array and is
-    noticed, which a plain JSON parse would not do.
+    A JSON parser stops at the end of the first object. Text after it is noticed by counting the value
+    as an array: it has one element exactly if nothing follows.
     """
-    doc_list = F.try_parse_json(F.concat(F.lit("["), F.col("value"), F.lit("]")))
-    parsed = messages.select("*", F.when(F.is_valid_utf8("value"), doc_list).alias("_list")).select(
-        "*", F.try_variant_get("_list", "$[0]", "variant").alias("_doc")
+    text = F.when(F.is_valid_utf8("value"), F.col("value"))
+    whole = F.coalesce(F.ltrim(text).startswith("{") & F.rtrim(text).endswith("}"), F.lit(False)) & F.coalesce(
+        F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False)
     )
-    is_document = (
-        F.coalesce(F.rtrim("value").endswith("}"), F.lit(False))
-        & F.col("_doc").isNotNull()
-        & F.try_variant_get("_list", "$[1]", "variant").isNull()
-        & F.schema_of_variant("_doc").startswith("OBJECT")
-    )
-    typed = {f.name: _field(F.col("_doc"), f) for f in CANONICAL.fields}
+    parsed = compute_once(messages, _whole=whole, _doc=F.from_json(text, _DOCUMENT))
+    typed = compute_once(parsed, **{f.name: _typed(F.col("_doc")[f.name], f.dataType) for f in CANONICAL.fields})
     error = F.coalesce(
-        F.when(~F.coalesce(is_document, F.lit(False)), "value is not a JSON object"),
-        *[typed[name][1] for name in CANONICAL_COLUMNS],
-        F.when(typed["event_type"][0] == "", "event_type is empty"),
-        F.when(F.year(typed["created_at"][0]) <= 1, "created_at is the zero time"),
-    )
-    return parsed.select(
-        *messages.columns,
-        *[typed[name][0].alias(name) for name in CANONICAL_COLUMNS],
-        error.alias("error"),
+        F.when(~F.col("_whole"), "value is not a JSON object"),
+        *[
+            F.when(F.col(f.name).isNull(), f"{f.name} is missing or not {_KINDS[type(f.dataType)]}")
+            for f in CANONICAL.fields
+        ],
+        F.when(F.col("event_type") == "", "event_type is empty"),
+        F.when(F.year("created_at") <= 1, "created_at is the zero time"),
     )
+    return typed.select(*messages.columns, *CANONICAL_COLUMNS, error.alias("error"))
 
 
 def valid_events(checked: DataFrame, with_place: bool = False) -> DataFrame:

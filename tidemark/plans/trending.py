@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import trending_span
-from tidemark.functions.totals import totals_with_label
 from tidemark.operators.filters import after_keyset, is_star, since, since_hour
+from tidemark.operators.rollups import merge_rollup
 
 MAX_LIMIT = 100
 DEFAULT_WINDOW = "24h"
@@ -37,7 +37,7 @@ def _star_totals(events: DataFrame, *conditions: Column) -> DataFrame:
     rows = events.filter(is_star())
     for condition in conditions:
         rows = rows.filter(condition)
-    return totals_with_label(rows, ["repo_id"], "repo_name", "event_id", {"stars": F.count("*")})
+    return rows.groupBy("repo_id").agg(F.max_by("repo_name", "event_id").alias("repo_name"), F.count("*").alias("stars"))
 
 
 def trending(
@@ -49,8 +49,7 @@ def trending(
 ) -> DataFrame:
     """From the hourly roll-up; the window starts at a full hour."""
     rows = rollup.filter(since_hour(as_of, trending_span(window)))
-    totals = totals_with_label(rows, ["repo_id"], "repo_name", "last_event_id", {"stars": F.sum("stars")})
-    return _top(totals, limit, after)
+    return _top(merge_rollup(rows, ["repo_id"], ["stars"], "repo_name"), limit, after)
 
 
 def trending_scan(

@@ -8,17 +8,21 @@ from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 
-# Raw feed event. Fields whose JSON type matters are VARIANT: a number where a string belongs is then
-# visible to the normaliser instead of being silently converted. `payload` stays STRING, because the
-# JSON file readers copy its exact source bytes into a STRING column.
+# Raw feed event. Texts are VARIANT, because a STRING column would silently accept a number there; for
+# BIGINT the JSON reader itself is strict. `payload` stays STRING: the JSON file readers copy its exact
+# source bytes. Only the listed members of the embedded objects are built, the reader skips the rest.
 RAW = T.StructType(
     [
         T.StructField("id", T.VariantType()),
         T.StructField("type", T.VariantType()),
         T.StructField("created_at", T.VariantType()),
-        T.StructField("actor", T.VariantType()),
-        T.StructField("repo", T.VariantType()),
-        T.StructField("org", T.VariantType()),
+        T.StructField(
+            "actor", T.StructType([T.StructField("id", T.LongType()), T.StructField("login", T.VariantType())])
+        ),
+        T.StructField(
+            "repo", T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.VariantType())])
+        ),
+        T.StructField("org", T.StructType([T.StructField("id", T.LongType())])),
         T.StructField("payload", T.StringType()),
         T.StructField(CORRUPT, T.StringType()),
     ]

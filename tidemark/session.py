@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import SparkSession
 
 # Adaptive execution sizes shuffles, splits skewed join and rebalance partitions, and turns joins into
@@ -40,3 +43,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix=f"tidemark-{purpose}-")
+
+
+def run_together(spark: SparkSession, *steps: Callable[[], None]) -> None:
+    """Run independent writes as concurrent Spark jobs, so that short jobs fill each other's gaps.
+
+    Returns after all have ended; the first failure is raised.
+    """
+    with ThreadPoolExecutor(max_workers=len(steps)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+    for step in running:
+        step.result()

@@ -19,7 +19,6 @@ MAX_PAGE_BYTES = 4 * 1024 * 1024
 _ELEMENTS = T.ArrayType(
     T.StructType([T.StructField("text", T.StringType()), T.StructField("payload", T.StringType())])
 )
-_DECODER = json.JSONDecoder()
 _BLANK = " \t\r\n"
 
 
@@ -33,11 +32,12 @@ def _payload_source(element: str) -> str | None:
     """Source text of the member `payload`; no JSON function keeps it byte for byte."""
     if not element.startswith("{"):
         return None
+    decode = json.JSONDecoder().raw_decode
     found, at = None, _skip_blank(element, 1)
     while element[at] == '"':
         name, at = scanstring(element, at + 1)
         begin = _skip_blank(element, _skip_blank(element, at) + 1)
-        _, at = _DECODER.raw_decode(element, begin)
+        _, at = decode(element, begin)
         if name == "payload":
             found = element[begin:at]
         at = _skip_blank(element, at)
@@ -48,6 +48,7 @@ def _payload_source(element: str) -> str | None:
 
 def split_page(text: str) -> list[tuple[str, str | None]]:
     """(element, payload) source texts of a page; ValueError if the page is not one JSON array."""
+    decode = json.JSONDecoder().raw_decode
     at = _skip_blank(text, 0)
     if text[at : at + 1] != "[":
         raise ValueError("page is not a JSON array")
@@ -56,7 +57,7 @@ def split_page(text: str) -> list[tuple[str, str | None]]:
         at += 1
     else:
         while True:
-            _, end = _DECODER.raw_decode(text, at)
+            _, end = decode(text, at)
             out.append((text[at:end], _payload_source(text[at:end])))
             at = _skip_blank(text, end)
             mark = text[at : at + 1]

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.rollups import write_rollups
 from tidemark.operators.validate import check_messages, poison_messages, valid_events
+from tidemark.session import run_together
 from tidemark.sources.store import write_dead_letters, write_events
 from tidemark.streaming.audit import batch_audit, write_audit
 
@@ -64,19 +65,24 @@ def write_batch(
     batch committed. The checked batch is cached because six writes read it; a lost executor's part of
     the cache is recomputed from the source.
     """
-    checked = check_messages(messages).persist()
-    try:
-        load = sinks.load(batch_id)
-        events = valid_events(checked)
-        write_dead_letters(poison_messages(checked), sinks.dead_letters, load)
+    checked = check_messages(messages)
+    for original in ("key", "value"):  # needed again only for dead letters
+        checked = checked.withColumn(original, F.when(F.col("error").isNotNull(), F.col(original)))
+    checked = checked.persist()
+    load = sinks.load(batch_id)
+
+    def store_events() -> None:
         started = time.perf_counter()
-        write_events(events, sinks.events, load)
+        write_events(valid_events(checked), sinks.events, load)
         latency = time.perf_counter() - started
+        write_audit(batch_audit(checked, batch_id, latency, end_offsets() if end_offsets else {}), sinks.audit, load)
+
+    try:
+        write_dead_letters(poison_messages(checked), sinks.dead_letters, load)  # fills the cache
+        steps = [store_events]
         if rollups:
-            maintain_rollups(events, sinks, batch_id)
-        write_audit(
-            batch_audit(checked, batch_id, latency, end_offsets() if end_offsets else {}), sinks.audit, load
-        )
+            steps.append(lambda: maintain_rollups(valid_events(checked), sinks, batch_id))
+        run_together(messages.sparkSession, *steps)
     finally:
         checked.unpersist()
 
