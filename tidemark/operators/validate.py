@@ -47,14 +47,17 @@ def check_messages(messages: DataFrame) -> DataFrame:
     )
     parsed = compute_once(messages, _whole=whole, _doc=F.from_json(text, _DOCUMENT))
     typed = compute_once(parsed, **{f.name: _typed(F.col("_doc")[f.name], f.dataType) for f in CANONICAL.fields})
-    error = F.coalesce(
-        F.when(~F.col("_whole"), "value is not a JSON object"),
-        *[
-            F.when(F.col(f.name).isNull(), f"{f.name} is missing or not {_KINDS[type(f.dataType)]}")
-            for f in CANONICAL.fields
-        ],
-        F.when(F.col("event_type") == "", "event_type is empty"),
-        F.when(F.year("created_at") <= 1, "created_at is the zero time"),
+    failing = F.coalesce(*[F.when(F.col(f.name).isNull(), f.name) for f in CANONICAL.fields])
+    kinds = F.create_map(*[F.lit(v) for f in CANONICAL.fields for v in (f.name, _KINDS[type(f.dataType)])])
+    absent = F.call_function("get_json_object", text, F.concat(F.lit("$."), failing)).isNull()
+    error = (
+        F.when(~F.col("_whole"), "value is not a JSON object")
+        .when(
+            failing.isNotNull(),
+            F.concat(failing, F.when(absent, " is missing").otherwise(F.concat(F.lit(" is not "), kinds[failing]))),
+        )
+        .when(F.col("event_type") == "", "event_type is empty")
+        .when(F.year("created_at") <= 1, "created_at is the zero time")
     )
     return typed.select(*messages.columns, *CANONICAL_COLUMNS, error.alias("error"))
 
