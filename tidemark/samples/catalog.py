@@ -36,6 +36,7 @@ from tidemark.operators.validate import check_messages, poison_messages, valid_e
 from tidemark.plans import activity, cards, completeness, corpus, languages
 from tidemark.plans import trending as top
 from tidemark.samples import sql
+from tidemark.samples.landing import land_archive, land_pages
 from tidemark.samples.tables import (
     AS_OF,
     bus_messages,
@@ -47,15 +48,21 @@ from tidemark.samples.tables import (
 from tidemark.schema import ACTIVITY, CANONICAL_COLUMNS, LANGUAGE_DAILY, MESSAGE, REPO_STARS_HOURLY, ROLLUP_SCHEMAS, STAR
 from tidemark.session import work_dir
 from tidemark.sources.bus import read_event_stream, to_bus_messages
+from tidemark.sources.archive import read_archive
+from tidemark.sources.pages import read_event_pages
 from tidemark.sources.store import (
+    EVENT_ORDER,
+    compact_events_month,
     drop_month,
     read_dead_letters,
     read_events,
+    replace_month,
     write_dead_letters,
     write_events,
 )
 from tidemark.streaming.audit import batch_audit, batch_sizes, ingest_health, lag_by_partition, read_audit
-from tidemark.streaming.ingest import Sinks, dedup_stream, start_ingest
+from tidemark.streaming.admission import ROCKSDB, admission_stream
+from tidemark.streaming.ingest import Sinks, dedup_stream, ingest_archive, start_ingest
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -399,6 +406,38 @@ def payload_epochs(spark, sf):
     return whole.groupBy(payload_epoch(whole).alias("epoch")).agg(F.count("*").alias("n"))
 
 
+_ACCEPTED_SQL = f"{sql.RAW} SELECT {sql.CANON_COLUMNS} FROM tagged WHERE reject_reason IS NULL"
+_DAYS = ("2024-01-01-0", "2024-01-31-0")
+
+
+@query(_ACCEPTED_SQL)
+def archive_read(spark, sf):
+    base = land_archive(spark, sample_events(spark, sf), *_DAYS)
+    return normalize_events(read_archive(spark, base, *_DAYS))[0]
+
+
+@query(f"""{sql.RAW} SELECT repo_id, max_by(repo_name, event_id) AS repo_name, CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS hour,
+  count(*) AS stars, max(event_id) AS last_event_id FROM tagged WHERE reject_reason IS NULL AND event_type = 'WatchEvent'
+GROUP BY repo_id, date_trunc('hour', created_at)""")
+def archive_load_rollups(spark, sf):
+    """Dumps to stored events and roll-ups, loaded twice."""
+    base = land_archive(spark, sample_events(spark, sf), *_DAYS)
+    sinks = Sinks(work_dir(spark, "archive-load"))
+    for _ in range(2):
+        ingest_archive(spark, base, *_DAYS, sinks)
+    return merge_stored(REPO_STARS_HOURLY, read_rollup(spark, sinks.rollups, REPO_STARS_HOURLY))
+
+
+@query(_ACCEPTED_SQL)
+def page_read(spark, sf):
+    return normalize_events(read_event_pages(spark, land_pages(spark, sample_events(spark, sf))))[0]
+
+
+@query(f"{sql.RAW} SELECT reject_reason, count(*) AS rejected FROM tagged WHERE reject_reason IS NOT NULL GROUP BY 1")
+def page_reject_counts(spark, sf):
+    return reject_counts(normalize_events(read_event_pages(spark, land_pages(spark, sample_events(spark, sf))))[1])
+
+
 @query(f"{sql.BASE} SELECT {sql.CANON_COLUMNS} FROM canon")
 def enrich(spark, sf):
     return enriched_events(spark, sf)
@@ -459,6 +498,26 @@ def store_drop_month(spark, sf):
     return read_events(spark, path)
 
 
+@query(f"{sql.BASE} SELECT {sql.UNENRICHED} FROM canon WHERE repo_id <= 50")
+def store_replace_month(spark, sf):
+    path = work_dir(spark, "replace")
+    events = sample_events(spark, sf)
+    write_events(events, path, "a")
+    write_events(events, path, "b")
+    replace_month(events.filter("repo_id <= 50"), path, 202401, "reload", EVENT_ORDER, ["event_type"])
+    return read_events(spark, path)
+
+
+@query(f"{sql.BASE} SELECT {sql.UNENRICHED} FROM canon")
+def store_compact_month(spark, sf):
+    path = work_dir(spark, "compact-events")
+    events = sample_events(spark, sf)
+    for part in range(3):
+        write_events(events.filter(F.col("event_id") % 3 == part), path, f"batch-{part}")
+    compact_events_month(spark, path, 202401)
+    return read_events(spark, path)
+
+
 @query(f"""{sql.BUS} SELECT CAST(event_id AS VARCHAR) AS "key", error, 'PoisonMessageError' AS error_type,
   "partition" AS source_partition, "offset" AS source_offset FROM checked WHERE error IS NOT NULL""")
 def store_dead_letters(spark, sf):
@@ -671,7 +730,7 @@ def ref_forms(spark, sf):
 _WINDOW = 86_400
 
 
-@query(f"""WITH RECURSIVE req AS MATERIALIZED (
+_ADMISSION_SQL = f"""WITH RECURSIVE req AS MATERIALIZED (
   SELECT event_id AS request_id, user_id AS k, epoch_us(ts) AS us, CASE WHEN user_id % 2 = 0 THEN 2 ELSE 3 END AS lim,
     row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS rn FROM events),
 walk AS (
@@ -681,14 +740,45 @@ walk AS (
     CASE WHEN len(kept) < lim THEN 0 ELSE greatest(1, (kept[1] + {_WINDOW}000000 - us) // 1000000 + 1) END
   FROM (SELECT r.*, list_filter(w.held, lambda x: x > r.us - {_WINDOW}000000) AS kept
         FROM walk w JOIN req r ON r.k = w.k AND r.rn = w.rn + 1))
-SELECT k AS "key", request_id, admitted, retry_after FROM walk""")
-def admission(spark, sf):
-    requests = spark.read.parquet(f"{sf}/events.parquet").select(
+SELECT k AS "key", request_id, admitted, retry_after FROM walk"""
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Every event as a request of its user; even users may do two a day, odd ones three."""
+    return spark.read.parquet(f"{sf}/events.parquet").select(
         F.col("event_id").alias("request_id"),
         F.col("user_id").alias("key"),
         "ts",
-        F.when(F.col("user_id") % 2 == 0, 2).otherwise(3).alias("limit"),
+        F.when(F.col("user_id") % 2 == 0, 2).otherwise(3).cast("bigint").alias("limit"),
     )
-    return sliding_window_admission(requests, window_seconds=_WINDOW, order="request_id").select(
+
+
+@query(_ADMISSION_SQL)
+def admission(spark, sf):
+    return sliding_window_admission(_requests(spark, sf), window_seconds=_WINDOW, order="request_id").select(
         "key", "request_id", "admitted", "retry_after"
     )
+
+
+@query(_ADMISSION_SQL)
+def stream_admission(spark, sf):
+    """The same requests as a stream of files in time order."""
+    folder, out = work_dir(spark, "requests"), work_dir(spark, "decisions")
+    requests = _requests(spark, sf)
+    requests.repartitionByRange(3, "ts").write.parquet(folder)
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, ROCKSDB)
+    try:
+        (
+            admission_stream(spark.readStream.schema(requests.schema).parquet(folder), _WINDOW)
+            .writeStream.format("parquet")
+            .option("path", out)
+            .option("checkpointLocation", work_dir(spark, "checkpoint"))
+            .trigger(availableNow=True)
+            .start()
+            .awaitTermination()
+        )
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.parquet(out)
