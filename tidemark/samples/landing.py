@@ -21,19 +21,22 @@ def land_archive(spark: SparkSession, events: DataFrame, start: str, end: str) -
     (
         raw_lines(events)
         .select("line", hour.alias("hour"))
-        .repartition("hour")
+        .repartition(spark.sparkContext.defaultParallelism, "hour")
         .write.partitionBy("hour")
         .option("compression", "gzip")
         .text(f"{base}/by-hour")
     )
     path_of = spark._jvm.org.apache.hadoop.fs.Path
     fs = path_of(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    written = {}
+    for status in fs.globStatus(path_of(f"{base}/by-hour/hour=*/*.gz")):
+        path = status.getPath()
+        written[path.getParent().getName().removeprefix("hour=")] = path
     for moment in hour_range(start, end):
         target = path_of(hour_path(base, moment))
-        folder = path_of(f"{base}/by-hour/hour={moment:%Y-%m-%d}-{moment.hour}")
-        if fs.exists(folder):
-            written = [s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().endswith(".gz")]
-            fs.rename(written[0], target)
+        source = written.get(f"{moment:%Y-%m-%d}-{moment.hour}")
+        if source is not None:
+            fs.rename(source, target)
         else:
             out = fs.create(target)
             out.write(bytearray(gzip.compress(b"")))
