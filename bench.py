@@ -62,6 +62,10 @@ def main() -> None:
     ).repartition(4).write.parquet(f"{base}/messages")
 
     stars = read_rollup(spark, rollup_root, REPO_STARS_HOURLY)
+
+    def recent_stars(window: str):
+        return read_rollup(spark, rollup_root, REPO_STARS_HOURLY, start=top.window_start(AS_OF, window))
+
     langs = read_rollup(spark, rollup_root, LANGUAGE_DAILY)
     cells = read_rollup(spark, rollup_root, ACTIVITY)
     requests = spark.read.parquet(f"{SF_DIR}/events.parquet").select(
@@ -89,8 +93,8 @@ def main() -> None:
         ).awaitTermination()
 
     cases = {
-        "trending_rollup_24h": lambda: top.trending(stars, AS_OF).collect(),
-        "trending_rollup_7d": lambda: top.trending(stars, AS_OF, "7d").collect(),
+        "trending_rollup_24h": lambda: top.trending(recent_stars("24h"), AS_OF).collect(),
+        "trending_rollup_7d": lambda: top.trending(recent_stars("7d"), AS_OF, "7d").collect(),
         "trending_scan_24h": lambda: top.trending_scan(recent(1), AS_OF).collect(),
         "trending_scan_7d": lambda: top.trending_scan(recent(7), AS_OF, "7d").collect(),
         "trending_hour_aligned_24h": lambda: top.trending_hour_aligned(recent(1), AS_OF).collect(),

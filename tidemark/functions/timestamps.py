@@ -90,9 +90,22 @@ def weekday_name(weekday: Column | str) -> Column:
     return F.element_at(names, F.col(weekday) if isinstance(weekday, str) else weekday)
 
 
+def seconds_of(ts: Column | str) -> Column:
+    """Whole seconds since 1970. The difference functions of Spark would go through the session zone and
+    be an hour off where that zone changes its clocks."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    in_day = F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+    return F.unix_date(F.to_date(ts)).cast("bigint") * 86_400 + in_day
+
+
 def micros_of(ts: Column | str) -> Column:
     ts = F.col(ts) if isinstance(ts, str) else ts
-    return F.timestamp_diff("MICROSECOND", F.expr(EPOCH), ts)
+    fraction = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint") - F.second(ts) * 1_000_000
+    return seconds_of(ts) * 1_000_000 + fraction
+
+
+def utc_now() -> Column:
+    return F.timestamp_add("SECOND", F.unix_seconds(F.current_timestamp()), F.expr(EPOCH))
 
 
 def parse_rfc3339(text: Column) -> Column:
@@ -102,4 +115,6 @@ def parse_rfc3339(text: Column) -> Column:
 
 
 def to_rfc3339(ts: Column | str) -> Column:
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    """Text of a whole-second UTC time; formatting functions would go through the session zone."""
+    ts = F.col(ts) if isinstance(ts, str) else ts
+    return F.concat(F.translate(ts.cast("string"), " ", "T"), F.lit("Z"))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from datetime import datetime
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.timestamps import hour_of, iso_weekday, month_number
+from tidemark.functions.timestamps import as_utc, hour_of, iso_weekday, month_number
 from tidemark.operators.filters import has_language, is_star, of_month
 from tidemark.schema import ACTIVITY, LANGUAGE_DAILY, REPO_STARS_HOURLY, ROLLUP_SCHEMAS
 from tidemark.session import run_together
@@ -104,9 +105,19 @@ def write_rollups(events: DataFrame, root: str, load: str) -> None:
     run_together(events.sparkSession, *[partial(write, name) for name in ROLLUP_SCHEMAS])
 
 
-def read_rollup(spark: SparkSession, root: str, name: str, months: list[int] | None = None) -> DataFrame:
-    """Stored partial rows, several per key; readers merge them."""
-    return read_table(spark, rollup_path(root, name), ROLLUP_SCHEMAS[name], months).select(*_columns(name))
+def read_rollup(
+    spark: SparkSession,
+    root: str,
+    name: str,
+    months: list[int] | None = None,
+    start: datetime | str | None = None,
+) -> DataFrame:
+    """Stored partial rows, several per key; readers merge them. `months` and `start` skip folders."""
+    rows = read_table(spark, rollup_path(root, name), ROLLUP_SCHEMAS[name], months)
+    if start is not None:
+        begin = as_utc(start)
+        rows = rows.filter(F.col(MONTH) >= begin.year * 100 + begin.month)
+    return rows.select(*_columns(name))
 
 
 def backfill_rollups(events: DataFrame, root: str, months: list[int]) -> None:

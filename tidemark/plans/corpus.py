@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.timestamps import ts_lit
+from tidemark.functions.timestamps import seconds_of, ts_lit
 
 # Sketch size (log2): a standard error of about 0.7 % in 16 KB per column and task.
 SKETCH_LOG2 = 14
@@ -37,7 +37,7 @@ def corpus_stats(events: DataFrame, as_of: datetime | str, exact: bool = False)
         F.count("*").alias("events_total"),
         F.min("created_at").alias("oldest"),
         F.max("created_at").alias("newest"),
-        F.timestamp_diff("SECOND", F.max("created_at"), ts_lit(as_of)).alias("ingest_lag_seconds"),
+        (seconds_of(ts_lit(as_of)) - seconds_of(F.max("created_at"))).alias("ingest_lag_seconds"),
     ]
     if not exact:
         return events.agg(*base, *[about_distinct(c).alias(n) for c, n in names.items()])

@@ -7,7 +7,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.timestamps import trending_span
+from tidemark.functions.timestamps import as_utc, floor_to_hour, trending_span
 from tidemark.operators.filters import after_keyset, is_star, since, since_hour
 from tidemark.operators.rollups import merge_rollup
 
@@ -22,6 +22,11 @@ def _check_limit(limit: int) -> int:
     return limit
 
 
+def window_start(as_of: datetime | str, window: str = DEFAULT_WINDOW) -> datetime:
+    """First hour a trending window touches; give it to the table readers to skip older months."""
+    return floor_to_hour(as_utc(as_of) - trending_span(window))
+
+
 def _top(totals: DataFrame, limit: int, after: tuple[int, int] | None) -> DataFrame:
     """The first rows in the order stars descending, id ascending: every task keeps `limit` rows."""
     if after is not None:

@@ -17,7 +17,7 @@ PAGE_SIZE = 100
 def land_archive(spark: SparkSession, events: DataFrame, start: str, end: str) -> str:
     """One gzip file of raw lines per hour of [start, end), named as the archive names them."""
     base = work_dir(spark, "archive")
-    hour = F.concat_ws("-", F.date_format("created_at", "yyyy-MM-dd"), F.hour("created_at").cast("string"))
+    hour = F.concat_ws("-", F.to_date("created_at").cast("string"), F.hour("created_at").cast("string"))
     (
         raw_lines(events)
         .select("line", hour.alias("hour"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.timestamps import seconds_of, utc_now
 from tidemark.schema import AUDIT
 from tidemark.sources.store import LOAD
 
@@ -30,7 +31,7 @@ def batch_audit(checked: DataFrame, batch_id: int, latency_seconds: float, end_o
         )
         .select(
             F.lit(batch_id).cast("bigint").alias("batch_id"),
-            F.localtimestamp().alias("ts"),
+            utc_now().alias("ts"),
             "partition",
             "consumed",
             "inserted",
@@ -77,7 +78,7 @@ BATCH_SIZE_BOUNDS = [1, 10, 100, 1_000, 5_000, 10_000, 20_000, 50_000]
 def ingest_health(audit: DataFrame, every: str = "1 minute") -> DataFrame:
     """Per interval: batches, rates per second, dead-letter share in percent, slowest write."""
     span = F.window("ts", every)
-    seconds = (F.unix_seconds(F.col("span.end").cast("timestamp")) - F.unix_seconds(F.col("span.start").cast("timestamp")))
+    seconds = seconds_of("span.end") - seconds_of("span.start")
     return (
         audit.groupBy(span.alias("span"))
         .agg(
