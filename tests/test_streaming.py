@@ -1,7 +1,9 @@
 """The continuous write path: batches, crashes, duplicates, audit."""
 
 import json
+import time
 from datetime import datetime
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,7 +60,7 @@ def test_crash_between_write_and_commit_leaves_no_trace(spark, event, land, tmp_
 
     monkeypatch.setattr(ingest, victim, crashing)
     with pytest.raises(Exception):
-        run(spark, folder, sinks, tmp_path)
+        run(spark, folder, sinks, tmp_path, retries=0)
     monkeypatch.undo()
     run(spark, folder, sinks, tmp_path)
 
@@ -73,6 +75,27 @@ def test_crash_between_write_and_commit_leaves_no_trace(spark, event, land, tmp_
     assert sorted(r.batch_id for r in audit.collect()) == [0, 1]
 
 
+def test_a_failing_sink_is_retried_with_the_same_batch(spark, event, land, tmp_path, monkeypatch):
+    folder = land(to_bus_messages(forty(event)), 0)
+    sinks = Sinks(str(tmp_path / "out"))
+    real, calls, waits = ingest.maintain_rollups, [], []
+
+    def flaky(*args):
+        real(*args)
+        calls.append(1)
+        if len(calls) < 4:
+            raise OSError("storage does not answer")
+
+    monkeypatch.setattr(ingest, "maintain_rollups", flaky)
+    clock = SimpleNamespace(sleep=waits.append, perf_counter=time.perf_counter)
+    monkeypatch.setattr(ingest, "time", clock)
+    run(spark, folder, sinks, tmp_path)
+    assert (len(calls), waits) == (4, [1, 2, 4])
+    assert read_events(spark, sinks.events).count() == 40
+    assert read_rollup(spark, sinks.rollups, ACTIVITY).agg(F.sum("events")).first()[0] == 40
+    assert [r.batch_id for r in read_audit(spark, sinks.audit).collect()] == [0]
+
+
 def test_poison_goes_to_dead_letters_and_late_rows_still_count(spark, event, land, tmp_path):
     sinks = Sinks(str(tmp_path / "out"))
     good = to_bus_messages(event({}, {"created_at": "2019-01-01 03:00:00"}))

@@ -54,7 +54,9 @@ def read_event_stream(
 
 
 def write_messages(messages: DataFrame, servers: str, topic: str) -> None:
-    messages.select("key", "value").write.format("kafka").option("kafka.bootstrap.servers", servers).option(
+    """Send messages, with their headers if they have any (dead letters do)."""
+    columns = [c for c in ("key", "value", "headers") if c in messages.columns]
+    messages.select(*columns).write.format("kafka").option("kafka.bootstrap.servers", servers).option(
         "topic", topic
     ).save()
 

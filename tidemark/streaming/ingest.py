@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
@@ -18,6 +19,13 @@ from tidemark.streaming.audit import batch_audit, write_audit
 
 DEFAULT_TRIGGER = "2 seconds"
 
+# A failed write is tried again with the same batch, waiting 1, 2, 4, ... up to 30 seconds.
+FIRST_WAIT_SECONDS = 1.0
+LONGEST_WAIT_SECONDS = 30.0
+DEFAULT_RETRIES = 10
+
+logger = logging.getLogger(__name__)
+
 
 @dataclass(frozen=True)
 class Sinks:
@@ -51,19 +59,34 @@ def maintain_rollups(events: DataFrame, sinks: Sinks, batch_id: int) -> None:
     write_rollups(events, sinks.rollups, sinks.load(batch_id))
 
 
+def _with_retries(step: Callable[[], None], retries: int) -> None:
+    """The source stands still meanwhile, so no more than this one batch is ever held."""
+    wait = FIRST_WAIT_SECONDS
+    for left in range(retries, -1, -1):
+        try:
+            return step()
+        except Exception:
+            if left == 0:
+                raise
+            logger.exception("batch write failed, next try in %s s", wait)
+            time.sleep(wait)
+            wait = min(2 * wait, LONGEST_WAIT_SECONDS)
+
+
 def write_batch(
     messages: DataFrame,
     batch_id: int,
     sinks: Sinks,
     end_offsets: Callable[[], dict[int, int]] | None = None,
     rollups: bool = True,
+    retries: int = 0,
 ) -> None:
     """Store one micro-batch in every sink.
 
-    Each sink is overwritten under the name of this batch. If the job dies anywhere in between, Spark
-    runs the same batch again and every sink ends up as if there had been one run; only then is the
-    batch committed. The checked batch is cached because six writes read it; a lost executor's part of
-    the cache is recomputed from the source.
+    Each sink is overwritten under the name of this batch. If a write fails it is repeated with the same
+    rows; if the job dies anywhere in between, Spark runs the same batch again. Either way every sink
+    ends up as if there had been one run, and only then is the batch committed. The checked batch is
+    cached because six writes read it; a lost executor's part of the cache is recomputed from the source.
     """
     checked = check_messages(messages)
     for original in ("key", "value"):  # needed again only for dead letters
@@ -77,12 +100,15 @@ def write_batch(
         latency = time.perf_counter() - started
         write_audit(batch_audit(checked, batch_id, latency, end_offsets() if end_offsets else {}), sinks.audit, load)
 
-    try:
+    def store() -> None:
         write_dead_letters(poison_messages(checked), sinks.dead_letters, load)  # fills the cache
         steps = [store_events]
         if rollups:
             steps.append(lambda: maintain_rollups(valid_events(checked), sinks, batch_id))
         run_together(messages.sparkSession, *steps)
+
+    try:
+        _with_retries(store, retries)
     finally:
         checked.unpersist()
 
@@ -94,6 +120,7 @@ def start_ingest(
     trigger: dict | None = None,
     end_offsets: Callable[[], dict[int, int]] | None = None,
     rollups: bool = True,
+    retries: int = DEFAULT_RETRIES,
 ) -> StreamingQuery:
     """One query for the whole write path. Batch size is bounded by the source (`maxOffsetsPerTrigger`)
     and by the trigger, whichever comes first; the offset is committed after all writes succeeded."""
@@ -101,7 +128,7 @@ def start_ingest(
         messages.writeStream.queryName(sinks.name)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": DEFAULT_TRIGGER}))
-        .foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, sinks, end_offsets, rollups))
+        .foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, sinks, end_offsets, rollups, retries))
         .start()
     )
 
