@@ -1,13 +1,13 @@
 """Sliding-window admission against a direct simulation."""
 
 import random
-from collections import deque
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.admission import admit, sliding_window_admission
+from tidemark.operators.admission import Held, sliding_window_admission, walk
 from tidemark.streaming.admission import admission_stream
 
 SCHEMA = "request_id BIGINT, key BIGINT, ts TIMESTAMP_NTZ, limit BIGINT"
@@ -53,7 +53,24 @@ def test_denials_are_not_recorded_and_keys_are_independent(spark):
 
 
 def test_zero_limit_waits_a_whole_window():
-    assert admit(deque(), 5, 0, 3, 60_000_000) == (0, 60)
+    assert Held(60_000_000).offer(5, 0, 3) == (0, 60)
+    admitted, retry = walk(Held(60_000_000), np.array([5, 6]), 0, np.array([1, 2]))
+    assert admitted.tolist() == [0, 0] and retry.tolist() == [60, 60]
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_walk_by_stretches_equals_walk_by_slots(seed):
+    rng = random.Random(seed)
+    window, limit = rng.choice([3, 10, 60]) * 1_000_000, rng.choice([1, 2, 7, 40])
+    us = np.array(sorted(rng.sample(range(0, rng.choice([50, 400]) * 1_000_000), 300)))
+    n = np.array([rng.choice([1, 1, 1, 2, 9]) for _ in us])
+    one, two, admitted, retry = Held(window), Held(window), [], []
+    for begin in range(0, 300, 77):  # state carries over from batch to batch
+        part = slice(begin, begin + 77)
+        a, r = walk(one, us[part], limit, n[part])
+        admitted += a.tolist()
+        retry += r.tolist()
+    assert list(zip(admitted, retry)) == [two.offer(int(t), limit, int(c)) for t, c in zip(us, n)]
 
 
 @pytest.mark.parametrize("seed", range(4))

@@ -8,8 +8,10 @@ Whether a request is admitted depends on earlier admissions, so no window frame
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,40 +20,96 @@ from tidemark.functions.timestamps import micros_of
 
 WINDOW_SECONDS = 60
 MICROS = 1_000_000
-
-
-def admit(held: deque, ts: int, limit: int, count: int, window: int) -> tuple[int, int]:
-    """Offer `count` requests at `ts` (microseconds). Returns (admitted, retry-after seconds of the rest).
-
-    `held` holds the admitted times of the key, oldest first, at most `limit` of them after the call.
-    """
-    while held and held[0] <= ts - window:
-        held.popleft()
-    admitted = max(0, min(count, limit - len(held)))
-    held.extend([ts] * admitted)
-    if admitted == count:
-        return admitted, 0
-    if not held:
-        return admitted, window // MICROS
-    return admitted, max(1, (held[0] + window - ts) // MICROS + 1)
+# Below this many slots array calls cost more than they save.
+SHORT = 64
+
+
+class Held:
+    """Admitted times of one key (microseconds, with counts), oldest first; never more than its limit."""
+
+    def __init__(self, window: int, times: Iterable[int] = ()) -> None:
+        self.window = window
+        self.entries = deque((us, 1) for us in times)
+        self.total = len(self.entries)
+
+    def expire(self, us: int) -> None:
+        while self.entries and self.entries[0][0] <= us - self.window:
+            self.total -= self.entries.popleft()[1]
+
+    def add(self, times: Iterable[int], counts: Iterable[int]) -> None:
+        for entry in zip(times, counts, strict=True):
+            self.entries.append(entry)
+            self.total += entry[1]
+
+    def free_again(self) -> int | None:
+        return self.entries[0][0] + self.window if self.entries else None
+
+    def retry_after(self, us):
+        """Whole seconds until the oldest admission expires; a whole window if there is none. Takes arrays."""
+        free = self.free_again()
+        if free is None:
+            return self.window // MICROS
+        return np.maximum(1, (free - us) // MICROS + 1)
+
+    def offer(self, us: int, limit: int, count: int = 1) -> tuple[int, int]:
+        """(how many of `count` requests at `us` are admitted, seconds the others have to wait)."""
+        self.expire(us)
+        admitted = max(0, min(count, limit - self.total))
+        if admitted:
+            self.add([us], [admitted])
+        return admitted, 0 if admitted == count else max(1, (self.free_again() - us) // MICROS + 1) if self.entries else self.window // MICROS
+
+
+def walk(held: Held, us: np.ndarray, limit: int, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Decide sorted slots of one key with one limit. Steps are stretches, not slots: what fits is admitted
+    at once, and while the window is full everything up to the next expiry is denied at once."""
+    admitted, retry = np.zeros_like(n), np.zeros_like(n)
+    offered = np.cumsum(n)
+    at = 0
+    while at < len(us):
+        held.expire(int(us[at]))
+        free = limit - held.total
+        if free <= 0:
+            expiry = held.free_again()
+            stop = len(us) if expiry is None else int(np.searchsorted(us, expiry, "left"))
+            retry[at:stop] = held.retry_after(us[at:stop])
+            at = stop
+            continue
+        stop = int(np.searchsorted(offered, (offered[at - 1] if at else 0) + free, "right"))
+        if stop > at:
+            admitted[at:stop] = n[at:stop]
+            held.add(us[at:stop].tolist(), n[at:stop].tolist())
+            at = stop
+        else:  # more requests in this instant than places left
+            admitted[at], retry[at] = held.offer(int(us[at]), limit, int(n[at]))
+            at += 1
+    return admitted, retry
 
 
 def _decide(window: int):
-    """Partition function over slots sorted by (key, piece, us, limit): state is one deque, not a group."""
+    """Partition function over slots sorted by (key, piece, us, limit). Its state is one `Held`, not a group:
+    batches of a long run are decided one after the other."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held = None, deque()
+        current, held = None, Held(window)
         for batch in batches:
-            admitted, retry = [], []
-            columns = (batch[c].tolist() for c in ("key", "piece", "us", "limit", "n"))
-            for key, piece, us, limit, n in zip(*columns, strict=True):
-                if (key, piece) != current:
-                    current, held = (key, piece), deque()
-                a, r = admit(held, us, limit, n, window)
-                admitted.append(a)
-                retry.append(r)
-            out = batch[["key", "us", "limit", "n", "seed"]].assign(admitted=admitted, retry_after=retry)
-            yield out[~out["seed"]].drop(columns=["seed"])
+            if batch.empty:
+                continue
+            key, piece, us, limit, n = (batch[c].to_numpy() for c in ("key", "piece", "us", "limit", "n"))
+            changes = np.flatnonzero((np.diff(key) != 0) | (np.diff(piece) != 0)) + 1
+            admitted, retry = np.zeros_like(n), np.zeros_like(n)
+            for begin, end in pairwise([0, *changes.tolist(), len(batch)]):
+                if (key[begin], piece[begin]) != current:
+                    current, held = (key[begin], piece[begin]), Held(window)
+                part = slice(begin, end)
+                if end - begin >= SHORT and (limit[part] == limit[begin]).all():
+                    admitted[part], retry[part] = walk(held, us[part], int(limit[begin]), n[part])
+                    continue
+                slots = zip(us[part].tolist(), limit[part].tolist(), n[part].tolist(), strict=True)
+                for i, slot in enumerate(slots, begin):
+                    admitted[i], retry[i] = held.offer(*slot)
+            decided = batch[["key", "us", "limit", "n"]].assign(admitted=admitted, retry_after=retry)
+            yield decided[~batch["seed"].astype(bool)]
 
     return run
 

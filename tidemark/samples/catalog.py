@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -531,17 +532,18 @@ def store_dead_letters(spark, sf):
 # Streams --------------------------------------------------------------------------------------------
 
 
-def _land_messages(spark: SparkSession, messages: DataFrame, files: int = 4) -> str:
-    folder = work_dir(spark, "messages")
+def _land_messages(spark: SparkSession, messages: DataFrame) -> tuple[str, int]:
+    """Messages as files, one or more per core, and how many of them make about half of all."""
+    folder, files = work_dir(spark, "messages"), max(2, spark.sparkContext.defaultParallelism)
     columns = [F.col(f.name).cast(f.dataType) for f in MESSAGE.fields]
     messages.select(*columns).repartition(files).write.parquet(folder)
-    return folder
+    return folder, files // 2
 
 
 def _ingested(spark: SparkSession, sf: str) -> Sinks:
-    landed = _land_messages(spark, bus_messages(sample_events(spark, sf)))
+    landed, half = _land_messages(spark, bus_messages(sample_events(spark, sf)))
     sinks = Sinks(work_dir(spark, "ingest"))
-    stream = read_event_stream(spark, files=landed, max_files=2)
+    stream = read_event_stream(spark, files=landed, max_files=half)
     start_ingest(stream, sinks, work_dir(spark, "checkpoint"), {"availableNow": True}).awaitTermination()
     return sinks
 
@@ -571,9 +573,9 @@ def stream_audit(spark, sf):
 def stream_dedup(spark, sf):
     """The whole message set delivered twice; copies meet within one batch and across batches."""
     messages = bus_messages(sample_events(spark, sf))
-    landed = _land_messages(spark, messages.unionByName(messages))
+    landed, half = _land_messages(spark, messages.unionByName(messages))
     out = work_dir(spark, "dedup")
-    events = valid_events(check_messages(read_event_stream(spark, files=landed, max_files=2)))
+    events = valid_events(check_messages(read_event_stream(spark, files=landed, max_files=half)))
     (
         dedup_stream(events, "1 hour")
         .writeStream.format("parquet")
@@ -762,23 +764,30 @@ def admission(spark, sf):
 
 @query(_ADMISSION_SQL)
 def stream_admission(spark, sf):
-    """The same requests as a stream of files in time order."""
-    folder, out = work_dir(spark, "requests"), work_dir(spark, "decisions")
+    """The same requests as a stream that delivers them in time order, some days per micro-batch."""
+    folder, out, checkpoint = (work_dir(spark, name) for name in ("requests", "decisions", "checkpoint"))
     requests = _requests(spark, sf)
-    requests.repartitionByRange(3, "ts").write.parquet(folder)
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
     spark.conf.set(provider, ROCKSDB)
     try:
-        (
-            admission_stream(spark.readStream.schema(requests.schema).parquet(folder), _WINDOW)
-            .writeStream.format("parquet")
-            .option("path", out)
-            .option("checkpointLocation", work_dir(spark, "checkpoint"))
-            .trigger(availableNow=True)
-            .start()
-            .awaitTermination()
-        )
+        cuts = [None, *(ts_lit(f"2024-01-{day:02d} 00:00:00") for day in (9, 17, 25)), None]
+        for begin, end in pairwise(cuts):
+            arriving = requests
+            if begin is not None:
+                arriving = arriving.filter(F.col("ts") >= begin)
+            if end is not None:
+                arriving = arriving.filter(F.col("ts") < end)
+            arriving.write.mode("append").parquet(folder)
+            (
+                admission_stream(spark.readStream.schema(requests.schema).parquet(folder), _WINDOW)
+                .writeStream.format("parquet")
+                .option("path", out)
+                .option("checkpointLocation", checkpoint)
+                .trigger(availableNow=True)
+                .start()
+                .awaitTermination()
+            )
     finally:
         spark.conf.set(provider, before)
     return spark.read.parquet(out)

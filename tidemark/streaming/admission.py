@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.functions.timestamps import micros_of
-from tidemark.operators.admission import MICROS, WINDOW_SECONDS, admit
+from tidemark.operators.admission import MICROS, WINDOW_SECONDS, Held
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -25,10 +24,10 @@ class _Admission(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         # A micro-batch is bounded by the source, and so is its part of one key.
         batch = pd.concat(list(rows)).sort_values(["us", "request_id"], kind="stable")
-        held = deque(row[0] for row in self.held.get())
-        decisions = [admit(held, us, limit, 1, self.window) for us, limit in zip(batch["us"], batch["limit"], strict=True)]
-        if held:
-            self.held.put([(int(us),) for us in held])
+        held = Held(self.window, (row[0] for row in self.held.get()))
+        decisions = [held.offer(us, limit) for us, limit in zip(batch["us"].tolist(), batch["limit"].tolist(), strict=True)]
+        if held.total:
+            self.held.put([(us,) for us, count in held.entries for _ in range(count)])
         else:
             self.held.clear()
         yield pd.DataFrame(
