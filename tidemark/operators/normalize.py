@@ -47,7 +47,7 @@ def payload_epoch(raw: DataFrame) -> Column:
 def tag_events(raw: DataFrame) -> DataFrame:
     """All canonical columns plus `reject_reason` (NULL = usable): both outcomes in one pass.
 
-    Wrong types of ids and of whole embedded objects are noticed by the JSON reader, which then fills
+    Wrong types of numbers and of whole embedded objects are noticed by the JSON reader, which then fills
     the corrupt column; wrong types of texts are noticed here. Missing objects and members are allowed.
     """
     texts = {
@@ -67,10 +67,13 @@ def tag_events(raw: DataFrame) -> DataFrame:
     def number(entity: str) -> Column:
         return F.coalesce(raw[entity]["id"], F.lit(0).cast("bigint"))
 
+    # A field of the wrong type leaves its neighbours readable, broken JSON leaves nothing.
+    nothing_read = reduce(and_, [raw[c].isNull() for c in ("id", "type", "created_at", "actor", "repo", "org", "payload")])
     reason = (
-        F.when(raw[CORRUPT].isNotNull(), MALFORMED)
+        F.when(raw[CORRUPT].isNotNull() & nothing_read, MALFORMED)
         .when(
-            ~F.col("_texts_ok")
+            raw[CORRUPT].isNotNull()
+            | ~F.col("_texts_ok")
             | (F.col("_created").isNotNull() & F.col("_time").isNull())
             | (F.least(number("actor"), number("repo"), number("org")) < 0),
             WRONG_TYPE,
