@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import weekday_name
 from tidemark.operators.rollups import merge_rollup

@@ -43,10 +43,9 @@ from tidemark.samples.tables import (
     bus_messages,
     enriched_events,
     raw_events,
-    repo_languages,
     sample_events,
 )
-from tidemark.schema import ACTIVITY, CANONICAL_COLUMNS, LANGUAGE_DAILY, MESSAGE, REPO_STARS_HOURLY, ROLLUP_SCHEMAS, STAR
+from tidemark.schema import ACTIVITY, CANONICAL_COLUMNS, LANGUAGE_DAILY, MESSAGE, REPO_STARS_HOURLY, STAR
 from tidemark.session import work_dir
 from tidemark.sources.bus import read_event_stream, to_bus_messages
 from tidemark.sources.archive import read_archive
@@ -591,7 +590,6 @@ def stream_dedup(spark, sf):
 def _sample_audit(spark: SparkSession, sf: str) -> DataFrame:
     """An audit table as daily batches would have left it; the end of partition 5 is unknown."""
     checked = check_messages(bus_messages(sample_events(spark, sf)))
-    day = F.when(F.col("created_at").isNotNull() & (F.year("created_at") > 1), F.to_date("created_at"))
     true_days = sample_events(spark, sf).select(F.col("event_id").cast("string").alias("key"), F.to_date("created_at").alias("day"))
     return (
         checked.drop("created_at")

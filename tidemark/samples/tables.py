@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import second_of, to_rfc3339, ts_lit
 from tidemark.operators.enrich import enrich_language
-from tidemark.schema import CANONICAL_COLUMNS, CREATE, CORRUPT, FORK, ISSUES, PUSH, RAW, STAR
+from tidemark.schema import CANONICAL_COLUMNS, CORRUPT, CREATE, FORK, ISSUES, PUSH, RAW, STAR
+from tidemark.sources.bus import to_bus_messages
 
 AS_OF = "2024-01-31 00:00:00"
 
@@ -135,8 +136,6 @@ def raw_events(events: DataFrame) -> DataFrame:
 
 def bus_messages(events: DataFrame) -> DataFrame:
     """Messages of six source partitions, offsets rising with the event id; five kinds of poison."""
-    from tidemark.sources.bus import to_bus_messages
-
     good = to_bus_messages(events.withColumn("event_type", F.when(F.col("repo_id") == 93, "").otherwise(F.col("event_type"))))
     eid = F.col("key").cast("bigint")
     repo = F.get_json_object("value", "$.repo_id").cast("int")

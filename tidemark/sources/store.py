@@ -19,6 +19,7 @@ from tidemark.schema import CANONICAL, CANONICAL_COLUMNS, DEAD_LETTER_COLUMNS
 
 MONTH = "ym"
 LOAD = "load"
+EVENTS_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CANONICAL.fields)
 EVENT_ORDER = ["event_type", "created_at", "repo_id"]
 
 
@@ -78,8 +79,7 @@ def read_events(
 ) -> DataFrame:
     """Canonical events of [start, end). The time bounds are repeated on the month column, because
     Spark cannot derive a folder from a predicate on `created_at`."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CANONICAL.fields)
-    rows = read_table(spark, path, schema)
+    rows = read_table(spark, path, EVENTS_DDL)
     bounds: list[Column] = []
     if start is not None:
         s = as_utc(start)
@@ -176,5 +176,4 @@ def rewrite_month(
 
 def compact_events_month(spark: SparkSession, path: str, month: int) -> None:
     """Merge the many small files of a streamed month into large sorted ones; rows stay the same."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CANONICAL.fields)
-    rewrite_month(spark, path, month, schema, lambda rows: rows, "compacted", EVENT_ORDER, ["event_type"])
+    rewrite_month(spark, path, month, EVENTS_DDL, lambda rows: rows, "compacted", EVENT_ORDER, ["event_type"])

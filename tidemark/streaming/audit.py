@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -117,8 +119,6 @@ def batch_sizes(audit: DataFrame) -> DataFrame:
 
 def end_offsets_of(progress: dict) -> dict[int, int]:
     """Newest offset per partition from a Kafka source's progress report (`StreamingQuery.lastProgress`)."""
-    import json
-
     ends: dict[int, int] = {}
     for source in progress.get("sources", []):
         latest = source.get("latestOffset")

@@ -7,14 +7,17 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.operators.normalize import observe_rejects, tag_events, usable
 from tidemark.operators.rollups import write_rollups
 from tidemark.operators.validate import check_messages, poison_messages, valid_events
+from tidemark.schema import CANONICAL_COLUMNS
 from tidemark.session import run_together
-from tidemark.sources.store import write_dead_letters, write_events
+from tidemark.sources.archive import read_archive
+from tidemark.sources.store import EVENTS_DDL, LOAD, read_table, write_dead_letters, write_events
 from tidemark.streaming.audit import batch_audit, write_audit
 
 DEFAULT_TRIGGER = "2 seconds"
@@ -153,18 +156,10 @@ def ingest_archive(spark: SparkSession, base: str, start: str, end: str | None,
     The source is parsed once: the reject counters ride along with the write, and the roll-ups are built
     from the stored load, not from the dumps. A rerun of the same range replaces its own load.
     """
-    from pyspark.sql import Observation
-
-    from tidemark.operators.normalize import observe_rejects, tag_events, usable
-    from tidemark.schema import CANONICAL, CANONICAL_COLUMNS
-    from tidemark.sources.archive import read_archive
-    from tidemark.sources.store import LOAD, read_table
-
     load = f"archive-{start}-{end or start}"
     counters = Observation("rejects")
     tagged = observe_rejects(tag_events(read_archive(spark, base, start, end)), counters)
     write_events(usable(tagged), sinks.events, load)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CANONICAL.fields)
-    stored = read_table(spark, sinks.events, schema).filter(F.col(LOAD) == load).select(*CANONICAL_COLUMNS)
+    stored = read_table(spark, sinks.events, EVENTS_DDL).filter(F.col(LOAD) == load).select(*CANONICAL_COLUMNS)
     write_rollups(stored, sinks.rollups, load)
     return counters.get
