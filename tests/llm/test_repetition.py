@@ -29,8 +29,8 @@ def plain(text):
             found.setdefault(tuple(words[i : i + n]), []).append(i)
         return found
 
-    def inside(n):
-        return {i + k for at in grams(n).values() if len(at) > 1 for i in at for k in range(n)}
+    def inside(n, skip=0):
+        return {i + k for at in grams(n).values() if len(at) > 1 for i in at[skip:] for k in range(n)}
 
     total = out["word_chars"]
     out["n_repeat_words"] = len(inside(5))
@@ -38,7 +38,7 @@ def plain(text):
         top = max((len(at) * sum(map(len, g)) for g, at in grams(n).items() if len(at) > 1), default=0)
         out[f"top_{n}gram_char_share"] = top / total if total else 0
     for n in MOST_DUPLICATE_CHARS:
-        out[f"dup_{n}gram_char_share"] = sum(len(words[i]) for i in inside(n)) / total if total else 0
+        out[f"dup_{n}gram_char_share"] = sum(len(words[i]) for i in inside(n, 1)) / total if total else 0
     return out
 
 

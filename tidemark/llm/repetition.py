@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.text import Spans, buffers_of, lines_of, mix, slices, windows, words_of
 
 # Published thresholds of the repetition rules for web text. A text passes up to and including them.
+# Top windows count all their places; duplicated windows and lines count those after the first.
 MOST_DUPLICATE_LINES = 0.30
 MOST_DUPLICATE_LINE_CHARS = 0.20
 MOST_TOP_CHARS = {2: 0.20, 3: 0.18, 4: 0.16}
@@ -107,10 +108,13 @@ def profile(column: pa.Array) -> dict[str, np.ndarray]:
         if n == BASE_WINDOW or n in MOST_DUPLICATE_CHARS:
             repeated = np.zeros(len(first), bool)
             repeated[order] = np.repeat(lengths > 1, lengths)
-            inside = _covered(words, first, n, repeated)
             if n == BASE_WINDOW:
+                inside = _covered(words, first, n, repeated)
                 out["n_repeat_words"] = _per_text(words.text[inside], None, count)
             if n in MOST_DUPLICATE_CHARS:
+                if len(starts):
+                    repeated[np.minimum.reduceat(order, starts)] = False  # a window's first place is no repetition
+                inside = _covered(words, first, n, repeated)
                 chars = _per_text(words.text[inside], words.chars[inside], count)
                 out[f"dup_{n}gram_char_share"] = _share(chars, word_chars)
 
