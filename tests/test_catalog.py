@@ -40,6 +40,7 @@ def test_query_matches_its_sql(spark, reference, name):
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.SQL)
+    assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     rows = entry.entry(spark)
     assert rows.columns == ["repo_id", "repo_name", "stars"] and rows.count() > 0
