@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.licenses import with_licenses
+from tidemark.llm.mixing import mix_sources
+from tidemark.llm import sql
 from tidemark.llm.repetition import with_repetition
 
 
@@ -26,9 +29,19 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select(
+        "doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.size") * F.col("mix.copies")).alias("taken")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repetition_coverage": op5_repetition_coverage,
     "op8_license_scan": op8_license_scan,
+    "op9_weighted_fair_mix": op9_weighted_fair_mix,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_weighted_fair_mix": sql.MIX,
+}
