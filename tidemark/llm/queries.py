@@ -4,19 +4,37 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from public_tokenizers import path as tokenizer_path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm import sql
 from tidemark.llm.licenses import with_licenses
 from tidemark.llm.mixing import mix_sources
-from tidemark.llm import sql
+from tidemark.llm.pieces import read_model, with_pieces
 from tidemark.llm.repetition import with_repetition
+from tidemark.llm.token_files import library_encoder, read_token_files, write_token_files
+from tidemark.session import work_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = read_model(tokenizer_path("piece_bpe_32k.model"))
+    encoded = with_pieces(_table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    return encoded.select("doc_id", *[f"pieces.{c}" for c in ("n_tokens", "ids_crc32", "round_trip", "parity", "ids")])
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        encode = library_encoder(file.read(), end_id=0)
+    docs = _table(spark, sf_dir, "documents")
+    manifest = write_token_files(docs, work_dir(spark, "token-files"), encode, largest_id=50_256)
+    return read_token_files(manifest).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_repetition(_table(spark, sf_dir, "documents")).select("doc_id", "repetition.*")
 
@@ -37,6 +55,8 @@ def op9_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op4_token_files": op4_token_files,
     "op5_repetition_coverage": op5_repetition_coverage,
     "op8_license_scan": op8_license_scan,
     "op9_weighted_fair_mix": op9_weighted_fair_mix,
