@@ -1,0 +1,107 @@
+import io
+import random
+import zipfile
+
+import pytest
+
+from tidemark.llm import warc
+from tidemark.llm.warc import ArchiveReader, archive_pages, digest_of, make_record, parse_record, read_archives, read_directory
+
+
+class Held:
+    """Bytes with the interface of a file opened for ranges."""
+
+    def __init__(self, raw):
+        self.raw = raw
+
+    def size(self):
+        return len(self.raw)
+
+    def read_at(self, length, offset):
+        return self.raw[offset : offset + length]
+
+
+def plain(rows, least=0):
+    out = []
+    for page_id, _, html in rows:
+        payload = (html or "").encode()
+        same = [p for p, _, h in rows if (h or "").encode() == payload and p is not None]
+        keeper = max(same, default=None)
+        visit = len(payload) >= least and keeper is not None and page_id != keeper
+        out.append((page_id, len(payload), digest_of(payload), "revisit" if visit else "response", keeper if visit else None))
+    return sorted(out, key=repr)
+
+
+def some_pages():
+    draw = random.Random(4)
+    rows = [(i, f"http://a.example/{i}", draw.choice(["<p>same</p>", "", None, f"<b>é {i}\r\n\r\nx</b>", "y" * 200_000])) for i in range(120)]
+    return rows + [(5_000, None, "<p>same</p>"), (None, "http://x\r\ny", "<p>same</p>"), (None, None, "alone"), (-7, "u", "minus"), (7, "u", rows[7][2])]
+
+
+@pytest.mark.parametrize("least, limit", [(0, 1 << 28), (5, 2000)])
+def test_pages_read_back(spark, tmp_path, least, limit):
+    rows = some_pages()
+    pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id BIGINT, url STRING, html STRING, payload_bytes INT")
+    manifest = archive_pages(pages.repartition(3), str(tmp_path / "w"), least, limit)
+    got = read_archives(manifest).collect()
+    ours = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=repr)
+    assert ours == plain(rows, least)
+    assert all((r.payload is None) == (r.record_type == "revisit") for r in got)
+    assert manifest.count() > 1 if limit == 2000 else True
+    paths = [r.path for r in manifest.collect()]
+    found = [r for p in paths for r in ArchiveReader(Held(open(p, "rb").read())).find(5_000)]
+    assert [(r.page_id, r.record_type) for r in found] == [(5_000, "response")]
+    with zipfile.ZipFile(paths[0]) as package:
+        assert package.testzip() is None and {i.compress_type for i in package.infolist()} == {0}
+
+
+def test_empty_table(spark, tmp_path):
+    pages = spark.createDataFrame([], "page_id BIGINT, url STRING, html STRING")
+    assert read_archives(archive_pages(pages, str(tmp_path / "e"))).collect() == []
+
+
+def package(comment=b"", names=("a", "b/ü"), wide=False):
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w") as z:
+        for name in names:
+            with z.open(name, "w", force_zip64=wide) as member:
+                member.write(name.encode() * 50)
+        z.comment = comment
+    return raw.getvalue()
+
+
+@pytest.mark.parametrize("comment", [b"", b"PK\5\6 inside", b"PK\5\6" + b"\0" * 40, b"x" * 65_535])
+def test_directory_with_comments(comment):
+    file = Held(package(comment))
+    members = read_directory(file)
+    for name, member in members.items():
+        start = warc.member_start(file, member)
+        assert file.read_at(member.size, start) == name.encode() * 50
+
+
+def test_zip64_directory(monkeypatch):
+    monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 60)
+    monkeypatch.setattr(zipfile, "ZIP_FILECOUNT_LIMIT", 1)
+    file = Held(package(wide=True))
+    assert warc.END64 in file.raw
+    members = read_directory(file)
+    assert set(members) == {"a", "b/ü"}
+    for name, member in members.items():
+        assert file.read_at(member.size, warc.member_start(file, member)) == name.encode() * 50
+
+
+def test_damage_is_noticed():
+    with pytest.raises(ValueError):
+        read_directory(Held(b"no zip at all"))
+    with pytest.raises(ValueError):
+        read_directory(Held(b""))
+    good = make_record(1, "u", b"body", 4, digest_of(b"body"), None, False)
+    assert parse_record(good).payload == b"body"
+    with pytest.raises(ValueError):
+        parse_record(good.replace(b"body", b"bodx"))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(warc.WARC_MEMBER, "x" * 100)
+    file = Held(packed.getvalue())
+    with pytest.raises(ValueError):
+        warc.member_start(file, read_directory(file)[warc.WARC_MEMBER])

@@ -14,6 +14,7 @@ from tidemark.llm.mixing import mix_sources
 from tidemark.llm.pieces import read_model, with_pieces
 from tidemark.llm.repetition import with_repetition
 from tidemark.llm.token_files import library_encoder, read_token_files, write_token_files
+from tidemark.llm.warc import archive_pages, read_archives
 from tidemark.session import work_dir
 
 
@@ -27,6 +28,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", *[f"pieces.{c}" for c in ("n_tokens", "ids_crc32", "round_trip", "parity", "ids")])
 
 
+def op3_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = archive_pages(_table(spark, sf_dir, "pages"), work_dir(spark, "archives"), least=0)
+    return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     with open(tokenizer_path("byte_bpe_50k.json"), encoding="utf-8") as file:
         encode = library_encoder(file.read(), end_id=0)
@@ -56,6 +62,7 @@ def op9_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_zip_archives": op3_zip_archives,
     "op4_token_files": op4_token_files,
     "op5_repetition_coverage": op5_repetition_coverage,
     "op8_license_scan": op8_license_scan,
