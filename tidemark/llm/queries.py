@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import sql
+from tidemark.llm.embeddings import near_vectors
 from tidemark.llm.licenses import with_licenses
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.pieces import read_model, with_pieces
@@ -60,6 +61,10 @@ def op9_weighted_fair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op3_zip_archives": op3_zip_archives,
@@ -67,8 +72,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_repetition_coverage": op5_repetition_coverage,
     "op8_license_scan": op8_license_scan,
     "op9_weighted_fair_mix": op9_weighted_fair_mix,
+    "op10_rotation_codes": op10_rotation_codes,
 }
 
 SQL: dict[str, str] = {
     "op9_weighted_fair_mix": sql.MIX,
+    "op10_rotation_codes": sql.NEAR_VECTORS,
 }

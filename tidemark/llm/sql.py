@@ -38,3 +38,20 @@ copies AS (
 SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(c.copies, 0))::BIGINT AS taken
 FROM queued q LEFT JOIN copies c ON q.source IS NOT DISTINCT FROM c.source AND q.h1 = c.h1 AND q.h2 = c.h2
 """
+
+NEAR_VECTORS = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b
+    ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) AND list_cosine_similarity(a.v, b.v) >= 0.9),
+reach(node, seen) AS (
+  SELECT vec_id, vec_id FROM usable UNION SELECT r.node, l.b FROM reach r JOIN links l ON r.seen = l.a),
+least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node),
+counted AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(l.component_id, e.vec_id)::BIGINT AS component_id,
+  coalesce(e.vec_id = coalesce(l.component_id, e.vec_id), false) AS kept
+FROM embeddings e LEFT JOIN counted c ON c.a = e.vec_id LEFT JOIN least l ON l.node = e.vec_id
+"""

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 
-MOST_ENTRIES = 1 << 19
+MOST_ENTRIES = 1 << 18
 LONGEST_KEPT = 64
 JOINED = 256
 
