@@ -13,6 +13,7 @@ from tidemark.llm.embeddings import near_vectors
 from tidemark.llm.licenses import with_licenses
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.pieces import read_model, with_pieces
+from tidemark.llm.ppm import score_texts
 from tidemark.llm.repetition import with_repetition
 from tidemark.llm.token_files import library_encoder, read_token_files, write_token_files
 from tidemark.llm.warc import archive_pages, read_archives
@@ -29,6 +30,10 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", *[f"pieces.{c}" for c in ("n_tokens", "ids_crc32", "round_trip", "parity", "ids")])
 
 
+def op2_partial_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(_table(spark, sf_dir, "documents"))
+
+
 def op3_zip_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = archive_pages(_table(spark, sf_dir, "pages"), work_dir(spark, "archives"), least=0)
     return read_archives(manifest).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -67,6 +72,7 @@ def op10_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_partial_matching": op2_partial_matching,
     "op3_zip_archives": op3_zip_archives,
     "op4_token_files": op4_token_files,
     "op5_repetition_coverage": op5_repetition_coverage,
