@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import sql
+from tidemark.llm.cotraining import fit, with_quality
 from tidemark.llm.embeddings import near_vectors
 from tidemark.llm.licenses import with_licenses
 from tidemark.llm.mixing import mix_sources
@@ -51,6 +52,12 @@ def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_repetition(_table(spark, sf_dir, "documents")).select("doc_id", "repetition.*")
 
 
+def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs, _table(spark, sf_dir, "labels"))
+    return with_quality(docs, model).select("doc_id", "quality.*")
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_licenses(_table(spark, sf_dir, "documents")).select(
         "doc_id",
@@ -76,6 +83,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_zip_archives": op3_zip_archives,
     "op4_token_files": op4_token_files,
     "op5_repetition_coverage": op5_repetition_coverage,
+    "op7_cotraining": op7_cotraining,
     "op8_license_scan": op8_license_scan,
     "op9_weighted_fair_mix": op9_weighted_fair_mix,
     "op10_rotation_codes": op10_rotation_codes,
