@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.llm import sql
 from tidemark.llm.cotraining import fit, with_quality
 from tidemark.llm.embeddings import near_vectors
+from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.licenses import with_licenses
 from tidemark.llm.mixing import mix_sources
 from tidemark.llm.pieces import read_model, with_pieces
@@ -52,6 +53,11 @@ def op5_repetition_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_repetition(_table(spark, sf_dir, "documents")).select("doc_id", "repetition.*")
 
 
+def op6_partition_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_components(_table(spark, sf_dir, "documents"), words=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
+
+
 def op7_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = fit(docs, _table(spark, sf_dir, "labels"))
@@ -83,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_zip_archives": op3_zip_archives,
     "op4_token_files": op4_token_files,
     "op5_repetition_coverage": op5_repetition_coverage,
+    "op6_partition_join": op6_partition_join,
     "op7_cotraining": op7_cotraining,
     "op8_license_scan": op8_license_scan,
     "op9_weighted_fair_mix": op9_weighted_fair_mix,
@@ -90,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op6_partition_join": sql.JACCARD,
     "op9_weighted_fair_mix": sql.MIX,
     "op10_rotation_codes": sql.NEAR_VECTORS,
 }
