@@ -2,6 +2,7 @@
 
 import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +12,10 @@ from tidemark.operators.validate import check_messages, poison_messages, valid_e
 from tidemark.schema import CANONICAL_COLUMNS
 from tidemark.sources.bus import dead_letter_messages, kafka_options, read_event_stream, to_bus_messages
 from tidemark.sources.store import (
-    compact_events_month,
+    batch_load,
+    DEAD_LETTERS,
+    fold_batches,
+    fold_events,
     drop_month,
     exists,
     month_path,
@@ -117,7 +121,7 @@ def test_dead_letters_stored_once_per_load(spark, tmp_path):
 def test_kafka_contract():
     options = kafka_options("broker:9092", "events")
     assert options["startingOffsets"] == "earliest" and options["failOnDataLoss"] == "true"
-    assert options["maxOffsetsPerTrigger"] == "20000"
+    assert "maxOffsetsPerTrigger" not in options
 
 
 def test_stream_source_needs_exactly_one_origin(spark):
@@ -162,34 +166,71 @@ def test_drop_replace_and_compact_month(spark, event, tmp_path):
     for load in ("a", "b"):
         write_events(january, path, load)
     write_events(february, path, "c")
-    compact_events_month(spark, path, 202401)
-    assert read_events(spark, path).count() == 5
-    assert exists(spark, f"{month_path(path, 202401)}/load=compacted")
+    replace_month(january, path, 202401, "reload", ["event_type"], ["event_type"], ["repo_name"])
+    assert exists(spark, f"{month_path(path, 202401)}/load=reload")
     assert not exists(spark, f"{month_path(path, 202401)}/load=a")
-    replace_month(january, path, 202401, "reload", ["event_type"], ["event_type"])
     assert read_events(spark, path).count() == 3
     drop_month(spark, path, 202401)
     assert [r.created_at for r in read_events(spark, path).collect()] == [datetime(2024, 2, 5)]
-    compact_events_month(spark, path, 202312)  # nothing there, nothing to do
 
 
-def test_compaction_resumes_after_a_crash(spark, event, tmp_path, monkeypatch):
+def folders(path):
+    return sorted(p.name for p in Path(path).glob("ym=*/load=*"))
+
+
+def test_a_rerun_removes_months_it_no_longer_fills(spark, event, tmp_path):
+    path = str(tmp_path / "events")
+    rows = event({"created_at": "2024-01-05 00:00:00"}, {"created_at": "2024-02-05 00:00:00"})
+    write_events(rows, path, "a")
+    write_events(rows, path, "b")
+    write_events(rows.filter("event_id = 1"), path, "a")
+    assert read_events(spark, path).count() == 3 and folders(path) == ["load=a", "load=b", "load=b"]
+
+
+def test_folding_keeps_later_loads_and_resumes_after_a_crash(spark, event, tmp_path, monkeypatch):
     from tidemark.sources import store
 
     path = str(tmp_path / "events")
-    for load in ("a", "b"):
-        write_events(event({}, {}), path, load)
+    rows = event({}, {})
+    for batch in range(6):
+        write_events(rows, path, batch_load("s", batch))
+    write_events(rows, path, "archive-x")
 
-    def crash(*args, **kwargs):
-        drop_month(spark, path, 202405)  # the worst moment: old content gone, new one not yet there
-        raise RuntimeError("lost")
+    real, moves = store._move, []
 
-    monkeypatch.setattr(store, "replace_month", crash)
+    def crash(session, source, target):
+        moves.append(target)
+        if len(moves) == 2:  # the worst moment: what was folded is gone, the fold not yet in its place
+            raise RuntimeError("lost")
+        real(session, source, target)
+
+    monkeypatch.setattr(store, "_move", crash)
     with pytest.raises(RuntimeError):
-        compact_events_month(spark, path, 202405)
+        fold_events(spark, path, "s", 5)
     monkeypatch.undo()
-    compact_events_month(spark, path, 202405)
-    assert read_events(spark, path).count() == 4
+    write_events(rows, path, batch_load("s", 6))
+    write_events(rows, path, batch_load("s", 5))  # a replay of a batch that was not folded
+    fold_events(spark, path, "s", 5)
+    assert read_events(spark, path).count() == 16
+    assert len(folders(path)) == 4
+    fold_events(spark, path, "s", 7)
+    assert read_events(spark, path).count() == 16 and len(folders(path)) == 2
+
+
+def test_many_batches_fold_to_one_folder_a_month(spark, event, tmp_path):
+    path = str(tmp_path / "letters")
+    letters = spark.createDataFrame([("k", "v", "e", "t", 0, 1)], DEAD_LETTERS)
+    for batch in range(12):
+        write_dead_letters(letters, path, batch_load("s", batch))
+    fold_batches(spark, path, DEAD_LETTERS, "s", 11, ["source_offset"], ["source_partition"])
+    assert read_dead_letters(spark, path).count() == 12 and len(folders(path)) == 2
+
+
+def test_no_dead_letters_are_no_rows(spark, tmp_path):
+    assert read_dead_letters(spark, str(tmp_path / "none")).count() == 0
+    path = str(tmp_path / "empty")
+    write_dead_letters(spark.createDataFrame([], DEAD_LETTERS), path, "a")
+    assert read_dead_letters(spark, path).count() == 0
 
 
 def test_dedup(spark, event):

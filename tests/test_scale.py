@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.enrich import enrich_language
 from tidemark.operators.rollups import read_rollup, write_rollups
-from tidemark.plans.completeness import missing_hours
-from tidemark.plans.trending import trending, trending_scan
+from tidemark.plans.cards import repo_card
+from tidemark.plans.completeness import completeness_summary, missing_hours
+from tidemark.plans.languages import language_coverage
+from tidemark.plans.trending import trending, trending_by_language, trending_scan
 from tidemark.samples import catalog
 from tidemark.schema import CANONICAL_COLUMNS, REPO_STARS_HOURLY
 from tidemark.sources.store import read_events, write_events
@@ -93,17 +95,35 @@ def test_stored_rollup_answers_with_one_shuffle(spark, hot_events, tmp_path):
     assert by_scan._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
 
 
-def test_long_ranges_are_not_broadcast(hot_events):
+def test_the_size_of_a_range_does_not_choose_the_plan(hot_events):
     def plan(frame):
         return frame._jdf.queryExecution().optimizedPlan().toString()
 
-    assert "strategy=broadcast" in plan(missing_hours(hot_events, "2024-01-01", "2024-02-01"))
-    assert "strategy=broadcast" not in plan(missing_hours(hot_events, "1990-01-01", "2024-02-01"))
+    for start in ("2024-01-01", "1990-01-01"):
+        assert "strategy=broadcast" not in plan(missing_hours(hot_events, start, "2024-02-01"))
+
+
+def test_queries_on_stored_events_skip_months_and_push_the_id(spark, hot_events, tmp_path):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    path, root = str(tmp_path / "events"), str(tmp_path / "rollups")
+    write_events(hot_events, path, "a")
+    write_rollups(hot_events, root, "a")
+    stored = read_events(spark, path, with_month=True)
+    as_of = "2024-05-20"
+    for frame in (
+        trending_scan(stored, as_of), trending_by_language(stored, as_of, "go"), language_coverage(stored, as_of, "7d"),
+        missing_hours(stored, "2024-05-01", "2024-05-20"), completeness_summary(stored, "2024-05-01", "2024-05-20"),
+    ):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "(ym#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    card = repo_card(stored, read_rollup(spark, root, REPO_STARS_HOURLY), "a/b")
+    plan = card._jdf.queryExecution().executedPlan().toString()
+    assert any("repo_id" in part.split("]")[0] for part in plan.split("DataFilters: [")[1:])
 
 
 LAZY = [
     n for n in catalog.QUERIES
-    if not n.startswith(("store_", "stream_", "backfill_", "compact_", "archive_", "page_"))
+    if not n.startswith(("store_", "stream_", "backfill_", "compact_", "archive_", "page_", "enrich_stored"))
 ]
 
 

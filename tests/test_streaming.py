@@ -169,3 +169,45 @@ def test_archive_load_is_replay_safe(spark, tmp_path):
         assert counts["seen"] == 7 and counts["malformed_json"] == 2
     assert read_events(spark, sinks.events).count() == 5
     assert read_rollup(spark, sinks.rollups, REPO_STARS_HOURLY).agg(F.sum("stars")).first()[0] == 5
+
+
+def test_a_second_checkpoint_neither_destroys_nor_doubles(spark, event, land, tmp_path):
+    folder = land(to_bus_messages(forty(event)), 0)
+    sinks = Sinks(str(tmp_path / "out"))
+    run(spark, folder, sinks, tmp_path)
+    with pytest.raises(ValueError):  # the same source from the start once more
+        run(spark, folder, sinks, tmp_path / "lost")
+    run(spark, folder, sinks, tmp_path / "other", beside=True)
+    assert read_events(spark, sinks.events).count() == 80
+    assert read_rollup(spark, sinks.rollups, ACTIVITY).agg(F.sum("events")).first()[0] == 80
+
+
+def test_overlapping_archive_ranges_replace_the_hours_they_share(spark, tmp_path):
+    import gzip
+
+    for hour in (1, 2, 3):
+        with gzip.open(hour_path(str(tmp_path), parse_hour(f"2024-06-03-{hour}")), "wt") as out:
+            for i in range(hour):
+                out.write(json.dumps({
+                    "id": f"{hour}{i}", "type": "WatchEvent", "created_at": f"2024-06-03T0{hour}:00:00Z",
+                    "actor": {"id": 1, "login": "a"}, "repo": {"id": 2, "name": "b/c"}, "payload": {},
+                }) + "\n")
+    sinks = Sinks(str(tmp_path / "out"))
+    for start, end in (("2024-06-03-1", "2024-06-03-3"), ("2024-06-03-1", "2024-06-03-4"), ("2024-06-03-2", None)):
+        ingest_archive(spark, str(tmp_path), start, end, sinks)
+    assert read_events(spark, sinks.events).count() == 6
+    assert read_rollup(spark, sinks.rollups, REPO_STARS_HOURLY).agg(F.sum("stars")).first()[0] == 6
+
+
+def test_programming_errors_are_not_retried(spark, event, land, tmp_path, monkeypatch):
+    folder = land(to_bus_messages(forty(event)), 0)
+    calls = []
+
+    def wrong(*args):
+        calls.append(1)
+        raise TypeError("a mistake")
+
+    monkeypatch.setattr(ingest, "maintain_rollups", wrong)
+    with pytest.raises(Exception):
+        run(spark, folder, Sinks(str(tmp_path / "out")), tmp_path)
+    assert len(calls) == 1

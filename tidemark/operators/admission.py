@@ -18,10 +18,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import micros_of
 
+# --- fixed value of the limiter ---
 WINDOW_SECONDS = 60
+# --- end of fixed value ---
 MICROS = 1_000_000
-# Below this many slots array calls cost more than they save.
-SHORT = 64
 
 
 class Held:
@@ -96,18 +96,13 @@ def _decide(window: int):
             if batch.empty:
                 continue
             key, piece, us, limit, n = (batch[c].to_numpy() for c in ("key", "piece", "us", "limit", "n"))
-            changes = np.flatnonzero((np.diff(key) != 0) | (np.diff(piece) != 0)) + 1
+            changes = np.flatnonzero((np.diff(key) != 0) | (np.diff(piece) != 0) | (np.diff(limit) != 0)) + 1
             admitted, retry = np.zeros_like(n), np.zeros_like(n)
             for begin, end in pairwise([0, *changes.tolist(), len(batch)]):
                 if (key[begin], piece[begin]) != current:
                     current, held = (key[begin], piece[begin]), Held(window)
                 part = slice(begin, end)
-                if end - begin >= SHORT and (limit[part] == limit[begin]).all():
-                    admitted[part], retry[part] = walk(held, us[part], int(limit[begin]), n[part])
-                    continue
-                slots = zip(us[part].tolist(), limit[part].tolist(), n[part].tolist(), strict=True)
-                for i, slot in enumerate(slots, begin):
-                    admitted[i], retry[i] = held.offer(*slot)
+                admitted[part], retry[part] = walk(held, us[part], int(limit[begin]), n[part])
             decided = batch[["key", "us", "limit", "n"]].assign(admitted=admitted, retry_after=retry)
             yield decided[~batch["seed"].astype(bool)]
 
@@ -125,7 +120,8 @@ def sliding_window_admission(
     """Requests plus `admitted` (boolean) and `retry_after` (seconds, 0 if admitted).
 
     `key` is BIGINT, `ts` TIMESTAMP_NTZ, `limit` a column or a number; requests of one key at the same
-    instant are taken in the order of (`limit`, `order`). How the work is kept parallel for hot keys:
+    instant are taken in the order of (`limit`, `order`). A request without key, time or limit is denied
+    and told to wait a whole window. How the work is kept parallel for hot keys:
 
     1. Requests of one key at one instant are interchangeable, so they are counted into slots first.
     2. Time is cut into buckets of one window. If a bucket and the one before it together hold no more
@@ -193,10 +189,15 @@ def sliding_window_admission(
         Window.partitionBy("_key", "_us", "_limit").orderBy(F.col(order) if order else F.lit(0))
     )
     joined = keyed.join(walked, ["_key", "_us", "_limit"], "left").withColumn(
-        "_in", F.coalesce(place <= F.col("_admitted"), F.lit(True))
+        "_in",
+        F.coalesce(place <= F.col("_admitted"), F.lit(True))
+        & F.col("_key").isNotNull() & F.col("_us").isNotNull() & F.col("_limit").isNotNull(),
     )
     return joined.select(
         *requests.columns,
         F.col("_in").alias("admitted"),
-        F.when(F.col("_in"), F.lit(0)).otherwise(F.col("_retry_after")).cast("bigint").alias("retry_after"),
+        F.when(F.col("_in"), F.lit(0))
+        .otherwise(F.coalesce("_retry_after", F.lit(window_seconds)))
+        .cast("bigint")
+        .alias("retry_after"),
     )

@@ -16,6 +16,24 @@ def is_star() -> Column:
     return F.col("event_type") == STAR
 
 
+def hour_start(as_of: datetime | str, span: timedelta) -> datetime:
+    return floor_to_hour(as_utc(as_of) - span)
+
+
+def within_months(rows: DataFrame, start: datetime | str | None = None, end: datetime | str | None = None) -> DataFrame:
+    """Skip the month folders outside [start, end) where the frame still has its month column.
+
+    Spark cannot derive a folder from a bound on `created_at`; queries that bound the time call this too.
+    """
+    if "ym" not in rows.columns:
+        return rows
+    if start is not None:
+        rows = rows.filter(F.col("ym") >= as_utc(start).year * 100 + as_utc(start).month)
+    if end is not None:
+        rows = rows.filter(F.col("ym") <= as_utc(end).year * 100 + as_utc(end).month)
+    return rows
+
+
 def since(as_of: datetime | str, span: timedelta, column: str = "created_at") -> Column:
     """Trailing window, exact to the second, open to the right."""
     return F.col(column) >= ts_lit(as_utc(as_of) - span)
@@ -23,7 +41,7 @@ def since(as_of: datetime | str, span: timedelta, column: str = "created_at") ->
 
 def since_hour(as_of: datetime | str, span: timedelta, column: str = "hour") -> Column:
     """Trailing window that starts at the full hour."""
-    return F.col(column) >= ts_lit(floor_to_hour(as_utc(as_of) - span))
+    return F.col(column) >= ts_lit(hour_start(as_of, span))
 
 
 def since_day(as_of: datetime | str, days: int, column: str = "day") -> Column:

@@ -44,8 +44,8 @@ def payload_epoch(raw: DataFrame) -> Column:
     return F.when(string_value(raw["type"]) == "PushEvent", F.when(has_any, "old").otherwise("new")).otherwise("")
 
 
-def tag_events(raw: DataFrame) -> DataFrame:
-    """All canonical columns plus `reject_reason` (NULL = usable): both outcomes in one pass.
+def tag_events(raw: DataFrame, *more: str) -> DataFrame:
+    """All canonical columns plus `reject_reason` (NULL = usable) and the columns `more`: both outcomes in one pass.
 
     Wrong types of numbers and of whole embedded objects are noticed by the JSON reader, which then fills
     the corrupt column; wrong types of texts are noticed here. Missing objects and members are allowed.
@@ -96,6 +96,7 @@ def tag_events(raw: DataFrame) -> DataFrame:
         payload_ref(F.col("_type"), raw["payload"]).alias("ref"),
         reason.alias("reject_reason"),
         raw[CORRUPT].alias("reject_text"),
+        *more,
     )
 
 
@@ -105,8 +106,8 @@ def normalize_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return usable(tagged), tagged.filter(F.col("reject_reason").isNotNull())
 
 
-def usable(tagged: DataFrame) -> DataFrame:
-    return tagged.filter(F.col("reject_reason").isNull()).select(*CANONICAL_COLUMNS)
+def usable(tagged: DataFrame, *more: str) -> DataFrame:
+    return tagged.filter(F.col("reject_reason").isNull()).select(*CANONICAL_COLUMNS, *more)
 
 
 def reject_counts(rejects: DataFrame) -> DataFrame:

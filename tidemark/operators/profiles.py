@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import as_utc, floor_to_hour, hour_of, ts_lit
 from tidemark.operators.filters import between, has_language
-from tidemark.plans.corpus import about_distinct, distinct_values
+from tidemark.plans.corpus import about_distinct
 
 # --- fixed values of the event feed: the payload format changed between these two hours ---
 OLD_FORMAT_LAST_SEEN = "2025-10-01 15:00:00"
@@ -34,24 +34,25 @@ def event_type_mix(events: DataFrame, hour: datetime | str | None = None) -> Dat
     )
 
 
-def _per_key(events: DataFrame, key: str) -> DataFrame:
-    if key == CONTROL_KEY:
-        return events.groupBy(F.lit(CONTROL_KEY).alias("value")).agg(F.count("*").alias("n"))
-    return events.groupBy(F.col(key).alias("value")).agg(F.count("*").alias("n"))
+def _per_value(events: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """(key, value, n) for several columns in one scan: each row gives one narrow pair per column, counted
+    before the shuffle."""
+    pairs = [F.struct(F.lit(name).alias("key"), c.cast("string").alias("value")) for name, c in columns.items()]
+    return events.select(F.inline(F.array(*pairs))).groupBy("key", "value").agg(F.count("*").alias("n"))
+
+
+def _frequencies(per_value: DataFrame, *more: Column) -> DataFrame:
+    return per_value.groupBy("key").agg(
+        F.count("*").alias("distinct_keys"),
+        F.max("n").alias("largest"),
+        (F.max("n") / F.sum("n")).alias("largest_share"),
+        *more,
+    )
 
 
 def key_frequency(events: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """Per candidate key: distinct values, rows of the largest value and its share of all rows."""
-    parts = [
-        _per_key(events, key).agg(
-            F.lit(key).alias("key"),
-            F.count("*").alias("distinct_keys"),
-            F.max("n").alias("largest"),
-            (F.max("n") / F.sum("n")).alias("largest_share"),
-        )
-        for key in keys or KEY_CANDIDATES
-    ]
-    return _union(parts)
+    return _frequencies(_per_value(events, {k: F.col(k) for k in keys or KEY_CANDIDATES}))
 
 
 def key_skew(
@@ -65,28 +66,13 @@ def key_skew(
     The constant key is the control: all rows in one partition, skew = number of partitions. Counting per
     value first means the hash is taken once per distinct value and nothing is shuffled unaggregated.
     """
-    parts = []
-    for key in [*(keys or KEY_CANDIDATES), CONTROL_KEY]:
-        bucket = F.pmod(hash_of(F.col("value").cast("string")), F.lit(partitions))
-        loads = [F.coalesce(F.sum(F.when(bucket == i, F.col("n"))), F.lit(0)) for i in range(partitions)]
-        largest_load = F.greatest(*loads) if partitions > 1 else loads[0]
-        parts.append(
-            _per_key(events, key).agg(
-                F.lit(key).alias("key"),
-                F.count("*").alias("distinct_keys"),
-                F.max("n").alias("largest"),
-                (F.max("n") / F.sum("n")).alias("largest_share"),
-                (largest_load * F.lit(partitions) / F.sum("n")).alias("partition_skew"),
-            )
-        )
-    return _union(parts)
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    columns = {k: F.col(k) for k in keys or KEY_CANDIDATES} | {CONTROL_KEY: F.lit(CONTROL_KEY)}
+    bucket = F.pmod(hash_of(F.col("value")), F.lit(partitions))
+    loads = [F.coalesce(F.sum(F.when(bucket == i, F.col("n"))), F.lit(0)) for i in range(partitions)]
+    largest_load = F.greatest(*loads) if partitions > 1 else loads[0]
+    return _frequencies(
+        _per_value(events, columns), (largest_load * F.lit(partitions) / F.sum("n")).alias("partition_skew")
+    )
 
 
 def format_epoch(created_at: str = "created_at") -> Column:
@@ -125,7 +111,23 @@ def column_profile(events: DataFrame, exact: bool = False) -> DataFrame:
         *[F.try_divide(F.count_if(cond), F.count("*")).alias(name) for name, cond in share.items()],
     ]
     if exact:
-        return events.agg(*base).select("*", *[distinct_values(events, c).alias(f"distinct_{c}") for c in PROFILED])
+        # One scan: the profiled columns as pairs, the other figures as sums and maxima of the same rows.
+        figures = events.select(
+            F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in PROFILED])),
+            *[F.col(c) for c in ("event_id", "actor_id", "repo_id", "org_id", "payload_size")],
+            *[cond.cast("int").alias(name) for name, cond in share.items()],
+        )
+        ids = ("event_id", "actor_id", "repo_id", "org_id", "payload_size")
+        per_value = figures.groupBy("key", "value").agg(
+            F.count("*").alias("n"), *[F.max(c).alias(c) for c in ids], *[F.sum(s).alias(s) for s in share]
+        )
+        first = F.col("key") == PROFILED[0]  # every event is counted once per profiled column
+        return per_value.agg(
+            F.coalesce(F.sum(F.when(first, F.col("n"))), F.lit(0)).alias("events"),
+            *[F.max(c).alias(f"max_{c}") for c in ids],
+            *[F.try_divide(F.sum(F.when(first, F.col(s))), F.sum(F.when(first, F.col("n")))).alias(s) for s in share],
+            *[F.count_if((F.col("key") == c) & F.col("value").isNotNull()).alias(f"distinct_{c}") for c in PROFILED],
+        )
     return events.agg(*base, *[about_distinct(c).alias(f"distinct_{c}") for c in PROFILED])
 
 

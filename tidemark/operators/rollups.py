@@ -12,7 +12,7 @@ from tidemark.functions.timestamps import as_utc, hour_of, iso_weekday, month_nu
 from tidemark.operators.filters import has_language, is_star, of_month
 from tidemark.schema import ACTIVITY, LANGUAGE_DAILY, REPO_STARS_HOURLY, ROLLUP_SCHEMAS
 from tidemark.session import run_together
-from tidemark.sources.store import MONTH, read_table, replace_month, rewrite_month, write_table
+from tidemark.sources.store import LOAD, MONTH, fold_batches, read_table, replace_month, write_table
 
 ROLLUP_KEYS = {
     REPO_STARS_HOURLY: ["repo_id", "hour"],
@@ -21,9 +21,10 @@ ROLLUP_KEYS = {
 }
 # The column a partial row's month is read from; the activity key has no date and carries `ym` itself.
 _TIME_OF = {REPO_STARS_HOURLY: "hour", LANGUAGE_DAILY: "day"}
+_BLOOM = {REPO_STARS_HOURLY: ["repo_id"]}
 
 
-def repo_stars_hourly(events: DataFrame) -> DataFrame:
+def repo_stars_hourly(events: DataFrame, *more: str) -> DataFrame:
     """Stars per repository and hour, with the newest name seen in that hour.
 
     The name is the only string in an aggregation buffer and makes Spark aggregate sorted runs instead of
@@ -31,31 +32,31 @@ def repo_stars_hourly(events: DataFrame) -> DataFrame:
     """
     return (
         events.filter(is_star())
-        .groupBy("repo_id", hour_of("created_at").alias("hour"))
+        .groupBy("repo_id", hour_of("created_at").alias("hour"), *more)
         .agg(
             F.max_by("repo_name", "event_id").alias("repo_name"),
             F.count("*").alias("stars"),
             F.max("event_id").alias("last_event_id"),
         )
-        .select("repo_id", "repo_name", "hour", "stars", "last_event_id")
+        .select("repo_id", "repo_name", "hour", "stars", "last_event_id", *more)
     )
 
 
-def language_daily(events: DataFrame) -> DataFrame:
+def language_daily(events: DataFrame, *more: str) -> DataFrame:
     """Events per day and language, over events with a known language."""
     return (
         events.filter(has_language())
-        .groupBy(F.to_date("created_at").alias("day"), "language")
+        .groupBy(F.to_date("created_at").alias("day"), "language", *more)
         .agg(F.count("*").alias("events"))
     )
 
 
-def activity_weekday_hour(events: DataFrame, by_month: bool = False) -> DataFrame:
+def activity_weekday_hour(events: DataFrame, *more: str, by_month: bool = False) -> DataFrame:
     """Events per ISO weekday and hour of day. The key has no date, so the stored form is kept per month."""
     keys = [iso_weekday("created_at").alias("weekday"), F.hour("created_at").alias("hour")]
     if by_month:
         keys.append(month_number("created_at").alias(MONTH))
-    return events.groupBy(*keys).agg(F.count("*").alias("events"))
+    return events.groupBy(*keys, *more).agg(F.count("*").alias("events"))
 
 
 def merge_rollup(partials: DataFrame, keys: list[str], sums: list[str], label: str | None = None) -> DataFrame:
@@ -78,31 +79,35 @@ def _columns(name: str) -> list[str]:
     return [part.strip().split(" ")[0] for part in ROLLUP_SCHEMAS[name].split(",")]
 
 
-def _build(name: str, events: DataFrame) -> DataFrame:
+def _build(name: str, events: DataFrame, *more: str) -> DataFrame:
     if name == REPO_STARS_HOURLY:
-        return repo_stars_hourly(events)
+        return repo_stars_hourly(events, *more)
     if name == LANGUAGE_DAILY:
-        return language_daily(events)
-    return activity_weekday_hour(events, by_month=True)
+        return language_daily(events, *more)
+    return activity_weekday_hour(events, *more, by_month=True)
 
 
 def rollup_path(root: str, name: str) -> str:
     return f"{root.rstrip('/')}/{name}"
 
 
-def write_rollups(events: DataFrame, root: str, load: str) -> None:
-    """Add the partial aggregates of some newly stored events, under the name of their load.
+def write_rollups(
+    events: DataFrame, root: str, load: str | tuple[str, str], names: list[str] | None = None
+) -> None:
+    """Add the partial aggregates of some newly stored events, under the name of their load (or the loads
+    from..to that their `load` column names).
 
     Late events simply add to their old hour: nothing is dropped and no watermark is involved.
     """
+    by_load = [LOAD] if isinstance(load, tuple) else []
 
     def write(name: str) -> None:
-        rows = _build(name, events)
+        rows = _build(name, events, *by_load)
         if name in _TIME_OF:
             rows = rows.withColumn(MONTH, month_number(_TIME_OF[name]))
-        write_table(rows, rollup_path(root, name), load, [], ROLLUP_KEYS[name])
+        write_table(rows, rollup_path(root, name), load, [], ROLLUP_KEYS[name], _BLOOM.get(name))
 
-    run_together(events.sparkSession, *[partial(write, name) for name in ROLLUP_SCHEMAS])
+    run_together(events.sparkSession, *[partial(write, name) for name in names or ROLLUP_SCHEMAS])
 
 
 def read_rollup(
@@ -120,8 +125,8 @@ def read_rollup(
     return rows.select(*_columns(name))
 
 
-def backfill_rollups(events: DataFrame, root: str, months: list[int]) -> None:
-    """Recompute whole months from the event table.
+def backfill_rollups(events: DataFrame, root: str, months: list[int], names: list[str] | None = None) -> None:
+    """Recompute whole months from the event table; `names` restricts it to some of the roll-ups.
 
     Each month is replaced together with every partial the streams had added to it, so running the
     backfill twice, or after live ingest, gives the same sums. `events` should carry `ym` (see
@@ -136,26 +141,27 @@ def backfill_rollups(events: DataFrame, root: str, months: list[int]) -> None:
             "backfill",
             ROLLUP_KEYS[name],
             ROLLUP_KEYS[name][:1],
+            _BLOOM.get(name),
         )
 
     for month in months:
         rows = of_month(events, month)
-        run_together(events.sparkSession, *[partial(write, name, rows, month) for name in ROLLUP_SCHEMAS])
-
-
-def compact_rollup(spark: SparkSession, root: str, name: str, months: list[int]) -> None:
-    """Fold the partial rows of closed months into one row per key."""
-    for month in months:
-        rewrite_month(
-            spark,
-            rollup_path(root, name),
-            month,
-            ROLLUP_SCHEMAS[name],
-            lambda rows: merge_stored(name, rows),
-            "compacted",
-            ROLLUP_KEYS[name],
-            ROLLUP_KEYS[name][:1],
-        )
+        run_together(events.sparkSession, *[partial(write, name, rows, month) for name in names or ROLLUP_SCHEMAS])
+
+
+def fold_rollup(spark: SparkSession, root: str, name: str, stream: str, below: int) -> None:
+    """Fold the partial rows of a stream's finished batches into one row per key and month."""
+    fold_batches(
+        spark,
+        rollup_path(root, name),
+        ROLLUP_SCHEMAS[name],
+        stream,
+        below,
+        ROLLUP_KEYS[name],
+        ROLLUP_KEYS[name][:1],
+        _BLOOM.get(name),
+        lambda rows: merge_stored(name, rows),
+    )
 
 
 def reconcile_rollups(events: DataFrame, rollups: dict[str, DataFrame]) -> DataFrame:

@@ -40,23 +40,22 @@ def repo_stars_by_day(rollup: DataFrame, repo_id) -> DataFrame:
 def repo_card(events: DataFrame, rollup: DataFrame, repo_name: str) -> DataFrame:
     """One row for a known name, none for an unknown one.
 
-    Pushes, forks and issues go by name, stars by the id the name resolves to. The looked-up row is an
-    aggregate without keys, so exactly one row is broadcast. It also enters the union directly, which
-    keeps repositories without stars; both uses share one scan of the events (reused exchange).
+    Pushes, forks and issues go by name, stars by the id the name resolves to. The id is a scalar subquery,
+    so it is known before the roll-up is read and reaches its scan as a plain comparison.
     """
     found = repo_lookup(events, repo_name)
     per_day = (
-        rollup.join(F.broadcast(found), "repo_id")
-        .groupBy(*found.columns, F.to_date("hour").alias("date"))
+        _stars_of(rollup, found.select("repo_id").scalar())
+        .groupBy(F.to_date("hour").alias("date"))
         .agg(F.sum("stars").alias("stars"))
     )
-    no_stars = found.select("*", F.lit(None).cast("date").alias("date"), F.lit(0).cast("bigint").alias("stars"))
     # One list entry per day: bounded by the length of the history.
-    days = F.collect_list(F.when(F.col("date").isNotNull(), F.struct("date", "stars")))
+    history = per_day.agg(
+        F.coalesce(F.sum("stars"), F.lit(0)).alias("stars"),
+        F.array_sort(F.collect_list(F.struct("date", "stars"))).alias("stars_by_day"),
+    )
     return (
-        per_day.unionByName(no_stars)
-        .groupBy(*found.columns)
-        .agg(F.sum("stars").alias("stars"), F.array_sort(days).alias("stars_by_day"))
+        found.withColumns({c: history.select(c).scalar() for c in ("stars", "stars_by_day")})
         .filter(F.col("total_events") > 0)
         .select(
             "repo_id",

@@ -8,17 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import as_utc, floor_to_hour, hour_of, ts_lit
-from tidemark.operators.filters import between
-
-# Present hours are broadcast up to this many hours of range (about 23 years, a few MB); a longer range
-# leaves the choice to the optimizer.
-BROADCAST_HOURS = 200_000
+from tidemark.operators.filters import between, within_months
 
 _HOUR = timedelta(hours=1)
 
 
 def _distinct_hours(events: DataFrame, start: datetime | str, end: datetime | str) -> DataFrame:
-    return events.filter(between(start, end)).select(hour_of("created_at").alias("hour")).distinct()
+    return within_months(events, start, end).filter(between(start, end)).select(hour_of("created_at").alias("hour")).distinct()
 
 
 def present_hours(events: DataFrame, start: datetime | str, end: datetime | str) -> DataFrame:
@@ -36,10 +32,8 @@ def _missing(events: DataFrame, start: datetime, end: datetime) -> DataFrame:
     grid = events.sparkSession.range(count).select(
         (ts_lit(first) + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("hour")
     )
-    present = _distinct_hours(events, start, end)
-    if count <= BROADCAST_HOURS:
-        present = F.broadcast(present)
-    return grid.join(present, "hour", "left_anti")
+    # Adaptive execution measures the distinct hours and broadcasts them when they are few.
+    return grid.join(_distinct_hours(events, start, end), "hour", "left_anti")
 
 
 def missing_hours(events: DataFrame, start: datetime | str, end: datetime | str) -> DataFrame:

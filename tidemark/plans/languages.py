@@ -7,8 +7,8 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.timestamps import trend_days
-from tidemark.operators.filters import has_language, since, since_day
+from tidemark.functions.timestamps import as_utc, trend_days
+from tidemark.operators.filters import has_language, since, since_day, within_months
 from tidemark.operators.rollups import merge_rollup
 
 DEFAULT_WINDOW = "30d"
@@ -16,7 +16,8 @@ DEFAULT_WINDOW = "30d"
 
 def language_coverage(events: DataFrame, as_of: datetime | str, window: str = DEFAULT_WINDOW) -> DataFrame:
     """Events with a known language, all events, and their ratio (0.0 without events)."""
-    counted = events.filter(since(as_of, timedelta(days=trend_days(window)))).agg(
+    span = timedelta(days=trend_days(window))
+    counted = within_months(events, as_utc(as_of) - span).filter(since(as_of, span)).agg(
         F.count_if(has_language()).alias("known"), F.count("*").alias("total")
     )
     ratio = F.when(F.col("total") > 0, F.col("known") / F.col("total")).otherwise(0.0)

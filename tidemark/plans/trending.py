@@ -7,13 +7,15 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.timestamps import as_utc, floor_to_hour, trending_span
-from tidemark.operators.filters import after_keyset, is_star, since, since_hour
+from tidemark.functions.timestamps import as_utc, trending_span
+from tidemark.operators.filters import after_keyset, hour_start, is_star, since, since_hour, within_months
 from tidemark.operators.rollups import merge_rollup
 
+# --- fixed values of the query contract ---
 MAX_LIMIT = 100
 DEFAULT_WINDOW = "24h"
 DEFAULT_LIMIT = 50
+# --- end of fixed values ---
 
 
 def _check_limit(limit: int) -> int:
@@ -24,7 +26,7 @@ def _check_limit(limit: int) -> int:
 
 def window_start(as_of: datetime | str, window: str = DEFAULT_WINDOW) -> datetime:
     """First hour a trending window touches; give it to the table readers to skip older months."""
-    return floor_to_hour(as_utc(as_of) - trending_span(window))
+    return hour_start(as_of, trending_span(window))
 
 
 def _top(totals: DataFrame, limit: int, after: tuple[int, int] | None) -> DataFrame:
@@ -45,6 +47,18 @@ def _star_totals(events: DataFrame, *conditions: Column) -> DataFrame:
     return rows.groupBy("repo_id").agg(F.max_by("repo_name", "event_id").alias("repo_name"), F.count("*").alias("stars"))
 
 
+def star_totals(rollup: DataFrame, as_of: datetime | str, window: str = DEFAULT_WINDOW) -> DataFrame:
+    """All repositories of a trending window with their stars, from the hourly roll-up, in no order."""
+    rows = rollup.filter(since_hour(as_of, trending_span(window)))
+    return merge_rollup(rows, ["repo_id"], ["stars"], "repo_name").select("repo_id", "repo_name", "stars")
+
+
+def star_totals_scan(events: DataFrame, as_of: datetime | str, window: str = DEFAULT_WINDOW) -> DataFrame:
+    """The same from raw events, with the window aligned like the roll-up."""
+    totals = _star_totals(within_months(events, hour_start(as_of, trending_span(window))), since_hour(as_of, trending_span(window), "created_at"))
+    return totals.select("repo_id", "repo_name", "stars")
+
+
 def trending(
     rollup: DataFrame,
     as_of: datetime | str,
@@ -53,8 +67,7 @@ def trending(
     after: tuple[int, int] | None = None,
 ) -> DataFrame:
     """From the hourly roll-up; the window starts at a full hour."""
-    rows = rollup.filter(since_hour(as_of, trending_span(window)))
-    return _top(merge_rollup(rows, ["repo_id"], ["stars"], "repo_name"), limit, after)
+    return _top(star_totals(rollup, as_of, window), limit, after)
 
 
 def trending_scan(
@@ -65,6 +78,7 @@ def trending_scan(
     after: tuple[int, int] | None = None,
 ) -> DataFrame:
     """From raw events, window exact to the second."""
+    events = within_months(events, as_utc(as_of) - trending_span(window))
     return _top(_star_totals(events, since(as_of, trending_span(window))), limit, after)
 
 
@@ -72,7 +86,7 @@ def trending_hour_aligned(
     events: DataFrame, as_of: datetime | str, window: str = DEFAULT_WINDOW, limit: int = DEFAULT_LIMIT
 ) -> DataFrame:
     """From raw events, window aligned like the roll-up; must give the same rows as `trending`."""
-    return _top(_star_totals(events, since_hour(as_of, trending_span(window), "created_at")), limit, None)
+    return _top(star_totals_scan(events, as_of, window), limit, None)
 
 
 def trending_by_language(
@@ -84,6 +98,7 @@ def trending_by_language(
     after: tuple[int, int] | None = None,
 ) -> DataFrame:
     """Restricted to one language. The roll-up has no language, so this reads raw events."""
+    events = within_months(events, as_utc(as_of) - trending_span(window))
     totals = _star_totals(events, since(as_of, trending_span(window)), F.col("language") == language)
     return _top(totals, limit, after)
 

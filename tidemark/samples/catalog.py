@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import timedelta
 from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.timestamps import ts_lit
+from tidemark.functions.timestamps import month_number, ts_lit
 from tidemark.operators.admission import sliding_window_admission
 from tidemark.operators.enrich import dedup_events
 from tidemark.operators.equivalence import result_differences, result_fingerprint
@@ -25,7 +27,7 @@ from tidemark.operators.profiles import (
 from tidemark.operators.rollups import (
     activity_weekday_hour,
     backfill_rollups,
-    compact_rollup,
+    fold_rollup,
     language_daily,
     merge_stored,
     read_rollup,
@@ -43,6 +45,7 @@ from tidemark.samples.tables import (
     bus_messages,
     enriched_events,
     raw_events,
+    repo_languages,
     sample_events,
 )
 from tidemark.schema import ACTIVITY, CANONICAL_COLUMNS, LANGUAGE_DAILY, MESSAGE, REPO_STARS_HOURLY, STAR
@@ -52,8 +55,9 @@ from tidemark.sources.archive import read_archive
 from tidemark.sources.pages import read_event_pages
 from tidemark.sources.store import (
     EVENT_ORDER,
-    compact_events_month,
+    batch_load,
     drop_month,
+    fold_events,
     read_dead_letters,
     read_events,
     replace_month,
@@ -62,7 +66,15 @@ from tidemark.sources.store import (
 )
 from tidemark.streaming.audit import batch_audit, batch_sizes, ingest_health, lag_by_partition, read_audit
 from tidemark.streaming.admission import ROCKSDB, admission_stream
-from tidemark.streaming.ingest import Sinks, dedup_stream, ingest_archive, start_ingest
+from tidemark.streaming.ingest import (
+    Sinks,
+    dedup_stream,
+    enrich_months,
+    fold_finished,
+    ingest_archive,
+    start_ingest,
+    stream_identity,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -152,16 +164,16 @@ b AS (SELECT repo_id, count(*) AS stars FROM canon WHERE event_type = 'WatchEven
       GROUP BY repo_id)
 SELECT (SELECT count(*) FROM (FROM a EXCEPT ALL FROM b)) + (SELECT count(*) FROM (FROM b EXCEPT ALL FROM a)) AS differences""")
 def trending_equivalence(spark, sf):
-    by_rollup = top.trending(_stars(spark, sf), AS_OF, "7d", 100)
-    by_scan = top.trending_hour_aligned(sample_events(spark, sf), AS_OF, "7d", 100)
+    by_rollup = top.star_totals(_stars(spark, sf), AS_OF, "7d")
+    by_scan = top.star_totals_scan(sample_events(spark, sf), AS_OF, "7d")
     return result_differences(by_rollup, by_scan).agg(F.count("*").alias("differences"))
 
 
 @query(f"""{sql.BASE} SELECT count(*) AS "rows", true AS same_hash FROM
 (SELECT DISTINCT repo_id FROM canon WHERE event_type = 'WatchEvent' AND created_at >= TIMESTAMP '{WEEK_AGO}')""")
 def trending_fingerprint(spark, sf):
-    a = result_fingerprint(top.trending(_stars(spark, sf), AS_OF, "7d", 100))
-    b = result_fingerprint(top.trending_hour_aligned(sample_events(spark, sf), AS_OF, "7d", 100))
+    a = result_fingerprint(top.star_totals(_stars(spark, sf), AS_OF, "7d"))
+    b = result_fingerprint(top.star_totals_scan(sample_events(spark, sf), AS_OF, "7d"))
     return a.join(b.withColumnRenamed("hash_sum", "other"), "rows", "left").select(
         "rows", F.coalesce(F.col("hash_sum") == F.col("other"), F.lit(False)).alias("same_hash")
     )
@@ -192,22 +204,15 @@ def repo_stars_by_day(spark, sf):
 
 @query(f"""{sql.ROLLUPS}, found AS (SELECT {_LOOKUP}),
 days AS (SELECT repo_id, CAST(hour AS DATE) AS date, sum(stars) AS stars FROM stars GROUP BY ALL)
-SELECT f.repo_id, '{REPO}' AS repo_name, CAST(coalesce(sum(d.stars), 0) AS BIGINT) AS stars, pushes, forks, issues,
-  count(d.date) AS days, min(d.date) AS first_day, max(d.date) AS last_day
-FROM found f LEFT JOIN days d ON d.repo_id = f.repo_id WHERE total_events > 0 GROUP BY ALL""")
+SELECT f.repo_id, '{REPO}' AS repo_name, CAST(coalesce(sum(d.stars) OVER (), 0) AS BIGINT) AS stars, pushes, forks, issues,
+  CAST(row_number() OVER (ORDER BY d.date) - 1 AS INTEGER) AS pos, d.date, CAST(d.stars AS BIGINT) AS day_stars
+FROM found f LEFT JOIN days d ON d.repo_id = f.repo_id WHERE total_events > 0""")
 def repo_card(spark, sf):
+    """The card with its whole list, one row per day."""
     card = cards.repo_card(sample_events(spark, sf), _stars(spark, sf), REPO)
-    days = F.col("stars_by_day.date")
+    card = card.select("*", F.posexplode("stars_by_day").alias("pos", "day"))
     return card.select(
-        "repo_id",
-        "repo_name",
-        "stars",
-        "pushes",
-        "forks",
-        "issues",
-        F.size("stars_by_day").cast("bigint").alias("days"),
-        F.array_min(days).alias("first_day"),
-        F.array_max(days).alias("last_day"),
+        "repo_id", "repo_name", "stars", "pushes", "forks", "issues", "pos", "day.date", F.col("day.stars").alias("day_stars")
     )
 
 
@@ -284,16 +289,12 @@ def missing_hours(spark, sf):
     return completeness.missing_hours(sample_events(spark, sf), *RANGE)
 
 
-@query(f"""{_MISSING} SELECT CAST(817 AS BIGINT) AS total_hours, count(*) AS missing_count,
-  min(hour) AS first_missing, max(hour) AS last_missing FROM missing""")
+@query(f"""{_MISSING} SELECT CAST(817 AS BIGINT) AS total_hours, count(*) OVER () AS missing_count,
+  CAST(row_number() OVER (ORDER BY hour) - 1 AS INTEGER) AS pos, hour FROM missing""")
 def completeness_summary(spark, sf):
-    hours = F.col("missing_hours")
-    return completeness.completeness_summary(sample_events(spark, sf), *RANGE).select(
-        "total_hours",
-        "missing_count",
-        F.array_min(hours).alias("first_missing"),
-        F.array_max(hours).alias("last_missing"),
-    )
+    """The summary with its whole list, one row per missing hour."""
+    summary = completeness.completeness_summary(sample_events(spark, sf), *RANGE)
+    return summary.select("total_hours", "missing_count", F.posexplode("missing_hours").alias("pos", "hour"))
 
 
 # Filters --------------------------------------------------------------------------------------------
@@ -364,7 +365,7 @@ def backfill_repo_stars(spark, sf):
     write_rollups(events.filter("event_id % 2 = 0"), root, "live-1")
     write_rollups(events.filter("event_id % 2 = 1"), root, "live-2")
     for _ in range(2):
-        backfill_rollups(events, root, [202401])
+        backfill_rollups(events, root, _months(spark, sf))
     return read_rollup(spark, root, REPO_STARS_HOURLY)
 
 
@@ -372,9 +373,9 @@ def backfill_repo_stars(spark, sf):
 def compact_language_daily(spark, sf):
     root = work_dir(spark, "compact")
     events = enriched_events(spark, sf)
-    write_rollups(events.filter("event_id % 3 = 0"), root, "live-1")
-    write_rollups(events.filter("event_id % 3 > 0"), root, "live-2")
-    compact_rollup(spark, root, LANGUAGE_DAILY, [202401])
+    write_rollups(events.filter("event_id % 3 = 0"), root, batch_load("live", 0))
+    write_rollups(events.filter("event_id % 3 > 0"), root, batch_load("live", 1))
+    fold_rollup(spark, root, LANGUAGE_DAILY, "live", 2)
     return read_rollup(spark, root, LANGUAGE_DAILY)
 
 
@@ -407,13 +408,26 @@ def payload_epochs(spark, sf):
 
 
 _ACCEPTED_SQL = f"{sql.RAW} SELECT {sql.CANON_COLUMNS} FROM tagged WHERE reject_reason IS NULL"
-_DAYS = ("2024-01-01-0", "2024-01-31-0")
+
+
+def _months(spark: SparkSession, sf: str) -> list[int]:
+    """The months of the sample, one value per month of history."""
+    months = sample_events(spark, sf).select(month_number("created_at").alias("m")).distinct()
+    return sorted(r.m for r in months.collect())
+
+
+def _archive_hours(spark: SparkSession, sf: str) -> tuple[str, str]:
+    """The hours [start, end) of the sample's events, as the archive names them."""
+    first, last = sample_events(spark, sf).agg(F.min("created_at"), F.max("created_at")).first()
+    end = last + timedelta(hours=1)
+    return f"{first:%Y-%m-%d}-{first.hour}", f"{end:%Y-%m-%d}-{end.hour}"
 
 
 @query(_ACCEPTED_SQL)
 def archive_read(spark, sf):
-    base = land_archive(spark, sample_events(spark, sf), *_DAYS)
-    return normalize_events(read_archive(spark, base, *_DAYS))[0]
+    hours = _archive_hours(spark, sf)
+    base = land_archive(spark, sample_events(spark, sf), *hours)
+    return normalize_events(read_archive(spark, base, *hours))[0]
 
 
 @query(f"""{sql.RAW} SELECT repo_id, max_by(repo_name, event_id) AS repo_name, CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS hour,
@@ -421,10 +435,11 @@ def archive_read(spark, sf):
 GROUP BY repo_id, date_trunc('hour', created_at)""")
 def archive_load_rollups(spark, sf):
     """Dumps to stored events and roll-ups, loaded twice."""
-    base = land_archive(spark, sample_events(spark, sf), *_DAYS)
+    hours = _archive_hours(spark, sf)
+    base = land_archive(spark, sample_events(spark, sf), *hours)
     sinks = Sinks(work_dir(spark, "archive-load"))
     for _ in range(2):
-        ingest_archive(spark, base, *_DAYS, sinks)
+        ingest_archive(spark, base, *hours, sinks)
     return merge_stored(REPO_STARS_HOURLY, read_rollup(spark, sinks.rollups, REPO_STARS_HOURLY))
 
 
@@ -469,10 +484,14 @@ def validate_events(spark, sf):
     return valid_events(check_messages(bus_messages(sample_events(spark, sf))), with_place=True)
 
 
-@query(f"""{sql.BUS} SELECT CAST(event_id AS VARCHAR) AS "key", error, 'PoisonMessageError' AS error_type,
-  "partition" AS source_partition, "offset" AS source_offset FROM checked WHERE error IS NOT NULL""")
+_POISON_SQL = f"""{sql.BUS} SELECT CAST(event_id AS VARCHAR) AS "key", {sql.MESSAGE_VALUE} AS "value", error,
+  'PoisonMessageError' AS error_type, "partition" AS source_partition, "offset" AS source_offset
+FROM checked WHERE error IS NOT NULL"""
+
+
+@query(_POISON_SQL)
 def validate_poison(spark, sf):
-    return poison_messages(check_messages(bus_messages(sample_events(spark, sf)))).drop("value")
+    return poison_messages(check_messages(bus_messages(sample_events(spark, sf))))
 
 
 # Stored tables --------------------------------------------------------------------------------------
@@ -491,10 +510,10 @@ def store_events(spark, sf):
 @query(f"{sql.BASE} SELECT {sql.UNENRICHED} FROM canon WHERE repo_id <= 50")
 def store_drop_month(spark, sf):
     path = work_dir(spark, "drop")
-    moved = F.when(F.col("repo_id") > 50, F.col("created_at") + F.expr("INTERVAL 31 DAYS")).otherwise(F.col("created_at"))
+    moved = F.when(F.col("repo_id") > 50, F.col("created_at") + F.expr("INTERVAL 100 YEARS")).otherwise(F.col("created_at"))
     write_events(sample_events(spark, sf).withColumn("created_at", moved), path, "a")
-    drop_month(spark, path, 202402)
-    drop_month(spark, path, 202403)
+    for month in _months(spark, sf):
+        drop_month(spark, path, month + 100 * 100)
     return read_events(spark, path)
 
 
@@ -504,7 +523,8 @@ def store_replace_month(spark, sf):
     events = sample_events(spark, sf)
     write_events(events, path, "a")
     write_events(events, path, "b")
-    replace_month(events.filter("repo_id <= 50"), path, 202401, "reload", EVENT_ORDER, ["event_type"])
+    for month in _months(spark, sf):
+        replace_month(of_month(events, month).filter("repo_id <= 50"), path, month, "reload", EVENT_ORDER, ["event_type"])
     return read_events(spark, path)
 
 
@@ -513,19 +533,30 @@ def store_compact_month(spark, sf):
     path = work_dir(spark, "compact-events")
     events = sample_events(spark, sf)
     for part in range(3):
-        write_events(events.filter(F.col("event_id") % 3 == part), path, f"batch-{part}")
-    compact_events_month(spark, path, 202401)
+        write_events(events.filter(F.col("event_id") % 3 == part), path, batch_load("batch", part))
+    fold_events(spark, path, "batch", 3)
     return read_events(spark, path)
 
 
-@query(f"""{sql.BUS} SELECT CAST(event_id AS VARCHAR) AS "key", error, 'PoisonMessageError' AS error_type,
-  "partition" AS source_partition, "offset" AS source_offset FROM checked WHERE error IS NOT NULL""")
+@query(_POISON_SQL)
 def store_dead_letters(spark, sf):
     path = work_dir(spark, "dead-letters")
     letters = poison_messages(check_messages(bus_messages(sample_events(spark, sf))))
     for _ in range(2):
         write_dead_letters(letters, path, "a")
-    return read_dead_letters(spark, path).drop("value")
+    return read_dead_letters(spark, path)
+
+
+@query(SQL["language_trends"])
+def enrich_stored_months(spark, sf):
+    """Stored events without languages are enriched (twice), and the trends come from the stored roll-up."""
+    sinks = Sinks(work_dir(spark, "enrich-months"))
+    events = sample_events(spark, sf)
+    write_events(events, sinks.events, "a")
+    write_rollups(events, sinks.rollups, "a")
+    for _ in range(2):
+        enrich_months(spark, sinks, repo_languages(spark, sf), _months(spark, sf))
+    return languages.language_trends(read_rollup(spark, sinks.rollups, LANGUAGE_DAILY), AS_OF, "30d")
 
 
 # Streams --------------------------------------------------------------------------------------------
@@ -552,6 +583,21 @@ def stream_ingest(spark, sf):
     return read_events(spark, _ingested(spark, sf).events)
 
 
+@query(_VALID_SQL)
+def stream_two_sources(spark, sf):
+    """Two streams with checkpoints of their own fill one set of tables; the first one's batches are folded in between."""
+    messages = bus_messages(sample_events(spark, sf))
+    sinks = Sinks(work_dir(spark, "two-sources"))
+    for odd in (0, 1):
+        landed, half = _land_messages(spark, messages.filter(F.col("partition") % 2 == odd))
+        stream = read_event_stream(spark, files=landed, max_files=half)
+        query = start_ingest(stream, sinks, work_dir(spark, "checkpoint"), {"availableNow": True}, beside=bool(odd))
+        query.awaitTermination()
+        own = replace(sinks, stream=stream_identity(query))
+        fold_finished(spark, own, query.lastProgress["batchId"])
+    return read_events(spark, sinks.events)
+
+
 @query(f"""{sql.BUS} SELECT repo_id, max_by(repo_name, event_id) AS repo_name, CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS hour,
   count(*) AS stars, max(event_id) AS last_event_id FROM checked WHERE error IS NULL AND event_type = 'WatchEvent'
 GROUP BY repo_id, date_trunc('hour', created_at)""")
@@ -708,15 +754,14 @@ def columns_exact(spark, sf):
     return column_profile(enriched_events(spark, sf), exact=True)
 
 
-@query(f"{sql.BASE} SELECT count(*) AS events, max(event_id) AS max_event_id, true AS logins_close FROM canon")
+@query(f"""{sql.BASE} SELECT count(*) AS events, max(event_id) AS max_event_id,
+  {", ".join(f"true AS {c}_close" for c in _DISTINCT)} FROM canon""")
 def columns_approx(spark, sf):
-    events = sample_events(spark, sf)
-    exact = corpus.distinct_values(events, "actor_login")
-    return column_profile(events).select(
-        "events",
-        "max_event_id",
-        (F.abs(F.col("distinct_actor_login") - exact) <= 0.1 * exact).alias("logins_close"),
-    )
+    events = enriched_events(spark, sf)
+    exact = column_profile(events, exact=True).select("events", *[F.col(f"distinct_{c}").alias(c) for c in _DISTINCT])
+    both = column_profile(events).join(exact, "events")
+    close = [(F.abs(F.col(f"distinct_{c}") - F.col(c)) <= 0.1 * F.col(c)).alias(f"{c}_close") for c in _DISTINCT]
+    return both.select("events", "max_event_id", *close)
 
 
 @query(f"""{sql.BASE} SELECT event_type, count(*) FILTER (ref LIKE 'refs/%') AS qualified,
@@ -769,7 +814,8 @@ def stream_admission(spark, sf):
     before = spark.conf.get(provider)
     spark.conf.set(provider, ROCKSDB)
     try:
-        cuts = [None, *(ts_lit(f"2024-01-{day:02d} 00:00:00") for day in (9, 17, 25)), None]
+        first, last = requests.agg(F.min("ts"), F.max("ts")).first()
+        cuts = [None, *(ts_lit(first + (last - first) * part / 4) for part in (1, 2, 3)), None]
         for begin, end in pairwise(cuts):
             arriving = requests
             if begin is not None:

@@ -75,6 +75,14 @@ checked AS (
   FROM canon
 )"""
 
+# The value of a message as it stands on the bus, broken ones included.
+MESSAGE_VALUE = """CASE WHEN repo_id = 91 THEN 'not json' WHEN repo_id = 92 THEN '{}' ELSE
+  '{"event_id":' || event_id || ',"event_type":"' || CASE WHEN repo_id = 93 THEN '' ELSE event_type END || '","created_at":"'
+  || CASE WHEN repo_id = 94 THEN '0001-01-01T00:00:00Z' ELSE strftime(created_at, '%Y-%m-%dT%H:%M:%SZ') END
+  || '","actor_id":' || actor_id || ',"actor_login":"' || actor_login || '","repo_id":' || repo_id || ',"repo_name":"' || repo_name
+  || '","org_id":' || org_id || ',"language":"","payload_size":' || payload_size || ',"ref":'
+  || CASE WHEN repo_id = 95 THEN '7' ELSE '"' || ref || '"' END || '}' || CASE WHEN repo_id = 96 THEN ' tail' ELSE '' END END"""
+
 AUDIT = f"""{BUS},
 audit AS (
   SELECT CAST(day(created_at) AS BIGINT) AS batch_id, date_trunc('day', created_at) AS ts, "partition",

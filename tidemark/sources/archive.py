@@ -38,13 +38,15 @@ def hour_path(base: str, hour: datetime) -> str:
     return f"{base.rstrip('/')}/{hour:%Y-%m-%d}-{hour.hour}.json.gz"
 
 
-def read_archive(spark: SparkSession, base: str, start: str, end: str | None = None) -> DataFrame:
+def read_archive(
+    spark: SparkSession, base: str, start: str, end: str | None = None, file_column: str | None = None
+) -> DataFrame:
     """Raw events of the hours [start, end), or of the one hour `start`.
 
     A missing file or a broken gzip stream fails the job; a broken line becomes a row with its text in
     the corrupt column; blank lines give no row. A gzip file is one task, so parallelism is the number
     of hours. Nothing is repartitioned here: the wide raw rows never cross a shuffle, the writer spreads
-    the narrow canonical rows instead.
+    the narrow canonical rows instead. `file_column` adds the name of the file each row came from.
     """
     hours = hour_range(start, end) if end is not None else [parse_hour(start)]
     raw = (
@@ -55,7 +57,8 @@ def read_archive(spark: SparkSession, base: str, start: str, end: str | None = N
         .option("ignoreCorruptFiles", False)
         .json([hour_path(base, h) for h in hours])
     )
-    return raw.withColumns({name: _bounded(name) for name in ("payload", CORRUPT)})
+    named = {file_column: F.col("_metadata.file_name")} if file_column else {}
+    return raw.withColumns({name: _bounded(name) for name in ("payload", CORRUPT)} | named)
 
 
 def _bounded(name: str):

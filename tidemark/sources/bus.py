@@ -25,8 +25,11 @@ def to_bus_messages(events: DataFrame) -> DataFrame:
     )
 
 
-def kafka_options(servers: str, topic: str, max_offsets: int | None = 20_000) -> dict[str, str]:
-    """First start reads from the beginning; an offset the broker no longer has is an error."""
+def kafka_options(servers: str, topic: str, max_offsets: int | None = None) -> dict[str, str]:
+    """First start reads from the beginning; an offset the broker no longer has is an error.
+
+    Without `max_offsets` a batch takes what is there, so a backlog drains at the speed of the cluster.
+    """
     options = {
         "kafka.bootstrap.servers": servers,
         "subscribe": topic,
@@ -40,13 +43,16 @@ def kafka_options(servers: str, topic: str, max_offsets: int | None = 20_000) ->
 
 
 def read_event_stream(
-    spark: SparkSession, *, kafka: dict[str, str] | None = None, files: str | None = None, max_files: int = 1
+    spark: SparkSession, *, kafka: dict[str, str] | None = None, files: str | None = None, max_files: int | None = None
 ) -> DataFrame:
     """Streaming messages with the columns of `MESSAGE`. Give `kafka` options or a folder of Parquet files."""
     if (kafka is None) == (files is None):
         raise ValueError("give either kafka options or a folder")
     if files is not None:
-        return spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", max_files).parquet(files)
+        reader = spark.readStream.schema(MESSAGE)
+        if max_files:
+            reader = reader.option("maxFilesPerTrigger", max_files)
+        return reader.parquet(files)
     stream = spark.readStream.format("kafka").options(**kafka).load()
     return stream.select(
         F.col("key").cast("string"), F.col("value").cast("string"), "topic", "partition", "offset", "timestamp"

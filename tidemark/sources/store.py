@@ -1,7 +1,8 @@
 """Tables on shared storage: `<path>/ym=YYYYMM/load=<name>/*.parquet`.
 
 Every write is a named load. Running a load again replaces exactly its own folders (dynamic partition
-overwrite), so a replayed batch leaves neither duplicate events nor doubled sums. A month is the unit
+overwrite, then removal of folders it no longer fills), so a replayed batch leaves neither duplicate
+events nor doubled sums. Finished batches of a stream are folded into one load per month. A month is the unit
 of pruning, reload and deletion.
 """
 
@@ -14,13 +15,15 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.timestamps import as_utc, month_number, months_between, ts_lit
+from tidemark.functions.timestamps import as_utc, month_number, months_between, ts_lit, utc_now
 from tidemark.schema import CANONICAL, CANONICAL_COLUMNS, DEAD_LETTER_COLUMNS
 
 MONTH = "ym"
 LOAD = "load"
 EVENTS_DDL = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in CANONICAL.fields)
 EVENT_ORDER = ["event_type", "created_at", "repo_id"]
+EVENT_BLOOM = ["repo_name", "repo_id"]
+DEAD_LETTERS = "key STRING, value STRING, error STRING, error_type STRING, source_partition INT, source_offset BIGINT"
 
 
 def _writer(frame: DataFrame, bloom: list[str]):
@@ -33,36 +36,54 @@ def _writer(frame: DataFrame, bloom: list[str]):
 
 
 def write_table(
-    frame: DataFrame, path: str, load: str, spread: list[str], order: list[str], bloom: list[str] | None = None
+    frame: DataFrame,
+    path: str,
+    load: str | tuple[str, str],
+    spread: list[str],
+    order: list[str],
+    bloom: list[str] | None = None,
 ) -> None:
-    """Write rows that carry a `ym` column as one load.
+    """Write rows that carry a `ym` column as one load, or as the loads from..to that their `load` column names.
 
     REBALANCE shuffles by month plus the leading sort columns. Adaptive execution then cuts groups that
     are too large (a month with one dominating type) and merges small ones, so file sizes follow the
     advisory partition size and no month ever has to fit one task. The local sort puts equal values next
     to each other: row groups get narrow min/max ranges for the readers to skip by.
+
+    Afterwards the loads hold what this write produced and nothing else: folders of theirs that an earlier
+    run had filled and this one did not touch are removed.
     """
+    spark = frame.sparkSession
+    first, last = (load, load) if isinstance(load, str) else load
+    if isinstance(load, str):
+        frame = frame.withColumn(LOAD, F.lit(load))
+    else:
+        spread, order = [LOAD, *spread], [LOAD, *order]
+    before = _load_files(spark, path, first, last)
     (
         _writer(
-            frame.withColumn(LOAD, F.lit(load))
-            .hint("rebalance", *[F.col(c) for c in [MONTH, *spread]])
-            .sortWithinPartitions(MONTH, *order),
+            frame.hint("rebalance", *[F.col(c) for c in [MONTH, *spread]]).sortWithinPartitions(MONTH, *order),
             bloom or [],
         )
         .partitionBy(MONTH, LOAD)
         .parquet(path)
     )
+    after = _load_files(spark, path, first, last)
+    for folder, files in before.items():
+        if after.get(folder) == files:
+            _remove(spark, folder)
 
 
-def write_events(events: DataFrame, path: str, load: str | None = None) -> None:
+def write_events(events: DataFrame, path: str, load: str | tuple[str, str] | None = None) -> None:
     """Append canonical events in their fixed column order; give a `load` name to make a rerun safe."""
+    loads = [LOAD] if isinstance(load, tuple) else []
     write_table(
-        events.select(*CANONICAL_COLUMNS).withColumn(MONTH, month_number("created_at")),
+        events.select(*CANONICAL_COLUMNS, *loads).withColumn(MONTH, month_number("created_at")),
         path,
         load or f"append-{uuid.uuid4().hex}",
         spread=["event_type"],
         order=EVENT_ORDER,
-        bloom=["repo_name", "repo_id"],
+        bloom=EVENT_BLOOM,
     )
 
 
@@ -75,10 +96,15 @@ def read_table(spark: SparkSession, path: str, schema: str, months: list[int] |
 
 
 def read_events(
-    spark: SparkSession, path: str, start: datetime | str | None = None, end: datetime | str | None = None
+    spark: SparkSession,
+    path: str,
+    start: datetime | str | None = None,
+    end: datetime | str | None = None,
+    with_month: bool = False,
 ) -> DataFrame:
     """Canonical events of [start, end). The time bounds are repeated on the month column, because
-    Spark cannot derive a folder from a predicate on `created_at`."""
+    Spark cannot derive a folder from a predicate on `created_at`. `with_month` keeps that column, so that
+    queries with bounds of their own can skip months too."""
     rows = read_table(spark, path, EVENTS_DDL)
     bounds: list[Column] = []
     if start is not None:
@@ -91,17 +117,20 @@ def read_events(
         bounds.append(F.col(MONTH).isin(months_between(as_utc(start), as_utc(end)) or [0]))
     for bound in bounds:
         rows = rows.filter(bound)
-    return rows.select(*CANONICAL_COLUMNS)
+    return rows.select(*CANONICAL_COLUMNS, *([MONTH] if with_month else []))
 
 
 def write_dead_letters(letters: DataFrame, path: str, load: str | None = None) -> None:
-    """Append dead letters, bytes and key unchanged. Nothing here ever replays them."""
-    rows = letters.select(*DEAD_LETTER_COLUMNS).withColumn(LOAD, F.lit(load or f"append-{uuid.uuid4().hex}"))
-    _writer(rows, []).partitionBy(LOAD).parquet(path)
+    """Append dead letters, bytes and key unchanged, to the month they arrived in. Nothing here ever replays them."""
+    rows = letters.select(*DEAD_LETTER_COLUMNS).withColumn(MONTH, month_number(utc_now()))
+    write_table(rows, path, load or f"append-{uuid.uuid4().hex}", [], ["source_partition", "source_offset"])
 
 
-def read_dead_letters(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select(*DEAD_LETTER_COLUMNS)
+def read_dead_letters(spark: SparkSession, path: str, months: list[int] | None = None) -> DataFrame:
+    """No rows where nothing was ever poisoned."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], DEAD_LETTERS)
+    return read_table(spark, path, DEAD_LETTERS, months).select(*DEAD_LETTER_COLUMNS)
 
 
 # Whole months ------------------------------------------------------------------------------------
@@ -131,49 +160,111 @@ def drop_month(spark: SparkSession, path: str, month: int) -> None:
     _remove(spark, month_path(path, month))
 
 
-def replace_month(rows: DataFrame, path: str, month: int, load: str, order: list[str], spread: list[str]) -> None:
+def replace_month(
+    rows: DataFrame,
+    path: str,
+    month: int,
+    load: str,
+    order: list[str],
+    spread: list[str],
+    bloom: list[str] | None = None,
+) -> None:
     """Make `rows` (without `ym`) the whole content of one month, whatever loads it had before.
 
     Rerunning gives the same table. Rows must not be read from the month they replace.
     """
     (
-        rows.withColumn(LOAD, F.lit(load))
-        .hint("rebalance", *[F.col(c) for c in spread])
-        .sortWithinPartitions(*order)
-        .write.mode("overwrite")
+        _writer(
+            rows.withColumn(LOAD, F.lit(load)).hint("rebalance", *[F.col(c) for c in spread]).sortWithinPartitions(*order),
+            bloom or [],
+        )
         .option("partitionOverwriteMode", "static")
         .partitionBy(LOAD)
         .parquet(month_path(path, month))
     )
 
 
-def rewrite_month(
+# Folding small loads --------------------------------------------------------------------------------
+
+
+def _load_files(spark: SparkSession, path: str, first: str, last: str) -> dict[str, frozenset[str]]:
+    """Folders of the loads first..last (by name) in all months, with the names of their files."""
+    fs, _ = _folder(spark, path)
+    found = {}
+    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{MONTH}=*/{LOAD}=*")) or []:
+        folder = status.getPath()
+        if first <= folder.getName().removeprefix(f"{LOAD}=") <= last:
+            found[folder.toString()] = frozenset(f.getPath().getName() for f in fs.listStatus(folder))
+    return found
+
+
+def has_loads(spark: SparkSession, path: str, first: str, last: str) -> bool:
+    return bool(_load_files(spark, path, first, last))
+
+
+def batch_load(stream: str, batch_id: int) -> str:
+    return f"{stream}-{batch_id:012d}"
+
+
+def fold_batches(
     spark: SparkSession,
     path: str,
-    month: int,
     schema: str,
-    change: Callable[[DataFrame], DataFrame],
-    load: str,
+    stream: str,
+    below: int,
     order: list[str],
     spread: list[str],
+    bloom: list[str] | None = None,
+    change: Callable[[DataFrame], DataFrame] | None = None,
 ) -> None:
-    """Replace a month by a function of itself.
+    """Merge the batches of a stream with ids under `below` into one load per month.
 
-    The result is first written in full to a sibling table on the same storage. If the job dies after
-    that, the next call finds the finished copy and only repeats the replacement; if it dies before, the
-    month is still as it was. Run it on months no stream is writing to.
+    `below` is the last committed batch: it may still be replayed and stays as it is, older ones are never
+    written again. A month's merged rows are finished beside the table first (`_folding` is invisible to
+    readers), then exactly the folders they were read from are removed and the merged one takes their place.
+    Its name says which batches it holds, so a call after a crash knows what is left to remove; whatever
+    was loaded meanwhile is not among it.
     """
-    copy = month_path(f"{path.rstrip('/')}__rewrite", month)
+    first, last = batch_load(stream, 0), batch_load(stream, below - 1)
     columns = [part.strip().split(" ")[0] for part in schema.split(",")]
-    if not exists(spark, f"{copy}/_SUCCESS"):
-        if not exists(spark, month_path(path, month)):
-            return
-        now = read_table(spark, path, schema, [month]).select(*columns)
-        change(now).select(*columns).write.mode("overwrite").parquet(copy)
-    replace_month(spark.read.schema(schema).parquet(copy), path, month, load, order, spread)
-    _remove(spark, copy)
-
-
-def compact_events_month(spark: SparkSession, path: str, month: int) -> None:
-    """Merge the many small files of a streamed month into large sorted ones; rows stay the same."""
-    rewrite_month(spark, path, month, EVENTS_DDL, lambda rows: rows, "compacted", EVENT_ORDER, ["event_type"])
+    _finish_folds(spark, path)
+    by_month: dict[int, list[str]] = {}
+    for folder in _load_files(spark, path, first, f"{last}~"):
+        by_month.setdefault(int(folder.rpartition(f"{MONTH}=")[2].partition("/")[0]), []).append(folder)
+    for month, folders in by_month.items():
+        if len(folders) < 2:
+            continue
+        names = sorted(f.rpartition(f"{LOAD}=")[2] for f in folders)
+        rows = read_table(spark, path, schema, [month]).filter(F.col(LOAD).isin(names)).select(*columns)
+        draft = f"{path.rstrip('/')}/_folding/draft-{uuid.uuid4().hex}"
+        merged = (change(rows) if change else rows).select(*columns)
+        _writer(merged.hint("rebalance", *[F.col(c) for c in spread]).sortWithinPartitions(*order), bloom or []).parquet(draft)
+        ready = f"{path.rstrip('/')}/_folding/ready/{MONTH}={month}/{LOAD}={names[0].partition('~')[0]}~{last}"
+        _move(spark, draft, ready)
+        _finish_folds(spark, path)
+
+
+def _finish_folds(spark: SparkSession, path: str) -> None:
+    """Put finished folds in the place of the batches they hold."""
+    fs, _ = _folder(spark, path)
+    ready = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_folding/ready/{MONTH}=*/{LOAD}=*")
+    for status in fs.globStatus(ready) or []:
+        name = status.getPath().getName().removeprefix(f"{LOAD}=")
+        month = status.getPath().getParent().getName()
+        begin, _, end = name.partition("~")
+        for folder in _load_files(spark, path, begin, f"{end}~"):
+            if f"/{month}/" in folder:
+                _remove(spark, folder)
+        _move(spark, status.getPath().toString(), f"{path.rstrip('/')}/{month}/{LOAD}={name}")
+
+
+def _move(spark: SparkSession, source: str, target: str) -> None:
+    fs, goal = _folder(spark, target)
+    fs.mkdirs(goal.getParent())
+    if not fs.rename(spark._jvm.org.apache.hadoop.fs.Path(source), goal):
+        raise OSError(f"cannot move {source} to {target}")
+
+
+def fold_events(spark: SparkSession, path: str, stream: str, below: int) -> None:
+    """Merge the many small files of a stream's finished batches into large sorted ones; rows stay the same."""
+    fold_batches(spark, path, EVENTS_DDL, stream, below, EVENT_ORDER, ["event_type"], EVENT_BLOOM)

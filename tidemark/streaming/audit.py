@@ -7,9 +7,9 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.timestamps import seconds_of, utc_now
+from tidemark.functions.timestamps import month_number, seconds_of, utc_now
 from tidemark.schema import AUDIT
-from tidemark.sources.store import LOAD
+from tidemark.sources.store import MONTH, read_table, write_table
 
 _COLUMNS = [part.strip().split(" ")[0] for part in AUDIT.split(",")]
 
@@ -46,18 +46,12 @@ def batch_audit(checked: DataFrame, batch_id: int, latency_seconds: float, end_o
 
 
 def write_audit(rows: DataFrame, path: str, load: str) -> None:
-    (
-        rows.withColumn(LOAD, F.lit(load))
-        .coalesce(1)  # at most one row per source partition
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(LOAD)
-        .parquet(path)
-    )
+    """At most one row per source partition, in the month of the batch."""
+    write_table(rows.withColumn(MONTH, month_number("ts")), path, load, [], ["batch_id", "partition"])
 
 
-def read_audit(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{AUDIT}, {LOAD} STRING").parquet(path).select(*_COLUMNS)
+def read_audit(spark: SparkSession, path: str, months: list[int] | None = None) -> DataFrame:
+    return read_table(spark, path, AUDIT, months).select(*_COLUMNS)
 
 
 def lag_by_partition(audit: DataFrame) -> DataFrame:
@@ -73,7 +67,7 @@ def lag_by_partition(audit: DataFrame) -> DataFrame:
     return lag.rollup("partition").agg(F.sum("lag").alias("lag"))
 
 
-# Upper bounds of the batch-size histogram.
+# Upper bounds of the batch-size histogram.
 BATCH_SIZE_BOUNDS = [1, 10, 100, 1_000, 5_000, 10_000, 20_000, 50_000]
 
 

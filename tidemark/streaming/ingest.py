@@ -3,28 +3,50 @@
 from __future__ import annotations
 
 import logging
+import re
+import threading
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from datetime import datetime
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.normalize import observe_rejects, tag_events, usable
-from tidemark.operators.rollups import write_rollups
+from tidemark.operators.enrich import enrich_language
+from tidemark.operators.rollups import backfill_rollups, fold_rollup, write_rollups
 from tidemark.operators.validate import check_messages, poison_messages, valid_events
-from tidemark.schema import CANONICAL_COLUMNS
-from tidemark.session import run_together
-from tidemark.sources.archive import read_archive
-from tidemark.sources.store import EVENTS_DDL, LOAD, read_table, write_dead_letters, write_events
-from tidemark.streaming.audit import batch_audit, write_audit
+from tidemark.schema import AUDIT, CANONICAL_COLUMNS, LANGUAGE_DAILY, ROLLUP_SCHEMAS
+from tidemark.session import run_together, work_dir
+from tidemark.sources.archive import hour_range, parse_hour, read_archive
+from tidemark.sources.store import (
+    DEAD_LETTERS,
+    EVENT_BLOOM,
+    EVENT_ORDER,
+    EVENTS_DDL,
+    LOAD,
+    batch_load,
+    exists,
+    fold_batches,
+    fold_events,
+    has_loads,
+    read_table,
+    replace_month,
+    write_dead_letters,
+    write_events,
+)
+from tidemark.streaming.audit import batch_audit, end_offsets_of, write_audit
 
 DEFAULT_TRIGGER = "2 seconds"
 
 # A failed write is tried again with the same batch, waiting 1, 2, 4, ... up to 30 seconds.
+# --- fixed values of the ingest contract ---
 FIRST_WAIT_SECONDS = 1.0
 LONGEST_WAIT_SECONDS = 30.0
+# --- end of fixed values ---
 DEFAULT_RETRIES = 10
 
 logger = logging.getLogger(__name__)
@@ -36,6 +58,7 @@ class Sinks:
 
     root: str
     name: str = "ingest"
+    stream: str = ""  # identity of the stream that writes; `start_ingest` fills in that of the checkpoint
 
     @property
     def events(self) -> str:
@@ -53,8 +76,12 @@ class Sinks:
     def audit(self) -> str:
         return f"{self.root}/audit"
 
+    @property
+    def writer(self) -> str:
+        return f"{self.name}-{self.stream}" if self.stream else self.name
+
     def load(self, batch_id: int) -> str:
-        return f"{self.name}-{batch_id:012d}"
+        return batch_load(self.writer, batch_id)
 
 
 def maintain_rollups(events: DataFrame, sinks: Sinks, batch_id: int) -> None:
@@ -68,14 +95,22 @@ def _with_retries(step: Callable[[], None], retries: int) -> None:
     for left in range(retries, -1, -1):
         try:
             return step()
-        except Exception:
-            if left == 0:
+        except (OSError, PySparkException) as error:
+            if left == 0 or not _may_pass(error):
                 raise
             logger.exception("batch write failed, next try in %s s", wait)
             time.sleep(wait)
             wait = min(2 * wait, LONGEST_WAIT_SECONDS)
 
 
+# What shows up in the message of a failure of storage or executors, as opposed to one of the program.
+_PASSING = re.compile(r"IOException|Connection|[Tt]imeout|[Tt]imed out|ExecutorLost|FetchFailed|No space left|FileSystem|Throttl")
+
+
+def _may_pass(error: Exception) -> bool:
+    return isinstance(error, OSError) or bool(_PASSING.search(str(error)))
+
+
 def write_batch(
     messages: DataFrame,
     batch_id: int,
@@ -124,16 +159,72 @@ def start_ingest(
     end_offsets: Callable[[], dict[int, int]] | None = None,
     rollups: bool = True,
     retries: int = DEFAULT_RETRIES,
+    beside: bool = False,
 ) -> StreamingQuery:
     """One query for the whole write path. Batch size is bounded by the source (`maxOffsetsPerTrigger`)
-    and by the trigger, whichever comes first; the offset is committed after all writes succeeded."""
-    return (
+    and by the trigger, whichever comes first; the offset is committed after all writes succeeded.
+
+    Loads carry the identity that the checkpoint gives the stream, so two streams never replace each other's
+    batches. A new checkpoint on sinks that other streams have filled would read its source from the start
+    once more; that is refused unless `beside` says that the source is another one.
+
+    Without `end_offsets` the audit takes the newest offsets from the query's own progress: those of the
+    batch before, as the source reported them.
+    """
+    spark = messages.sparkSession
+    if not beside and not exists(spark, f"{checkpoint}/metadata") and exists(spark, sinks.events):
+        if has_loads(spark, sinks.events, f"{sinks.name}-", f"{sinks.name}."):
+            raise ValueError("these sinks hold batches of another checkpoint; pass beside=True for another source")
+    running: list[StreamingQuery] = []
+    started = threading.Event()
+
+    def ends() -> dict[int, int]:
+        return end_offsets_of(running[0].lastProgress or {})
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        started.wait()
+        own = replace(sinks, stream=stream_identity(running[0]))
+        write_batch(batch, batch_id, own, end_offsets or ends, rollups, retries)
+
+    running.append(
         messages.writeStream.queryName(sinks.name)
         .option("checkpointLocation", checkpoint)
         .trigger(**(trigger or {"processingTime": DEFAULT_TRIGGER}))
-        .foreachBatch(lambda batch, batch_id: write_batch(batch, batch_id, sinks, end_offsets, rollups, retries))
+        .foreachBatch(write)
         .start()
     )
+    started.set()
+    return running[0]
+
+
+def stream_identity(query: StreamingQuery) -> str:
+    """The identity kept in the checkpoint, as it stands in the names of loads."""
+    return query.id.replace("-", "")[:12]
+
+
+def fold_finished(spark: SparkSession, sinks: Sinks, below: int) -> None:
+    """Fold the batches of the stream `sinks.stream` under the last committed batch id, in every table."""
+    fold_events(spark, sinks.events, sinks.writer, below)
+    for name in ROLLUP_SCHEMAS:
+        fold_rollup(spark, sinks.rollups, name, sinks.writer, below)
+    fold_batches(spark, sinks.dead_letters, DEAD_LETTERS, sinks.writer, below, ["source_partition", "source_offset"], ["source_partition"])
+    fold_batches(spark, sinks.audit, AUDIT, sinks.writer, below, ["batch_id", "partition"], ["partition"])
+
+
+def enrich_months(spark: SparkSession, sinks: Sinks, languages: DataFrame, months: list[int]) -> None:
+    """Give stored months their languages and rebuild the language roll-up from them.
+
+    The enriched rows are finished in the work folder before they replace a month, so repeating the step, also
+    after a failure, gives the same tables. For closed months: batches that arrive later are not enriched.
+    """
+    for month in months:
+        copy = f"{work_dir(spark, 'enrich')}/{month}"
+        rows = read_table(spark, sinks.events, EVENTS_DDL, [month]).select(*CANONICAL_COLUMNS)
+        enrich_language(rows.withColumn("language", F.lit("")), languages).write.parquet(copy)
+        enriched = spark.read.schema(EVENTS_DDL).parquet(copy)
+        replace_month(enriched, sinks.events, month, "enriched", EVENT_ORDER, ["event_type"], EVENT_BLOOM)
+    stored = read_table(spark, sinks.events, EVENTS_DDL).drop(LOAD)
+    backfill_rollups(stored, sinks.rollups, months, [LANGUAGE_DAILY])
 
 
 def dedup_stream(events: DataFrame, horizon: str) -> DataFrame:
@@ -154,12 +245,22 @@ def ingest_archive(spark: SparkSession, base: str, start: str, end: str | None,
     """Load archive hours into the event table and its roll-ups; returns seen and rejected line counts.
 
     The source is parsed once: the reject counters ride along with the write, and the roll-ups are built
-    from the stored load, not from the dumps. A rerun of the same range replaces its own load.
+    from the stored loads, not from the dumps. Every hour is a load of its own, so a range that overlaps an
+    earlier one replaces the hours they share.
     """
-    load = f"archive-{start}-{end or start}"
+    hours = hour_range(start, end) if end is not None else [parse_hour(start)]
+    loads = hour_load(hours[0]), hour_load(hours[-1])
     counters = Observation("rejects")
-    tagged = observe_rejects(tag_events(read_archive(spark, base, start, end)), counters)
-    write_events(usable(tagged), sinks.events, load)
-    stored = read_table(spark, sinks.events, EVENTS_DDL).filter(F.col(LOAD) == load).select(*CANONICAL_COLUMNS)
-    write_rollups(stored, sinks.rollups, load)
+    raw = read_archive(spark, base, start, end, file_column=LOAD)
+    file_hour = F.regexp_extract(LOAD, r"(\d{4}-\d{2}-\d{2})-(\d+)\.json", 2)
+    day = F.regexp_extract(LOAD, r"(\d{4}-\d{2}-\d{2})-(\d+)\.json", 1)
+    tagged = observe_rejects(tag_events(raw, LOAD), counters)
+    named = usable(tagged, LOAD).withColumn(LOAD, F.concat(F.lit("archive-"), day, F.lit("-"), F.lpad(file_hour, 2, "0")))
+    write_events(named, sinks.events, loads)
+    stored = read_table(spark, sinks.events, EVENTS_DDL).filter(F.col(LOAD).between(*loads))
+    write_rollups(stored.select(*CANONICAL_COLUMNS, LOAD), sinks.rollups, loads)
     return counters.get
+
+
+def hour_load(hour: datetime) -> str:
+    return f"archive-{hour:%Y-%m-%d-%H}"
