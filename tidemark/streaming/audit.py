@@ -112,12 +112,19 @@ def batch_sizes(audit: DataFrame) -> DataFrame:
 
 
 def end_offsets_of(progress: dict) -> dict[int, int]:
-    """Newest offset per partition from a Kafka source's progress report (`StreamingQuery.lastProgress`)."""
+    """Newest offset per partition from a Kafka source's progress report (`StreamingQuery.lastProgress`).
+
+    Sources without partitions (files) report something else and give no ends.
+    """
     ends: dict[int, int] = {}
     for source in progress.get("sources", []):
         latest = source.get("latestOffset")
-        latest = json.loads(latest) if isinstance(latest, str) else latest
-        for partitions in (latest or {}).values():
+        if isinstance(latest, str):
+            try:
+                latest = json.loads(latest)
+            except ValueError:
+                continue
+        for partitions in (latest if isinstance(latest, dict) else {}).values():
             if isinstance(partitions, dict):
                 ends.update({int(p): int(o) for p, o in partitions.items()})
     return ends
