@@ -241,3 +241,20 @@ def test_session_zone_does_not_matter(spark, archive):
         assert times() == utc
     finally:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
+def test_deep_nesting_and_size_become_rejects(spark, tmp_path, monkeypatch):
+    from tidemark.sources import pages
+
+    (tmp_path / "deep").write_text('[{"payload":' + "[" * 50_000 + "]" * 50_000 + "}]")
+    (tmp_path / "long").write_text("[" + " " * 3000 + "]")
+    (tmp_path / "good").write_text("[]")
+    monkeypatch.setattr(pages, "MAX_PAGE_BYTES", 200_000)
+    rejected = normalize_events(read_event_pages(spark, str(tmp_path), on_bad_page="reject"))[1]
+    assert rejected.count() == 1
+    monkeypatch.setattr(pages, "MAX_PAGE_BYTES", 2000)
+    rejected = normalize_events(read_event_pages(spark, str(tmp_path), on_bad_page="reject"))[1]
+    texts = sorted(r.reject_text for r in rejected.collect())
+    assert len(texts) == 2 and all(t.startswith("page exceeds 2000 bytes: file:") for t in texts)
+    with pytest.raises(Exception, match="page exceeds"):
+        read_event_pages(spark, str(tmp_path)).collect()

@@ -53,5 +53,5 @@ def land_pages(spark: SparkSession, events: DataFrame) -> str:
         .groupBy(F.floor(F.col("event_id") / PAGE_SIZE).alias("page"))
         .agg(F.concat(F.lit("["), F.concat_ws(",\n ", F.collect_list(element)), F.lit("]")).alias("text"))
     )
-    pages.write.partitionBy("page").text(base)
-    return f"{base}/page=*"
+    pages.select("text").write.option("maxRecordsPerFile", 1).text(base)
+    return base

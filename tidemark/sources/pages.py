@@ -28,27 +28,37 @@ def _skip_blank(text: str, at: int) -> int:
     return at
 
 
-def _payload_source(element: str) -> str | None:
-    """Source text of the member `payload`; no JSON function keeps it byte for byte."""
-    if not element.startswith("{"):
-        return None
+def _element(text: str, at: int) -> tuple[int, str | None]:
+    """End of the element at `at` and the source text of its member `payload`; no JSON function keeps that
+    byte for byte. Every member is decoded once."""
     decode = json.JSONDecoder().raw_decode
-    found, at = None, _skip_blank(element, 1)
-    while element[at] == '"':
-        name, at = scanstring(element, at + 1)
-        begin = _skip_blank(element, _skip_blank(element, at) + 1)
-        _, at = decode(element, begin)
+    if text[at : at + 1] != "{":
+        return decode(text, at)[1], None
+    found, at = None, _skip_blank(text, at + 1)
+    if text[at : at + 1] == "}":
+        return at + 1, None
+    while True:
+        if text[at : at + 1] != '"':
+            raise ValueError(f"no member name at character {at}")
+        name, at = scanstring(text, at + 1)
+        at = _skip_blank(text, at)
+        if text[at : at + 1] != ":":
+            raise ValueError(f"no value at character {at}")
+        begin = _skip_blank(text, at + 1)
+        _, at = decode(text, begin)
         if name == "payload":
-            found = element[begin:at]
-        at = _skip_blank(element, at)
-        if element[at] == ",":
-            at = _skip_blank(element, at + 1)
-    return None if found == "null" else found
+            found = text[begin:at]
+        at = _skip_blank(text, at)
+        mark = text[at : at + 1]
+        if mark == "}":
+            return at + 1, None if found == "null" else found
+        if mark != ",":
+            raise ValueError(f"object breaks off at character {at}")
+        at = _skip_blank(text, at + 1)
 
 
 def split_page(text: str) -> list[tuple[str, str | None]]:
     """(element, payload) source texts of a page; ValueError if the page is not one JSON array."""
-    decode = json.JSONDecoder().raw_decode
     at = _skip_blank(text, 0)
     if text[at : at + 1] != "[":
         raise ValueError("page is not a JSON array")
@@ -57,8 +67,8 @@ def split_page(text: str) -> list[tuple[str, str | None]]:
         at += 1
     else:
         while True:
-            _, end = decode(text, at)
-            out.append((text[at:end], _payload_source(text[at:end])))
+            end, payload = _element(text, at)
+            out.append((text[at:end], payload))
             at = _skip_blank(text, end)
             mark = text[at : at + 1]
             if mark not in (",", "]"):
@@ -76,8 +86,9 @@ def read_event_pages(spark: SparkSession, path: str | list[str], on_bad_page: st
     """Raw events of all pages. A bad element becomes a reject row, its neighbours stay.
 
     `on_bad_page`: 'fail' raises on a page that is no JSON array or exceeds the size limit, 'reject'
-    turns such a page into one reject row. Pages are small and bounded, so one Arrow batch helper cuts
-    them; everything after that is columnar.
+    turns such a page into one reject row; of an oversized page that row holds the path, its content is
+    never read. Pages are small and bounded, so one Arrow batch helper cuts them; everything after that
+    is columnar.
     """
     if on_bad_page not in ("fail", "reject"):
         raise ValueError("on_bad_page must be 'fail' or 'reject'")
@@ -87,18 +98,27 @@ def read_event_pages(spark: SparkSession, path: str | list[str], on_bad_page: st
     def elements(pages: pd.Series) -> pd.Series:
         def cut(text: str) -> list[dict]:
             try:
-                if len(text.encode()) > MAX_PAGE_BYTES:
-                    raise ValueError(f"page exceeds {MAX_PAGE_BYTES} bytes")
                 return [{"text": t, "payload": p} for t, p in split_page(text)]
-            except ValueError:
+            except (ValueError, RecursionError):
                 if strict:
                     raise
                 return [{"text": None, "payload": text}]
 
         return pages.map(cut)
 
-    pages = spark.read.text(path, wholetext=True)
-    cut = pages.select(F.explode(elements("value")).alias("e"))
+    files = spark.read.format("binaryFile").load(path)
+    too_long = F.concat(F.lit(f"page exceeds {MAX_PAGE_BYTES} bytes: "), F.col("path"))
+    small = files.filter(F.col("length") <= MAX_PAGE_BYTES).select(elements(F.col("content").cast("string")).alias("es"))
+    # The reader takes the length from the listing; this branch needs no content and reads none.
+    large = files.filter(F.col("length") > MAX_PAGE_BYTES).select(
+        F.array(
+            F.struct(
+                F.lit(None).cast("string").alias("text"),
+                (F.raise_error(too_long).cast("string") if strict else too_long).alias("payload"),
+            )
+        ).alias("es")
+    )
+    cut = small.unionByName(large).select(F.explode("es").alias("e"))
     parsed = cut.select(
         F.from_json("e.text", RAW, {"columnNameOfCorruptRecord": CORRUPT}).alias("r"),
         "e.text",
