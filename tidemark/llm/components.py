@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.session import work_dir
@@ -33,11 +33,12 @@ def components(edges: DataFrame, left: str, right: str) -> DataFrame:
     current = edges.filter(a != b).select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low")).distinct()
     before = None
     for _ in range(MOST_ROUNDS):
-        path = work_dir(spark, "components")
-        current.write.parquet(path)
+        path, seen = work_dir(spark, "components"), Observation()
+        mark = F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))
+        current.observe(seen, F.count("*").alias("n"), mark.alias("mark")).write.parquet(path)
         current = spark.read.schema("high BIGINT, low BIGINT").parquet(path)
-        now = current.agg(F.count("*"), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
-        if now == before:
+        now = (seen.get["n"], seen.get["mark"])
+        if now == before or now[0] == 0:
             break
         before = now
         current = _stars(_stars(current, only_smaller=False), only_smaller=True)

@@ -31,7 +31,7 @@ from tidemark.session import work_dir
 
 WORDS = 4
 PERCENT = 85
-PIVOT_ROUNDS = 3
+PIVOT_ROUNDS = 2
 SMALL_GROUP = 16
 SPREAD = 512
 LARGEST_SET = 1 << 40
@@ -361,9 +361,21 @@ class _Search:
         new = _written(wanted.join(self.tested, ["a", "b"], "left_anti"), "jaccard-pairs", "a BIGINT, b BIGINT")
         if new.isEmpty():
             return False
-        self.tested = self.tested.unionByName(_verified(new, self.texts, self.words, self.percent))
+        found = _verified(new, self.texts, self.words, self.percent)
+        self.tested = self.tested.unionByName(found)
+        # Only what the new links connect is worked on: edges between components as they were.
+        of_a, of_b = (self.labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
+        between = found.filter("linked").join(of_a, "a", "left").join(of_b, "b", "left").select(
+            F.coalesce("ca", "a").alias("one"), F.coalesce("cb", "b").alias("two")
+        )
+        merged = components(between, "one", "two")
+        renamed = self.labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
         self.labels = _written(
-            components(self.tested.filter("linked"), "a", "b"), "jaccard-labels", "node BIGINT, component BIGINT"
+            renamed.select("node", F.coalesce("now", "component").alias("component")).unionByName(
+                merged.join(self.labels.select("node"), "node", "left_anti")
+            ),
+            "jaccard-labels",
+            "node BIGINT, component BIGINT",
         )
         return True
 
