@@ -1,8 +1,7 @@
 import os
 
 import pytest
-
-SF = "/root/testdata/sf0.001"
+from llm_helpers import SF
 
 
 @pytest.fixture(scope="session")
@@ -14,16 +13,3 @@ def reference():
     for table in ("documents", "embeddings", "pages", "labels"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     return connection
-
-
-def same_rows(frame, reference, sql, digits=9):
-    """Compare a DataFrame with the rows of its reference SQL, whatever the order of rows and columns."""
-    result = reference.execute(sql)
-    columns = [d[0] for d in result.description]
-    assert sorted(columns) == sorted(frame.columns)
-
-    def plain(v):
-        return round(v, digits) if isinstance(v, float) else v
-
-    ours = sorted((tuple(plain(r[c]) for c in columns) for r in frame.collect()), key=repr)
-    assert ours == sorted((tuple(plain(v) for v in r) for r in result.fetchall()), key=repr)

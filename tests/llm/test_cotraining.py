@@ -2,7 +2,7 @@ import os
 
 import numpy as np
 import pytest
-from conftest import SF
+from llm_helpers import SF
 from pyspark.sql import functions as F
 
 from tidemark.llm.cotraining import _logistic, fit, keep_good, sample_labels, with_quality

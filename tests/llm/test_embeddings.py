@@ -2,7 +2,7 @@ import math
 
 import numpy as np
 import pytest
-from conftest import SF, same_rows
+from llm_helpers import SF, same_rows
 
 from tidemark.llm import embeddings
 from tidemark.llm.components import components

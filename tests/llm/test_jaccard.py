@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import SF, same_rows
+from llm_helpers import SF, same_rows
 
 from tidemark.llm import jaccard
 from tidemark.llm.jaccard import Sets, bands, class_ids, index_keys, jaccard_components, keep_one_of_each, sets_of, spaces_of

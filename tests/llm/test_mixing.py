@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import SF, same_rows
+from llm_helpers import SF, same_rows
 
 from tidemark.llm.mixing import mix_sources, mixed_documents, source_targets
 from tidemark.llm.queries import QUERIES, SQL

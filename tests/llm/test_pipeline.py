@@ -2,7 +2,7 @@ import os
 import random
 
 import pytest
-from conftest import SF
+from llm_helpers import SF
 from test_jaccard import plain_set
 from test_repetition import plain as repetition
 
