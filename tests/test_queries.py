@@ -17,7 +17,7 @@ from tidemark.operators.profiles import (
 from tidemark.operators.rollups import (
     activity_weekday_hour,
     backfill_rollups,
-    compact_rollup,
+    fold_rollup,
     language_daily,
     merge_stored,
     read_rollup,
@@ -31,6 +31,8 @@ from tidemark.plans.completeness import completeness_summary, missing_hours, pre
 from tidemark.plans.corpus import corpus_stats
 from tidemark.plans.languages import language_coverage, language_series, language_trends
 from tidemark.plans.trending import (
+    star_totals,
+    star_totals_scan,
     trending,
     trending_by_language,
     trending_hour_aligned,
@@ -38,6 +40,7 @@ from tidemark.plans.trending import (
     trending_scan,
 )
 from tidemark.schema import ACTIVITY, LANGUAGE_DAILY, REPO_STARS_HOURLY, ROLLUP_SCHEMAS
+from tidemark.sources.store import batch_load
 
 AS_OF = "2024-05-07 10:30:00"
 
@@ -162,15 +165,15 @@ def test_day_window_and_series_order(event):
 
 def test_rollup_partials_merge_and_reconcile(spark, starred, tmp_path):
     root = str(tmp_path)
-    write_rollups(starred.filter("event_id % 2 = 0"), root, "a")
-    write_rollups(starred.filter("event_id % 2 = 1"), root, "b")
-    write_rollups(starred.filter("event_id % 2 = 1"), root, "b")  # replay
+    write_rollups(starred.filter("event_id % 2 = 0"), root, batch_load("s", 0))
+    write_rollups(starred.filter("event_id % 2 = 1"), root, batch_load("s", 1))
+    write_rollups(starred.filter("event_id % 2 = 1"), root, batch_load("s", 1))  # replay
     whole = {REPO_STARS_HOURLY: repo_stars_hourly(starred), LANGUAGE_DAILY: language_daily(starred), ACTIVITY: activity_weekday_hour(starred)}
     for name in ROLLUP_SCHEMAS:
         assert results_equivalent(merge_stored(name, read_rollup(spark, root, name)), whole[name].select(*read_rollup(spark, root, name).columns))
     stored = {n: read_rollup(spark, root, n) for n in ROLLUP_SCHEMAS}
     assert all(r.difference == 0 for r in reconcile_rollups(starred, stored).collect())
-    compact_rollup(spark, root, REPO_STARS_HOURLY, [202405])
+    fold_rollup(spark, root, REPO_STARS_HOURLY, "s", 2)
     rows = read_rollup(spark, root, REPO_STARS_HOURLY)
     assert results_equivalent(rows, whole[REPO_STARS_HOURLY])
     write_rollups(starred, root, "twice")
@@ -247,3 +250,11 @@ def test_skew_controls(spark, event):
     assert rows["constant"].partition_skew == 6.0 and rows["constant"].largest_share == 1.0
     assert rows["event_id"].distinct_keys == 60 and rows["event_id"].partition_skew < 3
     assert rows["repo_id"].largest == 20 and rows["repo_id"].partition_skew >= 2
+
+
+def test_totals_without_limit_cover_every_repository(event):
+    events = event(*[{"repo_id": i, "created_at": "2024-05-06 10:00:00"} for i in range(1, 301)])
+    by_rollup = star_totals(repo_stars_hourly(events), "2024-05-07", "7d")
+    by_scan = star_totals_scan(events, "2024-05-07", "7d")
+    assert by_rollup.count() == 300 and results_equivalent(by_rollup, by_scan)
+    assert result_differences(by_rollup, by_scan.filter("repo_id <> 300")).count() == 1
