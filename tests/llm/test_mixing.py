@@ -62,6 +62,13 @@ def test_taken_words_come_near_targets(spark):
     assert mixed.count() == sum(r.mix.copies for r in first)
 
 
+def test_columns_with_clashing_names_stay(spark):
+    docs = spark.createDataFrame([(1, "a", "x y", 7, 8, 9, 10)], "doc_id INT, source STRING, text STRING, size INT, target INT, last INT, weight INT")
+    row = mix_sources(docs).first()
+    assert (row.size, row.target, row.last, row.weight, row.mix.size) == (7, 8, 9, 10, 2)
+    assert mixed_documents(docs).columns == docs.columns
+
+
 def test_empty_and_wordless(spark):
     assert mix_sources(make(spark, []).limit(0)).collect() == []
     rows = mix_sources(make(spark, [(1, "a", None, 1), (2, None, " ", 1)])).collect()

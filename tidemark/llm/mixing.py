@@ -138,16 +138,17 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     path = work_dir(spark, "mix-plan")
     plan_mix(docs, doc_id, text, source, seed=seed, **plan).write.parquet(path)
     # Read back, the plan has a measured size: Spark broadcasts it if that is small and shuffles otherwise.
-    per_source = spark.read.parquet(path).select(F.col("source").alias("__source"), "source_size", "weight", "target", "last")
+    per_source = spark.read.parquet(path)
+    per_source = per_source.select(*[F.col(c).alias(f"__{c}") for c in ("source", "source_size", "weight", "target", "last")])
     first, second = queue_place(doc_id, text, seed)
     copies = F.lit(0)
     for number in range(plan.get("most_passes", MOST_PASSES)):
         place = F.struct(F.lit(number).alias("pass"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"))
-        copies = copies + F.coalesce(place <= F.col("last"), F.lit(False)).cast("int")
+        copies = copies + F.coalesce(place <= F.col("__last"), F.lit(False)).cast("int")
     measured = docs.drop("mix").withColumns({"__size": word_count(text), "__h1": first, "__h2": second})
     joined = measured.join(per_source, F.col(f"`{source}`").eqNullSafe(F.col("__source")), "left")
     mix = F.struct(
-        F.col("__size").alias("size"), "source_size", "weight", "target", copies.cast("bigint").alias("copies")
+        *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "weight", "target")], copies.cast("bigint").alias("copies")
     )
     return joined.withColumn("mix", mix).select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], "mix")
 
