@@ -52,7 +52,7 @@ def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
             continue
         if kind not in (1, 2, 5):
             raise ValueError(f"unknown wire type {kind}: not a SentencePiece model")
-        size = {1: 8, 5: 4}.get(kind) or varint() if kind != 2 else varint()
+        size = varint() if kind == 2 else {1: 8, 5: 4}[kind]
         if at + size > len(message):
             raise ValueError("the model file ends inside a field")
         yield tag >> 3, message[at : at + size]
