@@ -99,3 +99,64 @@ def test_each_context_sums_to_one():
     context, symbol, _ = spelled(tokens)
     trie = ByteTrie(context, symbol, context * 0 + 1.0)
     assert (10 ** trie.table.astype(float)).sum(axis=1) == pytest.approx(1, abs=1e-4)
+
+
+def plain_contexts(rows, order):
+    """Whole texts as symbols, every order counted from every learned symbol, escape by method C with exclusion."""
+    texts = [[*b" ".join(w.encode() for w in WORD.findall((t or "").translate(UPPER))), 256] for _, t in rows]
+    counts = {}
+    for (doc, _), symbols in zip(rows, texts):
+        past = [None] * (order - 1) + ["begin", *symbols]
+        if zlib.crc32(("" if doc is None else str(doc)).encode()) % 5 != 1:
+            for i, s in enumerate(symbols):
+                for k in range(order + 1):
+                    counts.setdefault(tuple(past[i + order - k : i + order]), Counter())[s] += 1
+    out = []
+    for (doc, _), symbols in zip(rows, texts):
+        past, total = [None] * (order - 1) + ["begin", *symbols], 0.0
+        for i, s in enumerate(symbols):
+            excluded = set()
+            for k in range(order, -1, -1):
+                seen = counts.get(tuple(past[i + order - k : i + order]), {})
+                found = {x: n for x, n in seen.items() if x not in excluded}
+                if not found:
+                    continue
+                room = sum(found.values()) + len(found)
+                if s in found:
+                    total += math.log10(found[s] / room)
+                    break
+                total += math.log10(len(found) / room)
+                excluded |= set(found)
+            else:
+                total -= math.log10(257 - len(excluded))
+        out.append((repr(doc), total))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("hot", [1 << 21, 50, 0])
+def test_contexts_equal_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(ppm, "HOT_CELLS", hot)
+    for rows in (ROWS, [(d, t) for d, t in ROWS if zlib.crc32(str(d).encode()) % 5 == 1 and d is not None]):
+        docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING").repartition(3)
+        got = sorted((repr(r.doc_id), r.context_score) for r in score_texts(docs).collect())
+        want = plain_contexts(rows, ppm.ORDER)
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in want], rel=1e-9)
+
+
+def test_order_of_known_words_counts(spark):
+    learned = [d for d in range(200) if zlib.crc32(str(d).encode()) % 5 != 1]
+    held = [d for d in range(200) if zlib.crc32(str(d).encode()) % 5 == 1][:2]
+    fluent, shuffled = "the old cat sat on the red mat", "mat red the on sat cat old the"
+    rows = [(d, fluent) for d in learned] + [(held[0], fluent), (held[1], shuffled)]
+    got = {r.doc_id: r for r in score_texts(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    assert got[held[0]].n_known == got[held[1]].n_known == 9
+    assert got[held[0]].context_score > got[held[1]].context_score + 5
+
+
+def test_pieces_of_a_text_join_up(monkeypatch):
+    tokens = [b"the", b"cat", b"\xc3\xa9t", b"x" * 40]
+    whole = [c.tolist() for c in ppm.text_cells(tokens)]
+    monkeypatch.setattr(ppm, "PIECE", 7)
+    pieces = [c.tolist() for c in ppm.text_cells(tokens)]
+    assert len(whole) == 1 and len(pieces) > 1 and sum(pieces, []) == whole[0]

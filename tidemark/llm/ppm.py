@@ -9,6 +9,11 @@ shorter orders learn only what the longer one had not predicted: each distinct t
 Token counts stay distributed and meet the documents in a join. What is sent to every task has a proven bound: the trie
 has at most 258 * 258 contexts of 258 symbols, and at most HEAVY tokens have a HEAVY-th of all training tokens or more.
 Counts of those heavy tokens are used where the text is, so the join moves rare tokens only and has no hot key.
+
+`score` is that model of single words. `context_score` predicts the whole text, known words too, from what stands before:
+every byte, blank between tokens and end is a symbol, and its contexts are the ORDER symbols before it, across token
+borders, down to none and at last evenly, each escape by distinct symbols with exclusion. Cells (context and symbol) are
+counted in a distributed table. Only cells with a HOT_CELLS-th of all symbols are sent to every task; others are joined.
 """
 
 from __future__ import annotations
@@ -20,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +33,9 @@ from tidemark.llm.text import LOWER
 from tidemark.session import work_dir
 
 HEAVY = 4096
+ORDER = 5  # symbols in the longest context of a text
+HOT_CELLS = 1 << 21
+PIECE = 1 << 20
 FOLDS, HELD_OUT = 5, 1
 FLUSH = 200_000
 BEGIN = 257  # digit of the token's begin in a context; digits 1 to 256 are bytes, 0 is nothing
@@ -118,6 +127,42 @@ class ByteTrie:
         return np.bincount(number, self.table[self.rows[context], symbol], len(tokens))
 
 
+# Contexts over the text -----------------------------------------------------------------------------
+
+
+def text_cells(tokens: list[bytes]) -> Iterator[np.ndarray]:
+    """Cells of all symbols of a text in pieces: ORDER digits of context, the nearest last, then the symbol."""
+    text = np.frombuffer(b" ".join(tokens), np.uint8)
+    digits = np.zeros(ORDER + len(text) + 1, np.uint16)
+    digits[ORDER - 1] = BEGIN
+    digits[ORDER:-1] = text
+    digits[ORDER:-1] += 1
+    digits[-1] = SYMBOLS
+    for at in range(0, len(text) + 1, PIECE):
+        part = digits[at : at + PIECE + ORDER].astype(np.int64)
+        size = len(part) - ORDER
+        cell = part[:size].copy()
+        for k in range(1, ORDER):
+            cell *= STEP
+            cell += part[k : k + size]
+        yield cell * SYMBOLS + part[ORDER:] - 1
+
+
+class HotCells:
+    """Code lengths (log10) of the most frequent cells."""
+
+    def __init__(self, cell: np.ndarray, length: np.ndarray):
+        order = np.argsort(cell)
+        self.cell = np.append(cell[order], np.iinfo(np.int64).max)
+        self.length = np.append(length[order], 0.0)
+
+    def look(self, cells: np.ndarray) -> tuple[float, np.ndarray]:
+        """Sum of the code lengths of hot cells, and the cells that are not hot."""
+        at = np.searchsorted(self.cell, cells)
+        hot = self.cell[at] == cells
+        return float(self.length[at[hot]].sum()), cells[~hot]
+
+
 # Spark --------------------------------------------------------------------------------------------
 
 
@@ -160,11 +205,115 @@ def trie_of(counts: DataFrame) -> ByteTrie:
     return ByteTrie(cell[order] // SYMBOLS, cell[order] % SYMBOLS, n[order].astype(np.float64))
 
 
+def cell_counts(docs: DataFrame, text: str, chosen: Column, hot: Broadcast | None = None) -> DataFrame:
+    """(cell, n): how often each cell stands in the chosen texts, without those of a broadcast `HotCells`."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for batch in batches:
+            for value in batch.column(0):
+                for cells in text_cells(tokens_of(value.as_py())):
+                    held.append(cells if hot is None else hot.value.look(cells)[1])
+                    size += len(held[-1])
+                    if size > PIECE:
+                        yield _summed(held)
+                        held, size = [], 0
+        if held:
+            yield _summed(held)
+
+    return docs.filter(chosen).select(F.col(text)).mapInArrow(count, "cell BIGINT, n BIGINT").groupBy("cell").agg(F.sum("n").alias("n"))
+
+
+def _summed(held: list[np.ndarray]) -> pa.RecordBatch:
+    cell, n = np.unique(np.concatenate(held), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+
+
+def _shorter(cell: str, order: int) -> Column:
+    """The cell with the last `order` digits of its context."""
+    return F.col(cell) % F.lit(STEP**order * SYMBOLS)
+
+
+class CellTables:
+    """Counts of the learned cells at every order, as Parquet tables."""
+
+    def __init__(self, docs: DataFrame, text: str, learned: Column):
+        spark = docs.sparkSession
+        self.orders: list[DataFrame] = []
+        longest = cell_counts(docs, text, learned)
+        for order in range(ORDER, -1, -1):
+            if self.orders:
+                longest = self.orders[0].groupBy(_shorter("cell", order).alias("cell")).agg(F.sum("n").alias("n"))
+            folder = work_dir(spark, f"cells-{order}")
+            longest.write.parquet(folder)
+            self.orders.insert(0, spark.read.schema("cell BIGINT, n BIGINT").parquet(folder))
+
+    def contexts(self, order: int) -> DataFrame:
+        """(context, total, kinds, below): occurrences, distinct symbols, and their occurrences in the next shorter context."""
+        cells = self.orders[order].withColumn("below", F.lit(0).cast("bigint"))
+        if order:
+            less = self.orders[order - 1].select(F.col("cell").alias("less"), F.col("n").alias("below"))
+            cells = self.orders[order].withColumn("less", _shorter("cell", order - 1)).join(less, "less")
+        return cells.groupBy(F.expr(f"cell div {SYMBOLS}").alias("context")).agg(
+            F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum("below").alias("below")
+        )
+
+    def seen(self) -> DataFrame:
+        """(cell, n, length) of every learned cell of the longest context."""
+        return (
+            self.orders[ORDER]
+            .withColumn("context", F.expr(f"cell div {SYMBOLS}"))
+            .join(self.contexts(ORDER), "context")
+            .select("cell", "n", F.log10(F.col("n") / (F.col("total") + F.col("kinds"))).alias("length"))
+        )
+
+    def unseen(self, cells: DataFrame) -> DataFrame:
+        """(cell, length) of cells that were not learned, from the longest context down to an even choice."""
+        # What a longer context has seen the shorter one has seen too: `kinds` and `below` of the longer one are ruled out.
+        now = cells.select(
+            "cell", F.lit(0.0).alias("length"), F.lit(True).alias("open"), F.lit(0).cast("bigint").alias("out"), F.lit(0).cast("bigint").alias("out_n")
+        )
+        for order in range(ORDER, -1, -1):
+            count = self.orders[order].select(F.col("cell").alias("short"), F.col("n").alias("c"))
+            now = (
+                now.withColumn("short", _shorter("cell", order))
+                .join(count, "short", "left")
+                .withColumn("context", F.expr(f"short div {SYMBOLS}"))
+                .join(self.contexts(order), "context", "left")
+            )
+            left = F.col("kinds") - F.col("out")
+            room = F.col("total") - F.col("out_n") + left
+            now = now.select(
+                "cell",
+                (F.col("length") + F.when(F.col("open") & (left > 0), F.log10(F.coalesce("c", left) / room)).otherwise(0.0)).alias("length"),
+                (F.col("open") & F.col("c").isNull()).alias("open"),
+                F.coalesce("kinds", F.lit(0).cast("bigint")).alias("out"),
+                F.coalesce("below", F.lit(0).cast("bigint")).alias("out_n"),
+            )
+        even = F.when(F.col("open"), F.log10(F.lit(SYMBOLS) - F.col("out"))).otherwise(0.0)
+        return now.select("cell", (F.col("length") - even).alias("length"))
+
+
+def _cell_key(cell: str) -> Column:
+    """A join key that is no token: a blank and eight bytes."""
+    return F.unhex(F.concat(F.lit("20"), F.lpad(F.hex(cell), 16, "0")))
+
+
+def _cell_keys(cells: np.ndarray) -> pa.Array:
+    data = np.full((len(cells), 9), 32, np.uint8)
+    data[:, 1:] = cells.astype(">i8").view(np.uint8).reshape(-1, 8)
+    offsets = np.arange(0, 9 * len(cells) + 1, 9, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: held_out, n_tokens, n_known, train_tokens, base_score and score (log10 probability).
+    """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score and context_score.
 
+    The scores are log10 probabilities: of the smoothed words, of the words by themselves, and of the text in its contexts.
     The model learns from the documents that are not held out. A null text is empty: its only token is the end. Repeated
-    rows are scored each. Without any training document N and V are 0, no escape is paid, and the base is 0 a token.
+    rows are scored each. Without any training document N and V are 0, no escape is paid, the base is 0 a token and
+    every symbol of a text is as likely as any other.
     An empty table gives no rows; columns other than the two play no part.
     """
     spark = docs.sparkSession
@@ -179,18 +328,42 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     known = math.log10(total + distinct) if total else 0.0
     escape = math.log10(distinct / (total + distinct)) if total else 0.0
     whole = math.log10(total + 0.5 * (distinct + 1))
+    cells = CellTables(docs, text, ~held_out(doc_id))
+    folder = work_dir(spark, "cell-lengths")
+    cells.seen().write.parquet(folder)
+    lengths = spark.read.schema("cell BIGINT, n BIGINT, length DOUBLE").parquet(folder)
+    symbols = lengths.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
+    is_hot = F.col("n") * HOT_CELLS >= F.lit(max(symbols, 1))
+    found = lengths.filter(is_hot).select("cell", "length").toArrow()  # at most HOT_CELLS
+    hot = spark.sparkContext.broadcast(HotCells(found.column("cell").to_numpy(), found.column("length").to_numpy()))
+    new = cell_counts(docs, text, held_out(doc_id), hot).join(lengths, "cell", "left_anti")
+    rare_cells = lengths.filter(~is_hot).select("cell", "length").unionByName(cells.unseen(new))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, trie = model.value
+        hot_cells = hot.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 rows: list[tuple] = []
                 rare: list[bytes] = []
+                cold: list[tuple[int, np.ndarray, np.ndarray]] = []
+                n_cold = 0
                 for key, value, held in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     row += 1
-                    found = Counter(tokens_of(value))
+                    tokens = tokens_of(value)
+                    found = Counter(tokens)
+                    context = 0.0
+                    for cells in text_cells(tokens):
+                        length, other = hot_cells.look(cells)
+                        context += length
+                        if len(other):
+                            cold.append((row, *np.unique(other, return_counts=True)))
+                            n_cold += len(cold[-1][1])
+                            if n_cold > FLUSH:
+                                yield _cold(cold, part.column(0).type)
+                                cold, n_cold = [], 0
                     n_known = base = score = 0.0
                     n_tokens = sum(found.values()) + 1
                     for token in found.keys() & heavy.keys():
@@ -205,11 +378,13 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
                         score += escape
                     base += math.log10(ends + 0.5)
                     # A key with a blank is no token: it finds nothing in the join and spreads these rows.
-                    rows.append((row, b" %d" % row, 0, key, held, n_tokens, int(n_known), base, score, 0.0))
+                    rows.append((row, b" %d" % row, 0, key, held, n_tokens, int(n_known), base, score, 0.0, 0, context))
                     for token, n in found.items():
-                        rows.append((row, token, n, None, None, 0, 0, 0.0, 0.0, 0.0 if not held else None))
+                        rows.append((row, token, n, None, None, 0, 0, 0.0, 0.0, 0.0 if not held else None, 0, 0.0))
                         if held:
                             rare.append(token)
+                if cold:
+                    yield _cold(cold, part.column(0).type)
                 lengths = iter(trie.code_lengths(rare).tolist())
                 columns = list(zip(*rows, strict=True))
                 columns[9] = [next(lengths) if v is None else v for v in columns[9]]
@@ -220,9 +395,12 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     looked = docs.select(F.col(doc_id), F.col(text), held_out(doc_id)).mapInArrow(
         look,
         f"row BIGINT, token BINARY, n BIGINT, doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out BOOLEAN, "
-        "n_tokens BIGINT, n_known BIGINT, base DOUBLE, score DOUBLE, spelled DOUBLE",
+        "n_tokens BIGINT, n_known BIGINT, base DOUBLE, score DOUBLE, spelled DOUBLE, m BIGINT, context DOUBLE",
+    )
+    keyed = counts.select("token", F.col("n").alias("c"), F.lit(None).cast("double").alias("length")).unionByName(
+        rare_cells.select(_cell_key("cell").alias("token"), F.lit(None).cast("bigint").alias("c"), "length")
     )
-    joined = looked.join(counts.withColumnRenamed("n", "c"), "token", "left")
+    joined = looked.join(keyed, "token", "left")
     seen = F.col("c").isNotNull()
     count = F.coalesce("c", F.lit(0))
     scored = joined.groupBy("row").agg(
@@ -234,14 +412,26 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         F.sum(
             F.col("score") + F.col("n") * F.when(seen, F.log10(count)).otherwise(F.col("spelled") + F.lit(escape))
         ).alias("score"),
+        F.sum(F.col("context") + F.col("m") * F.coalesce("length", F.lit(0.0))).alias("context_score"),
     )
     # Known tokens, the heavy ones and the end among them, are divided by N + V.
     return scored.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
         (F.col("score") - F.col("n_known") * F.lit(known)).alias("score"),
+        "context_score",
     )
 
 
-_NAMES = ["row", "token", "n", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "spelled"]
-_LOOKED = [pa.int64(), pa.binary(), pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+def _cold(cold: list[tuple[int, np.ndarray, np.ndarray]], id_type: pa.DataType) -> pa.RecordBatch:
+    """Rows of cells that are not hot: only their number m counts."""
+    cells, m = np.concatenate([c for _, c, _ in cold]), np.concatenate([n for _, _, n in cold])
+    row = np.repeat([r for r, _, _ in cold], [len(c) for _, c, _ in cold])
+    none, zero = np.zeros(len(cells), np.int64), np.zeros(len(cells))
+    empty = [pa.nulls(len(cells), id_type), pa.nulls(len(cells), pa.bool_())]
+    columns = [row, _cell_keys(cells), none, *empty, none, none, zero, zero, zero, m, zero]
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=_NAMES)
+
+
+_NAMES = ["row", "token", "n", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "spelled", "m", "context"]
+_LOOKED = [pa.int64(), pa.binary(), pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
