@@ -111,3 +111,10 @@ def test_components(spark):
     got = components(spark.createDataFrame(edges, "a BIGINT, b BIGINT"), "a", "b").collect()
     assert {r.node: r.component for r in got} == {x: root(x) for x in parent} and len(got) == len(parent)
     assert components(spark.createDataFrame([], "a BIGINT, b BIGINT"), "a", "b").collect() == []
+
+
+def test_negative_zeros_keep_their_links(spark):
+    rows = [(5, [1.0, -0.0, 0.0]), (6, [1.0, 0.0, 0.0]), (7, [1.0, -0.0, -0.0]), (8, [-0.0, 2.0, 0.0]), (9, [-0.0, 2.0, 0.01]), (10, [-0.0, 0.0, 0.0])]
+    for kind in ("DOUBLE", "FLOAT"):
+        frame = spark.createDataFrame(rows, f"vec_id BIGINT, embedding ARRAY<{kind}>")
+        assert collected(near_vectors(frame)) == plain(rows)

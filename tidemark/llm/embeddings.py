@@ -127,7 +127,7 @@ def _classes(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
 
     grouped = (
         rows.filter(usable(vector))
-        .groupBy(F.col(vector).cast("array<double>").alias("vec"))
+        .groupBy(_doubles(vector).alias("vec"))
         .agg(F.count("*").alias("n"), F.min(F.col(vec_id).cast("bigint")).alias("least"))
         .withColumn("dim", F.size("vec"))
         .mapInArrow(pack, "vec BINARY, n BIGINT, least BIGINT, dim INT")
@@ -138,6 +138,11 @@ def _classes(rows: DataFrame, vec_id: str, vector: str) -> DataFrame:
     return spark.read.schema("vec BINARY, n BIGINT, least BIGINT, dim INT, cid BIGINT").parquet(path)
 
 
+def _doubles(vector: str) -> F.Column:
+    """The components with -0.0 as 0.0, so that equal vectors have equal bytes."""
+    return F.transform(F.col(vector).cast("array<double>"), lambda x: x + F.lit(0.0))
+
+
 def usable(vector: str) -> F.Column:
     """Not null, with finite components only and not the zero vector."""
     v = F.col(vector).cast("array<double>")
@@ -239,7 +244,7 @@ def near_vectors(
         "vec", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id"
     )
     wanted = rows.select(
-        F.col(vec_id).alias("vec_id"), F.when(usable(vector), F.col(vector).cast("array<double>")).alias("__vector")
+        F.col(vec_id).alias("vec_id"), F.when(usable(vector), _doubles(vector)).alias("__vector")
     )
 
     def packed(column: pa.Array) -> pa.Array:
