@@ -77,3 +77,29 @@ def test_resolve_equals_brute_force():
             if not any(a <= f[0] and f[1] <= b for a, b, _ in stands):
                 stands.append(f)
         assert resolve(found) == sorted(stands, key=lambda f: (f[0], f[1], f[2].label))
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("This file is GPLv3.", "gpl"),
+        ("GPLv2", "gpl"),
+        ("GPL3 or newer", "gpl"),
+        ("LGPLv3", "lgpl"),
+        ("under LGPLv2.1+", "lgpl"),
+        ("AGPLv3", "agpl"),
+        ("MPLv2", "mpl"),
+        ("distributed under the GPL", "gpl"),
+        ("under the terms of the GNU GPL v2", "gpl"),
+        ("released under CC0", "cc0"),
+        ("License: MIT", "mit"),
+        ("an MIT-licensed tool", "mit"),
+        ("available under an Apache v2 license", "apache"),
+        ("under CC BY-SA", "cc-by,cc-by-sa"),
+        ("SPDX-License-Identifier: GPLv2", "gpl"),
+        ("dual GPL", "gpl"),
+        ("it runs under PHP and apache2, gplot and mitv are words, er kam mit 3 Hunden", ""),
+    ],
+)
+def test_bare_and_glued_identifiers(text, expected):
+    assert {*labels(text).split(",")} - {"licensed"} == {*expected.split(",")}

@@ -71,6 +71,15 @@ FAMILIES = [
     ("cc-by", ["creative commons attribution"], ["cc by"], ["2 0", "2 5", "3 0", "4 0"]),
 ]
 
+# Stems that are also words or products, told from a license by a verb, 'license' or a version only,
+# and stems that mean nothing but a license, found by themselves.
+PLAIN_WORDS = {"apache", "expat", "artistic", "zlib", "openssl", "php", "postgresql", "elastic"}
+UNMISTAKABLE = {
+    "gpl", "lgpl", "agpl", "gfdl", "cddl", "eupl", "unlicense", "wtfpl", "odbl", "odc by", "pddl", "sspl", "busl", "openrail",
+    "cc0", "cc by nc sa", "cc by nc nd", "cc by nc", "cc by sa", "cc by nd",
+}
+GRANTED = r"(?:licen[sc]ed|relicen[sc]ed|released|distributed|redistributed|published|available|provided|offered|covered|shared)"
+
 # Statements that name no family; label, keyword, expression, score.
 STATEMENTS = [
     ("reserved", "rights reserved", r"(?:all|some) rights reserved", 0.9),
@@ -106,19 +115,35 @@ class Rule:
 
 
 def default_rules() -> list[Rule]:
-    """Five forms of every family name and identifier, most telling first, and the statements without a family.
+    """The forms of every family name and identifier, most telling first, and the statements without a family.
 
-    The rule list is built from the tables above: tag, reference with version, reference, name with version, name.
+    The rule list is built from the tables above: tag, reference with version, reference, name with version, name. An
+    identifier's version may be glued to it, with or without a v ("gplv3", "gpl3"; plain words need the v), and may
+    then be a major version alone.
     """
     rules: list[Rule] = []
     for label, names, stems, versions in FAMILIES:
         numbers = "|".join(re.escape(v) for v in versions)
         version = rf"(?: (?:version )?(?:v ?)?(?:{numbers})(?: only| or later)?)" if numbers else ""
+        glued = "|".join(re.escape(v) for v in [*versions, *dict.fromkeys(v.split()[0] for v in versions)])
         for stem in stems:
-            rules.append(Rule(label, stem, rf"spdx license identifier {stem}{version}?", 50, 1.0))
-            rules.append(Rule(label, stem, rf"licen[sc]ed under (?:the )?{stem}{version}?(?: licen[sc]e)?", 40, 1.0))
-            if version:
-                rules.append(Rule(label, stem, rf"{stem}{version}", 20, 0.8))
+            plain = stem in PLAIN_WORDS
+            near = rf"(?:{version}|(?: ?version| ?v) ?(?:{glued})(?: only| or later)?" if numbers else ""
+            if numbers:
+                near += ")" if plain else rf"|(?:{glued})(?: only| or later)?)"
+            some = f"{near}?" if near else ""
+            the = r"(?:the |an? )?(?:terms of (?:the |an? )?)?(?:gnu )?"
+            rules.append(Rule(label, stem, rf"spdx license identifier {stem}{some}", 50, 1.0))
+            rules.append(Rule(label, stem, rf"{GRANTED} under {the}{stem}{some}(?: licen[sc]e)?", 40, 1.0))
+            told = rf"(?:{near}(?: licen[sc]e)?| licen[sc]e)" if near else " licen[sc]e"
+            end = told if plain else rf"{some}(?: licen[sc]e)?"
+            rules.append(Rule(label, stem, rf"(?:under|terms of|subject to) {the}{stem}{end}", 40, 1.0))
+            rules.append(Rule(label, stem, rf"licen[sc]es? (?:is |type )?(?:the )?(?:gnu )?{stem}{some}", 40, 0.9))
+            rules.append(Rule(label, stem, rf"(?:gnu )?{stem}{some} licen[sc]ed?", 30, 0.9))
+            if near:
+                rules.append(Rule(label, stem, rf"{stem}{near}", 20, 0.8))
+            if stem in UNMISTAKABLE:
+                rules.append(Rule(label, stem, rf"(?:gnu )?{stem}", 10, 0.6))
         for name in names:
             rules.append(Rule(label, name, rf"(?:under|terms of|subject to) (?:the )?(?:terms of the )?{name}{version}?", 40, 1.0))
             rules.append(Rule(label, name, rf"{name}{version}", 30, 0.9) if version else Rule(label, name, rf"the {name}", 30, 0.9))
