@@ -10,6 +10,6 @@ def reference():
     if not os.path.isdir(SF):
         pytest.skip("sample tables are not here")
     connection = duckdb.connect()
-    for table in ("documents", "embeddings", "pages", "labels"):
+    for table in ("documents", "embeddings", "pages", "labels", "conversations"):
         connection.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     return connection

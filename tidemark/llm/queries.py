@@ -9,8 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import sql
+from tidemark.llm.conversations import damage_and_repair
 from tidemark.llm.cotraining import fit, with_quality
 from tidemark.llm.embeddings import near_vectors
+from tidemark.llm.filter_audit import audit_filters, text_failures
+from tidemark.llm.fingerprints import compare_with_next
 from tidemark.llm.jaccard import jaccard_components
 from tidemark.llm.licenses import with_licenses
 from tidemark.llm.mixing import mix_sources
@@ -83,6 +86,19 @@ def op10_rotation_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_next(_table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return audit_filters(docs, text_failures(), "E", labels)
+
+
+def op13_run_length_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return damage_and_repair(_table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_partial_matching": op2_partial_matching,
@@ -94,10 +110,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_weighted_fair_mix": op9_weighted_fair_mix,
     "op10_rotation_codes": op10_rotation_codes,
+    "op11_scaled_sketch": op11_scaled_sketch,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_run_length_repair": op13_run_length_repair,
 }
 
 SQL: dict[str, str] = {
     "op6_partition_join": sql.JACCARD,
     "op9_weighted_fair_mix": sql.MIX,
     "op10_rotation_codes": sql.NEAR_VECTORS,
+    "op12_filter_audit": sql.FILTER_AUDIT,
 }

@@ -77,3 +77,40 @@ least AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
 SELECT d.doc_id, coalesce(s.n, 0)::BIGINT AS n_shingles, coalesce(l.component_id, d.doc_id)::BIGINT AS component_id
 FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN least l ON l.node = d.doc_id
 """
+
+FILTER_AUDIT = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+marks AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    (len(w) < 100)::INT + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::INT
+    + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT
+    + 16 * coalesce(min(texts.doc_id) OVER (PARTITION BY t) < texts.doc_id, false)::INT AS mask
+  FROM texts LEFT JOIN marks ON marks.doc_id = texts.doc_id),
+masks AS (SELECT part, mask, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM judged GROUP BY ALL),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l, unnest([1, 2, 4, 8, 16]) AS b),
+orders AS (
+  SELECT v.l || w.l || x.l || y.l || z.l AS filter_order, [v.b, w.b, x.b, y.b, z.b] AS bits
+  FROM letters v JOIN letters w ON w.l <> v.l JOIN letters x ON x.l NOT IN (v.l, w.l)
+  JOIN letters y ON y.l NOT IN (v.l, w.l, x.l) JOIN letters z ON z.l NOT IN (v.l, w.l, x.l, y.l)),
+steps AS (
+  SELECT filter_order, step, bits[step] AS b, coalesce(list_sum(bits[1 : step - 1]), 0)::INT AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS step)),
+counted AS (
+  SELECT part, filter_order, step, b,
+    sum(CASE WHEN mask & (before | b) = 0 THEN docs ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & before = 0 AND mask & b <> 0 THEN docs ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & before <> 0 AND mask & b <> 0 THEN docs ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = b THEN docs ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & before = 0 AND mask & b <> 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & before = 0 AND mask & b <> 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM masks, steps GROUP BY ALL)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, b))::BIGINT AS shapley
+FROM counted
+"""
