@@ -14,6 +14,9 @@ from tidemark.sources.bus import dead_letter_messages, kafka_options, read_event
 from tidemark.sources.store import (
     batch_load,
     DEAD_LETTERS,
+    EVENT_ORDER,
+    EVENTS_DDL,
+    finish_replacements,
     fold_batches,
     fold_events,
     drop_month,
@@ -21,6 +24,8 @@ from tidemark.sources.store import (
     month_path,
     read_dead_letters,
     read_events,
+    read_table,
+    replace_loads,
     replace_month,
     write_dead_letters,
     write_events,
@@ -247,3 +252,81 @@ def test_enrichment_never_multiplies_events(spark, event):
     rows = enrich_language(events, lookup).orderBy("event_id").collect()
     assert [r.language for r in rows] == ["go", "", "go"]
     assert enrich_language(events, lookup).columns == CANONICAL_COLUMNS
+
+
+# Replays, crashes and many foreign loads -----------------------------------------------------------------
+
+
+def crash_at(monkeypatch, move):
+    """Let the given `_move` of the store fail, as a lost driver would."""
+    from tidemark.sources import store
+
+    real, moves = store._move, []
+
+    def crash(session, source, target):
+        moves.append(target)
+        if len(moves) == move:
+            raise RuntimeError("lost")
+        real(session, source, target)
+
+    monkeypatch.setattr(store, "_move", crash)
+
+
+@pytest.mark.parametrize("move", [1, 2])
+def test_a_replaced_month_survives_a_crash_and_a_replay(spark, event, tmp_path, monkeypatch, move):
+    path = str(tmp_path / "events")
+    rows = event(*[{"created_at": f"2024-0{1 + i % 2}-05 00:00:00"} for i in range(20)])
+    for batch in range(4):
+        write_events(rows.filter(f"event_id % 4 = {batch}"), path, batch_load("s", batch))
+
+    def replace():
+        january = read_table(spark, path, EVENTS_DDL, [202401]).select(*CANONICAL_COLUMNS)
+        replace_month(january.withColumn("language", F.lit("go")), path, 202401, "reload", EVENT_ORDER, ["event_type"])
+
+    crash_at(monkeypatch, move)
+    with pytest.raises(RuntimeError):
+        replace()
+    monkeypatch.undo()
+    if move == 2:  # the month lay beside the table when its rows were read
+        with pytest.raises(RuntimeError, match="read the rows again"):
+            replace()
+    replace()
+    assert read_events(spark, path).count() == 20
+    write_events(rows.filter("event_id % 4 = 3"), path, batch_load("s", 3))  # Spark runs the newest batch again
+    assert read_events(spark, path).count() == 20
+    assert read_events(spark, path).filter("language = 'go'").count() == 10
+    write_events(rows.filter("event_id % 4 = 0"), path, batch_load("s", 4))  # a new batch of that month counts
+    assert read_events(spark, path).count() == 25
+    replace()
+    fold_events(spark, path, "s", 4)
+    assert read_events(spark, path).count() == 25
+
+
+def test_what_is_loaded_after_a_crash_is_kept(spark, event, tmp_path, monkeypatch):
+    path = str(tmp_path / "events")
+    write_events(event({}, {}), path, "a")
+    write_events(event({}), path, "b")
+    folders = [(202405, "a")]
+    rewritten = read_table(spark, path, EVENTS_DDL, [202405]).filter("load = 'a'").withColumn("ref", F.lit("x"))
+    crash_at(monkeypatch, 2)
+    with pytest.raises(RuntimeError):
+        replace_loads(rewritten, path, folders, EVENT_ORDER, [])
+    monkeypatch.undo()
+    write_events(event({}, {}, {}), path, "a")  # the load comes again, with more rows
+    finish_replacements(spark, path)
+    assert read_events(spark, path).count() == 4 and read_events(spark, path).filter("ref = 'x'").count() == 0
+
+
+def test_writes_look_up_their_own_folders_only(spark, event, tmp_path, monkeypatch):
+    from tidemark.sources import store
+
+    path = tmp_path / "events"
+    write_events(event({}), str(path), batch_load("s", 0))
+    for number in range(1000):
+        (path / "ym=202405" / f"load=foreign-{number:04d}").mkdir()
+    looked, real = [], store._files_in
+    monkeypatch.setattr(store, "_files_in", lambda session, folder: looked.append(folder) or real(session, folder))
+    monkeypatch.setattr(store, "month_loads", lambda *_: pytest.fail("lists the loads of a month"))
+    write_events(event({}), str(path), batch_load("s", 1))
+    assert len(looked) == 2 and all("foreign" not in folder for folder in looked)
+    assert read_events(spark, str(path)).count() == 2

@@ -12,7 +12,18 @@ from tidemark.functions.timestamps import as_utc, hour_of, iso_weekday, month_nu
 from tidemark.operators.filters import has_language, is_star, of_month
 from tidemark.schema import ACTIVITY, LANGUAGE_DAILY, REPO_STARS_HOURLY, ROLLUP_SCHEMAS
 from tidemark.session import run_together
-from tidemark.sources.store import LOAD, MONTH, fold_batches, read_table, replace_month, write_table
+from tidemark.sources.store import (
+    LOAD,
+    MONTH,
+    batch_load,
+    finish_replacements,
+    fold_loads,
+    month_loads,
+    read_table,
+    replace_loads,
+    replace_month,
+    write_table,
+)
 
 ROLLUP_KEYS = {
     REPO_STARS_HOURLY: ["repo_id", "hour"],
@@ -128,35 +139,43 @@ def read_rollup(
 def backfill_rollups(events: DataFrame, root: str, months: list[int], names: list[str] | None = None) -> None:
     """Recompute whole months from the event table; `names` restricts it to some of the roll-ups.
 
-    Each month is replaced together with every partial the streams had added to it, so running the
-    backfill twice, or after live ingest, gives the same sums. `events` should carry `ym` (see
-    `read_table`) so that each round reads one month of folders only.
+    Events read with `read_table` carry `ym` and `load`: each round then reads one month of folders, and the sums stay under the
+    names of the loads they come from, so a batch that runs again afterwards replaces its own part as ever.
+    Events without `load` become one load that stands for all the month had; see `replace_month` for replays then. Either
+    way running the backfill twice, after a crash or after live ingest, gives the same sums.
     """
+    spark = events.sparkSession
+    by_load = [LOAD] if LOAD in events.columns else []
 
     def write(name: str, rows: DataFrame, month: int) -> None:
-        replace_month(
-            _build(name, rows).select(*_columns(name)),
-            rollup_path(root, name),
-            month,
-            "backfill",
-            ROLLUP_KEYS[name],
-            ROLLUP_KEYS[name][:1],
-            _BLOOM.get(name),
-        )
+        path, order, spread = rollup_path(root, name), ROLLUP_KEYS[name], ROLLUP_KEYS[name][:1]
+        sums = _build(name, rows, *by_load).select(*_columns(name), *by_load)
+        if by_load:
+            finish_replacements(spark, path)
+            folders = {(month, n) for n in month_loads(spark, path, month)} | {(month, r[0]) for r in loads}
+            replace_loads(sums.withColumn(MONTH, F.lit(month)), path, folders, order, spread, _BLOOM.get(name))
+        else:
+            replace_month(sums, path, month, "backfill", order, spread, _BLOOM.get(name))
 
     for month in months:
         rows = of_month(events, month)
-        run_together(events.sparkSession, *[partial(write, name, rows, month) for name in names or ROLLUP_SCHEMAS])
+        loads = rows.select(LOAD).distinct().collect() if by_load else []
+        run_together(spark, *[partial(write, name, rows, month) for name in names or ROLLUP_SCHEMAS])
 
 
 def fold_rollup(spark: SparkSession, root: str, name: str, stream: str, below: int) -> None:
     """Fold the partial rows of a stream's finished batches into one row per key and month."""
-    fold_batches(
+    fold_rollup_loads(spark, root, name, batch_load(stream, 0), batch_load(stream, below - 1))
+
+
+def fold_rollup_loads(spark: SparkSession, root: str, name: str, first: str, last: str) -> None:
+    """Fold the partial rows of the loads first..last into one row per key and month."""
+    fold_loads(
         spark,
         rollup_path(root, name),
         ROLLUP_SCHEMAS[name],
-        stream,
-        below,
+        first,
+        last,
         ROLLUP_KEYS[name],
         ROLLUP_KEYS[name][:1],
         _BLOOM.get(name),

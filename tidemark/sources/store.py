@@ -4,12 +4,16 @@ Every write is a named load. Running a load again replaces exactly its own folde
 overwrite, then removal of folders it no longer fills), so a replayed batch leaves neither duplicate
 events nor doubled sums. Finished batches of a stream are folded into one load per month. A month is the unit
 of pruning, reload and deletion.
+
+What replaces stored loads is finished beside the table first, under `_replacing`, with a list of the folders it stands
+for; a call after a crash takes up what it finds there. Names that begin with an underscore are invisible to readers.
 """
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -60,6 +64,9 @@ def write_table(
     else:
         spread, order = [LOAD, *spread], [LOAD, *order]
     before = _load_files(spark, path, first, last)
+    held = [_month_of(folder) for folder, files in before.items() if REPLACED in files]
+    if held:  # a replay of a batch whose rows of these months are part of what replaced them
+        frame = frame.filter(~F.col(MONTH).isin(held))
     (
         _writer(
             frame.hint("rebalance", *[F.col(c) for c in [MONTH, *spread]]).sortWithinPartitions(MONTH, *order),
@@ -70,7 +77,7 @@ def write_table(
     )
     after = _load_files(spark, path, first, last)
     for folder, files in before.items():
-        if after.get(folder) == files:
+        if after.get(folder) == files and REPLACED not in files:
             _remove(spark, folder)
 
 
@@ -171,30 +178,167 @@ def replace_month(
 ) -> None:
     """Make `rows` (without `ym`) the whole content of one month, whatever loads it had before.
 
-    Rerunning gives the same table. Rows must not be read from the month they replace.
+    Rerunning gives the same table, and rows may be read from the month they replace; after a crash call
+    `finish_replacements` before reading them (see `_nothing_pending`). A stream may
+    still run its newest batch again: a note in that load's folder says that the month has its rows already,
+    and the replay leaves this month out. Do not call it while a stream writes into the month.
     """
+    spark = rows.sparkSession
+    _nothing_pending(spark, path)
+    old = [name for name in month_loads(spark, path, month) if name != load]
+    notes = newest_batches(old)
+    _replace(
+        rows.withColumn(MONTH, F.lit(month)).withColumn(LOAD, F.lit(load)),
+        path,
+        [(month, load)],
+        order,
+        spread,
+        bloom,
+        {(month, name): name in notes for name in old},
+    )
+
+
+def replace_loads(
+    rows: DataFrame,
+    path: str,
+    folders: Iterable[tuple[int, str]],
+    order: list[str],
+    spread: list[str],
+    bloom: list[str] | None = None,
+) -> None:
+    """Make `rows` (with `ym` and `load`) the whole content of these (month, load) folders; all others stay.
+
+    The loads keep their names, so a batch that runs again replaces its own rows as ever. A load `a~b` also takes the place
+    of the loads a..b it holds. Folders without rows are removed. Rows may be read from the folders they replace; after a crash
+    call `finish_replacements` before reading them.
+    """
+    _nothing_pending(rows.sparkSession, path)
+    _replace(rows, path, folders, order, spread, bloom, {})
+
+
+# Replacing and folding loads ---------------------------------------------------------------------------
+
+REPLACING = "_replacing"
+REPLACED = "_replaced"  # the note in the folder of a batch whose rows a month has already
+FILLED, OLD, NOTE = "filled", "old", "note"
+_BATCH = re.compile(r"(.+)-(\d{12})")
+
+
+def _replace(rows, path, folders, order, spread, bloom, also: dict[tuple[int, str], bool]) -> None:
+    spark, folders = rows.sparkSession, list(folders)
+    base = f"{path.rstrip('/')}/{REPLACING}"
+    draft = f"{base}/draft-{uuid.uuid4().hex}"
     (
         _writer(
-            rows.withColumn(LOAD, F.lit(load)).hint("rebalance", *[F.col(c) for c in spread]).sortWithinPartitions(*order),
+            rows.hint("rebalance", *[F.col(c) for c in [MONTH, LOAD, *spread]]).sortWithinPartitions(MONTH, LOAD, *order),
             bloom or [],
         )
-        .option("partitionOverwriteMode", "static")
-        .partitionBy(LOAD)
-        .parquet(month_path(path, month))
+        .partitionBy(MONTH, LOAD)
+        .parquet(draft)
     )
+    def line(state: str, month: int, load: str) -> str:
+        return f"{state}\t{month}\t{load}\t{','.join(sorted(_files_in(spark, load_path(path, month, load))))}"
 
+    lines = [line(NOTE if note else OLD, m, n) for (m, n), note in also.items()]
+    for month, load in folders:
+        held = [n for n in month_loads(spark, path, month) if _holds(load, n)] if "~" in load else [load]
+        lines += [line(OLD, month, name) for name in held]
+    # Old folders go first: a new one may bear a name that lies in the range of an old one.
+    lines += [line(FILLED, m, n) for m, n in folders if exists(spark, load_path(draft, m, n))]
+    _write_text(spark, f"{draft}/{REPLACING}", "\n".join(lines))
+    _move(spark, draft, f"{base}/ready-{uuid.uuid4().hex}")
+    finish_replacements(spark, path)
 
-# Folding small loads --------------------------------------------------------------------------------
 
+def _nothing_pending(spark: SparkSession, path: str) -> None:
+    """Between a crash and the next call folders may be missing, and rows that were read then would be saved as the whole."""
+    if finish_replacements(spark, path):
+        raise RuntimeError(f"an interrupted replacement in {path} has been completed; read the rows again")
 
-def _load_files(spark: SparkSession, path: str, first: str, last: str) -> dict[str, frozenset[str]]:
-    """Folders of the loads first..last (by name) in all months, with the names of their files."""
+
+def finish_replacements(spark: SparkSession, path: str) -> bool:
+    """Put finished replacements in the place of the loads they stand for.
+
+    A folder that was written anew since the replacement was made (its files have other names) is left alone: it is newer.
+    Returns whether there were any.
+    """
     fs, _ = _folder(spark, path)
+    base = f"{path.rstrip('/')}/{REPLACING}"
+    found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/ready-*")) or []
+    for status in found:
+        ready = status.getPath().toString()
+        for line in filter(None, _read_text(spark, f"{ready}/{REPLACING}").split("\n")):
+            state, month, load, files = line.split("\t")
+            source, target = load_path(ready, int(month), load), load_path(path, int(month), load)
+            if state == FILLED:
+                if exists(spark, source) and not exists(spark, target):  # else an earlier call has moved it, or it is out of date
+                    _move(spark, source, target)
+            elif state == NOTE:  # whatever the batch has written here again is part of the new rows
+                _remove(spark, target)
+                _write_text(spark, f"{target}/{REPLACED}", "")
+            elif ",".join(sorted(_files_in(spark, target))) == files:
+                _remove(spark, target)
+        _remove(spark, ready)
+    return bool(found)
+
+
+def _holds(load: str, name: str) -> bool:
+    first, _, last = load.partition("~")
+    return name == load if not last else first <= name <= f"{last}~"
+
+
+def load_path(path: str, month: int, load: str) -> str:
+    return f"{month_path(path, month)}/{LOAD}={load}"
+
+
+def _month_of(folder: str) -> int:
+    return int(folder.rpartition(f"{MONTH}=")[2].partition("/")[0])
+
+
+def _children(spark: SparkSession, path: str, prefix: str) -> list[str]:
+    """What follows `prefix` in the names of a folder's subfolders."""
+    if not exists(spark, path):
+        return []
+    fs, target = _folder(spark, path)
+    names = [status.getPath().getName() for status in fs.listStatus(target)]
+    return sorted(name.removeprefix(prefix) for name in names if name.startswith(prefix))
+
+
+def stored_months(spark: SparkSession, path: str) -> list[int]:
+    return [int(m) for m in _children(spark, path, f"{MONTH}=")]
+
+
+def month_loads(spark: SparkSession, path: str, month: int) -> list[str]:
+    return _children(spark, month_path(path, month), f"{LOAD}=")
+
+
+def newest_batches(loads: Iterable[str]) -> set[str]:
+    """Of each stream the load of its newest batch: the only one that Spark may still run again."""
+    newest: dict[str, str] = {}
+    for name in sorted(loads):
+        match = _BATCH.fullmatch(name)
+        if match:
+            newest[match[1]] = name
+    return set(newest.values())
+
+
+def _files_in(spark: SparkSession, folder: str) -> frozenset[str]:
+    fs, target = _folder(spark, folder)
+    return frozenset(f.getPath().getName() for f in fs.listStatus(target)) if fs.exists(target) else frozenset()
+
+
+def _load_files(spark: SparkSession, path: str, first: str, last: str) -> dict[str, frozenset[str]]:
+    """Folders of the loads first..last (by name) in all months, with the names of their files.
+
+    The folder of a single load is looked up in each month by its path, whatever other loads are there.
+    """
     found = {}
-    for status in fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{MONTH}=*/{LOAD}=*")) or []:
-        folder = status.getPath()
-        if first <= folder.getName().removeprefix(f"{LOAD}=") <= last:
-            found[folder.toString()] = frozenset(f.getPath().getName() for f in fs.listStatus(folder))
+    for month in stored_months(spark, path):
+        names = [first] if first == last else [n for n in month_loads(spark, path, month) if first <= n <= last]
+        for folder in (load_path(path, month, name) for name in names):
+            files = _files_in(spark, folder)
+            if files:
+                found[folder] = files
     return found
 
 
@@ -220,42 +364,37 @@ def fold_batches(
     """Merge the batches of a stream with ids under `below` into one load per month.
 
     `below` is the last committed batch: it may still be replayed and stays as it is, older ones are never
-    written again. A month's merged rows are finished beside the table first (`_folding` is invisible to
-    readers), then exactly the folders they were read from are removed and the merged one takes their place.
-    Its name says which batches it holds, so a call after a crash knows what is left to remove; whatever
-    was loaded meanwhile is not among it.
+    written again.
+    """
+    fold_loads(spark, path, schema, batch_load(stream, 0), batch_load(stream, below - 1), order, spread, bloom, change)
+
+
+def fold_loads(
+    spark: SparkSession,
+    path: str,
+    schema: str,
+    first: str,
+    last: str,
+    order: list[str],
+    spread: list[str],
+    bloom: list[str] | None = None,
+    change: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
+    """Merge the loads first..last (by name) into one load `first~last` per month.
+
+    The name says which loads it holds, in every table alike. Whatever is loaded meanwhile is not among what goes.
     """
-    first, last = batch_load(stream, 0), batch_load(stream, below - 1)
     columns = [part.strip().split(" ")[0] for part in schema.split(",")]
-    _finish_folds(spark, path)
-    by_month: dict[int, list[str]] = {}
-    for folder in _load_files(spark, path, first, f"{last}~"):
-        by_month.setdefault(int(folder.rpartition(f"{MONTH}=")[2].partition("/")[0]), []).append(folder)
-    for month, folders in by_month.items():
-        if len(folders) < 2:
+    finish_replacements(spark, path)
+    merged = f"{first}~{last}"
+    for month in stored_months(spark, path):
+        names = [n for n in month_loads(spark, path, month) if _holds(merged, n)]
+        if len(names) < 2:
             continue
-        names = sorted(f.rpartition(f"{LOAD}=")[2] for f in folders)
         rows = read_table(spark, path, schema, [month]).filter(F.col(LOAD).isin(names)).select(*columns)
-        draft = f"{path.rstrip('/')}/_folding/draft-{uuid.uuid4().hex}"
-        merged = (change(rows) if change else rows).select(*columns)
-        _writer(merged.hint("rebalance", *[F.col(c) for c in spread]).sortWithinPartitions(*order), bloom or []).parquet(draft)
-        ready = f"{path.rstrip('/')}/_folding/ready/{MONTH}={month}/{LOAD}={names[0].partition('~')[0]}~{last}"
-        _move(spark, draft, ready)
-        _finish_folds(spark, path)
-
-
-def _finish_folds(spark: SparkSession, path: str) -> None:
-    """Put finished folds in the place of the batches they hold."""
-    fs, _ = _folder(spark, path)
-    ready = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_folding/ready/{MONTH}=*/{LOAD}=*")
-    for status in fs.globStatus(ready) or []:
-        name = status.getPath().getName().removeprefix(f"{LOAD}=")
-        month = status.getPath().getParent().getName()
-        begin, _, end = name.partition("~")
-        for folder in _load_files(spark, path, begin, f"{end}~"):
-            if f"/{month}/" in folder:
-                _remove(spark, folder)
-        _move(spark, status.getPath().toString(), f"{path.rstrip('/')}/{month}/{LOAD}={name}")
+        rows = (change(rows) if change else rows).select(*columns)
+        rows = rows.withColumn(MONTH, F.lit(month)).withColumn(LOAD, F.lit(merged))
+        _replace(rows, path, [(month, merged)], order, spread, bloom, {})
 
 
 def _move(spark: SparkSession, source: str, target: str) -> None:
@@ -265,6 +404,22 @@ def _move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
+def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    fs, target = _folder(spark, path)
+    out = fs.create(target, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
+def _read_text(spark: SparkSession, path: str) -> str:
+    fs, target = _folder(spark, path)
+    stream = fs.open(target)
+    try:
+        return bytes(spark._jvm.org.apache.commons.io.IOUtils.toByteArray(stream)).decode()
+    finally:
+        stream.close()
+
+
 def fold_events(spark: SparkSession, path: str, stream: str, below: int) -> None:
     """Merge the many small files of a stream's finished batches into large sorted ones; rows stay the same."""
     fold_batches(spark, path, EVENTS_DDL, stream, below, EVENT_ORDER, ["event_type"], EVENT_BLOOM)
