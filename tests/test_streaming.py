@@ -13,10 +13,10 @@ from tidemark.operators.equivalence import results_equivalent
 from tidemark.schema import ACTIVITY, LANGUAGE_DAILY, MESSAGE, REPO_STARS_HOURLY
 from tidemark.sources.archive import hour_path, parse_hour
 from tidemark.sources.bus import read_event_stream, to_bus_messages
-from tidemark.sources.store import read_dead_letters, read_events
+from tidemark.sources.store import month_loads, read_dead_letters, read_events
 from tidemark.streaming import ingest
 from tidemark.streaming.audit import batch_sizes, end_offsets_of, ingest_health, lag_by_partition, read_audit
-from tidemark.streaming.ingest import Sinks, dedup_stream, ingest_archive, start_ingest
+from tidemark.streaming.ingest import Sinks, dedup_stream, fold_archive, ingest_archive, start_ingest
 
 NOW = {"availableNow": True}
 
@@ -199,6 +199,34 @@ def test_overlapping_archive_ranges_replace_the_hours_they_share(spark, tmp_path
     assert read_rollup(spark, sinks.rollups, REPO_STARS_HOURLY).agg(F.sum("stars")).first()[0] == 6
 
 
+def test_settled_archive_hours_fold(spark, tmp_path):
+    import gzip
+
+    for hour in range(6):
+        with gzip.open(hour_path(str(tmp_path), parse_hour(f"2024-06-03-{hour}")), "wt") as out:
+            for i in range(hour + 1):
+                out.write(json.dumps({
+                    "id": f"{hour}{i}", "type": "WatchEvent", "created_at": f"2024-06-03T0{hour}:00:00Z",
+                    "actor": {"id": 1, "login": "a"}, "repo": {"id": 2, "name": "b/c"}, "payload": {},
+                }) + "\n")
+    sinks = Sinks(str(tmp_path / "out"))
+    everything = ("2024-06-03-0", "2024-06-03-6")
+    ingest_archive(spark, str(tmp_path), *everything, sinks)
+    for _ in range(2):
+        fold_archive(spark, sinks, "2024-06-03-1", "2024-06-03-5")
+    assert len(month_loads(spark, sinks.events, 202406)) == 3
+    for part in (("2024-06-03-2", "2024-06-03-4"), ("2024-06-03-0", "2024-06-03-3"), ("2024-06-03-4", None)):
+        with pytest.raises(ValueError, match="folded"):
+            ingest_archive(spark, str(tmp_path), *part, sinks)
+    ingest_archive(spark, str(tmp_path), "2024-06-03-5", None, sinks)
+    for _ in range(2):
+        assert read_events(spark, sinks.events).count() == 21
+        for name, measure in ((REPO_STARS_HOURLY, "stars"), (ACTIVITY, "events")):
+            assert read_rollup(spark, sinks.rollups, name).agg(F.sum(measure)).first()[0] == 21
+        ingest_archive(spark, str(tmp_path), *everything, sinks)  # covers the fold and takes its place
+    assert len(month_loads(spark, sinks.events, 202406)) == 6
+
+
 def test_programming_errors_are_not_retried(spark, event, land, tmp_path, monkeypatch):
     folder = land(to_bus_messages(forty(event)), 0)
     calls = []

@@ -8,13 +8,16 @@ from pyspark.sql import functions as F
 from tidemark.schema import CANONICAL_COLUMNS
 
 
-def enrich_language(events: DataFrame, repo_languages: DataFrame, unique: bool = False) -> DataFrame:
+def enrich_language(
+    events: DataFrame, repo_languages: DataFrame, unique: bool = False, keep: tuple[str, ...] = ()
+) -> DataFrame:
     """Fill `language` from (repo_id, language); repositories without an entry keep ''.
 
     No broadcast hint: the lookup grows with the number of repositories, so Catalyst and adaptive
     execution broadcast it only while it is measured to be small, and otherwise sort-merge with skew
     splitting, which cuts a hot repository into several tasks. Set `unique` if `repo_id` is known to be
     a key of the lookup; otherwise it is made one first, because a second row would multiply events.
+    `keep` names columns that stay beside the canonical ones.
     """
     lookup = repo_languages.select("repo_id", F.col("language").alias("_language"))
     if not unique:
@@ -23,7 +26,8 @@ def enrich_language(events: DataFrame, repo_languages: DataFrame, unique: bool =
         *[
             F.coalesce("_language", F.lit("")).alias("language") if c == "language" else F.col(c)
             for c in CANONICAL_COLUMNS
-        ]
+        ],
+        *keep,
     )
 
 

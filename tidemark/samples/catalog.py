@@ -66,10 +66,10 @@ from tidemark.sources.store import (
 )
 from tidemark.streaming.audit import batch_audit, batch_sizes, ingest_health, lag_by_partition, read_audit
 from tidemark.streaming.admission import ROCKSDB, admission_stream
+from tidemark.streaming.enrichment import enrich_changed, enrich_months, languages_of
 from tidemark.streaming.ingest import (
     Sinks,
     dedup_stream,
-    enrich_months,
     fold_finished,
     ingest_archive,
     start_ingest,
@@ -559,6 +559,45 @@ def enrich_stored_months(spark, sf):
     return languages.language_trends(read_rollup(spark, sinks.rollups, LANGUAGE_DAILY), AS_OF, "30d")
 
 
+def _changing_languages(spark: SparkSession, sf: str) -> Sinks:
+    """Three batches; languages change after the first two, a third batch comes late, and the second one is run again.
+
+    Version 1 lacks every third language and has wrong ones for every fifth repository; version 2 is right.
+    """
+    sinks = Sinks(work_dir(spark, "enrich-changed"))
+    events, right = sample_events(spark, sf), repo_languages(spark, sf)
+    languages = languages_of(spark, work_dir(spark, "languages"))
+    wrong = F.when(F.col("repo_id") % 5 == 0, F.concat(F.lit("old "), "language")).otherwise(F.col("language"))
+
+    def batch(number: int) -> None:
+        rows = events.filter(F.col("event_id") % 3 == number)
+        write_events(rows, sinks.events, batch_load("live", number))
+        write_rollups(rows, sinks.rollups, batch_load("live", number), [LANGUAGE_DAILY])
+
+    batch(0)
+    batch(1)
+    languages.publish(right.filter("repo_id % 3 > 0").withColumn("language", wrong))
+    enrich_changed(spark, sinks, languages)
+    batch(2)
+    languages.publish(right)
+    enrich_changed(spark, sinks, languages)
+    batch(1)
+    for _ in range(2):
+        enrich_changed(spark, sinks, languages)
+    return sinks
+
+
+@query(f"{sql.BASE} SELECT {sql.CANON_COLUMNS} FROM canon")
+def enrich_changed_languages(spark, sf):
+    return read_events(spark, _changing_languages(spark, sf).events)
+
+
+@query(_LANGS_SQL)
+def enrich_changed_rollup(spark, sf):
+    rows = read_rollup(spark, _changing_languages(spark, sf).rollups, LANGUAGE_DAILY)
+    return merge_stored(LANGUAGE_DAILY, rows)
+
+
 # Streams --------------------------------------------------------------------------------------------
 
 

@@ -16,11 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.normalize import observe_rejects, tag_events, usable
-from tidemark.operators.enrich import enrich_language
-from tidemark.operators.rollups import backfill_rollups, fold_rollup, write_rollups
+from tidemark.operators.rollups import fold_rollup, fold_rollup_loads, write_rollups
 from tidemark.operators.validate import check_messages, poison_messages, valid_events
-from tidemark.schema import AUDIT, CANONICAL_COLUMNS, LANGUAGE_DAILY, ROLLUP_SCHEMAS
-from tidemark.session import run_together, work_dir
+from tidemark.schema import AUDIT, CANONICAL_COLUMNS, ROLLUP_SCHEMAS
+from tidemark.session import run_together
 from tidemark.sources.archive import hour_range, parse_hour, read_archive
 from tidemark.sources.store import (
     DEAD_LETTERS,
@@ -32,9 +31,11 @@ from tidemark.sources.store import (
     exists,
     fold_batches,
     fold_events,
+    fold_loads,
     has_loads,
     read_table,
-    replace_month,
+    month_loads,
+    stored_months,
     write_dead_letters,
     write_events,
 )
@@ -211,22 +212,6 @@ def fold_finished(spark: SparkSession, sinks: Sinks, below: int) -> None:
     fold_batches(spark, sinks.audit, AUDIT, sinks.writer, below, ["batch_id", "partition"], ["partition"])
 
 
-def enrich_months(spark: SparkSession, sinks: Sinks, languages: DataFrame, months: list[int]) -> None:
-    """Give stored months their languages and rebuild the language roll-up from them.
-
-    The enriched rows are finished in the work folder before they replace a month, so repeating the step, also
-    after a failure, gives the same tables. For closed months: batches that arrive later are not enriched.
-    """
-    for month in months:
-        copy = f"{work_dir(spark, 'enrich')}/{month}"
-        rows = read_table(spark, sinks.events, EVENTS_DDL, [month]).select(*CANONICAL_COLUMNS)
-        enrich_language(rows.withColumn("language", F.lit("")), languages).write.parquet(copy)
-        enriched = spark.read.schema(EVENTS_DDL).parquet(copy)
-        replace_month(enriched, sinks.events, month, "enriched", EVENT_ORDER, ["event_type"], EVENT_BLOOM)
-    stored = read_table(spark, sinks.events, EVENTS_DDL).drop(LOAD)
-    backfill_rollups(stored, sinks.rollups, months, [LANGUAGE_DAILY])
-
-
 def dedup_stream(events: DataFrame, horizon: str) -> DataFrame:
     """Drop event ids already seen within `horizon` of arrival; seeing an id again does not prolong it.
 
@@ -246,10 +231,11 @@ def ingest_archive(spark: SparkSession, base: str, start: str, end: str | None,
 
     The source is parsed once: the reject counters ride along with the write, and the roll-ups are built
     from the stored loads, not from the dumps. Every hour is a load of its own, so a range that overlaps an
-    earlier one replaces the hours they share.
+    earlier one replaces the hours they share; folded hours can only be replaced by all hours of their fold.
     """
     hours = hour_range(start, end) if end is not None else [parse_hour(start)]
     loads = hour_load(hours[0]), hour_load(hours[-1])
+    _check_folds(spark, sinks.events, *loads)
     counters = Observation("rejects")
     raw = read_archive(spark, base, start, end, file_column=LOAD)
     file_hour = F.regexp_extract(LOAD, r"(\d{4}-\d{2}-\d{2})-(\d+)\.json", 2)
@@ -262,5 +248,27 @@ def ingest_archive(spark: SparkSession, base: str, start: str, end: str | None,
     return counters.get
 
 
+def fold_archive(spark: SparkSession, sinks: Sinks, start: str, end: str) -> None:
+    """Fold the loaded hours [start, end) into one load per month, events and roll-ups.
+
+    For hours that are settled: a folded hour can only be loaded again together with all hours of its fold. Not to be run while
+    these hours are being loaded. A call after a crash goes on where the last one stopped.
+    """
+    hours = hour_range(start, end)
+    first, last = hour_load(hours[0]), hour_load(hours[-1])
+    fold_loads(spark, sinks.events, EVENTS_DDL, first, last, EVENT_ORDER, ["event_type"], EVENT_BLOOM)
+    for name in ROLLUP_SCHEMAS:
+        fold_rollup_loads(spark, sinks.rollups, name, first, last)
+
+
+def _check_folds(spark: SparkSession, path: str, first: str, last: str) -> None:
+    """Refuse to load some hours of a fold again: their old rows cannot be told from the others'."""
+    for month in stored_months(spark, path):
+        for name in month_loads(spark, path, month):
+            begin, _, end = name.partition("~")
+            if end and begin.startswith("archive-") and begin <= last and end >= first and not first <= begin <= end <= last:
+                raise ValueError(f"the hours {begin} to {end} are folded; load all of them or none")
+
+
 def hour_load(hour: datetime) -> str:
     return f"archive-{hour:%Y-%m-%d-%H}"
