@@ -160,11 +160,10 @@ def audit_filters(
         "toxic",
     )
     firsts = (
-        by_id.filter(F.col("id").isNotNull())
-        .groupBy("id", "digest")
+        by_id.groupBy("id", "digest")
         .agg(F.collect_list(F.struct("part", "mask", "docs", "good", "toxic")).alias("items"))
         .groupBy("digest")
-        .agg(F.min_by("items", "id").alias("items"))
+        .agg(F.min_by("items", "id").alias("items"))  # rows without id have no part in it
         .select(F.inline("items"))
     )
     off = [(-F.col(c)).alias(c) for c in ("docs", "good", "toxic")]
