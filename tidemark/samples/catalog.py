@@ -39,7 +39,7 @@ from tidemark.operators.validate import check_messages, poison_messages, valid_e
 from tidemark.plans import activity, cards, completeness, corpus, languages
 from tidemark.plans import trending as top
 from tidemark.samples import sql
-from tidemark.samples.landing import land_archive, land_pages
+from tidemark.samples.landing import ARCHIVE_DAY, land_archive, land_archive_day, land_pages
 from tidemark.samples.tables import (
     AS_OF,
     bus_messages,
@@ -51,7 +51,7 @@ from tidemark.samples.tables import (
 from tidemark.schema import ACTIVITY, CANONICAL_COLUMNS, LANGUAGE_DAILY, MESSAGE, REPO_STARS_HOURLY, STAR
 from tidemark.session import work_dir
 from tidemark.sources.bus import read_event_stream, to_bus_messages
-from tidemark.sources.archive import read_archive
+from tidemark.sources.archive import index_archive, read_archive
 from tidemark.sources.pages import read_event_pages
 from tidemark.sources.store import (
     EVENT_ORDER,
@@ -423,15 +423,26 @@ def _archive_hours(spark: SparkSession, sf: str) -> tuple[str, str]:
     return f"{first:%Y-%m-%d}-{first.hour}", f"{end:%Y-%m-%d}-{end.hour}"
 
 
-@query(_ACCEPTED_SQL)
+_ARCHIVED_SQL = f"{sql.ARCHIVE} SELECT {sql.CANON_COLUMNS} FROM lines WHERE reject_reason IS NULL"
+
+
+@query(_ARCHIVED_SQL)
 def archive_read(spark, sf):
     hours = _archive_hours(spark, sf)
     base = land_archive(spark, sample_events(spark, sf), *hours)
     return normalize_events(read_archive(spark, base, *hours))[0]
 
 
-@query(f"""{sql.RAW} SELECT repo_id, max_by(repo_name, event_id) AS repo_name, CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS hour,
-  count(*) AS stars, max(event_id) AS last_event_id FROM tagged WHERE reject_reason IS NULL AND event_type = 'WatchEvent'
+@query(f"{sql.ARCHIVE} SELECT reject_reason, count(*) AS rejected FROM lines WHERE reject_reason IS NOT NULL GROUP BY 1")
+def archive_reject_counts(spark, sf):
+    """The whole time span as one file of several gzip members, read by several tasks from its restart points."""
+    base, index = land_archive_day(spark, sample_events(spark, sf)), f"{work_dir(spark, 'restarts')}/index.json"
+    index_archive(spark, base, ARCHIVE_DAY, None, index, parts=2 * spark.sparkContext.defaultParallelism, every=1 << 16)
+    return reject_counts(normalize_events(read_archive(spark, base, ARCHIVE_DAY, index=index))[1])
+
+
+@query(f"""{sql.ARCHIVE} SELECT repo_id, max_by(repo_name, event_id) AS repo_name, CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS hour,
+  count(*) AS stars, max(event_id) AS last_event_id FROM lines WHERE reject_reason IS NULL AND event_type = 'WatchEvent'
 GROUP BY repo_id, date_trunc('hour', created_at)""")
 def archive_load_rollups(spark, sf):
     """Dumps to stored events and roll-ups, loaded twice."""

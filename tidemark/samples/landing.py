@@ -7,19 +7,19 @@ import gzip
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.samples.tables import BROKEN, raw_lines
+from tidemark.samples.tables import BROKEN, archive_lines, raw_lines
 from tidemark.session import work_dir
-from tidemark.sources.archive import hour_path, hour_range
+from tidemark.sources.archive import hour_path, hour_range, parse_hour
 
 PAGE_SIZE = 100
 
 
 def land_archive(spark: SparkSession, events: DataFrame, start: str, end: str) -> str:
-    """One gzip file of raw lines per hour of [start, end), named as the archive names them."""
+    """One gzip file of raw lines per hour of [start, end), named as the archive names them; see `archive_lines`."""
     base = work_dir(spark, "archive")
     hour = F.concat_ws("-", F.to_date("created_at").cast("string"), F.hour("created_at").cast("string"))
     (
-        raw_lines(events)
+        archive_lines(events)
         .select("line", hour.alias("hour"))
         .repartition(spark.sparkContext.defaultParallelism, "hour")
         .write.partitionBy("hour")
@@ -44,6 +44,24 @@ def land_archive(spark: SparkSession, events: DataFrame, start: str, end: str) -
     return base
 
 
+ARCHIVE_DAY = "2024-01-01-0"  # the hour under whose name `land_archive_day` puts all events
+
+
+def land_archive_day(spark: SparkSession, events: DataFrame) -> str:
+    """All events in the file of one hour, whose gzip members are the files of as many tasks."""
+    base = work_dir(spark, "archive-day")
+    archive_lines(events).select("line").write.option("compression", "gzip").text(f"{base}/members")
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path_of(base).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(path_of(hour_path(base, parse_hour(ARCHIVE_DAY))))
+    for status in fs.globStatus(path_of(f"{base}/members/*.gz")):
+        source = fs.open(status.getPath())
+        spark._jvm.org.apache.commons.io.IOUtils.copyLarge(source, out)
+        source.close()
+    out.close()
+    return base
+
+
 def land_pages(spark: SparkSession, events: DataFrame) -> str:
     """Pages of up to a hundred events, one JSON array per file. A broken line stands in them as a number."""
     base = work_dir(spark, "pages")

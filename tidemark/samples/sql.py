@@ -65,6 +65,18 @@ tagged AS (
   FROM canon
 )"""
 
+# The same lines in an archive (see `tables.archive_lines`); lines of blanks are events to no one but the reject counter.
+ARCHIVE = f"""{RAW},
+lines AS (
+  SELECT * REPLACE (
+      CAST(CASE repo_id WHEN 86 THEN strlen('{{ "ref" : [ 1.50 ] }}') WHEN 87 THEN strlen('"\\u0041 \\/ \u00e9"') ELSE payload_size END AS BIGINT)
+        AS payload_size,
+      CASE WHEN repo_id IN (86, 87) THEN '' ELSE ref END AS ref,
+      CASE WHEN repo_id IN (88, 89) THEN 'malformed_json' ELSE reject_reason END AS reject_reason)
+  FROM tagged
+  UNION ALL BY NAME SELECT 'malformed_json' AS reject_reason FROM tagged WHERE repo_id = 90
+)"""
+
 # Bus messages: which are poison (see `tables.bus_messages`).
 BUS = f"""{BASE},
 checked AS (

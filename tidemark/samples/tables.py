@@ -125,6 +125,27 @@ def raw_lines(events: DataFrame) -> DataFrame:
     return events.select("*", F.when(repo == BROKEN, F.substring(line, 1, 30)).otherwise(line).alias("line"))
 
 
+# Repositories whose archive lines are odd: one JSON object with spread payload or with a payload that is a text, an array, text
+# after the object, blank lines before the event.
+SPREAD, TEXT_PAYLOAD, IN_ARRAY, WITH_TAIL, AFTER_BLANKS = range(86, 91)
+SPREAD_PAYLOAD, TEXT = '{ "ref" : [ 1.50 ] }', '"\\u0041 \\/ \u00e9"'
+
+
+def archive_lines(events: DataFrame) -> DataFrame:
+    """`raw_lines` as an archive may hold them; a row can be several lines, also empty ones and lines of blanks."""
+    repo, line = F.col("repo_id"), F.col("line")
+    head = F.regexp_extract("line", r"^(.*)\"payload\":", 1)
+    odd = (
+        F.when(repo == SPREAD, F.concat(head, F.lit(f'"payload"\t: {SPREAD_PAYLOAD} }}')))
+        .when(repo == TEXT_PAYLOAD, F.concat(head, F.lit(f'"payload":{TEXT}}}')))
+        .when(repo == IN_ARRAY, F.concat(F.lit("["), line, F.lit("]")))
+        .when(repo == WITH_TAIL, F.concat(line, F.lit(" {}")))
+        .when(repo == AFTER_BLANKS, F.concat(F.lit("\n\r\n \t\n  "), line, F.lit(" \r")))
+        .otherwise(line)
+    )
+    return raw_lines(events).withColumn("line", odd)
+
+
 def raw_events(events: DataFrame) -> DataFrame:
     """The same lines parsed into raw events (they are compact ASCII, so payload sizes stay exact)."""
     parsed = F.from_json("line", RAW, {"columnNameOfCorruptRecord": CORRUPT})

@@ -245,7 +245,7 @@ def _replace(rows, path, folders, order, spread, bloom, also: dict[tuple[int, st
         lines += [line(OLD, month, name) for name in held]
     # Old folders go first: a new one may bear a name that lies in the range of an old one.
     lines += [line(FILLED, m, n) for m, n in folders if exists(spark, load_path(draft, m, n))]
-    _write_text(spark, f"{draft}/{REPLACING}", "\n".join(lines))
+    write_text(spark, f"{draft}/{REPLACING}", "\n".join(lines))
     _move(spark, draft, f"{base}/ready-{uuid.uuid4().hex}")
     finish_replacements(spark, path)
 
@@ -267,7 +267,7 @@ def finish_replacements(spark: SparkSession, path: str) -> bool:
     found = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{base}/ready-*")) or []
     for status in found:
         ready = status.getPath().toString()
-        for line in filter(None, _read_text(spark, f"{ready}/{REPLACING}").split("\n")):
+        for line in filter(None, read_text(spark, f"{ready}/{REPLACING}").split("\n")):
             state, month, load, files = line.split("\t")
             source, target = load_path(ready, int(month), load), load_path(path, int(month), load)
             if state == FILLED:
@@ -275,7 +275,7 @@ def finish_replacements(spark: SparkSession, path: str) -> bool:
                     _move(spark, source, target)
             elif state == NOTE:  # whatever the batch has written here again is part of the new rows
                 _remove(spark, target)
-                _write_text(spark, f"{target}/{REPLACED}", "")
+                write_text(spark, f"{target}/{REPLACED}", "")
             elif ",".join(sorted(_files_in(spark, target))) == files:
                 _remove(spark, target)
         _remove(spark, ready)
@@ -404,14 +404,14 @@ def _move(spark: SparkSession, source: str, target: str) -> None:
         raise OSError(f"cannot move {source} to {target}")
 
 
-def _write_text(spark: SparkSession, path: str, text: str) -> None:
+def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs, target = _folder(spark, path)
     out = fs.create(target, True)
     out.write(bytearray(text.encode()))
     out.close()
 
 
-def _read_text(spark: SparkSession, path: str) -> str:
+def read_text(spark: SparkSession, path: str) -> str:
     fs, target = _folder(spark, path)
     stream = fs.open(target)
     try:

@@ -25,7 +25,7 @@ from tidemark.sources.store import (
     MONTH,
     _files_in,
     _remove,
-    _write_text,
+    write_text,
     finish_replacements,
     load_path,
     month_loads,
@@ -72,7 +72,7 @@ def _mark(spark: SparkSession, sinks: Sinks, folders: Iterable[Folder], version:
     for month, load in folders:
         folder = load_path(sinks.events, month, load)
         old = [f for f in _files_in(spark, folder) if f.startswith(MARK) and f != f"{MARK}{version}"]
-        _write_text(spark, f"{folder}/{MARK}{version}", "")
+        write_text(spark, f"{folder}/{MARK}{version}", "")
         for name in old:
             _remove(spark, f"{folder}/{name}")
 
