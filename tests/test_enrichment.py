@@ -89,7 +89,7 @@ def test_only_touched_loads_are_rewritten(spark, filled, tmp_path):
     check(spark, sinks, events, languages.state())
 
 
-@pytest.mark.parametrize("move", range(1, 9))
+@pytest.mark.parametrize("move", [1, 2, 4, 7])
 def test_a_crash_anywhere_is_mended_by_the_next_call(spark, filled, tmp_path, monkeypatch, move):
     sinks, events, batch = filled
     languages = languages_of(spark, str(tmp_path / "languages"))

@@ -167,6 +167,10 @@ def test_odd_lines():
     assert [w for w, _ in found] == [False, False, False, True, False, False, True, True, False, True, True]
     assert found[7][1] == b'{"payload":2}' and found[9][1] == b'"x"' and found[10][1] == b"[ 2 ]" and found[3][1] is None
     assert scan([b"{}"]) == [(True, None)]
+    blanks = b" " * 1000
+    spread = blanks + b'{"payload"' + blanks + b":" + blanks + b"7" + blanks + b"}" + blanks
+    assert scan([b"x", spread, blanks, spread + b"x"]) == [(False, None), (True, b"7"), (False, None), (False, b"7")]
+    assert scan([b"plain", b'"text"']) == [(False, None)] * 2
 
 
 def test_data_source_reads_parts(spark, tmp_path):

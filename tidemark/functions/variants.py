@@ -23,11 +23,6 @@ def string_value(value: Column) -> Column:
     return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
 
 
-def digits_to_long(text: Column) -> Column:
-    """Unsigned decimal text to BIGINT; signs, blanks, letters and values above 2^63-1 give NULL."""
-    return F.when(text.rlike(r"^[0-9]+$"), text.try_cast("bigint"))
-
-
 def compute_once(rows: DataFrame, **columns: Column) -> DataFrame:
     """Add columns whose expressions later steps must not repeat.
 

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import as_utc, date_lit, floor_to_hour, ts_lit
+from tidemark.functions.unsigned import as_bits, in_order
 from tidemark.schema import STAR
 
 
@@ -71,7 +72,8 @@ def of_month(rows: DataFrame, month: int) -> DataFrame:
 
 
 def after_keyset(total: str, tie: str, after: tuple[int, int]) -> Column:
-    """Rows that follow (total, tie) in the order total descending, tie ascending."""
+    """Rows that follow (total, tie) in the order total descending, tie (an unsigned id) ascending."""
     last_total, last_tie = after
-    return (F.col(total) < last_total) | ((F.col(total) == last_total) & (F.col(tie) > last_tie))
+    later = in_order(tie) > in_order(F.lit(as_bits(last_tie)).cast("bigint"))
+    return (F.col(total) < last_total) | ((F.col(total) == last_total) & later)
 

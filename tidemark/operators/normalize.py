@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import parse_rfc3339
-from tidemark.functions.variants import compute_once, digits_to_long, is_missing, is_string, string_value
+from tidemark.functions.unsigned import of_digits, of_number
+from tidemark.functions.variants import compute_once, is_missing, is_string, string_value
 from tidemark.schema import CANONICAL_COLUMNS, CORRUPT, REF_TYPES
 
 MALFORMED = "malformed_json"
@@ -19,6 +20,8 @@ NO_CREATED_AT = "no_created_at"
 BAD_ID = "bad_id"
 REJECT_REASONS = [MALFORMED, WRONG_TYPE, NO_TYPE, NO_CREATED_AT, BAD_ID]
 
+_ENTITIES = ["actor", "repo", "org"]
+
 # The feed's zero time stands for "not set".
 _ZERO_TIME = "TIMESTAMP_NTZ '0001-01-01 00:00:00'"
 
@@ -47,8 +50,8 @@ def payload_epoch(raw: DataFrame) -> Column:
 def tag_events(raw: DataFrame, *more: str) -> DataFrame:
     """All canonical columns plus `reject_reason` (NULL = usable) and the columns `more`: both outcomes in one pass.
 
-    Wrong types of numbers and of whole embedded objects are noticed by the JSON reader, which then fills
-    the corrupt column; wrong types of texts are noticed here. Missing objects and members are allowed.
+    Wrong types of whole embedded objects are noticed by the JSON reader, which then fills the corrupt column; wrong
+    types of texts and ids are noticed here. Missing objects and members are allowed, ids are unsigned 64-bit numbers.
     """
     texts = {
         "id": raw["id"],
@@ -61,11 +64,13 @@ def tag_events(raw: DataFrame, *more: str) -> DataFrame:
         raw,
         **{f"_{name}": string_value(value) for name, value in texts.items()},
         _texts_ok=reduce(and_, [is_missing(value) | is_string(value) for value in texts.values()]),
+        **{f"_{entity}_id": of_number(raw[entity]["id"]) for entity in _ENTITIES},
     )
-    typed = compute_once(typed, _time=parse_rfc3339(F.col("_created")), _number=digits_to_long(F.col("_id")))
+    typed = compute_once(typed, _time=parse_rfc3339(F.col("_created")), _number=of_digits(F.col("_id")))
+    ids_ok = reduce(and_, [is_missing(raw[entity]["id"]) | F.col(f"_{entity}_id").isNotNull() for entity in _ENTITIES])
 
     def number(entity: str) -> Column:
-        return F.coalesce(raw[entity]["id"], F.lit(0).cast("bigint"))
+        return F.coalesce(F.col(f"_{entity}_id"), F.lit(0).cast("bigint"))
 
     # A field of the wrong type leaves its neighbours readable, broken JSON leaves nothing.
     nothing_read = reduce(and_, [raw[c].isNull() for c in ("id", "type", "created_at", "actor", "repo", "org", "payload")])
@@ -75,7 +80,7 @@ def tag_events(raw: DataFrame, *more: str) -> DataFrame:
             raw[CORRUPT].isNotNull()
             | ~F.col("_texts_ok")
             | (F.col("_created").isNotNull() & F.col("_time").isNull())
-            | (F.least(number("actor"), number("repo"), number("org")) < 0),
+            | ~ids_ok,
             WRONG_TYPE,
         )
         .when(F.coalesce("_type", F.lit("")) == "", NO_TYPE)

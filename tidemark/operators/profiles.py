@@ -9,8 +9,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import as_utc, floor_to_hour, hour_of, ts_lit
+from tidemark.functions.unsigned import largest
 from tidemark.operators.filters import between, has_language
 from tidemark.plans.corpus import about_distinct
+from tidemark.schema import ID_COLUMNS
 
 # --- fixed values of the event feed: the payload format changed between these two hours ---
 OLD_FORMAT_LAST_SEEN = "2025-10-01 15:00:00"
@@ -102,29 +104,33 @@ def payload_size_profile(events: DataFrame) -> DataFrame:
 PROFILED = ["event_type", "actor_id", "actor_login", "repo_id", "repo_name", "org_id", "language"]
 
 
+def _most(column: str) -> Column:
+    return largest(column) if column in ID_COLUMNS else F.max(column)
+
+
 def column_profile(events: DataFrame, exact: bool = False) -> DataFrame:
     """One row: distinct values per column, largest ids, share of events with organisation and language."""
     share = {"org_share": F.col("org_id") != 0, "language_share": has_language()}
     base = [
         F.count("*").alias("events"),
-        *[F.max(c).alias(f"max_{c}") for c in ("event_id", "actor_id", "repo_id", "org_id", "payload_size")],
+        *[_most(c).alias(f"max_{c}") for c in (*ID_COLUMNS, "payload_size")],
         *[F.try_divide(F.count_if(cond), F.count("*")).alias(name) for name, cond in share.items()],
     ]
     if exact:
         # One scan: the profiled columns as pairs, the other figures as sums and maxima of the same rows.
         figures = events.select(
             F.inline(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("string").alias("value")) for c in PROFILED])),
-            *[F.col(c) for c in ("event_id", "actor_id", "repo_id", "org_id", "payload_size")],
+            *[F.col(c) for c in (*ID_COLUMNS, "payload_size")],
             *[cond.cast("int").alias(name) for name, cond in share.items()],
         )
-        ids = ("event_id", "actor_id", "repo_id", "org_id", "payload_size")
+        ids = (*ID_COLUMNS, "payload_size")
         per_value = figures.groupBy("key", "value").agg(
-            F.count("*").alias("n"), *[F.max(c).alias(c) for c in ids], *[F.sum(s).alias(s) for s in share]
+            F.count("*").alias("n"), *[_most(c).alias(c) for c in ids], *[F.sum(s).alias(s) for s in share]
         )
         first = F.col("key") == PROFILED[0]  # every event is counted once per profiled column
         return per_value.agg(
             F.coalesce(F.sum(F.when(first, F.col("n"))), F.lit(0)).alias("events"),
-            *[F.max(c).alias(f"max_{c}") for c in ids],
+            *[_most(c).alias(f"max_{c}") for c in ids],
             *[F.try_divide(F.sum(F.when(first, F.col(s))), F.sum(F.when(first, F.col("n")))).alias(s) for s in share],
             *[F.count_if((F.col("key") == c) & F.col("value").isNotNull()).alias(f"distinct_{c}") for c in PROFILED],
         )

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import as_utc, hour_of, iso_weekday, month_number
+from tidemark.functions.unsigned import in_order, largest
 from tidemark.operators.filters import has_language, is_star, of_month
 from tidemark.schema import ACTIVITY, LANGUAGE_DAILY, REPO_STARS_HOURLY, ROLLUP_SCHEMAS
 from tidemark.session import run_together
@@ -45,9 +46,9 @@ def repo_stars_hourly(events: DataFrame, *more: str) -> DataFrame:
         events.filter(is_star())
         .groupBy("repo_id", hour_of("created_at").alias("hour"), *more)
         .agg(
-            F.max_by("repo_name", "event_id").alias("repo_name"),
+            F.max_by("repo_name", in_order("event_id")).alias("repo_name"),
             F.count("*").alias("stars"),
-            F.max("event_id").alias("last_event_id"),
+            largest("event_id").alias("last_event_id"),
         )
         .select("repo_id", "repo_name", "hour", "stars", "last_event_id", *more)
     )
@@ -74,7 +75,7 @@ def merge_rollup(partials: DataFrame, keys: list[str], sums: list[str], label: s
     """Sum the partial rows of each key; with a `label`, keep the one with the highest `last_event_id`."""
     totals = [F.sum(s).alias(s) for s in sums]
     if label is not None:
-        totals += [F.max_by(label, "last_event_id").alias(label), F.max("last_event_id").alias("last_event_id")]
+        totals += [F.max_by(label, in_order("last_event_id")).alias(label), largest("last_event_id").alias("last_event_id")]
     return partials.groupBy(*keys).agg(*totals)
 
 

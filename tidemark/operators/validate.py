@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.timestamps import parse_rfc3339
+from tidemark.functions.unsigned import of_number
 from tidemark.functions.variants import compute_once, string_value
-from tidemark.schema import CANONICAL, CANONICAL_COLUMNS
+from tidemark.schema import CANONICAL, CANONICAL_COLUMNS, ID_COLUMNS
 
 # --- fixed values of the dead-letter format ---
 POISON_ERROR_TYPE = "PoisonMessageError"
@@ -18,19 +19,20 @@ PLACE_COLUMNS = ["partition", "offset"]
 
 
 _KINDS = {T.LongType: "an integer", T.StringType: "a string", T.TimestampNTZType: "a timestamp"}
-# Numbers are parsed strictly, a mismatch gives NULL; texts are VARIANT so that a number there shows.
+# Sizes are parsed strictly, a mismatch gives NULL; texts and ids are VARIANT so that their type shows.
 _DOCUMENT = T.StructType(
     [
-        T.StructField(f.name, f.dataType if isinstance(f.dataType, T.LongType) else T.VariantType())
+        T.StructField(f.name, f.dataType if isinstance(f.dataType, T.LongType) and f.name not in ID_COLUMNS else T.VariantType())
         for f in CANONICAL.fields
     ]
 )
 
 
-def _typed(value: Column, kind: T.DataType) -> Column:
+def _typed(value: Column, field: T.StructField) -> Column:
     """The field's value, NULL if it is missing, null or of another type."""
+    kind = field.dataType
     if isinstance(kind, T.LongType):
-        return value
+        return of_number(value) if field.name in ID_COLUMNS else value
     text = string_value(value)
     return parse_rfc3339(text) if isinstance(kind, T.TimestampNTZType) else text
 
@@ -46,7 +48,7 @@ def check_messages(messages: DataFrame) -> DataFrame:
         F.json_array_length(F.concat(F.lit("["), text, F.lit("]"))) == 1, F.lit(False)
     )
     parsed = compute_once(messages, _whole=whole, _doc=F.from_json(text, _DOCUMENT))
-    typed = compute_once(parsed, **{f.name: _typed(F.col("_doc")[f.name], f.dataType) for f in CANONICAL.fields})
+    typed = compute_once(parsed, **{f.name: _typed(F.col("_doc")[f.name], f) for f in CANONICAL.fields})
     failing = F.coalesce(*[F.when(F.col(f.name).isNull(), f.name) for f in CANONICAL.fields])
     kinds = F.create_map(*[F.lit(v) for f in CANONICAL.fields for v in (f.name, _KINDS[type(f.dataType)])])
     absent = F.call_function("get_json_object", text, F.concat(F.lit("$."), failing)).isNull()

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.unsigned import as_bits, in_order
 from tidemark.schema import FORK, ISSUES, PUSH
 
 
@@ -12,14 +13,14 @@ def repo_lookup(events: DataFrame, repo_name: str) -> DataFrame:
     """Always one row: newest id under this name, all events, pushes, forks, issues; 0 events = unknown."""
     of_type = {"pushes": PUSH, "forks": FORK, "issues": ISSUES}
     return events.filter(F.col("repo_name") == repo_name).agg(
-        F.max_by("repo_id", "event_id").alias("repo_id"),
+        F.max_by("repo_id", in_order("event_id")).alias("repo_id"),
         F.count("*").alias("total_events"),
         *[F.count_if(F.col("event_type") == t).alias(name) for name, t in of_type.items()],
     )
 
 
 def _stars_of(rollup: DataFrame, repo_id) -> DataFrame:
-    return rollup.filter(F.col("repo_id") == repo_id)
+    return rollup.filter(F.col("repo_id") == (as_bits(repo_id) if isinstance(repo_id, int) else repo_id))
 
 
 def repo_stars_total(rollup: DataFrame, repo_id) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import as_utc, trending_span
+from tidemark.functions.unsigned import in_order
 from tidemark.operators.filters import after_keyset, hour_start, is_star, since, since_hour, within_months
 from tidemark.operators.rollups import merge_rollup
 
@@ -35,7 +36,7 @@ def _top(totals: DataFrame, limit: int, after: tuple[int, int] | None) -> DataFr
         totals = totals.filter(after_keyset("stars", "repo_id", after))
     return (
         totals.select("repo_id", "repo_name", "stars")
-        .orderBy(F.desc("stars"), F.asc("repo_id"))
+        .orderBy(F.desc("stars"), in_order("repo_id").asc())
         .limit(_check_limit(limit))
     )
 
@@ -44,7 +45,7 @@ def _star_totals(events: DataFrame, *conditions: Column) -> DataFrame:
     rows = events.filter(is_star())
     for condition in conditions:
         rows = rows.filter(condition)
-    return rows.groupBy("repo_id").agg(F.max_by("repo_name", "event_id").alias("repo_name"), F.count("*").alias("stars"))
+    return rows.groupBy("repo_id").agg(F.max_by("repo_name", in_order("event_id")).alias("repo_name"), F.count("*").alias("stars"))
 
 
 def star_totals(rollup: DataFrame, as_of: datetime | str, window: str = DEFAULT_WINDOW) -> DataFrame:
@@ -124,7 +125,7 @@ def trending_page(
     else:
         page = trending(rollup, as_of, window, limit, keyset)
     whole = Window.partitionBy(F.lit(1))
-    ranked = F.row_number().over(whole.orderBy(F.desc("stars"), F.asc("repo_id")))
+    ranked = F.row_number().over(whole.orderBy(F.desc("stars"), in_order("repo_id").asc()))
     return page.select(
         "repo_id",
         "repo_name",

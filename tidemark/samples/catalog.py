@@ -47,6 +47,7 @@ from tidemark.samples.tables import (
     raw_events,
     repo_languages,
     sample_events,
+    with_big_ids,
 )
 from tidemark.schema import ACTIVITY, CANONICAL_COLUMNS, LANGUAGE_DAILY, MESSAGE, REPO_STARS_HOURLY, STAR
 from tidemark.session import work_dir
@@ -67,6 +68,7 @@ from tidemark.sources.store import (
 from tidemark.streaming.audit import batch_audit, batch_sizes, ingest_health, lag_by_partition, read_audit
 from tidemark.streaming.admission import ROCKSDB, admission_stream
 from tidemark.streaming.enrichment import enrich_changed, enrich_months, languages_of
+from tidemark.streaming.progress import ProgressLog, read_progress
 from tidemark.streaming.ingest import (
     Sinks,
     dedup_stream,
@@ -469,9 +471,9 @@ def enrich(spark, sf):
     return enriched_events(spark, sf)
 
 
-@query(f"{sql.BASE} SELECT {sql.UNENRICHED} FROM canon")
+@query(f"{sql.BASE} SELECT {sql.WIDE} FROM canon")
 def dedup(spark, sf):
-    events = sample_events(spark, sf)
+    events = with_big_ids(sample_events(spark, sf))
     return dedup_events(events.unionByName(events).unionByName(events.filter("repo_id > 50")))
 
 
@@ -683,56 +685,76 @@ def stream_dedup(spark, sf):
     return spark.read.parquet(out).select(*CANONICAL_COLUMNS)
 
 
-def _sample_audit(spark: SparkSession, sf: str) -> DataFrame:
-    """An audit table as daily batches would have left it; the end of partition 5 is unknown."""
-    checked = check_messages(bus_messages(sample_events(spark, sf)))
-    true_days = sample_events(spark, sf).select(F.col("event_id").cast("string").alias("key"), F.to_date("created_at").alias("day"))
-    return (
-        checked.drop("created_at")
-        .join(true_days, "key")
-        .groupBy("day", "partition")
-        .agg(
-            F.count("*").alias("consumed"),
-            F.count_if(F.col("error").isNull()).alias("inserted"),
-            F.count_if(F.col("error").isNotNull()).alias("dead_lettered"),
-            (F.max("offset") + 1).alias("position"),
-        )
-        .select(
-            F.dayofmonth("day").cast("bigint").alias("batch_id"),
-            F.col("day").cast("timestamp_ntz").alias("ts"),
-            "partition",
-            "consumed",
-            "inserted",
-            "dead_lettered",
-            "position",
-            F.when(F.col("partition") != 5, F.col("position") + F.col("partition") * 10).alias("end_offset"),
-            (F.col("partition").cast("double") / 4).alias("latency_seconds"),
-        )
-    )
+_PARTS = 4  # the messages arrive in so many parts; the last one is still on the bus when the stream stops
+
+
+def _observed_ingest(spark: SparkSession, sf: str) -> Sinks:
+    """An ingest of all parts but the last, one batch each, with the listener that keeps the engine's reports.
+
+    The bus knows the ends of all partitions but the fifth one, the last part included.
+    """
+    messages = bus_messages(sample_events(spark, sf))
+    folder, files = work_dir(spark, "messages"), max(2, spark.sparkContext.defaultParallelism)
+    columns = [F.col(f.name).cast(f.dataType) for f in MESSAGE.fields]
+    for part in range(_PARTS - 1):
+        arriving = messages.filter(F.col("offset") % _PARTS == part).select(*columns)
+        arriving.repartitionByRange(files, "partition", "offset").write.option("maxRecordsPerFile", 0).mode("append").parquet(f"{folder}/{part}")
+    ends = {r.partition: r.end for r in messages.groupBy("partition").agg((F.max("offset") + 1).alias("end")).collect()}
+    sinks, checkpoint = Sinks(work_dir(spark, "observed")), work_dir(spark, "checkpoint")
+    log = ProgressLog(spark, sinks)
+    spark.streams.addListener(log)
+    try:
+        for part in range(_PARTS - 1):
+            stream = read_event_stream(spark, files=f"{folder}/[0-{part}]")
+            known = {p: end for p, end in ends.items() if p != 5}
+            start_ingest(stream, sinks, checkpoint, {"availableNow": True}, lambda known=known: known).awaitTermination()
+            log.wait()
+    finally:
+        spark.streams.removeListener(log)
+    return sinks
+
+
+# The parts as the SQL sees them: one batch each, the last one not read.
+_BATCHES = f"""{sql.BUS},
+read AS (SELECT "offset" % 4 AS batch_id, * FROM checked WHERE "offset" % 4 < 3),
+ends AS (SELECT "partition", max("offset") + 1 AS end_offset FROM checked WHERE "partition" <> 5 GROUP BY 1)"""
 
 
-@query(f"""{sql.AUDIT}, lag AS (SELECT "partition", max_by(end_offset - position, batch_id) AS lag FROM audit
-  WHERE end_offset IS NOT NULL GROUP BY 1)
+@query(f"""{_BATCHES}, newest AS (SELECT "partition", max_by(position, batch_id) AS position FROM
+  (SELECT "partition", batch_id, max("offset") + 1 AS position FROM read GROUP BY 1, 2) GROUP BY 1),
+lag AS (SELECT "partition", end_offset - position AS lag FROM ends JOIN newest USING ("partition"))
 SELECT "partition", lag FROM lag UNION ALL SELECT NULL, CAST(sum(lag) AS BIGINT) FROM lag""")
 def partition_lag(spark, sf):
-    return lag_by_partition(_sample_audit(spark, sf))
+    return lag_by_partition(read_audit(spark, _observed_ingest(spark, sf).audit))
 
 
-@query(f"""{sql.AUDIT} SELECT CAST(ts AS TIMESTAMP) AS interval_start, count(DISTINCT batch_id) AS batches,
-  CAST(sum(consumed) AS BIGINT) AS consumed, CAST(sum(inserted) AS BIGINT) AS inserted, CAST(sum(dead_lettered) AS BIGINT) AS dead_lettered,
-  CAST(sum(consumed) AS BIGINT) / 86400 AS consumed_per_second, CAST(sum(inserted) AS BIGINT) / 86400 AS inserted_per_second,
-  100 * CAST(sum(dead_lettered) AS BIGINT) / CAST(sum(consumed) AS BIGINT) AS dead_letter_percent,
-  max(latency_seconds) AS slowest_seconds
-FROM audit GROUP BY ts""")
+@query(f"""{_BATCHES} SELECT TIMESTAMP '2024-01-01' + INTERVAL 1 DAY * batch_id AS interval_start, CAST(1 AS BIGINT) AS batches,
+  count(*) AS consumed, count(*) FILTER (error IS NULL) AS inserted, count(*) FILTER (error IS NOT NULL) AS dead_lettered,
+  count(*) / 86400 AS consumed_per_second, count(*) FILTER (error IS NULL) / 86400 AS inserted_per_second,
+  100 * count(*) FILTER (error IS NOT NULL) / count(*) AS dead_letter_percent, true AS timed
+FROM read GROUP BY batch_id""")
 def ingest_health_by_day(spark, sf):
-    return ingest_health(_sample_audit(spark, sf), "1 day")
+    """The clock of the run gives way to one day per batch, so that the result repeats."""
+    audit = read_audit(spark, _observed_ingest(spark, sf).audit)
+    day = F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(F.col("batch_id").cast("int"))
+    health = ingest_health(audit.withColumn("ts", day), "1 day")
+    return health.withColumn("timed", F.col("slowest_seconds") > 0).drop("slowest_seconds")
 
 
-@query(f"""{sql.AUDIT}, sizes AS (SELECT sum(inserted) AS size FROM audit GROUP BY batch_id)
+@query(f"""{_BATCHES}, sizes AS (SELECT count(*) FILTER (error IS NULL) AS size FROM read GROUP BY batch_id)
 SELECT up_to, (SELECT count(*) FROM sizes WHERE size <= coalesce(up_to, 1e18)) AS batches
 FROM (VALUES (1), (10), (100), (1000), (5000), (10000), (20000), (50000), (NULL)) t(up_to)""")
 def ingest_batch_sizes(spark, sf):
-    return batch_sizes(_sample_audit(spark, sf))
+    return batch_sizes(read_audit(spark, _observed_ingest(spark, sf).audit))
+
+
+@query(f"""{_BATCHES} SELECT batch_id, count(*) AS input_rows, count(*) AS consumed, true AS timed FROM read GROUP BY batch_id""")
+def engine_progress(spark, sf):
+    """The engine's reports beside the rows that the audit counted."""
+    sinks = _observed_ingest(spark, sf)
+    counted = read_audit(spark, sinks.audit).groupBy("batch_id").agg(F.sum("consumed").alias("consumed"))
+    reports = read_progress(spark, sinks).select("batch_id", "input_rows", (F.col("trigger_ms") >= F.col("add_batch_ms")).alias("timed"))
+    return reports.join(counted, "batch_id").select("batch_id", "input_rows", "consumed", "timed")
 
 
 @query(f"""{sql.BUS} SELECT CAST(7 AS BIGINT) AS batch_id, "partition", count(*) AS consumed,

@@ -47,17 +47,23 @@ FROM canon WHERE event_type = 'WatchEvent' AND created_at >= TIMESTAMP '{since}'
 GROUP BY repo_id HAVING {having} ORDER BY stars DESC, repo_id LIMIT {limit}"""
 
 
+# Ids in the upper half of the unsigned numbers, as the bits they are held in (see `tables.with_big_ids`).
+BIG_EVENT = "CAST(CASE WHEN repo_id = 85 THEN event_id - 9223372036854775808 ELSE event_id END AS BIGINT) AS event_id"
+BIG_ACTOR = "CAST(CASE WHEN repo_id = 84 THEN actor_id - 9223372036854775808 ELSE actor_id END AS BIGINT) AS actor_id"
+WIDE = UNENRICHED.replace("event_id", BIG_EVENT, 1).replace("actor_id", BIG_ACTOR, 1)
+
 # Raw feed lines: which are rejected and what remains (see `tables.raw_lines`).
 RAW = f"""{BASE},
 tagged AS (
   SELECT * REPLACE (
+      {BIG_EVENT}, {BIG_ACTOR},
       '' AS language,
       CAST(CASE WHEN repo_id IN (98, 99) THEN 0
            WHEN event_type = 'PushEvent' AND repo_id % 2 = 0 THEN strlen('{{"push_id":1,"size":1,"commits":[],"ref":"refs/heads/main"}}')
            WHEN event_type = 'PushEvent' THEN strlen('{{"push_id":1,"ref":"refs/heads/main"}}')
            WHEN event_type = 'CreateEvent' THEN strlen('{{"ref":"main","ref_type":"branch"}}')
            WHEN event_type = 'WatchEvent' THEN strlen('{{"action":"started"}}')
-           ELSE strlen('{{"ref":"ignored","n":' || event_id || '}}') END AS BIGINT) AS payload_size,
+           ELSE strlen('{{"ref":"ignored","n":' || canon.event_id || '}}') END AS BIGINT) AS payload_size,
       CASE WHEN repo_id IN (98, 99) THEN '' ELSE ref END AS ref,
       CASE WHEN repo_id = 97 THEN 0 ELSE org_id END AS org_id),
     CASE WHEN repo_id = 91 THEN 'bad_id' WHEN repo_id = 92 THEN 'no_type' WHEN repo_id = 93 THEN 'no_created_at'
@@ -80,7 +86,7 @@ lines AS (
 # Bus messages: which are poison (see `tables.bus_messages`).
 BUS = f"""{BASE},
 checked AS (
-  SELECT {UNENRICHED}, CAST(event_id % 6 AS INTEGER) AS "partition", event_id // 6 AS "offset",
+  SELECT {WIDE}, CAST(canon.event_id % 6 AS INTEGER) AS "partition", canon.event_id // 6 AS "offset",
     CASE WHEN repo_id IN (91, 96) THEN 'value is not a JSON object' WHEN repo_id = 92 THEN 'event_id is missing'
          WHEN repo_id = 93 THEN 'event_type is empty' WHEN repo_id = 94 THEN 'created_at is the zero time'
          WHEN repo_id = 95 THEN 'ref is not a string' END AS error
@@ -94,13 +100,3 @@ MESSAGE_VALUE = """CASE WHEN repo_id = 91 THEN 'not json' WHEN repo_id = 92 THEN
   || '","actor_id":' || actor_id || ',"actor_login":"' || actor_login || '","repo_id":' || repo_id || ',"repo_name":"' || repo_name
   || '","org_id":' || org_id || ',"language":"","payload_size":' || payload_size || ',"ref":'
   || CASE WHEN repo_id = 95 THEN '7' ELSE '"' || ref || '"' END || '}' || CASE WHEN repo_id = 96 THEN ' tail' ELSE '' END END"""
-
-AUDIT = f"""{BUS},
-audit AS (
-  SELECT CAST(day(created_at) AS BIGINT) AS batch_id, date_trunc('day', created_at) AS ts, "partition",
-    count(*) AS consumed, count(*) FILTER (error IS NULL) AS inserted, count(*) FILTER (error IS NOT NULL) AS dead_lettered,
-    max("offset") + 1 AS position,
-    CASE WHEN "partition" <> 5 THEN max("offset") + 1 + "partition" * 10 END AS end_offset,
-    CAST("partition" AS DOUBLE) / 4 AS latency_seconds
-  FROM checked GROUP BY 1, 2, 3
-)"""

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import second_of, to_rfc3339, ts_lit
+from tidemark.functions.unsigned import to_text
 from tidemark.operators.enrich import enrich_language
 from tidemark.schema import CANONICAL_COLUMNS, CORRUPT, CREATE, FORK, ISSUES, PUSH, RAW, STAR
 from tidemark.sources.bus import to_bus_messages
@@ -81,10 +82,26 @@ def enriched_events(spark: SparkSession, sf_dir: str, **narrow) -> DataFrame:
 BAD_ID, NO_TYPE, NO_TIME, BROKEN, NUMBER_ID, NEGATIVE_ACTOR, NULL_ORG, NULL_PAYLOAD, NO_PAYLOAD = range(91, 100)
 
 
+# A repository whose event ids lie in the upper half of the unsigned 64-bit numbers, and one whose actor ids do.
+BIG_EVENTS, BIG_ACTORS = 85, 84
+UPPER_HALF = -(1 << 63)
+
+
+def with_big_ids(events: DataFrame) -> DataFrame:
+    """The events of those repositories with 2^63 added to their ids."""
+    return events.withColumns(
+        {
+            name: F.when(F.col("repo_id") == repo, F.col(name) + F.lit(UPPER_HALF)).otherwise(F.col(name))
+            for name, repo in (("event_id", BIG_EVENTS), ("actor_id", BIG_ACTORS))
+        }
+    )
+
+
 def raw_lines(events: DataFrame) -> DataFrame:
-    """Every event as one line of raw feed JSON (`line`), some of them damaged."""
+    """Every event as one line of raw feed JSON (`line`), some of them damaged, some with big ids."""
     repo, kind = F.col("repo_id"), F.col("event_type")
-    eid = F.col("event_id").cast("string")
+    events = with_big_ids(events.withColumn("_id", F.col("event_id")))
+    eid, number = to_text("event_id"), F.col("_id").cast("string")
     push = F.when(
         repo % 2 == 0, F.lit('{"push_id":1,"size":1,"commits":[],"ref":"refs/heads/main"}')
     ).otherwise(F.lit('{"push_id":1,"ref":"refs/heads/main"}'))
@@ -92,7 +109,7 @@ def raw_lines(events: DataFrame) -> DataFrame:
         F.when(kind == PUSH, push)
         .when(kind == CREATE, F.lit('{"ref":"main","ref_type":"branch"}'))
         .when(kind == STAR, F.lit('{"action":"started"}'))
-        .otherwise(F.concat(F.lit('{"ref":"ignored","n":'), eid, F.lit("}")))
+        .otherwise(F.concat(F.lit('{"ref":"ignored","n":'), number, F.lit("}")))
     )
 
     def field(name: str, value: Column) -> Column:
@@ -104,7 +121,7 @@ def raw_lines(events: DataFrame) -> DataFrame:
     def entity(*fields: Column) -> Column:
         return F.concat(F.lit("{"), F.concat_ws(",", *fields), F.lit("}"))
 
-    actor_id = F.when(repo == NEGATIVE_ACTOR, F.lit("-5")).otherwise(F.col("actor_id").cast("string"))
+    actor_id = F.when(repo == NEGATIVE_ACTOR, F.lit("-5")).otherwise(to_text("actor_id"))
     org = F.when(repo == NULL_ORG, field("org", F.lit("null"))).when(
         F.col("org_id") > 0, field("org", entity(field("id", F.col("org_id").cast("string"))))
     )
@@ -157,8 +174,9 @@ def raw_events(events: DataFrame) -> DataFrame:
 
 def bus_messages(events: DataFrame) -> DataFrame:
     """Messages of six source partitions, offsets rising with the event id; five kinds of poison."""
-    good = to_bus_messages(events.withColumn("event_type", F.when(F.col("repo_id") == 93, "").otherwise(F.col("event_type"))))
-    eid = F.col("key").cast("bigint")
+    typed = events.withColumn("event_type", F.when(F.col("repo_id") == 93, "").otherwise(F.col("event_type")))
+    good = to_bus_messages(with_big_ids(typed))
+    eid = (F.col("key").cast("decimal(20,0)") % F.lit(1 << 62).cast("decimal(20,0)")).cast("bigint")
     repo = F.get_json_object("value", "$.repo_id").cast("int")
     value = (
         F.when(repo == 91, F.lit("not json"))

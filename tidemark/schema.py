@@ -8,26 +8,27 @@ from pyspark.sql import types as T
 
 CORRUPT = "_corrupt_record"
 
-# Raw feed event. Texts are VARIANT, because a STRING column would silently accept a number there; for
-# BIGINT the JSON reader itself is strict. `payload` stays STRING: the JSON file readers copy its exact
-# source bytes. Only the listed members of the embedded objects are built, the reader skips the rest.
+# Raw feed event. Texts are VARIANT, because a STRING column would silently accept a number there, and so are ids, because a
+# BIGINT column would refuse the upper half of the unsigned numbers. `payload` stays STRING: the archive and page readers
+# copy its exact source bytes. Only the listed members of the embedded objects are built, the reader skips the rest.
 RAW = T.StructType(
     [
         T.StructField("id", T.VariantType()),
         T.StructField("type", T.VariantType()),
         T.StructField("created_at", T.VariantType()),
         T.StructField(
-            "actor", T.StructType([T.StructField("id", T.LongType()), T.StructField("login", T.VariantType())])
+            "actor", T.StructType([T.StructField("id", T.VariantType()), T.StructField("login", T.VariantType())])
         ),
         T.StructField(
-            "repo", T.StructType([T.StructField("id", T.LongType()), T.StructField("name", T.VariantType())])
+            "repo", T.StructType([T.StructField("id", T.VariantType()), T.StructField("name", T.VariantType())])
         ),
-        T.StructField("org", T.StructType([T.StructField("id", T.LongType())])),
+        T.StructField("org", T.StructType([T.StructField("id", T.VariantType())])),
         T.StructField("payload", T.StringType()),
         T.StructField(CORRUPT, T.StringType()),
     ]
 )
 
+# The four ids are unsigned 64-bit numbers, held as their bits (see `functions.unsigned`).
 CANONICAL = T.StructType(
     [
         T.StructField("event_id", T.LongType(), False),
@@ -44,6 +45,7 @@ CANONICAL = T.StructType(
     ]
 )
 CANONICAL_COLUMNS = CANONICAL.fieldNames()
+ID_COLUMNS = ["event_id", "actor_id", "repo_id", "org_id"]
 
 # What a message source delivers, whatever the transport.
 MESSAGE = T.StructType(

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import to_rfc3339
-from tidemark.schema import CANONICAL_COLUMNS, MESSAGE
+from tidemark.functions.unsigned import to_decimal, to_text
+from tidemark.schema import CANONICAL_COLUMNS, ID_COLUMNS, MESSAGE
 
 # --- fixed values of the dead-letter format ---
 HEADER_ERROR = "x-error"
@@ -18,9 +19,10 @@ HEADER_SOURCE_OFFSET = "x-source-offset"
 
 def to_bus_messages(events: DataFrame) -> DataFrame:
     """key = decimal event id, value = canonical JSON in column order. The broker sets the timestamp."""
-    fields = [to_rfc3339("created_at").alias(c) if c == "created_at" else F.col(c) for c in CANONICAL_COLUMNS]
+    written = {"created_at": to_rfc3339("created_at")} | {c: to_decimal(c) for c in ID_COLUMNS}
+    fields = [written.get(c, F.col(c)).alias(c) for c in CANONICAL_COLUMNS]
     return events.select(
-        F.col("event_id").cast("string").alias("key"),
+        to_text("event_id").alias("key"),
         F.to_json(F.struct(*fields)).alias("value"),
     )
 

@@ -9,6 +9,7 @@ its own part.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -27,14 +28,15 @@ FLUSH = b"\x00\x00\xff\xff"  # an empty stored block: what follows begins at a b
 PROOF = 1 << 12  # raw bytes that a flush must reproduce to count as one
 
 
+def _system(uri: str) -> tuple[fs.FileSystem, str]:
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
 @contextmanager
 def open_file(uri: str) -> Iterator[pa.NativeFile]:
-    if uri.startswith("file:"):
-        system, path = fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    elif "://" in uri:
-        system, path = fs.FileSystem.from_uri(uri)
-    else:
-        system, path = fs.LocalFileSystem(), uri
+    system, path = _system(uri)
     with system.open_input_file(path) as file:
         yield file
 
@@ -229,87 +231,113 @@ def framed(part: Part, limit: int) -> Iterator[tuple[bytes, np.ndarray, np.ndarr
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 13, 32]] = True
-_DEPTH = np.zeros(256, np.int64)
+_DEPTH = np.zeros(256, np.int32)
 _DEPTH[[ord("{"), ord("[")]] = 1
 _DEPTH[[ord("}"), ord("]")]] = -1
 _MARKS = np.zeros(256, bool)
-_MARKS[[ord(c) for c in '{}[],:']] = True
-
-
-def _unescaped_quotes(raw: np.ndarray) -> np.ndarray:
-    quotes = np.flatnonzero(raw == 34)
-    odd = np.zeros(len(quotes), bool)
-    open_runs = np.flatnonzero((quotes > 0) & (raw[quotes - 1] == 92))
-    back = quotes[open_runs] - 1
-    while len(open_runs):  # as many turns as the longest run of backslashes
-        odd[open_runs] ^= True
+_MARKS[[ord(c) for c in '"{}[],:']] = True
+_TURNS = 32
+
+
+def _past_blanks(raw: np.ndarray, at: np.ndarray, stop: np.ndarray, step: int) -> np.ndarray:
+    """Walk from `at` towards `stop` (not included) to the first byte that is no blank; `stop` if there is none."""
+    at = at.copy()
+    rows = np.flatnonzero(at != stop)
+    for turn in range(1 << 62):
+        rows = rows[_BLANK[raw[at[rows]]]]
+        if not len(rows):
+            break
+        if turn == _TURNS:  # a few very long runs of blanks
+            for row in rows.tolist():
+                part = raw[at[row] : stop[row]] if step > 0 else raw[stop[row] + 1 : at[row] + 1][::-1]
+                solid = np.flatnonzero(~_BLANK[part])
+                at[row] = at[row] + step * int(solid[0]) if len(solid) else stop[row]
+            break
+        at[rows] += step
+        rows = rows[at[rows] != stop[rows]]
+    return at
+
+
+def _unescaped(raw: np.ndarray, marks: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """False for quotes behind an odd run of backslashes."""
+    plain = np.ones(len(marks), bool)
+    rows = np.flatnonzero((kind == 34) & (marks > 0))
+    rows = rows[raw[marks[rows] - 1] == 92]
+    back = marks[rows] - 1
+    while len(rows):  # as many turns as the longest run of backslashes
+        plain[rows] ^= True
         more = (back > 0) & (raw[back - 1] == 92)
-        open_runs, back = open_runs[more], back[more] - 1
-    return quotes[~odd]
+        rows, back = rows[more], back[more] - 1
+    return plain
 
 
 def member_spans(data: bytes, begins: np.ndarray, ends: np.ndarray, member: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of every line: does it hold one object and nothing else, and begin and end of that member's value (-1: no member).
 
-    Works on the marks of all lines of a block at once. A line that is no JSON inside its braces may pass here; the JSON
-    parser sees that. Of several members with the name the last one counts, as in the parser.
+    Works on the marks of all lines of a block at once; `begins` and `ends` are those of the lines that are not empty. A line
+    that is no JSON inside its braces may pass here; the JSON parser sees that. Of several members with the name the
+    last one counts, as in the parser.
     """
-    raw = np.frombuffer(data, np.uint8)
-    lines = len(begins)
-    quotes = _unescaped_quotes(raw)
-    first_quote = np.searchsorted(quotes, begins)
+    raw, lines = np.frombuffer(data, np.uint8), len(begins)
+    whole, begin, end = np.zeros(lines, bool), np.full(lines, -1, np.int64), np.full(lines, -1, np.int64)
     marks = np.flatnonzero(_MARKS[raw])
-    line = np.searchsorted(begins, marks, "right") - 1
-    inside = (line >= 0) & (marks < ends[np.maximum(line, 0)]) if lines else np.zeros(len(marks), bool)
-    marks, line = marks[inside], line[inside]
-    quoted = (np.searchsorted(quotes, marks) - first_quote[line]) % 2 == 1
-    marks, line = marks[~quoted], line[~quoted]
     kind = raw[marks]
+    plain = _unescaped(raw, marks, kind)
+    marks, kind = marks[plain], kind[plain]
+    if not len(marks):
+        return whole, begin, end
+    quote = kind == 34
+    quotes = np.cumsum(quote, dtype=np.int32)
+
+    def per_line(running: np.ndarray, firsts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """A running total that starts anew in each line."""
+        before = np.where(firsts > 0, running[np.maximum(firsts - 1, 0)], 0)
+        return running - np.repeat(before, counts)
+
+    firsts = np.searchsorted(marks, begins)
+    counts = np.diff(np.append(firsts, len(marks)))
+    outside = (per_line(quotes, firsts, counts) & 1) == 0  # also true for closing quotes
+    opening = marks[quote & ~outside]
+    used = outside & ~quote
+    marks, kind = marks[used], kind[used]
+    if not len(marks):
+        return whole, begin, end
+    firsts = np.searchsorted(marks, begins)
+    counts = np.diff(np.append(firsts, len(marks)))
     step = _DEPTH[kind]
-    total = np.cumsum(step)
-    at = np.searchsorted(marks, begins)  # first mark of each line
-    base = np.where(at > 0, total[np.maximum(at - 1, 0)], 0) if len(marks) else np.zeros(lines, np.int64)
-    depth = total - base[line]  # after the mark
-
-    solid = np.flatnonzero(~_BLANK[raw])
-    first_solid = np.searchsorted(solid, begins)
-    last_solid = np.searchsorted(solid, ends) - 1
-    filled = first_solid <= last_solid
-    opened = np.zeros(lines, bool)
-    opened[filled] = raw[solid[first_solid[filled]]] == ord("{")
-    # The object is whole if its last brace is the first mark at depth 0 and the last thing on the line.
+    depth = per_line(np.cumsum(step, dtype=np.int32), firsts, counts)  # after the mark
+
+    # The object is whole if the line begins with a brace and the first mark at depth 0 ends the line.
+    first = _past_blanks(raw, begins, ends, 1)
+    last = _past_blanks(raw, ends - 1, begins - 1, -1)
     closes = np.flatnonzero((depth == 0) & (step == -1))
-    first_close = np.searchsorted(marks[closes], begins) if len(closes) else np.zeros(lines, np.int64)
-    found = first_close < len(closes)
-    end_of_object = np.full(lines, -1, np.int64)
-    end_of_object[found] = marks[closes[first_close[found]]]
-    whole = opened & found & (end_of_object < ends)
-    whole[whole] = solid[last_solid[whole]] == end_of_object[whole]
-
-    # Names: quotes that open a string at depth 1, hold the name and are followed by a colon.
+    close = np.searchsorted(closes, firsts)
+    found = (close < len(closes)) & (first < ends)
+    rows = np.flatnonzero(found)
+    rows = rows[raw[first[rows]] == ord("{")]
+    whole[rows] = marks[closes[close[rows]]] == last[rows]
+
+    # Names: strings at depth 1 that are followed by a colon.
     name = f'"{member}"'.encode()
-    opening = quotes[(np.arange(len(quotes)) - first_quote[np.maximum(np.searchsorted(begins, quotes, "right") - 1, 0)]) % 2 == 0] if lines else quotes[:0]
-    opening = opening[opening + len(name) <= len(raw)]
-    for k, byte in enumerate(name):
-        opening = opening[raw[opening + k] == byte]
-    after = np.searchsorted(marks, opening + len(name))
-    opening, after = opening[after < len(marks)], after[after < len(marks)]
-    row = np.searchsorted(begins, opening, "right") - 1
-    level = np.where(after > 0, depth[np.maximum(after - 1, 0)], 0) if len(marks) else after
-    good = (kind[after] == ord(":")) & (level == 1) & (line[after] == row) & (line[np.maximum(after - 1, 0)] == row)
-    good &= np.searchsorted(solid, opening + len(name)) == np.searchsorted(solid, marks[after])  # blanks only before the colon
-    colon, row = after[good], row[good]
-    ends_value = np.flatnonzero(((kind == ord(",")) & (depth == 1)) | ((depth == 0) & (step == -1)))
-    place = np.searchsorted(ends_value, colon + 1)
-    good = place < len(ends_value)
-    colon, row, place = colon[good], row[good], place[good]
-    stop = marks[ends_value[place]]
-    begin = np.full(lines, -1, np.int64)
-    end = np.full(lines, -1, np.int64)
-    good = line[ends_value[place]] == row
+    named = np.array([m.start() for m in re.finditer(re.escape(name), data)], np.int64)
+    place = np.searchsorted(opening, named)
+    named = named[(place < len(opening)) & (opening[np.minimum(place, len(opening) - 1)] == named)] if len(opening) else named[:0]
+    line = np.searchsorted(begins, named, "right") - 1
+    colon = np.searchsorted(marks, named)
+    good = (colon < firsts[line] + counts[line]) & (colon > firsts[line])
+    named, line, colon = named[good], line[good], colon[good]
+    good = (kind[colon] == ord(":")) & (depth[colon - 1] == 1)
+    good &= _past_blanks(raw, named + len(name), marks[colon], 1) == marks[colon]
+    line, colon = line[good], colon[good]
+    stops = np.flatnonzero(((kind == ord(",")) & (depth == 1)) | ((depth == 0) & (step == -1)))
+    place = np.searchsorted(stops, colon)
+    good = place < len(stops)
+    line, colon, stop = line[good], colon[good], stops[place[good]]
+    good = stop < firsts[line] + counts[line]
+    line, colon, stop = line[good], marks[colon[good]], marks[stop[good]]
     # Assignments run in order, so the last member of a name wins.
-    begin[row[good]] = solid[np.minimum(np.searchsorted(solid, marks[colon[good]] + 1), len(solid) - 1)]
-    end[row[good]] = solid[np.searchsorted(solid, stop[good]) - 1] + 1
+    begin[line] = _past_blanks(raw, colon + 1, stop, 1)
+    end[line] = _past_blanks(raw, stop - 1, colon, -1) + 1
     begin[end <= begin] = -1
     return whole, begin, end
 
@@ -345,12 +373,16 @@ class _Reader(DataSourceReader):
                 for row in json.loads(file.read().decode()):
                     restarts = [Restart(a, b, bytes.fromhex(w) if w is not None else None) for a, b, w in row["restarts"]]
                     parts[row["file"]] = parts_of(row["file"], row["raw_size"], restarts, row["parts"])
-        found = []
-        for file in self.files:
-            with open_file(file):  # a missing file fails the query before its first task
-                pass
-            found += parts.get(file, [Part(file, BEGIN, 0, None)])
-        return found
+        self._check_files()
+        return [part for file in self.files for part in parts.get(file, [Part(file, BEGIN, 0, None)])]
+
+    def _check_files(self) -> None:
+        """A missing file fails the query before its first task; all files are asked for at once."""
+        if self.files:
+            system = _system(self.files[0])[0]
+            for info in system.get_file_info([_system(file)[1] for file in self.files]):
+                if info.type != fs.FileType.File:
+                    raise FileNotFoundError(info.path)
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         name = part.uri.rpartition("/")[2]
