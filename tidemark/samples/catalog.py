@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import timedelta
+from functools import reduce
 from itertools import pairwise
 
 from pyspark.sql import DataFrame, SparkSession
@@ -35,6 +36,20 @@ from tidemark.operators.rollups import (
     repo_stars_hourly,
     write_rollups,
 )
+from tidemark.operators.sketches import (
+    CORPUS_DAILY,
+    FREQUENT_KEYS,
+    KEYS_DAILY,
+    KLL_RANK_ERROR,
+    PAYLOAD_DAILY,
+    corpus_from_sketches,
+    fold_sketches,
+    heavy_keys,
+    key_bounds,
+    read_sketches,
+    sizes_from_sketches,
+    write_sketches,
+)
 from tidemark.operators.validate import check_messages, poison_messages, valid_events
 from tidemark.plans import activity, cards, completeness, corpus, languages
 from tidemark.plans import trending as top
@@ -273,6 +288,70 @@ def corpus_stats_approx(spark, sf):
     )
 
 
+def _sketched(spark: SparkSession, sf: str, *names: str) -> str:
+    """Daily sketches of three loads, of which one is run again and two are folded."""
+    root, events = work_dir(spark, "sketches"), sample_events(spark, sf)
+    for number in (0, 1, 2, 1):
+        write_sketches(events.filter(F.col("event_id") % 3 == number), root, batch_load("live", number), list(names))
+    for name in names:
+        fold_sketches(spark, root, name, "live", 2)
+    return root
+
+
+@query(f"""{sql.BASE} SELECT count(*) AS events_total, min(created_at) AS oldest, max(created_at) AS newest,
+  date_diff('second', max(created_at), TIMESTAMP '{AS_OF}') AS ingest_lag_seconds, true AS repos_close, true AS actors_close FROM canon""")
+def corpus_stats_sketched(spark, sf):
+    """The corpus figures from stored daily sketches, beside exact distinct counts."""
+    days = read_sketches(spark, _sketched(spark, sf, CORPUS_DAILY), CORPUS_DAILY)
+    exact = corpus.corpus_stats(sample_events(spark, sf), AS_OF, exact=True).select(
+        "events_total", F.col("distinct_repos").alias("r"), F.col("distinct_actors").alias("a")
+    )
+    both = corpus_from_sketches(days, AS_OF).join(exact, "events_total")
+    return both.select(
+        "events_total",
+        "oldest",
+        "newest",
+        "ingest_lag_seconds",
+        (F.abs(F.col("distinct_repos") - F.col("r")) <= 0.03 * F.col("r")).alias("repos_close"),
+        (F.abs(F.col("distinct_actors") - F.col("a")) <= 0.03 * F.col("a")).alias("actors_close"),
+    )
+
+
+@query(f"""{sql.BASE} SELECT event_type, 'old' AS epoch, count(*) AS events, min(payload_size) AS min_size, max(payload_size) AS max_size,
+  true AS p50_close, true AS p90_close FROM canon GROUP BY 1""")
+def payload_sizes_sketched(spark, sf):
+    """Sizes at ranks 0.5 and 0.9 from stored daily sketches; close means that the exact ranks around them hold the wanted one."""
+    days = read_sketches(spark, _sketched(spark, sf, PAYLOAD_DAILY), PAYLOAD_DAILY)
+    found = sizes_from_sketches(days, (0.5, 0.9)).alias("f")
+    sizes = sample_events(spark, sf).groupBy("event_type", "payload_size").agg(F.count("*").alias("n")).alias("s")
+    total = F.first("events")
+
+    def close(rank: float, value: str):
+        below, upto = (F.sum(F.when(c, F.col("n")).otherwise(0)) / total for c in (F.col("payload_size") < F.col(value), F.col("payload_size") <= F.col(value)))
+        return ((below <= rank + KLL_RANK_ERROR) & (upto >= rank - KLL_RANK_ERROR)).alias(f"{value}_close")
+
+    return found.join(sizes, "event_type").groupBy("event_type", "epoch", "events", "min_size", "max_size").agg(close(0.5, "p50"), close(0.9, "p90"))
+
+
+@query(f"""{sql.BASE}, n AS (SELECT 'repo_id' AS "key", count(*) AS n FROM canon GROUP BY repo_id
+  UNION ALL SELECT 'actor_id', count(*) FROM canon GROUP BY actor_id)
+SELECT "key", CAST(sum(n) AS BIGINT) AS events, max(n) AS largest, true AS inside FROM n GROUP BY 1""")
+def key_bounds_sketched(spark, sf):
+    """Bounds of the largest key from stored summaries, beside its exact count."""
+    days = read_sketches(spark, _sketched(spark, sf, KEYS_DAILY), KEYS_DAILY)
+    exact = key_frequency(sample_events(spark, sf), FREQUENT_KEYS).select("key", "largest")
+    bounds = reduce(DataFrame.unionByName, [key_bounds(days, k) for k in FREQUENT_KEYS]).join(exact, "key")
+    return bounds.select("key", "events", "largest", F.col("largest").between(F.col("largest_least"), F.col("largest_most")).alias("inside"))
+
+
+@query(f"""{sql.BASE} SELECT repo_id, count(*) AS n, count(*) / (SELECT count(*) FROM canon) AS share FROM canon GROUP BY 1
+HAVING count(*) >= 0.0105 * (SELECT count(*) FROM canon) ORDER BY n DESC, repo_id""")
+def heavy_repos(spark, sf):
+    """Repositories with at least 1.05 % of all events: named by the summaries, counted exactly."""
+    days = read_sketches(spark, _sketched(spark, sf, KEYS_DAILY), KEYS_DAILY)
+    return heavy_keys(sample_events(spark, sf), days, "repo_id", 0.0105)
+
+
 _IN_RANGE = f"created_at >= TIMESTAMP '{RANGE[0]}' AND created_at < TIMESTAMP '{RANGE[1]}'"
 _MISSING = f"""{sql.BASE}, present AS (SELECT DISTINCT CAST(date_trunc('hour', created_at) AS TIMESTAMP) AS hour
   FROM canon WHERE {_IN_RANGE}),

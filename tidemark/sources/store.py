@@ -384,15 +384,14 @@ def fold_loads(
 
     The name says which loads it holds, in every table alike. Whatever is loaded meanwhile is not among what goes.
     """
-    columns = [part.strip().split(" ")[0] for part in schema.split(",")]
     finish_replacements(spark, path)
     merged = f"{first}~{last}"
     for month in stored_months(spark, path):
         names = [n for n in month_loads(spark, path, month) if _holds(merged, n)]
         if len(names) < 2:
             continue
-        rows = read_table(spark, path, schema, [month]).filter(F.col(LOAD).isin(names)).select(*columns)
-        rows = (change(rows) if change else rows).select(*columns)
+        rows = read_table(spark, path, schema, [month]).filter(F.col(LOAD).isin(names)).drop(MONTH, LOAD)
+        rows = (change(rows) if change else rows).select(*rows.columns)
         rows = rows.withColumn(MONTH, F.lit(month)).withColumn(LOAD, F.lit(merged))
         _replace(rows, path, [(month, merged)], order, spread, bloom, {})
 

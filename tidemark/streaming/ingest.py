@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.normalize import observe_rejects, tag_events, usable
 from tidemark.operators.rollups import fold_rollup, fold_rollup_loads, write_rollups
+from tidemark.operators.sketches import SKETCH_SCHEMAS, fold_sketches, write_sketches
 from tidemark.operators.validate import check_messages, poison_messages, valid_events
 from tidemark.schema import AUDIT, CANONICAL_COLUMNS, ROLLUP_SCHEMAS
 from tidemark.session import run_together
@@ -73,6 +74,10 @@ class Sinks:
     def rollups(self) -> str:
         return f"{self.root}/rollups"
 
+    @property
+    def sketches(self) -> str:
+        return f"{self.root}/sketches"
+
     @property
     def audit(self) -> str:
         return f"{self.root}/audit"
@@ -119,6 +124,7 @@ def write_batch(
     end_offsets: Callable[[], dict[int, int]] | None = None,
     rollups: bool = True,
     retries: int = 0,
+    sketches: bool = False,
 ) -> None:
     """Store one micro-batch in every sink.
 
@@ -144,6 +150,8 @@ def write_batch(
         steps = [store_events]
         if rollups:
             steps.append(lambda: maintain_rollups(valid_events(checked), sinks, batch_id))
+        if sketches:
+            steps.append(lambda: write_sketches(valid_events(checked), sinks.sketches, load))
         run_together(messages.sparkSession, *steps)
 
     try:
@@ -161,6 +169,7 @@ def start_ingest(
     rollups: bool = True,
     retries: int = DEFAULT_RETRIES,
     beside: bool = False,
+    sketches: bool = False,
 ) -> StreamingQuery:
     """One query for the whole write path. Batch size is bounded by the source (`maxOffsetsPerTrigger`)
     and by the trigger, whichever comes first; the offset is committed after all writes succeeded.
@@ -169,6 +178,7 @@ def start_ingest(
     batches. A new checkpoint on sinks that other streams have filled would read its source from the start
     once more; that is refused unless `beside` says that the source is another one.
 
+    `sketches` also maintains the daily sketches (`operators.sketches`), of which the corpus figures can then be read.
     Without `end_offsets` the audit takes the newest offsets from the query's own progress: those of the
     batch before, as the source reported them.
     """
@@ -185,7 +195,7 @@ def start_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         started.wait()
         own = replace(sinks, stream=stream_identity(running[0]))
-        write_batch(batch, batch_id, own, end_offsets or ends, rollups, retries)
+        write_batch(batch, batch_id, own, end_offsets or ends, rollups, retries, sketches)
 
     running.append(
         messages.writeStream.queryName(sinks.name)
@@ -208,6 +218,8 @@ def fold_finished(spark: SparkSession, sinks: Sinks, below: int) -> None:
     fold_events(spark, sinks.events, sinks.writer, below)
     for name in ROLLUP_SCHEMAS:
         fold_rollup(spark, sinks.rollups, name, sinks.writer, below)
+    for name in SKETCH_SCHEMAS:
+        fold_sketches(spark, sinks.sketches, name, sinks.writer, below)
     fold_batches(spark, sinks.dead_letters, DEAD_LETTERS, sinks.writer, below, ["source_partition", "source_offset"], ["source_partition"])
     fold_batches(spark, sinks.audit, AUDIT, sinks.writer, below, ["batch_id", "partition"], ["partition"])
 
@@ -226,7 +238,9 @@ def dedup_stream(events: DataFrame, horizon: str) -> DataFrame:
     )
 
 
-def ingest_archive(spark: SparkSession, base: str, start: str, end: str | None, sinks: Sinks) -> dict[str, int]:
+def ingest_archive(
+    spark: SparkSession, base: str, start: str, end: str | None, sinks: Sinks, sketches: bool = False
+) -> dict[str, int]:
     """Load archive hours into the event table and its roll-ups; returns seen and rejected line counts.
 
     The source is parsed once: the reject counters ride along with the write, and the roll-ups are built
@@ -245,6 +259,8 @@ def ingest_archive(spark: SparkSession, base: str, start: str, end: str | None,
     write_events(named, sinks.events, loads)
     stored = read_table(spark, sinks.events, EVENTS_DDL).filter(F.col(LOAD).between(*loads))
     write_rollups(stored.select(*CANONICAL_COLUMNS, LOAD), sinks.rollups, loads)
+    if sketches:
+        write_sketches(stored.select(*CANONICAL_COLUMNS, LOAD), sinks.sketches, loads)
     return counters.get
 
 
