@@ -150,5 +150,11 @@ def test_one_row_of_each_component_stays(spark):
     assert jaccard_components(docs.limit(0)).collect() == []
 
 
+def test_columns_with_clashing_names_stay(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3, 4), (2, "a b c d e f", 5, 6, 7, 8), (3, "x", 9, 9, 9, 9)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, __hash INT, __id INT, __filled INT, __text_hash INT")
+    assert sorted(map(tuple, keep_one_of_each(docs).collect())) == [rows[0], rows[2]]
+
+
 def test_query_equals_sql(spark, reference):
     same_rows(QUERIES["op6_partition_join"](spark, SF), reference, SQL["op6_partition_join"])

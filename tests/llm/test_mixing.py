@@ -75,7 +75,28 @@ def test_empty_and_wordless(spark):
     assert [r.mix.copies for r in rows] == [0, 0] and [r.mix.target for r in rows] == [0.0, 0.0]
 
 
-def test_repeated_rows_are_taken_together(spark):
-    docs = make(spark, [(1, "a", "x y", 1)] * 3 + [(2, "b", "x y z", 1)] * 2)
-    rows = mix_sources(docs).collect()
-    assert len({(r.doc_id, r.mix.copies) for r in rows}) == 2
+def test_repeated_rows_are_cut_one_by_one(spark, reference):
+    """300 equal rows and 100 others in one source; the cut falls among the equal ones."""
+    rows = [(7, "big", "w " * 10, 1)] * 300 + [(1000 + i, "big", "v " * 10, 1) for i in range(100)]
+    rows += [(5000 + i, f"s{i % 3}", "u " * 10, 1) for i in range(120)]
+    docs = make(spark, rows).repartition(3)
+    found = mix_sources(docs).collect()
+    for source in {r.source for r in found}:
+        own = [r for r in found if r.source == source]
+        assert abs(sum(r.mix.size * r.mix.copies for r in own) - own[0].mix.target) <= 10
+    assert len({r.mix.copies for r in found if r.doc_id == 7}) == 2
+    path = spark.sparkContext.getConf().get("spark.checkpoint.dir") + "/mix-repeated"
+    docs.drop("mix").write.parquet(path)
+    ours = mix_sources(spark.read.parquet(path)).selectExpr("doc_id", "mix.size", "mix.source_size", "mix.target", "mix.size * mix.copies AS taken")
+    import duckdb
+
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/*.parquet'")
+    same_rows(ours, connection, SQL["op9_weighted_fair_mix"])
+
+
+def test_columns_of_the_mixing_itself_stay(spark):
+    rows = [(1, "a", "x y", 7, 8, 9, 10, 11, 12)]
+    docs = spark.createDataFrame(rows, "doc_id INT, source STRING, text STRING, __h1 INT, __size INT, __H2 INT, __row INT, __copy INT, __mix INT")
+    assert {tuple(r) for r in mixed_documents(docs).collect()} == set(rows)
+    assert tuple(mix_sources(docs).first())[:9] == rows[0]

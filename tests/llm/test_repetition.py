@@ -69,3 +69,9 @@ def test_rows_and_columns_stay(spark):
     kept = keep_unrepetitive(docs)
     assert kept.columns == docs.columns and [r.doc_id for r in kept.collect()] == [1, 1]
     assert set(COUNTS) <= set(rows[0].repetition.asDict())
+
+
+def test_a_column_of_the_same_name_stays(spark):
+    text = " ".join(f"w{i}" for i in range(40))
+    docs = spark.createDataFrame([(1, text, 5), (2, "few", 6)], "doc_id INT, text STRING, __repetition INT")
+    assert [tuple(r) for r in keep_unrepetitive(docs).collect()] == [(1, text, 5)]

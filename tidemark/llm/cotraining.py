@@ -18,6 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.columns import unused
 from tidemark.llm.text import buffers_of, lines_of, mix, slices, span_hashes, words_of
 
 # At most this many labelled documents (those with the smallest seeded hash of their id) are used for fitting. The ids
@@ -343,5 +344,6 @@ def with_quality(
 
 def keep_good(docs: DataFrame, model: Model, text: str = "text", **options) -> DataFrame:
     """The rows that the classifier keeps, with the columns they came with."""
-    judged = with_quality(docs, model, text, out="__quality", **options)
-    return judged.filter(F.col("__quality.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (out,) = unused(docs, "quality")
+    judged = with_quality(docs, model, text, out=out, **options)
+    return judged.filter(F.col(f"{out}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.llm.columns import unused
 from tidemark.llm.components import components
 from tidemark.llm.text import buffers_of, mix, slices, windows, words_of
 from tidemark.session import work_dir
@@ -468,12 +469,11 @@ def keep_one_of_each(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     Of rows that are equal in id and text one stays (which one of equal rows differs in other columns is not defined).
     """
     judged = jaccard_components(docs, doc_id, text, words, percent).filter("keeper")
-    stays = judged.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), (F.col("n_shingles") > 0).alias("__filled")).distinct()
-    marked = docs.withColumn("__text_hash", F.xxhash64(text))
-    joined = marked.join(
-        stays, (F.col("__text_hash") == F.col("__hash")) & F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col("__id"))
-    )
+    own, id, hash, full = unused(docs, "text_hash", "id", "hash", "filled")
+    stays = judged.select(F.col("doc_id").alias(id), F.col("text_hash").alias(hash), (F.col("n_shingles") > 0).alias(full)).distinct()
+    marked = docs.withColumn(own, F.xxhash64(f"`{text}`"))
+    joined = marked.join(stays, (F.col(own) == F.col(hash)) & F.col(f"`{doc_id}`").cast("bigint").eqNullSafe(F.col(id)))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    empty = joined.filter(~F.col("__filled")).select(*columns)
-    filled = joined.filter("__filled").dropDuplicates(["__id", "__hash"]).select(*columns)
+    empty = joined.filter(~F.col(full)).select(*columns)
+    filled = joined.filter(F.col(full)).dropDuplicates([id, hash]).select(*columns)
     return filled.unionByName(empty)

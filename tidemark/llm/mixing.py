@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.llm.columns import unused
 from tidemark.session import work_dir
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -28,7 +29,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def word_count(text: str) -> Column:
-    return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
+    return F.coalesce(F.regexp_count(F.col(f"`{text}`"), F.lit(WORD)), F.lit(0)).cast("bigint")
 
 
 def _hash60(text: Column) -> Column:
@@ -37,8 +38,8 @@ def _hash60(text: Column) -> Column:
 
 def queue_place(doc_id: str, text: str, seed: str) -> tuple[Column, Column]:
     """Place in the shuffled order: a seeded hash of the id, then a hash of the text."""
-    first = _hash60(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(doc_id).cast("string"), F.lit("null"))))
-    return first, _hash60(F.coalesce(F.col(text), F.lit("")))
+    first = _hash60(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{doc_id}`").cast("string"), F.lit("null"))))
+    return first, _hash60(F.coalesce(F.col(f"`{text}`"), F.lit("")))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = BUDGET_SHARE, most: float = MOST_PASSES) -> DataFrame:
@@ -68,7 +69,13 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = BUDGET_SHAR
 
 def _queue(docs: DataFrame, doc_id: str, text: str, source: str, seed: str) -> DataFrame:
     first, second = queue_place(doc_id, text, seed)
-    return docs.select(F.col(source).alias("source"), first.alias("h1"), second.alias("h2"), word_count(text).alias("size"))
+    return docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col(f"`{source}`").alias("source"),
+        first.alias("h1"),
+        second.alias("h2"),
+        word_count(text).alias("size"),
+    )
 
 
 def plan_mix(
@@ -81,7 +88,7 @@ def plan_mix(
     most_passes: int = MOST_PASSES,
     seed: str = SEED,
 ) -> DataFrame:
-    """One row per source: source_size, target and `last`, the last (pass, h1, h2) taken; null if nothing is."""
+    """One row per source: source_size, target and `last`, the last (pass, h1, h2, row) taken; null if nothing is."""
     spark = docs.sparkSession
     path = work_dir(spark, "mix")
     _queue(docs, doc_id, text, source, seed).write.parquet(path)  # narrow; read twice below
@@ -94,8 +101,8 @@ def plan_mix(
         F.col("source").alias("s"), F.col("range").alias("r"), F.coalesce(F.sum("words").over(earlier), F.lit(0)).alias("offset")
     )
     totals = sources.select(F.col("source").alias("ts"), "source_size", "target")
-    # Equal places (repeated rows) share one running sum: the default frame ends with the last of them.
-    within = Window.partitionBy("source", "range").orderBy("h1", "h2")
+    # Rows equal in id, source and text follow each other by their place in the input.
+    within = Window.partitionBy("source", "range").orderBy("h1", "h2", "row")
     placed = (
         queue.withColumn("upto", F.sum("size").over(within))
         .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("range") == F.col("r")))
@@ -105,7 +112,7 @@ def plan_mix(
         .withColumn("reached", F.col("pass") * F.col("source_size") + F.col("offset") + F.col("upto"))
         .withColumn("finish", F.col("reached") / F.col("target"))
         .filter((F.col("reached") - F.col("size")) / F.col("target") < 1)
-        .withColumn("place", F.struct("pass", "h1", "h2"))
+        .withColumn("place", F.struct("pass", "h1", "h2", "row"))
     )
     in_time = F.col("finish") <= 1
     ends = placed.groupBy(F.col("source").alias("ls")).agg(
@@ -130,31 +137,35 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     """Add to every row a struct `mix`: size, source_size, weight, target and `copies`, how often the mix takes it.
 
     A null or empty text has size 0 and is taken with its neighbours in the queue at no cost. Sources may be null (they
-    are one source, last in order). Rows equal in id, source and text stand at one place and are taken together. A
+    are one source, last in order). Rows equal in id, source and text follow each other in the queue, in the order of the
+    input's files; where the cut falls among them some are taken once more often than the others. A
     source with no words has target 0 and gives no copies; an empty table gives no rows. The order of rows and files
-    has no influence, so reruns agree. An existing column `mix` is replaced.
+    decides between equal rows only, so reruns agree. An existing column `mix` is replaced, others stay whatever their names.
     """
     spark = docs.sparkSession
     path = work_dir(spark, "mix-plan")
     plan_mix(docs, doc_id, text, source, seed=seed, **plan).write.parquet(path)
     # Read back, the plan has a measured size: Spark broadcasts it if that is small and shuffles otherwise.
-    per_source = spark.read.parquet(path)
-    per_source = per_source.select(*[F.col(c).alias(f"__{c}") for c in ("source", "source_size", "weight", "target", "last")])
+    size, h1, h2, row, *kept = unused(docs, "size", "h1", "h2", "row", "source", "source_size", "weight", "target", "last")
+    per_source = spark.read.parquet(path).select("source", "source_size", "weight", "target", "last").toDF(*kept)
+    of_source, source_size, weight, target, last = kept
     first, second = queue_place(doc_id, text, seed)
     copies = F.lit(0)
     for number in range(plan.get("most_passes", MOST_PASSES)):
-        place = F.struct(F.lit(number).alias("pass"), F.col("__h1").alias("h1"), F.col("__h2").alias("h2"))
-        copies = copies + F.coalesce(place <= F.col("__last"), F.lit(False)).cast("int")
-    measured = docs.drop("mix").withColumns({"__size": word_count(text), "__h1": first, "__h2": second})
-    joined = measured.join(per_source, F.col(f"`{source}`").eqNullSafe(F.col("__source")), "left")
-    mix = F.struct(
-        *[F.col(f"__{c}").alias(c) for c in ("size", "source_size", "weight", "target")], copies.cast("bigint").alias("copies")
+        place = F.struct(F.lit(number).alias("pass"), F.col(h1).alias("h1"), F.col(h2).alias("h2"), F.col(row).alias("row"))
+        copies = copies + F.coalesce(place <= F.col(last), F.lit(False)).cast("int")
+    measured = docs.drop("mix").withColumns(
+        {row: F.monotonically_increasing_id(), size: word_count(text), h1: first, h2: second}
     )
+    joined = measured.join(per_source, F.col(f"`{source}`").eqNullSafe(F.col(of_source)), "left")
+    names = {size: "size", source_size: "source_size", weight: "weight", target: "target"}
+    mix = F.struct(*[F.col(c).alias(n) for c, n in names.items()], copies.cast("bigint").alias("copies"))
     return joined.withColumn("mix", mix).select(*[F.col(f"`{c}`") for c in docs.columns if c != "mix"], "mix")
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: every row as often as it is taken, with the columns it came with."""
-    mixed = mix_sources(docs.withColumnRenamed("mix", "__mix"), **options)
-    repeated = mixed.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("mix.copies").cast("int"))))
-    return repeated.drop("mix", "__copy").withColumnRenamed("__mix", "mix").select(*[F.col(f"`{c}`") for c in docs.columns])
+    own, copy = unused(docs, "mix", "copy")
+    mixed = mix_sources(docs.withColumnRenamed("mix", own), **options)
+    repeated = mixed.withColumn(copy, F.explode(F.array_repeat(F.lit(1), F.col("mix.copies").cast("int"))))
+    return repeated.drop("mix", copy).withColumnRenamed(own, "mix").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.columns import unused
 from tidemark.llm.text import Spans, buffers_of, lines_of, mix, slices, windows, words_of
 
 # Published thresholds of the repetition rules for web text. A text passes up to and including them.
@@ -149,5 +150,6 @@ def with_repetition(docs: DataFrame, text: str = "text", out: str = "repetition"
 
 def keep_unrepetitive(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text passes, with the columns they came with."""
-    judged = with_repetition(docs, text, "__repetition")
-    return judged.filter(F.col("__repetition.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    (out,) = unused(docs, "repetition")
+    judged = with_repetition(docs, text, out)
+    return judged.filter(F.col(f"{out}.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -23,20 +23,20 @@ targets AS (
     CASE WHEN most <= weight * leveled.level THEN most ELSE weight * (SELECT level FROM shared) END AS target
   FROM leveled),
 queued AS (
-  SELECT s.*, t.source_size, t.target,
-    sum(size) OVER (PARTITION BY s.source ORDER BY h1, h2) AS upto
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h1, h2, n) AS upto FROM (
+    SELECT s.*, t.source_size, t.target, row_number() OVER (PARTITION BY s.source, h1, h2) AS n
+    FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)),
 finished AS (
-  SELECT source, pass, h1, h2, size, (pass * source_size + upto)::DOUBLE / target AS finish
+  SELECT source, pass, h1, h2, n, size, (pass * source_size + upto)::DOUBLE / target AS finish
   FROM queued, (SELECT unnest([0, 1]) AS pass)
   WHERE target > 0 AND size > 0 AND (pass * source_size + upto - size)::DOUBLE / target < 1),
 summed AS (
-  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, pass, h1, h2) AS through FROM finished),
+  SELECT *, sum(size) OVER (ORDER BY finish, source NULLS LAST, pass, h1, h2, n) AS through FROM finished),
 copies AS (
-  SELECT source, h1, h2, count(DISTINCT pass) AS copies FROM summed
+  SELECT source, h1, h2, n, count(DISTINCT pass) AS copies FROM summed
   WHERE through <= 1.5::DOUBLE * (SELECT sum(size) FROM sized) GROUP BY ALL)
 SELECT q.doc_id, q.size, q.source_size, q.target, (q.size * coalesce(c.copies, 0))::BIGINT AS taken
-FROM queued q LEFT JOIN copies c ON q.source IS NOT DISTINCT FROM c.source AND q.h1 = c.h1 AND q.h2 = c.h2
+FROM queued q LEFT JOIN copies c ON q.source IS NOT DISTINCT FROM c.source AND q.h1 = c.h1 AND q.h2 = c.h2 AND q.n = c.n
 """
 
 NEAR_VECTORS = """
