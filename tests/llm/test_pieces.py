@@ -3,10 +3,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from public_tokenizers import path
 
-from tidemark.llm.pieces import PieceModel, _backend, _encoded, read_model, with_pieces, with_text
+from llm_helpers import SF
+
+from tidemark.llm import words_cache
+from tidemark.llm.pieces import PieceModel, _backend, _encoded, _Pieces, read_model, with_pieces, with_text
 
 sentencepiece = pytest.importorskip("sentencepiece")
 TEXTS = [
@@ -61,8 +65,24 @@ def test_word_cache_gives_what_the_whole_text_gives():
     pieces = _backend(read_model(path("piece_bpe_32k.model")))
     assert pieces.by_words
     texts = [t or "" for t in TEXTS]
-    for whole, ids in zip(pieces.backend.encode_batch_fast(texts, add_special_tokens=False), pieces.encode(texts), strict=True):
-        assert whole.ids == ids.tolist()
+    for whole, raw in zip(pieces.backend.encode_batch_fast(texts, add_special_tokens=False), pieces.encode(texts)[0], strict=True):
+        assert whole.ids == np.frombuffer(raw, "<u4").tolist()
+
+
+@pytest.mark.parametrize("model", [read_model(path("piece_bpe_32k.model")), unigram_model(), unigram_model(False)])
+@pytest.mark.parametrize("entries", [3, 1 << 17])
+def test_words_come_back_as_whole_texts_do(monkeypatch, model, entries):
+    """`round_trip` from words against the library's decoder on whole texts, with a cache that holds next to nothing too."""
+    monkeypatch.setattr(words_cache, "MOST_ENTRIES", entries)
+    pieces = _Pieces(model)
+    assert pieces.by_words
+    docs = [r["text"] for r in pq.read_table(f"{SF}/documents.parquet", columns=["text"]).to_pylist()]
+    for texts in ([t or "" for t in TEXTS], ["the thing  things a world", "  the é ü s", "the th"], [t or "" for t in docs], [t or "" for t in TEXTS]):
+        raw, back = pieces.encode(texts)
+        ids = [np.frombuffer(r, "<u4").tolist() for r in raw]
+        assert ids == [e.ids for e in pieces.backend.encode_batch_fast(texts, add_special_tokens=False)]
+        decoded = pieces.backend.decode_batch(ids, skip_special_tokens=False)
+        assert back == [a == b for a, b in zip(decoded, texts, strict=True)]
 
 
 def test_rows_round_trip(spark):

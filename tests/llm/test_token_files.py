@@ -3,12 +3,15 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from llm_helpers import SF
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
+from tidemark.llm import words_cache
 from tidemark.llm.perfect_hash import PerfectHash, fingerprints
-from tidemark.llm.token_files import _byte_level, library_encoder, look_up, read_token_files, write_token_files
+from tidemark.llm.token_files import _ByteLevel, _byte_level, library_encoder, look_up, read_token_files, write_token_files
 from tidemark.llm.words_cache import parts_before_words
 
 FILE = path("byte_bpe_50k.json")
@@ -74,3 +77,19 @@ def test_files_read_back(spark, tmp_path, largest):
 def test_empty_table(spark, tmp_path):
     manifest = write_token_files(make(spark, [(1, "", 1)]).limit(0), str(tmp_path / "e"), characters(), 60_000)
     assert manifest.count() == 0 and read_token_files(manifest).collect() == []
+
+
+@pytest.mark.parametrize("entries", [3, 1 << 17])
+def test_words_give_what_the_whole_text_gives(monkeypatch, entries):
+    """Texts with every kind of white space beside blanks, through a cache that holds next to nothing too."""
+    monkeypatch.setattr(words_cache, "MOST_ENTRIES", entries)
+    with open(path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        backend = _ByteLevel(file.read())
+    assert backend.by_words
+    spaces = ["\t", "\n", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", " ", " ", "　", " ", "  "]
+    texts = ["", " ", "a", " a", "a ", "a b", "a  b", "é ¿qué? – “x” ‥", "<|endoftext|> x <|endoftext|>", "x" * 3000 + " y" * 3000]
+    texts += [f"word {s}next{s} one {s}" for s in spaces] + [f"{s} word" for s in spaces] + [f"a{s}b c" for s in spaces]
+    docs = [r["text"] or "" for r in pq.read_table(f"{SF}/documents.parquet", columns=["text"]).to_pylist()]
+    for some in (texts, docs, texts, []):
+        wanted = [[*e.ids, 0] for e in backend.tokenizer.encode_batch(some, add_special_tokens=False)]
+        assert [i.tolist() for i in backend.encode(some, 0)] == wanted

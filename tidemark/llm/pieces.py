@@ -13,6 +13,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import slices
-from tidemark.llm.words_cache import WordCache
+from tidemark.llm.text import buffers_of, slices
+from tidemark.llm.words_cache import WordCache, split_at_blanks
 
 # Numbers of the public model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -162,15 +163,63 @@ class _Pieces:
             self.plain = build_backend(model)
             self.plain.normalizer = normalizers.Sequence([])
             opens = np.array([text.startswith(MARKER) for text, _, _ in model.pieces])
-            self.words = WordCache(self._plain_ids, MARKER, opens)
+            self.words = WordCache(self._plain_ids, MARKER, opens, self._come_back)
 
     def _plain_ids(self, parts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.plain.encode_batch_fast(parts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def _come_back(self, parts: list[str], ids: list[list[int]]) -> list[bool]:
+        """Whether parts, which all begin with a marker, are decoded as they were."""
+        back = self.backend.decode_batch(ids, skip_special_tokens=False)
+        return [text == part[1:].replace(MARKER, " ") for text, part in zip(back, parts, strict=True)]
+
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[bool]]:
+        """Ids of each text as little-endian 32-bit numbers, and whether decoding them gives the text back.
+
+        Where words are independent the decoder is asked once for each distinct word: a text comes back if all its words do and
+        it has no marker of its own.
+        """
         if not self.by_words:
-            return [np.array(e.ids, np.uint32) for e in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
-        return self.words.ids([_marked_parts(t) for t in texts])
+            ids = [e.ids for e in self.backend.encode_batch_fast(texts, add_special_tokens=False)]
+            back = self.backend.decode_batch(ids, skip_special_tokens=False)
+            return [np.array(i, "<u4").tobytes() for i in ids], [a == b for a, b in zip(back, texts, strict=True)]
+        column = pa.array(texts, pa.large_string())
+        data, offsets = buffers_of(column)
+        plain = _plain_blanks(data, offsets)
+        raw: list[bytes] = [b""] * len(texts)
+        back = [True] * len(texts)
+        if plain.any():
+            places = np.flatnonzero(plain)
+            words, parts = split_at_blanks(*buffers_of(column.filter(pa.array(plain))))
+            flat, counts, lossy = self.words.of_words(words)
+            ends = 4 * np.cumsum(counts)[np.cumsum(parts) - 1]
+            whole, start = flat.tobytes(), 0
+            for place, end in zip(places.tolist(), ends.tolist(), strict=True):
+                raw[place] = whole[start:end]
+                start = end
+            for place in places[np.unique(np.repeat(np.arange(len(parts)), parts)[lossy])].tolist():
+                back[place] = False
+        odd = np.flatnonzero(~plain).tolist()
+        parts = [_marked_parts(texts[k]) for k in odd]
+        for k, own, ids in zip(odd, parts, self.words.raw(parts), strict=True):
+            raw[k] = ids
+            back[k] = MARKER not in texts[k] and self.words.lossy.isdisjoint(own)
+        return raw, back
+
+
+def _plain_blanks(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts that are not empty, have no blank at an end or beside another one, and no marker of their own."""
+    plain = np.diff(offsets) > 0
+    blanks = np.flatnonzero(data == 32)
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    after = np.append(data, np.uint8(32))[blanks + 1]
+    bad = blanks[edge[blanks] | edge[blanks + 1] | (after == 32)]
+    lead, second, third = np.frombuffer(MARKER.encode(), np.uint8)
+    marks = np.flatnonzero(data[:-2] == lead) if len(data) > 2 else blanks[:0]
+    marks = marks[(data[marks + 1] == second) & (data[marks + 2] == third)]
+    plain[np.searchsorted(offsets, np.concatenate([bad, marks]), "right") - 1] = False
+    return plain
 
 
 def _marked_parts(text: str) -> list[str]:
@@ -215,20 +264,24 @@ _ARROW = pa.struct(
 
 
 def _encoded(texts: list[str], model: bytes, verify: bool) -> pa.Array:
-    pieces = _backend(model)
-    ids = pieces.encode(texts)
-    back = pieces.backend.decode_batch([i.tolist() for i in ids], skip_special_tokens=False)
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+    raw, back = _backend(model).encode(texts)
+    sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    flat = np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32)
+    flat = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
     same: list[bool | None] = [None] * len(texts)
     if verify:
         theirs = _original(model).encode(texts, num_threads=1)
-        same = [len(a) == len(b) and bool((a == b).all()) for a, b in zip(ids, map(np.array, theirs), strict=True)]
+        counts = np.fromiter(map(len, theirs), np.int64, len(theirs))
+        if np.array_equal(counts, sizes):  # the normal case: all texts at once
+            differ = np.flatnonzero(np.fromiter(chain.from_iterable(theirs), np.int32, len(flat)) != flat)
+            wrong = np.zeros(len(texts), bool)
+            wrong[np.searchsorted(starts, differ, "right") - 1] = True
+            same = (~wrong).tolist()
+        else:
+            same = [np.array(b, "<u4").tobytes() == a for a, b in zip(raw, theirs, strict=True)]
     arrays = [
         pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat)), pa.array(sizes),
-        pa.array([zlib.crc32(i) for i in ids], pa.int64()), pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_()),
-        pa.array(same, pa.bool_()),
+        pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(back, pa.bool_()), pa.array(same, pa.bool_()),
     ]
     return pa.StructArray.from_arrays(arrays, fields=list(_ARROW))
 
@@ -246,7 +299,7 @@ def with_pieces(
 
     def encode(column: pa.Array) -> pa.Array:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        parts = [_encoded(pc.fill_null(part, "").to_pylist(), model, verify) for part in slices(column, 1 << 20)]
+        parts = [_encoded(pc.fill_null(part, "").to_pylist(), model, verify) for part in slices(column, 1 << 22)]
         return pa.concat_arrays(parts) if parts else _encoded([], model, False)
 
     return docs.withColumn(out, F.arrow_udf(encode, RESULT)(F.col(text)))

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.files import new_file, open_ranges
 from tidemark.llm.perfect_hash import PerfectHash, fingerprints
-from tidemark.llm.text import slices
-from tidemark.llm.words_cache import WordCache, parts_before_words
+from tidemark.llm.text import buffers_of, slices
+from tidemark.llm.words_cache import WordCache, cut_at_every_blank, parts_before_words, split_at_blanks
 
 MAGIC = b"TMIDX001"
 READ_IDS = 1 << 20
@@ -68,10 +68,30 @@ class _ByteLevel:
     def encode(self, texts: list[str], end_id: int) -> list[np.ndarray]:
         if not self.by_words:
             return [np.array([*ids, end_id], np.uint32) for ids in self._all(texts)]
-        parts = [parts_before_words(t) for t in texts]
-        heads = self._all([p[0] for p in parts])
-        rest = self.words.ids([p[1:] for p in parts], struct.pack("<I", end_id))
-        return [np.concatenate([np.array(head, np.uint32), ids]) for head, ids in zip(heads, rest, strict=True)]
+        end = struct.pack("<I", end_id)
+        column = pa.array(texts, pa.large_string())
+        plain = cut_at_every_blank(*buffers_of(column), texts)
+        heads: list[str] = [""] * len(texts)
+        rest: list[bytes] = [b""] * len(texts)
+        if plain.any():
+            places = np.flatnonzero(plain)
+            words, parts = split_at_blanks(*buffers_of(column.filter(pa.array(plain))))
+            firsts = np.cumsum(parts) - parts
+            later = np.ones(len(words), bool)
+            later[firsts] = False
+            flat, counts, _ = self.words.of_words(words.filter(pa.array(later)))
+            upto = np.concatenate([[0], np.cumsum(counts)])
+            ends = 4 * upto[np.cumsum(parts - 1)]
+            whole, start = flat.tobytes(), 0
+            for place, head, stop in zip(places.tolist(), words.take(pa.array(firsts)).to_pylist(), ends.tolist(), strict=True):
+                heads[place], rest[place] = head, whole[start:stop]
+                start = stop
+        odd = np.flatnonzero(~plain).tolist()
+        parts = [parts_before_words(texts[k]) for k in odd]
+        for k, own, ids in zip(odd, parts, self.words.raw([p[1:] for p in parts]), strict=True):
+            heads[k], rest[k] = own[0], ids
+        first = self._all(heads)
+        return [np.frombuffer(b"".join((np.array(head, "<u4").tobytes(), ids, end)), "<u4") for head, ids in zip(first, rest, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -157,7 +177,7 @@ def write_token_files(
         with new_file(f"{path}.bin") as out:
             for batch in _chain(first, batches):
                 column = batch.column(1)
-                for part in slices(column, 1 << 20):
+                for part in slices(column, 1 << 22):
                     ids = encode(part)
                     out.write(np.concatenate(ids).astype(f"<u{width}").tobytes())
                     sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
