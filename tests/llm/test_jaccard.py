@@ -125,15 +125,51 @@ def test_sets_equal_brute_force(n):
                 assert (ids[i] == ids[j]) == (plain_set(texts[i], n) == plain_set(texts[j], n))
 
 
+def test_sketches_never_rule_out_a_link():
+    draw = np.random.default_rng(7)
+    passed = 0
+    for n in [3, 9, 40, 200, 1500] * 20:
+        shared = int(draw.integers(0, n + 1))
+        pool = draw.choice(1 << 60, 2 * n - shared, replace=False).astype(np.uint64)
+        pair = as_sets([np.sort(pool[:n]), np.sort(pool[n - shared :])])
+        owner, space = spaces_of(pair.size, 85)
+        common = min(space[owner == 0].max(), space[owner == 1].max())
+        one, two = (np.frombuffer(x, np.uint8) for x in jaccard.parity_sketches(pair, np.array([0, 1]), np.array([common] * 2), 85))
+        differing = np.bitwise_count(one ^ two).sum()
+        assert differing <= 2 * n - 2 * shared
+        links = jaccard.similar(pair.hash[:n], pair.hash[n:], 85)
+        may = bool(jaccard.may_link(np.array([differing]), np.array([n]), np.array([n]), 85)[0])
+        assert may or not links
+        passed += may and not links
+    assert passed < 25
+
+
+def test_shared_passages_are_not_tested_pairwise(spark, monkeypatch):
+    """Unrelated texts with one long passage: the tested pairs grow with their number, not with its square."""
+    tested = {}
+    for count in (150, 300):
+        draw = random.Random(count)
+        passage = [f"p{i}" for i in range(150)]
+        rows = [(i, " ".join([f"w{draw.randrange(10**6)}" for _ in range(60)] + passage)) for i in range(count)]
+        seen, real = [], jaccard._verified
+        monkeypatch.setattr(jaccard, "_verified", lambda pairs, *more: (seen.append(pairs.count()), real(pairs, *more))[1])
+        docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+        found = jaccard_components(docs)
+        assert found.filter("component_id != doc_id").count() == 0
+        monkeypatch.undo()
+        tested[count] = sum(seen)
+    assert tested[300] <= 2.5 * max(tested[150], 100), tested
+
+
 def triples(frame):
     return sorted(((r.doc_id, r.n_shingles, r.component_id) for r in frame.collect()), key=repr)
 
 
-@pytest.mark.parametrize("small_group, passage, percent", [(16, 0, 85), (2, 2, 80)])
-def test_equals_brute_force(spark, monkeypatch, small_group, passage, percent):
-    monkeypatch.setattr(jaccard, "SMALL_GROUP", small_group)
+@pytest.mark.parametrize("ratio, held, passage, percent", [(32, 1 << 25, 0, 85), (0, 1 << 25, 2, 80), (32, 200, 2, 80)])
+def test_equals_brute_force(spark, monkeypatch, ratio, held, passage, percent):
+    monkeypatch.setattr(jaccard, "COMPARISONS_PER_ENTRY", ratio)
+    monkeypatch.setattr(jaccard, "MOST_HELD", held)  # groups in several blocks
     monkeypatch.setattr(jaccard, "SPREAD", 5)
-    monkeypatch.setattr(jaccard, "PIVOT_ROUNDS", 1)
     rows = some_rows(2 + passage, 90, passage)
     rows += [(2000, None), (2001, ""), (2001, " "), (None, rows[0][1]), (None, "only here"), (2002, rows[3][1]), (2002, rows[3][1]), (2002, rows[7][1])]
     docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id BIGINT, text STRING, cid INT").repartition(3)

@@ -7,11 +7,15 @@ double if its sets minus any one element are indexed as well), and they are allo
 
 * a segment that is empty in both sets proves nothing and is not indexed; a set with empty segments indexes the
   neighbourhoods of as many of its first segments instead, which restores the guarantee;
-* sets that meet in crowded segments without being similar (shared passages) are indexed again with half the segments,
-  all with neighbourhoods: those larger segments hardly ever hold nothing but a passage.
-
-What meets is verified on the whole sets. A group of sets that meet is never expanded into pairs: its members are
-compared with one of them, then only those that are not yet in one component, with another, and so on.
+* comparing the members of a key costs the square of their number, indexing them again costs their number times the size of a
+  neighbourhood. A key for which the second is less (many sets that share a passage) is given up, and its sets are
+  indexed again with half the segments, all with neighbourhoods: those larger segments seldom hold nothing but a passage.
+
+Sets that meet are compared by parity sketches first: each element flips one of m bits, so two sketches differ in at most as many
+bits as the sets have different elements, and more differing bits than a link allows rule it out without a text. Only
+pairs that pass are verified on the whole sets. No group is expanded into pairs: its members are compared with its first
+one, and what that leaves in different components is compared by sketches inside one task, which gives each member's nearest
+partner, then what is still open.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,9 +37,10 @@ from tidemark.session import work_dir
 
 WORDS = 4
 PERCENT = 85
-PIVOT_ROUNDS = 2
-SMALL_GROUP = 16
 SPREAD = 512
+COMPARISONS_PER_ENTRY = 32  # sketch comparisons that cost about as much as one index entry
+MOST_HELD = 1 << 25  # bytes of the sketches of one block of a group
+LEAST_BITS, MOST_BITS = 256, 1 << 15
 LARGEST_SET = 1 << 40
 
 _ELEMENT = np.uint64(0x8CB92BA72F3D8DD7)
@@ -169,6 +175,29 @@ def spaces_of(size: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([filled, below]), np.concatenate([band[filled], band[below] - 1])
 
 
+def sketch_bits(space: np.ndarray, percent: int) -> np.ndarray:
+    """Bits of a sketch in each space: a power of two about the size of its sets."""
+    lower, _ = bands(percent)
+    size = lower[np.minimum(space + 1, len(lower) - 1)] * 100 // percent
+    return 1 << np.ceil(np.log2(np.clip(size, LEAST_BITS, MOST_BITS))).astype(np.int64)
+
+
+def parity_sketches(sets: Sets, owner: np.ndarray, space: np.ndarray, percent: int) -> list[bytes]:
+    """The sketch of set owner[e] in space[e]."""
+    spread, starts = mix(sets.hash ^ np.uint64(0x5851F42D4C957F2D)), sets.starts
+    found = []
+    for own, bits in zip(owner.tolist(), sketch_bits(space, percent).tolist()):
+        places = (spread[starts[own] : starts[own + 1]] & np.uint64(bits - 1)).astype(np.int64)
+        found.append(np.packbits(np.bincount(places, minlength=bits) & 1).tobytes())
+    return found
+
+
+def may_link(differing: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes a and b can link whose sketches differ in so many bits."""
+    sizes = 100 * np.minimum(a, b) >= percent * np.maximum(a, b)
+    return sizes & (differing.astype(np.int64) * (100 + percent) <= (100 - percent) * (a + b))
+
+
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     """Exact test of two sorted sets of distinct hashes."""
     if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)) or not len(a):
@@ -347,75 +376,219 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return _written(stream.mapInArrow(test, EDGE), "jaccard-tested", EDGE)
 
 
+SKETCH = "cid BIGINT, space INT, n BIGINT, sketch BINARY"
+
+
+def _sketches(texts: DataFrame, words: int, percent: int) -> DataFrame:
+    """Sketches of (cid, text) rows in the spaces of each set."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = 0
+            for part in slices(batch.column(1)):
+                sets = sets_of(part, words)
+                cid = batch.column(0).slice(at, len(part)).to_numpy()
+                at += len(part)
+                owner, space = spaces_of(sets.size, percent)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cid[owner]), pa.array(space.astype(np.int32)), pa.array(sets.size[owner].astype(np.int64)),
+                     pa.array(parity_sketches(sets, owner, space, percent), pa.binary())],
+                    names=["cid", "space", "n", "sketch"],
+                )
+
+    return _written(texts.select("cid", "text").mapInArrow(sketch, SKETCH), "jaccard-sketches", SKETCH)
+
+
+PAIR = "a BIGINT, b BIGINT"
+
+
+def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+
+def _rows_of(column: pa.Array, rows: np.ndarray, length: int) -> np.ndarray:
+    """Binary values of one length as rows of a matrix."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2], np.uint8)
+    return data[offsets[rows][:, None] + np.arange(length)]
+
+
+def _with_first(sketched: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each group's first member with the others that may link; rows are (key, cid, n, sketch)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.RecordBatch | None = None  # the first member of the group that the last batch ended in
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            key, cid, n = (batch.column(k).to_numpy() for k in range(3))
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))
+            lengths = pc.binary_length(batch.column(3)).to_numpy()
+            for length in np.unique(lengths).tolist():
+                rows = np.flatnonzero((lengths == length) & ~new)
+                for part in np.array_split(rows, len(rows) * length // MOST_HELD + 1):
+                    heads = first[part]
+                    differing = np.bitwise_count(_rows_of(batch.column(3), part, length) ^ _rows_of(batch.column(3), heads, length)).sum(1, np.int64)
+                    good = may_link(differing, n[part], n[heads], percent)
+                    yield _pair_batch(cid[heads[good]], cid[part[good]])
+            held = batch.slice(int(first[-1]), 1)
+
+    ordered = sketched.select("key", "cid", "n", "sketch").repartition("key").sortWithinPartitions("key", "cid")
+    return ordered.mapInArrow(compare, PAIR).distinct()
+
+
+def _across(sketched: DataFrame, percent: int, nearest: bool) -> DataFrame:
+    """Pairs of members of one group in different components that may link: each member's nearest, or all.
+
+    Rows are (key, lo, hi, block, cid, label, n, sketch): a group of several blocks comes as one group per pair of blocks,
+    so a task holds at most two blocks.
+    """
+
+    def pairs(rows: tuple[np.ndarray, ...], sketch: np.ndarray, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        block, cid, label, n = rows
+        best, partner = np.full(len(cid), np.iinfo(np.int64).max), np.full(len(cid), -1)
+        one, two = [], []
+        for k in range(len(cid) - 1):
+            differing = np.bitwise_count(sketch[k] ^ sketch[k + 1 :]).sum(1, np.int64)
+            good = may_link(differing, n[k], n[k + 1 :], percent) & (label[k + 1 :] != label[k])
+            if lo != hi:
+                good &= block[k + 1 :] != block[k]
+            others = np.flatnonzero(good) + k + 1
+            if not len(others):
+                continue
+            if not nearest:
+                one.append(np.full(len(others), cid[k]))
+                two.append(cid[others])
+                continue
+            near = differing[others - k - 1]
+            if near.min() < best[k]:
+                best[k], partner[k] = near.min(), others[near.argmin()]
+            closer = near < best[others]
+            best[others[closer]], partner[others[closer]] = near[closer], k
+        if nearest:
+            rows_with = np.flatnonzero(partner >= 0)
+            one, two = [cid[rows_with]], [cid[partner[rows_with]]]
+        if one:
+            yield _pair_batch(np.concatenate(one), np.concatenate(two))
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        group = None
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                block, cid, label, n = (whole.column(k).to_numpy() for k in range(3, 7))
+                length = len(whole.column(7)[0].as_py())
+                sketch = _rows_of(whole.column(7), np.arange(len(cid)), length)
+                yield from pairs((block, cid, label, n), sketch, group[1], group[2])
+
+        for batch in batches:
+            ids = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(3)], 1)
+            cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(1)) + 1 if len(ids) else []
+            bounds = [0, *cuts, len(ids)] if len(ids) else [0]
+            for begin, end in zip(bounds[:-1], bounds[1:]):
+                now = tuple(ids[begin].tolist())
+                if now != group:
+                    yield from done()
+                    held, group = [], now
+                held.append(batch.slice(begin, end - begin))
+        yield from done()
+
+    columns = ["key", "lo", "hi", "block", "cid", "label", "n", "sketch"]
+    ordered = sketched.select(*columns).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
+    return ordered.mapInArrow(compare, PAIR).distinct()
+
+
+LABEL = "node BIGINT, component BIGINT"
+
+
 class _Search:
     """The tested pairs so far and the components they make."""
 
     def __init__(self, spark: SparkSession, texts: DataFrame, words: int, percent: int):
         self.texts, self.words, self.percent = texts, words, percent
+        self.sketches = _sketches(texts, words, percent)
         self.tested = spark.createDataFrame([], EDGE)
-        self.labels = spark.createDataFrame([], "node BIGINT, component BIGINT")
+        self.labels = spark.createDataFrame([], LABEL)
 
     def test(self, pairs: DataFrame) -> bool:
         """Verify the pairs that are new; true if there were any."""
-        wanted = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b").distinct()
-        # The class with more pairs stays in place, its partners travel.
-        new = _written(wanted.join(self.tested, ["a", "b"], "left_anti"), "jaccard-pairs", "a BIGINT, b BIGINT")
+        new = _written(pairs.distinct().join(self.tested, ["a", "b"], "left_anti"), "jaccard-pairs", PAIR)
         if new.isEmpty():
             return False
         found = _verified(new, self.texts, self.words, self.percent)
         self.tested = self.tested.unionByName(found)
         # Only what the new links connect is worked on: edges between components as they were.
-        of_a, of_b = (self.labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
-        between = found.filter("linked").join(of_a, "a", "left").join(of_b, "b", "left").select(
-            F.coalesce("ca", "a").alias("one"), F.coalesce("cb", "b").alias("two")
-        )
-        merged = components(between, "one", "two")
+        between = self._between(found.filter("linked")).select("la", "lb")
+        merged = components(between, "la", "lb")
         renamed = self.labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left")
         self.labels = _written(
             renamed.select("node", F.coalesce("now", "component").alias("component")).unionByName(
                 merged.join(self.labels.select("node"), "node", "left_anti")
             ),
             "jaccard-labels",
-            "node BIGINT, component BIGINT",
+            LABEL,
         )
         return True
 
-    def labelled(self, groups: DataFrame) -> DataFrame:
-        named = groups.join(self.labels.withColumnRenamed("node", "cid"), "cid", "left")
-        return named.withColumn("label", F.coalesce("component", "cid")).drop("component")
+    def _between(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with the components of both classes, as far as these differ."""
+        of_a, of_b = (self.labels.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in ("a", "b"))
+        named = pairs.join(of_a, "a", "left").join(of_b, "b", "left")
+        return named.select("a", "b", F.coalesce("ca", "a").alias("la"), F.coalesce("cb", "b").alias("lb")).filter("la != lb")
+
+    def first_members(self, groups: DataFrame) -> None:
+        """Compare the members of all groups with their first ones: one partner of each member before the others."""
+        sketched = groups.select("key", "space", "cid").join(self.sketches, ["cid", "space"])
+        pairs = _written(_with_first(sketched, self.percent), "jaccard-first", PAIR)
+        for _ in range(2):
+            # Most keys of a class lead to one component; what the first one has settled needs no test.
+            if not self.test(self._between(pairs).groupBy("b").agg(F.min("a").alias("a")).select("a", "b")):
+                return
+        self.test(self._between(pairs).select("a", "b"))
 
     def unsettled(self, groups: DataFrame) -> DataFrame:
-        """The groups whose members are not all in one component, with their size."""
-        named = self.labelled(groups.select("key", "space", "cid"))
+        """(key, space, cid, label, size) of the groups whose members are not all in one component."""
+        named = groups.select("key", "space", "cid").join(self.labels.withColumnRenamed("node", "cid"), "cid", "left")
+        named = named.select("key", "space", "cid", F.coalesce("component", "cid").alias("label"))
         open_ = (
             named.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
             .filter("low != high").select("key", "size")
         )
         return named.join(open_, "key")
 
-    def pivot_rounds(self, groups: DataFrame) -> DataFrame:
-        """Compare members with one pivot after the other; returns the groups that are still open."""
-        self.test(groups.select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
-        left = groups.filter("cid != pivot")
-        for number in range(PIVOT_ROUNDS):
-            open_ = _written(self.unsettled(left), "jaccard-open", "key BIGINT, cid BIGINT, space INT, label BIGINT, size BIGINT")
-            if open_.isEmpty():
-                return open_
-            # A member of the rarest component is the pivot: often it is what keeps a group open.
-            rare = open_.groupBy("key", "label").agg(F.count("*").alias("n"), F.min("cid").alias("some"))
-            pivots = rare.groupBy("key").agg(F.min_by("some", F.struct("n", F.xxhash64("some", F.lit(number)))).alias("pivot"))
-            named = self.labels.select(F.col("node").alias("pivot"), F.col("component").alias("pivot_component"))
-            facing = open_.join(pivots.join(named, "pivot", "left"), "key").filter(
-                F.col("label") != F.coalesce("pivot_component", "pivot")
-            )
-            self.test(facing.select(F.col("pivot").alias("a"), F.col("cid").alias("b")))
-            left = open_.join(pivots, "key").filter("cid != pivot").select("key", "space", "cid")
-        return self.unsettled(left)
-
-    def across(self, open_: DataFrame) -> None:
-        """Compare all members of different components of the groups that are left."""
-        one, two = open_.select("key", F.col("cid").alias("a"), F.col("label").alias("la")), open_.select("key", F.col("cid").alias("b"), F.col("label").alias("lb"))
-        self.test(one.join(two, "key").filter("a < b and la != lb").select("a", "b"))
+    def rest(self, open_: DataFrame) -> None:
+        """Compare what is left of open groups: each member's nearest partner first, then all pairs that may still link."""
+        for nearest in (True, False):
+            rows = open_ if nearest else _written(self.unsettled(open_), "jaccard-rest", OPEN)
+            sketched = rows.join(self.sketches, ["cid", "space"])
+            blocks = F.ceil(F.col("size") * F.octet_length("sketch") / F.lit(MOST_HELD)).cast("int")
+            sketched = sketched.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+            # A member of block b goes to every pair of blocks that b is in.
+            sketched = sketched.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+            sketched = sketched.withColumns({"lo": F.least("block", "other"), "hi": F.greatest("block", "other")})
+            if not self.test(_across(sketched, self.percent, nearest)):
+                return
+
+
+OPEN = "key BIGINT, space INT, cid BIGINT, label BIGINT, size BIGINT"
+
+
+def _split_by_cost(open_: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Open groups to compare as they are, and those whose members cost less to index again with neighbourhoods.
+
+    With g members, one costs g / 2 comparisons in a group, and an entry per element and segment in the index.
+    """
+    lower, most = bands(percent)
+    spaces = [(k, int(lower[k + 1] - 1 + (most[k] + 2) // 2) * 2 * COMPARISONS_PER_ENTRY) for k in range(len(most))]
+    limits = open_.sparkSession.createDataFrame(spaces, "space INT, most BIGINT")
+    judged = open_.join(F.broadcast(limits), "space")  # one row per size band
+    return judged.filter("size <= most").drop("most"), judged.filter("size > most").drop("most")
 
 
 def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -442,12 +615,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     texts = _written(fetched.select("cid", "text").dropDuplicates(["cid"]), "jaccard-texts", "cid BIGINT, text STRING")
 
     search = _Search(spark, texts, words, percent)
-    open_ = _written(search.pivot_rounds(groups), "jaccard-left", "key BIGINT, cid BIGINT, space INT, label BIGINT, size BIGINT")
-    search.across(open_.filter(F.col("size") <= SMALL_GROUP))
-    crowd = open_.filter(F.col("size") > SMALL_GROUP).select("cid", "space").distinct()
+    search.first_members(groups)
+    near, crowded = _split_by_cost(_written(search.unsettled(groups), "jaccard-left", OPEN), percent)
+    search.rest(near)
+    crowd = crowded.select("cid", "space").distinct()
     if not crowd.isEmpty():
         again = _meetings(_crowded_entries(crowd, texts, words, percent))
-        search.across(search.pivot_rounds(again))
+        search.first_members(again)
+        search.rest(_written(search.unsettled(again), "jaccard-crowded", OPEN))
 
     named = member.join(search.labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn(
         "component", F.coalesce("component", "cid")
