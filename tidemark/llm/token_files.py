@@ -177,7 +177,7 @@ def write_token_files(
         with new_file(f"{path}.bin") as out:
             for batch in _chain(first, batches):
                 column = batch.column(1)
-                for part in slices(column, 1 << 22):
+                for part in slices(column, 1 << 23):
                     ids = encode(part)
                     out.write(np.concatenate(ids).astype(f"<u{width}").tobytes())
                     sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))

@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 MOST_ENTRIES = 1 << 18  # of one generation
 LONGEST_KEPT = 64
@@ -60,8 +61,8 @@ class WordCache:
         for part, ids in zip(odd, found, strict=True):
             self.known[part] = np.array(ids, "<u4").tobytes()
 
-    def _fetch(self, wanted: set[str]) -> set[str]:
-        """Have all these parts in `known`; returns those that were not there."""
+    def _fetch(self, wanted: set[str]) -> None:
+        """Have all these parts in `known`."""
         if len(self.lossy) > MOST_ENTRIES:  # what is forgotten here has to be met as new again
             self.older, self.known, self.lossy = {}, {}, set()
         missing = wanted.difference(self.known)
@@ -70,20 +71,19 @@ class WordCache:
             met = missing.intersection(older)
             self.known.update((part, older[part]) for part in met)
             self._new(list(missing - met if met else missing))
-        return missing
 
-    def _forget(self, fetched: set[str]) -> None:
-        for part in fetched:
-            if len(part) > LONGEST_KEPT:
-                del self.known[part]
+    def _forget(self, long: list[str]) -> None:
+        for part in long:
+            self.known.pop(part, None)
         if len(self.known) > MOST_ENTRIES:
             self.older, self.known = self.known, {}
 
     def raw(self, texts: list[list[str]], tail: bytes = b"") -> list[bytes]:
         """The ids of each text from its parts, then `tail`, as little-endian 32-bit numbers."""
-        fetched = self._fetch(set().union(*texts))
+        wanted = set().union(*texts)
+        self._fetch(wanted)
         found = [b"".join([*map(self.known.__getitem__, parts), tail]) for parts in texts]
-        self._forget(fetched)
+        self._forget([part for part in wanted if len(part) > LONGEST_KEPT])
         return found
 
     def of_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,9 +93,9 @@ class WordCache:
         """
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        fetched = self._fetch(set(distinct))
+        self._fetch(set(distinct))
         raw = list(map(self.known.__getitem__, distinct))
-        self._forget(fetched)
+        self._forget(coded.dictionary.filter(pc.greater(pc.binary_length(coded.dictionary), LONGEST_KEPT)).to_pylist())
         flat = np.frombuffer(b"".join(raw), "<u4")
         size = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
         first = np.cumsum(size) - size
