@@ -1,25 +1,21 @@
 """LM scoring by prediction by partial matching.
 
-A text is its lower-case words and an end. A token is predicted in its longest context first, which is the token as a
-whole: seen tokens have c / (N + V), and V / (N + V) is the escape (method C). After the escape its bytes are spelled by
-a trie of byte contexts inside the token, from two bytes down to none and at last evenly, each order again with an
-escape by its distinct symbols and without the symbols that longer contexts have ruled out. As in any such model the
-shorter orders learn only what the longer one had not predicted: each distinct training token is spelled once.
-
-Token counts stay distributed and meet the documents in a join. What is sent to every task has a proven bound: the trie
-has at most 258 * 258 contexts of 258 symbols, and at most HEAVY tokens have a HEAVY-th of all training tokens or more.
-Counts of those heavy tokens are used where the text is, so the join moves rare tokens only and has no hot key.
-
-`score` is that model of single words. `context_score` predicts the whole text, known words too, from what stands before:
-every byte, blank between tokens and end is a symbol, and its contexts are the ORDER symbols before it, across token
-borders, down to none and at last evenly, each escape by distinct symbols with exclusion. Cells (context and symbol) are
-counted in a distributed table. Only cells with a HOT_CELLS-th of all symbols are sent to every task; others are joined.
+A text is its lower-case words with a blank between them and an end. Every byte, blank and end is a symbol, predicted from the
+ORDER symbols before it, across word borders, down to none and at last evenly. A context that has seen n symbols of d
+kinds gives a seen one c / (n + d) and keeps d / (n + d) for the escape to the next shorter context (method C), which leaves
+out what the longer one has ruled out. `score` is the log10 probability of the whole text.
+
+Cells (context and symbol) are counted in a distributed table, one for each order, made by adding up the longer one. Only
+cells with a HOT_CELLS-th of all symbols are sent to every task; the others are joined. The counts of whole words, which the
+smoothed base score needs, are kept the same way under 63-bit hashes of the words, with at most HEAVY sent to every task.
+What a text still has to look up leaves its task as (row, key, number): words and cells in one narrow join, whose key is
+a word's hash (negative) or a cell (not negative).
 """
 
 from __future__ import annotations
 
 import math
-from collections import Counter
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,17 +25,17 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.text import LOWER
+from tidemark.llm.text import LOWER, buffers_of, slices, words_of
 from tidemark.session import work_dir
 
-HEAVY = 4096
-ORDER = 5  # symbols in the longest context of a text
+HEAVY = 1 << 20
+ORDER = 4  # symbols in the longest context of a text
 HOT_CELLS = 1 << 21
 PIECE = 1 << 20
 FOLDS, HELD_OUT = 5, 1
-FLUSH = 200_000
-BEGIN = 257  # digit of the token's begin in a context; digits 1 to 256 are bytes, 0 is nothing
-SYMBOLS = 257  # 256 bytes and the token's end
+FLUSH = 1 << 20
+BEGIN = 257  # digit of the text's begin in a context; digits 1 to 256 are bytes, 0 is nothing
+SYMBOLS = 257  # 256 bytes and the end
 STEP = 258
 _LOWER = LOWER.tobytes()
 
@@ -53,80 +49,6 @@ def tokens_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_LOWER).split()
 
 
-# The byte trie ------------------------------------------------------------------------------------
-
-
-def spelled(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Context (two digits), symbol and token number of every byte and end of the tokens."""
-    lengths = np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1
-    ends = np.cumsum(lengths)
-    begins = ends - lengths
-    total = int(ends[-1]) if len(ends) else 0
-    symbol = np.full(total, 256, np.int64)
-    last = np.zeros(total, bool)
-    last[ends - 1] = True
-    symbol[~last] = np.frombuffer(b"".join(tokens), np.uint8)
-    digit = symbol + 1
-    one = np.empty(total, np.int64)
-    one[1:] = digit[:-1]
-    one[begins] = BEGIN
-    two = np.empty(total, np.int64)
-    two[1:] = one[:-1]
-    two[begins] = 0
-    return two * STEP + one, symbol, np.repeat(np.arange(len(tokens)), lengths)
-
-
-class ByteTrie:
-    """Code lengths (log10) of every symbol in every context of up to two bytes."""
-
-    def __init__(self, context: np.ndarray, symbol: np.ndarray, count: np.ndarray):
-        second = self._counts(context, symbol, count)
-        first = self._counts(context % STEP, symbol, count)
-        zero = self._counts(np.zeros_like(context), symbol, count).get(0, np.zeros(SYMBOLS))
-        self.rows = np.zeros(STEP * STEP, np.int32)
-        table = [self._lengths([zero])]
-        for digit, counts in sorted(first.items()):
-            self.rows[digit::STEP] = len(table)
-            table.append(self._lengths([counts, zero]))
-        for pair, counts in sorted(second.items()):
-            self.rows[pair] = len(table)
-            table.append(self._lengths([counts, first[pair % STEP], zero]))
-        self.table = np.array(table, np.float32)
-
-    @staticmethod
-    def _counts(context: np.ndarray, symbol: np.ndarray, count: np.ndarray) -> dict[int, np.ndarray]:
-        contexts, at = np.unique(context, return_inverse=True)
-        sums = np.bincount(at * SYMBOLS + symbol, count, len(contexts) * SYMBOLS).reshape(-1, SYMBOLS)
-        return dict(zip(contexts.tolist(), sums, strict=True))
-
-    @staticmethod
-    def _lengths(orders: list[np.ndarray]) -> np.ndarray:
-        """From the longest context down: escape by distinct symbols, and leave out what has been ruled out."""
-        out = np.zeros(SYMBOLS)
-        ruled_out = np.zeros(SYMBOLS, bool)
-        escapes = 0.0
-        for counts in orders:
-            left = np.where(ruled_out, 0, counts)
-            seen = left > 0
-            total, distinct = left.sum(), int(seen.sum())
-            if distinct == 0:
-                continue
-            out[seen] = escapes + np.log10(left[seen] / (total + distinct))
-            escapes += math.log10(distinct / (total + distinct))
-            ruled_out |= seen
-        rest = int((~ruled_out).sum())
-        if rest:
-            out[~ruled_out] = escapes - math.log10(rest)
-        return out
-
-    def code_lengths(self, tokens: list[bytes]) -> np.ndarray:
-        """log10 probability of the spelling of each token."""
-        if not tokens:
-            return np.zeros(0)
-        context, symbol, number = spelled(tokens)
-        return np.bincount(number, self.table[self.rows[context], symbol], len(tokens))
-
-
 # Contexts over the text -----------------------------------------------------------------------------
 
 
@@ -166,43 +88,30 @@ class HotCells:
 # Spark --------------------------------------------------------------------------------------------
 
 
-def token_counts(docs: DataFrame, text: str, learned: Column) -> DataFrame:
-    """(token, n): how often each distinct token stands in the learned texts, ends not counted."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter[bytes] = Counter()
-        for batch in batches:
-            for value in batch.column(0).to_pylist():
-                found.update(tokens_of(value))
-                if len(found) > FLUSH:
-                    yield _counted(found)
-                    found = Counter()
-        if found:
-            yield _counted(found)
+def word_keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each text of a column: text, key and number, and the number of words of each text."""
+    words = words_of(*buffers_of(column), lower=True)
+    key = words.hash.view(np.int64) | np.iinfo(np.int64).min
+    order = np.lexsort((key, words.text))
+    text, key = words.text[order], key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
+    starts = np.flatnonzero(new)
+    return text[starts], key[starts], np.diff(np.append(starts, len(key))), np.bincount(words.text, minlength=len(column))
 
-    counted = docs.filter(learned).select(F.col(text)).mapInArrow(count, "token BINARY, n BIGINT")
-    return counted.groupBy("token").agg(F.sum("n").alias("n"))
 
+def word_counts(docs: DataFrame, text: str, learned: Column) -> DataFrame:
+    """(key, n): how often each distinct word stands in the learned texts."""
 
-def _counted(found: Counter[bytes]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array(list(found.values()), pa.int64())], names=["token", "n"])
-
-
-def trie_of(counts: DataFrame) -> ByteTrie:
-    """The byte trie of all distinct tokens. Its cells are summed in Spark; at most 258 * 258 * 257 come back."""
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 50_000):
-                context, symbol, _ = spelled(batch.column(0).slice(k, 50_000).to_pylist())
-                cell, n = np.unique(context * SYMBOLS + symbol, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(n)], names=["cell", "n"])
+            for part in slices(batch.column(0)):
+                key = words_of(*buffers_of(part), lower=True).hash.view(np.int64) | np.iinfo(np.int64).min
+                key, n = np.unique(key, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
 
-    summed = counts.select("token").mapInArrow(cells, "cell BIGINT, n BIGINT").groupBy("cell").agg(F.sum("n").alias("n"))
-    table = summed.toArrow()
-    cell, n = table.column("cell").to_numpy(), table.column("n").to_numpy()
-    order = np.argsort(cell)
-    return ByteTrie(cell[order] // SYMBOLS, cell[order] % SYMBOLS, n[order].astype(np.float64))
+    counted = docs.filter(learned).select(F.col(f"`{text}`")).mapInArrow(count, "key BIGINT, n BIGINT")
+    return counted.groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def cell_counts(docs: DataFrame, text: str, chosen: Column, hot: Broadcast | None = None) -> DataFrame:
@@ -222,7 +131,7 @@ def cell_counts(docs: DataFrame, text: str, chosen: Column, hot: Broadcast | Non
         if held:
             yield _summed(held)
 
-    return docs.filter(chosen).select(F.col(text)).mapInArrow(count, "cell BIGINT, n BIGINT").groupBy("cell").agg(F.sum("n").alias("n"))
+    return docs.filter(chosen).select(F.col(f"`{text}`")).mapInArrow(count, "cell BIGINT, n BIGINT").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 def _summed(held: list[np.ndarray]) -> pa.RecordBatch:
@@ -295,40 +204,33 @@ class CellTables:
         return now.select("cell", (F.col("length") - even).alias("length"))
 
 
-def _cell_key(cell: str) -> Column:
-    """A join key that is no token: a blank and eight bytes."""
-    return F.unhex(F.concat(F.lit("20"), F.lpad(F.hex(cell), 16, "0")))
-
-
-def _cell_keys(cells: np.ndarray) -> pa.Array:
-    data = np.full((len(cells), 9), 32, np.uint8)
-    data[:, 1:] = cells.astype(">i8").view(np.uint8).reshape(-1, 8)
-    offsets = np.arange(0, 9 * len(cells) + 1, 9, dtype=np.int32)
-    return pa.Array.from_buffers(pa.binary(), len(cells), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+_ABOUT = "<?qqdd"  # held_out, n_tokens, n_known, base and score as far as the task knows them
+ROW_KEY = 1 << 62  # keys from here on are those of rows themselves; they find nothing in the join and spread these rows
 
 
 def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score and context_score.
+    """One row per document: held_out, n_tokens, n_known, train_tokens, base_score and score.
 
-    The scores are log10 probabilities: of the smoothed words, of the words by themselves, and of the text in its contexts.
+    The scores are log10 probabilities: of the words by smoothed counts, and of the text by partial matching.
     The model learns from the documents that are not held out. A null text is empty: its only token is the end. Repeated
-    rows are scored each. Without any training document N and V are 0, no escape is paid, the base is 0 a token and
-    every symbol of a text is as likely as any other.
-    An empty table gives no rows; columns other than the two play no part.
+    rows are scored each. Without any training document N and V are 0, the base is 0 a token and every symbol of a text is as
+    likely as any other. An empty table gives no rows; columns other than the two play no part.
     """
     spark = docs.sparkSession
-    folder = work_dir(spark, "tokens")
-    token_counts(docs, text, ~held_out(doc_id)).write.parquet(folder)
-    counts = spark.read.schema("token BINARY, n BIGINT").parquet(folder)
+    learned = ~held_out(doc_id)
+    folder = work_dir(spark, "words")
+    word_counts(docs, text, learned).write.parquet(folder)
+    counts = spark.read.schema("key BIGINT, n BIGINT").parquet(folder)
     sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    ends = docs.filter(~held_out(doc_id)).count()
+    ends = docs.filter(learned).count()
     total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
-    heavy = {bytes(r.token): r.n for r in counts.filter(F.col("n") * HEAVY >= F.lit(max(total, 1))).collect()}  # at most HEAVY
-    model = spark.sparkContext.broadcast((heavy, trie_of(counts)))
-    known = math.log10(total + distinct) if total else 0.0
-    escape = math.log10(distinct / (total + distinct)) if total else 0.0
     whole = math.log10(total + 0.5 * (distinct + 1))
-    cells = CellTables(docs, text, ~held_out(doc_id))
+    is_heavy = F.col("n") * HEAVY >= F.lit(max(total, 1))
+    heavy = counts.filter(is_heavy).toArrow()  # at most HEAVY
+    order = np.argsort(heavy.column("key").to_numpy())
+    heavy_words = tuple(np.append(heavy.column(c).to_numpy()[order], -1) for c in ("key", "n"))
+
+    cells = CellTables(docs, text, learned)
     folder = work_dir(spark, "cell-lengths")
     cells.seen().write.parquet(folder)
     lengths = spark.read.schema("cell BIGINT, n BIGINT, length DOUBLE").parquet(folder)
@@ -336,102 +238,87 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     is_hot = F.col("n") * HOT_CELLS >= F.lit(max(symbols, 1))
     found = lengths.filter(is_hot).select("cell", "length").toArrow()  # at most HOT_CELLS
     hot = spark.sparkContext.broadcast(HotCells(found.column("cell").to_numpy(), found.column("length").to_numpy()))
-    new = cell_counts(docs, text, held_out(doc_id), hot).join(lengths, "cell", "left_anti")
+    model = spark.sparkContext.broadcast(heavy_words)
+    new = cell_counts(docs, text, ~learned, hot).join(lengths, "cell", "left_anti")
     rare_cells = lengths.filter(~is_hot).select("cell", "length").unionByName(cells.unseen(new))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heavy, trie = model.value
-        hot_cells = hot.value
+        heavy_key, heavy_n = model.value
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                rows: list[tuple] = []
-                rare: list[bytes] = []
-                cold: list[tuple[int, np.ndarray, np.ndarray]] = []
-                n_cold = 0
-                for key, value, held in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    row += 1
-                    tokens = tokens_of(value)
-                    found = Counter(tokens)
-                    context = 0.0
-                    for cells in text_cells(tokens):
-                        length, other = hot_cells.look(cells)
-                        context += length
+            at = 0
+            for part in slices(batch.column(0)):
+                held, ids = batch.column(1).slice(at, len(part)).to_pylist(), batch.column(2).slice(at, len(part))
+                at += len(part)
+                number, key, n, size = word_keys(part)
+                place = np.searchsorted(heavy_key[:-1], key)
+                known = heavy_key[place] == key
+                c = heavy_n[place[known]]
+                n_known = np.bincount(number[known], n[known], len(part)).astype(np.int64) + (ends > 0)
+                base = np.bincount(number[known], n[known] * np.log10(c + 0.5), len(part)) + math.log10(ends + 0.5)
+                rows, keys, times = [row + number[~known]], [key[~known]], [n[~known]]
+                about, waiting = [], len(rows[0])
+                for k, value in enumerate(part.to_pylist()):
+                    score = 0.0
+                    for symbols_of in text_cells(tokens_of(value)):
+                        length, other = hot.value.look(symbols_of)
+                        score += length
                         if len(other):
-                            cold.append((row, *np.unique(other, return_counts=True)))
-                            n_cold += len(cold[-1][1])
-                            if n_cold > FLUSH:
-                                yield _cold(cold, part.column(0).type)
-                                cold, n_cold = [], 0
-                    n_known = base = score = 0.0
-                    n_tokens = sum(found.values()) + 1
-                    for token in found.keys() & heavy.keys():
-                        n, c = found.pop(token), heavy[token]
-                        n_known += n
-                        base += n * math.log10(c + 0.5)
-                        score += n * math.log10(c)
-                    if ends:
-                        n_known += 1
-                        score += math.log10(ends)
-                    else:
-                        score += escape
-                    base += math.log10(ends + 0.5)
-                    # A key with a blank is no token: it finds nothing in the join and spreads these rows.
-                    rows.append((row, b" %d" % row, 0, key, held, n_tokens, int(n_known), base, score, 0.0, 0, context))
-                    for token, n in found.items():
-                        rows.append((row, token, n, None, None, 0, 0, 0.0, 0.0, 0.0 if not held else None, 0, 0.0))
-                        if held:
-                            rare.append(token)
-                if cold:
-                    yield _cold(cold, part.column(0).type)
-                lengths = iter(trie.code_lengths(rare).tolist())
-                columns = list(zip(*rows, strict=True))
-                columns[9] = [next(lengths) if v is None else v for v in columns[9]]
+                            cell, m = np.unique(other, return_counts=True)
+                            rows.append(np.full(len(cell), row + k))
+                            keys.append(cell)
+                            times.append(m)
+                            waiting += len(cell)
+                    about.append(struct.pack(_ABOUT, held[k], int(size[k]) + 1, int(n_known[k]), float(base[k]), score))
+                    if waiting > FLUSH:
+                        yield _asked(rows, keys, times, ids.type)
+                        rows, keys, times, waiting = [], [], [], 0
+                if rows:
+                    yield _asked(rows, keys, times, ids.type)
+                own = np.arange(row, row + len(part))
+                info = pa.StructArray.from_arrays([pa.array(about, pa.binary()), ids], names=["packed", "doc_id"])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t or part.column(0).type) for c, t in zip(columns, _LOOKED, strict=True)], names=_NAMES
+                    [pa.array(own), pa.array(own + ROW_KEY), pa.array(np.zeros(len(part), np.int64)), info],
+                    names=["row", "key", "n", "about"],
                 )
+                row += len(part)
 
-    looked = docs.select(F.col(doc_id), F.col(text), held_out(doc_id)).mapInArrow(
-        look,
-        f"row BIGINT, token BINARY, n BIGINT, doc_id {docs.schema[doc_id].dataType.simpleString()}, held_out BOOLEAN, "
-        "n_tokens BIGINT, n_known BIGINT, base DOUBLE, score DOUBLE, spelled DOUBLE, m BIGINT, context DOUBLE",
+    id_field = docs.schema[doc_id].dataType.simpleString()
+    looked = docs.select(F.col(f"`{text}`"), held_out(doc_id), F.col(f"`{doc_id}`")).mapInArrow(
+        look, f"row BIGINT, key BIGINT, n BIGINT, about STRUCT<packed: BINARY, doc_id: {id_field}>"
+    )
+    keyed = counts.filter(~is_heavy).select("key", F.col("n").alias("c"), F.lit(None).cast("double").alias("length")).unionByName(
+        rare_cells.select(F.col("cell").alias("key"), F.lit(None).cast("bigint").alias("c"), "length")
     )
-    keyed = counts.select("token", F.col("n").alias("c"), F.lit(None).cast("double").alias("length")).unionByName(
-        rare_cells.select(_cell_key("cell").alias("token"), F.lit(None).cast("bigint").alias("c"), "length")
+    is_word = F.col("key") < 0
+    found = F.when(is_word & F.col("c").isNotNull(), F.col("n")).otherwise(0)
+    scored = looked.join(keyed, "key", "left").groupBy("row").agg(
+        F.first("about", ignorenulls=True).alias("about"),  # one row of each has it
+        F.sum(found).alias("known"),
+        F.sum(F.when(is_word, F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.5))).otherwise(0.0)).alias("base"),
+        F.sum(F.when(is_word, 0.0).otherwise(F.col("n") * F.coalesce("length", F.lit(0.0)))).alias("score"),
     )
-    joined = looked.join(keyed, "token", "left")
-    seen = F.col("c").isNotNull()
-    count = F.coalesce("c", F.lit(0))
-    scored = joined.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(seen, F.col("n")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("n") * F.log10(count + F.lit(0.5))).alias("base"),
-        F.sum(
-            F.col("score") + F.col("n") * F.when(seen, F.log10(count)).otherwise(F.col("spelled") + F.lit(escape))
-        ).alias("score"),
-        F.sum(F.col("context") + F.col("m") * F.coalesce("length", F.lit(0.0))).alias("context_score"),
+
+    def result(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            id, about, known, base, score = batch.columns
+            parts = [struct.unpack(_ABOUT, a) for a in about.to_pylist()]
+            held, n_tokens, n_known, own_base, own_score = zip(*parts, strict=True) if parts else ((),) * 5
+            n = np.array(n_tokens, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [id, pa.array(held, pa.bool_()), pa.array(n), pa.array(np.array(n_known, np.int64) + known.to_numpy()),
+                 pa.array(np.full(len(n), total, np.int64)), pa.array(np.array(own_base) + base.to_numpy() - n * whole),
+                 pa.array(np.array(own_score) + score.to_numpy())],
+                names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+            )
+
+    return scored.select("about.doc_id", "about.packed", "known", "base", "score").mapInArrow(
+        result,
+        f"doc_id {id_field}, held_out BOOLEAN, n_tokens BIGINT, n_known BIGINT, train_tokens BIGINT, base_score DOUBLE, score DOUBLE",
     )
-    # Known tokens, the heavy ones and the end among them, are divided by N + V.
-    return scored.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"),
-        (F.col("base") - F.col("n_tokens") * F.lit(whole)).alias("base_score"),
-        (F.col("score") - F.col("n_known") * F.lit(known)).alias("score"),
-        "context_score",
-    )
-
-
-def _cold(cold: list[tuple[int, np.ndarray, np.ndarray]], id_type: pa.DataType) -> pa.RecordBatch:
-    """Rows of cells that are not hot: only their number m counts."""
-    cells, m = np.concatenate([c for _, c, _ in cold]), np.concatenate([n for _, _, n in cold])
-    row = np.repeat([r for r, _, _ in cold], [len(c) for _, c, _ in cold])
-    none, zero = np.zeros(len(cells), np.int64), np.zeros(len(cells))
-    empty = [pa.nulls(len(cells), id_type), pa.nulls(len(cells), pa.bool_())]
-    columns = [row, _cell_keys(cells), none, *empty, none, none, zero, zero, zero, m, zero]
-    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names=_NAMES)
-
-
-_NAMES = ["row", "token", "n", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "spelled", "m", "context"]
-_LOOKED = [pa.int64(), pa.binary(), pa.int64(), None, pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.float64()]
+
+
+def _asked(rows: list[np.ndarray], keys: list[np.ndarray], times: list[np.ndarray], id_type: pa.DataType) -> pa.RecordBatch:
+    row, key, n = (np.concatenate(c).astype(np.int64) for c in (rows, keys, times))
+    none = pa.nulls(len(row), pa.struct([("packed", pa.binary()), ("doc_id", id_type)]))
+    return pa.RecordBatch.from_arrays([pa.array(row), pa.array(key), pa.array(n), none], names=["row", "key", "n", "about"])
