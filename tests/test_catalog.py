@@ -44,3 +44,26 @@ def test_entry_points(spark):
     assert set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
     rows = entry.entry(spark)
     assert rows.columns == ["repo_id", "repo_name", "stars"] and rows.count() > 0
+
+
+def test_a_missing_library_costs_only_the_optional_part(monkeypatch):
+    import builtins
+    import importlib
+    import sys
+
+    import __spark_entry__ as entry
+
+    real = builtins.__import__
+
+    def without(name, *args, **kwargs):
+        if name in ("tidemark.llm.queries", "corpus_pipeline"):
+            raise ModuleNotFoundError("No module named 'ahocorasick'", name="ahocorasick")
+        return real(name, *args, **kwargs)
+
+    monkeypatch.setattr(builtins, "__import__", without)
+    monkeypatch.delitem(sys.modules, "tidemark.llm.queries", raising=False)
+    with pytest.warns(UserWarning, match="ahocorasick"):
+        importlib.reload(entry)
+    assert set(entry.queries()) == set(catalog.QUERIES)
+    monkeypatch.undo()
+    importlib.reload(entry)

@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
 
-# Windows a caller may ask for.
+# --- fixed values of the queries: windows a caller may ask for, names of the weekdays ---
 TRENDING_WINDOWS = {"1h": timedelta(hours=1), "24h": timedelta(hours=24), "7d": timedelta(days=7)}
 TREND_DAYS = {"7d": 7, "30d": 30, "90d": 90}
 
 # ISO order: element 1 is Monday.
 WEEKDAY_NAMES = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+# --- end of fixed values ---
 
 _RFC3339 = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d+)?(Z|[+-]\d{2}:\d{2})$"
 
