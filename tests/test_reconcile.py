@@ -1,0 +1,92 @@
+"""Fingerprints by load and month, and what they find."""
+
+from pyspark.sql import functions as F
+
+from tidemark.operators.reconcile import (
+    FINGERPRINTS,
+    differing_months,
+    event_fingerprints,
+    key_differences,
+    reconcile_months,
+    write_fingerprints,
+)
+from tidemark.operators.rollups import write_rollups
+from tidemark.schema import ACTIVITY, LANGUAGE_DAILY, REPO_STARS_HOURLY, ROLLUP_SCHEMAS
+from tidemark.sources.bus import read_event_stream, to_bus_messages
+from tidemark.sources.store import batch_load, read_table, write_events
+from tidemark.streaming.enrichment import enrich_changed, languages_of
+from tidemark.streaming.ingest import Sinks, fold_finished, replace, start_ingest, stream_identity
+
+
+def stored(event, tmp_path, batches=3):
+    sinks = Sinks(str(tmp_path / "out"), stream="s")
+    rows = [{"created_at": f"2024-0{1 + i % 3}-05 0{i % 7}:00:00", "repo_id": i % 4, "language": "go" if i % 2 else ""} for i in range(60)]
+    events = event(*rows)
+    for number in range(batches):
+        part = events.filter(F.col("event_id") % batches == number)
+        write_events(part, sinks.events, sinks.load(number))
+        write_rollups(part, sinks.rollups, sinks.load(number))
+        write_fingerprints(part, sinks.fingerprints, sinks.load(number))
+    return sinks, events
+
+
+def test_right_rollups_have_the_sums_of_their_events(spark, event, tmp_path):
+    sinks, events = stored(event, tmp_path)
+    assert differing_months(spark, sinks.fingerprints, sinks.rollups).count() == 0
+    write_fingerprints(events.filter("event_id % 3 = 1"), sinks.fingerprints, sinks.load(1))  # a replay
+    fold_finished(spark, sinks, 2)
+    assert differing_months(spark, sinks.fingerprints, sinks.rollups).count() == 0
+    assert reconcile_months(spark, sinks.events, sinks.fingerprints, sinks.rollups).count() == 0
+    sums = read_table(spark, sinks.fingerprints, FINGERPRINTS).groupBy("rollup").agg(F.sum("n").alias("n")).collect()
+    assert {r.rollup: r.n for r in sums} == {REPO_STARS_HOURLY: 60, LANGUAGE_DAILY: 30, ACTIVITY: 60}
+    assert event_fingerprints(events.limit(0)).count() == 0 and set(ROLLUP_SCHEMAS) == {r.rollup for r in sums}
+
+
+def test_a_planted_difference_is_found_in_its_month_alone(spark, event, tmp_path):
+    sinks, events = stored(event, tmp_path)
+    wrong = events.filter("repo_id = 3 AND month(created_at) = 2")
+    write_rollups(wrong, sinks.rollups, batch_load("planted", 0), [REPO_STARS_HOURLY])
+    months = [tuple(r) for r in differing_months(spark, sinks.fingerprints, sinks.rollups).collect()]
+    assert months == [(REPO_STARS_HOURLY, 202402, 20, 20 + wrong.count())]
+    keys = reconcile_months(spark, sinks.events, sinks.fingerprints, sinks.rollups).collect()
+    assert len(keys) == wrong.select("created_at").distinct().count()
+    assert all(r.key.startswith("3|2024-02-05") and r.in_rollup == 2 * r.in_events for r in keys)
+    frame = key_differences(spark, sinks.events, sinks.rollups, REPO_STARS_HOURLY, [202402])
+    plan = frame._jdf.queryExecution().optimizedPlan().toString() + frame._jdf.queryExecution().executedPlan().toString()
+    filters = [part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]]
+    assert len(filters) == 2 and all("202402" in f for f in filters)
+
+
+def test_equal_counts_with_other_keys_differ(spark, event, tmp_path):
+    sinks, events = stored(event, tmp_path, 1)
+    moved = events.withColumn("repo_id", F.when(F.col("repo_id") == 3, 9).otherwise(F.col("repo_id")).cast("bigint"))
+    write_rollups(moved, sinks.rollups, sinks.load(0), [REPO_STARS_HOURLY])
+    found = differing_months(spark, sinks.fingerprints, sinks.rollups).collect()
+    assert {r.rollup for r in found} == {REPO_STARS_HOURLY} and all(r.in_events == r.in_rollup for r in found)
+
+
+def test_a_lost_month_is_found(spark, event, tmp_path):
+    import shutil
+
+    sinks, _ = stored(event, tmp_path, 1)
+    shutil.rmtree(f"{sinks.rollups}/{ACTIVITY}/ym=202403")
+    found = [tuple(r) for r in differing_months(spark, sinks.fingerprints, sinks.rollups).collect()]
+    assert found == [(ACTIVITY, 202403, 20, 0)]
+
+
+def test_streams_and_enrichment_keep_them(spark, event, tmp_path):
+    folder = str(tmp_path / "messages")
+    rows = to_bus_messages(event(*[{"repo_id": i % 4} for i in range(9)]))
+    places = [F.lit("events").alias("topic"), F.lit(0).alias("partition"), F.col("key").cast("bigint").alias("offset"), F.lit(None).cast("timestamp").alias("timestamp")]
+    rows.select("key", "value", *places).write.parquet(folder)
+    sinks = Sinks(str(tmp_path / "out"))
+    query = start_ingest(read_event_stream(spark, files=folder), sinks, str(tmp_path / "cp"), {"availableNow": True}, fingerprints=True)
+    query.awaitTermination()
+    own = replace(sinks, stream=stream_identity(query))
+    assert differing_months(spark, own.fingerprints, own.rollups).count() == 0
+    languages = languages_of(spark, str(tmp_path / "languages"))
+    languages.publish(spark.createDataFrame([(1, "go"), (2, "c")], "repo_id BIGINT, language STRING"))
+    assert len(enrich_changed(spark, own, languages)) == 1
+    assert differing_months(spark, own.fingerprints, own.rollups).count() == 0
+    kept = read_table(spark, own.fingerprints, FINGERPRINTS).filter(F.col("rollup") == LANGUAGE_DAILY)
+    assert kept.agg(F.sum("n")).first()[0] == 4

@@ -25,6 +25,7 @@ from tidemark.operators.profiles import (
     payload_size_profile,
     ref_form_profile,
 )
+from tidemark.operators.reconcile import fold_fingerprints, reconcile_months, write_fingerprints
 from tidemark.operators.rollups import (
     activity_weekday_hour,
     backfill_rollups,
@@ -438,6 +439,25 @@ def reconcile(spark, sf):
     return reconcile_rollups(events, rollups)
 
 
+@query(f"""{sql.ROLLUPS}
+SELECT 'repo_stars_hourly' AS rollup, CAST(year(hour) * 100 + month(hour) AS INTEGER) AS ym,
+  repo_id || '|' || strftime(hour, '%Y-%m-%d %H:%M:%S') AS "key", stars AS in_events, 2 * stars AS in_rollup FROM stars WHERE repo_id = {REPO_ID}
+UNION ALL SELECT 'language_daily', CAST(year(day) * 100 + month(day) AS INTEGER), language || '|' || CAST(day AS VARCHAR), events, 0
+FROM langs WHERE day = DATE '2024-01-15'""")
+def reconcile_by_month(spark, sf):
+    """Two loads, of which one is run again; one roll-up counts a repository twice, another one lacks a day."""
+    sinks, events = Sinks(work_dir(spark, "reconcile")), enriched_events(spark, sf)
+    for number in (0, 1, 1):
+        rows, load = events.filter(F.col("event_id") % 2 == number), batch_load("live", number)
+        write_events(rows, sinks.events, load)
+        write_fingerprints(rows, sinks.fingerprints, load)
+        write_rollups(rows, sinks.rollups, load, [REPO_STARS_HOURLY, ACTIVITY])
+        write_rollups(rows.filter("to_date(created_at) <> DATE'2024-01-15'"), sinks.rollups, load, [LANGUAGE_DAILY])
+    fold_fingerprints(spark, sinks.fingerprints, "live", 2)
+    write_rollups(events.filter(F.col("repo_id") == REPO_ID), sinks.rollups, "planted", [REPO_STARS_HOURLY])
+    return reconcile_months(spark, sinks.events, sinks.fingerprints, sinks.rollups)
+
+
 @query(_STARS_SQL)
 def backfill_repo_stars(spark, sf):
     """Two live loads, then two backfills of the month: the sums must be those of one pass."""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.enrich import enrich_language
+from tidemark.operators.reconcile import rewrite_fingerprints
 from tidemark.operators.rollups import ROLLUP_KEYS, language_daily, rollup_path
 from tidemark.schema import CANONICAL_COLUMNS, LANGUAGE_DAILY
 from tidemark.sources.dimension import Dimension
@@ -26,6 +27,7 @@ from tidemark.sources.store import (
     _files_in,
     _remove,
     write_text,
+    exists,
     finish_replacements,
     load_path,
     month_loads,
@@ -66,6 +68,9 @@ def _rebuild_rollup(spark: SparkSession, sinks: Sinks, folders: list[Folder]) ->
     finish_replacements(spark, path)
     stored = read_table(spark, sinks.events, EVENTS_DDL, sorted({m for m, _ in folders})).filter(_in_folders(folders))
     replace_loads(language_daily(stored, MONTH, LOAD), path, folders, ROLLUP_KEYS[LANGUAGE_DAILY], [])
+    if exists(spark, sinks.fingerprints):
+        finish_replacements(spark, sinks.fingerprints)
+        rewrite_fingerprints(stored, sinks.fingerprints, folders)
 
 
 def _mark(spark: SparkSession, sinks: Sinks, folders: Iterable[Folder], version: int) -> None:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.normalize import observe_rejects, tag_events, usable
+from tidemark.operators.reconcile import fold_fingerprints, write_fingerprints
 from tidemark.operators.rollups import fold_rollup, fold_rollup_loads, write_rollups
 from tidemark.operators.sketches import SKETCH_SCHEMAS, fold_sketches, write_sketches
 from tidemark.operators.validate import check_messages, poison_messages, valid_events
@@ -74,6 +75,10 @@ class Sinks:
     def rollups(self) -> str:
         return f"{self.root}/rollups"
 
+    @property
+    def fingerprints(self) -> str:
+        return f"{self.root}/fingerprints"
+
     @property
     def sketches(self) -> str:
         return f"{self.root}/sketches"
@@ -125,6 +130,7 @@ def write_batch(
     rollups: bool = True,
     retries: int = 0,
     sketches: bool = False,
+    fingerprints: bool = False,
 ) -> None:
     """Store one micro-batch in every sink.
 
@@ -152,6 +158,8 @@ def write_batch(
             steps.append(lambda: maintain_rollups(valid_events(checked), sinks, batch_id))
         if sketches:
             steps.append(lambda: write_sketches(valid_events(checked), sinks.sketches, load))
+        if fingerprints:
+            steps.append(lambda: write_fingerprints(valid_events(checked), sinks.fingerprints, load))
         run_together(messages.sparkSession, *steps)
 
     try:
@@ -170,6 +178,7 @@ def start_ingest(
     retries: int = DEFAULT_RETRIES,
     beside: bool = False,
     sketches: bool = False,
+    fingerprints: bool = False,
 ) -> StreamingQuery:
     """One query for the whole write path. Batch size is bounded by the source (`maxOffsetsPerTrigger`)
     and by the trigger, whichever comes first; the offset is committed after all writes succeeded.
@@ -178,7 +187,8 @@ def start_ingest(
     batches. A new checkpoint on sinks that other streams have filled would read its source from the start
     once more; that is refused unless `beside` says that the source is another one.
 
-    `sketches` also maintains the daily sketches (`operators.sketches`), of which the corpus figures can then be read.
+    `sketches` also maintains the daily sketches (`operators.sketches`), of which the corpus figures can then be read, `fingerprints`
+    the sums by which roll-ups are reconciled month by month (`operators.reconcile`).
     Without `end_offsets` the audit takes the newest offsets from the query's own progress: those of the
     batch before, as the source reported them.
     """
@@ -195,7 +205,7 @@ def start_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         started.wait()
         own = replace(sinks, stream=stream_identity(running[0]))
-        write_batch(batch, batch_id, own, end_offsets or ends, rollups, retries, sketches)
+        write_batch(batch, batch_id, own, end_offsets or ends, rollups, retries, sketches, fingerprints)
 
     running.append(
         messages.writeStream.queryName(sinks.name)
@@ -220,6 +230,7 @@ def fold_finished(spark: SparkSession, sinks: Sinks, below: int) -> None:
         fold_rollup(spark, sinks.rollups, name, sinks.writer, below)
     for name in SKETCH_SCHEMAS:
         fold_sketches(spark, sinks.sketches, name, sinks.writer, below)
+    fold_fingerprints(spark, sinks.fingerprints, sinks.writer, below)
     fold_batches(spark, sinks.dead_letters, DEAD_LETTERS, sinks.writer, below, ["source_partition", "source_offset"], ["source_partition"])
     fold_batches(spark, sinks.audit, AUDIT, sinks.writer, below, ["batch_id", "partition"], ["partition"])
 
