@@ -20,13 +20,16 @@ from tidemark.operators.admission import sliding_window_admission
 from tidemark.operators.normalize import normalize_events
 from tidemark.operators.profiles import column_profile, event_type_mix, key_skew, payload_size_profile
 from tidemark.operators.rollups import ROLLUP_KEYS, read_rollup, reconcile_rollups, write_rollups
+from tidemark.operators.sketches import CORPUS_DAILY, corpus_from_sketches, read_sketches, write_sketches
 from tidemark.operators.validate import check_messages, valid_events
 from tidemark.plans import activity, cards, completeness, corpus, languages
 from tidemark.plans import trending as top
 from tidemark.samples.catalog import LANGUAGE, REPO
+from tidemark.samples.landing import ARCHIVE_DAY, land_archive_day
 from tidemark.samples.tables import AS_OF, bus_messages, enriched_events, raw_lines, sample_events
 from tidemark.schema import ACTIVITY, CORRUPT, LANGUAGE_DAILY, MESSAGE, RAW, REPO_STARS_HOURLY
 from tidemark.session import build_session
+from tidemark.sources.archive import read_archive
 from tidemark.sources.bus import read_event_stream
 from tidemark.sources.store import read_events, write_events
 from tidemark.streaming.ingest import Sinks, start_ingest
@@ -54,6 +57,7 @@ def main() -> None:
     stored = read_events(spark, events_path)
     by_month = read_events(spark, events_path, with_month=True)  # the queries skip months by themselves
     write_rollups(stored, rollup_root, "bench")
+    write_sketches(stored, f"{base}/sketches", "bench")
     total = stored.count()
     raw_lines(sample_events(spark, SF_DIR)).select("line").repartition(int(CPUS)).write.option(
         "compression", "gzip"
@@ -62,6 +66,7 @@ def main() -> None:
         *[F.col(f.name).cast(f.dataType) for f in MESSAGE.fields]
     ).repartition(4).write.parquet(f"{base}/messages")
 
+    archive = land_archive_day(spark, sample_events(spark, SF_DIR))
     stars = read_rollup(spark, rollup_root, REPO_STARS_HOURLY)
 
     def recent_stars(window: str):
@@ -105,7 +110,8 @@ def main() -> None:
         "language_coverage": lambda: languages.language_coverage(by_month, AS_OF).collect(),
         "language_trends": lambda: languages.language_trends(langs, AS_OF).collect(),
         "activity_heatmap": lambda: activity.activity_heatmap(cells).collect(),
-        "corpus_stats": lambda: corpus.corpus_stats(stored, AS_OF).collect(),
+        "corpus_stats": lambda: corpus_from_sketches(read_sketches(spark, f"{base}/sketches", CORPUS_DAILY), AS_OF).collect(),
+        "corpus_stats_scan": lambda: corpus.corpus_stats(stored, AS_OF).collect(),
         "corpus_stats_exact": lambda: corpus.corpus_stats(stored, AS_OF, exact=True).collect(),
         "missing_hours": lambda: completeness.missing_hours(by_month, "2023-12-30 00:30:00", "2024-02-02 02:15:00").collect(),
         "event_type_mix": lambda: event_type_mix(stored).collect(),
@@ -117,6 +123,7 @@ def main() -> None:
         ).collect(),
         "admission": lambda: noop(sliding_window_admission(requests, window_seconds=86_400, order="request_id")),
         "normalize_raw_files": lambda: noop(normalize_events(raw())[0]),
+        "read_archive_hour": lambda: noop(normalize_events(read_archive(spark, archive, ARCHIVE_DAY))[0]),
         "validate_messages": lambda: noop(valid_events(check_messages(spark.read.parquet(f"{base}/messages")))),
         "store_events": lambda: write_events(stored, f"{base}/again", "bench"),
         "store_rollups": lambda: write_rollups(stored, f"{base}/rollups-again", "bench"),
