@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators.enrich import enrich_language
+from tidemark.operators.enrich import enrich_language, unseen_events
 from tidemark.operators.equivalence import results_equivalent
 from tidemark.operators.rollups import backfill_rollups, language_daily, merge_stored, read_rollup, write_rollups
 from tidemark.schema import ACTIVITY, CANONICAL_COLUMNS, LANGUAGE_DAILY, ROLLUP_SCHEMAS
@@ -11,7 +11,8 @@ from tidemark.sources import store
 from tidemark.sources.dimension import Dimension
 from tidemark.sources.store import EVENTS_DDL, batch_load, load_path, read_events, read_table, write_events
 from tidemark.streaming.enrichment import MARK, enrich_changed, enrich_months, enriched_versions, languages_of
-from tidemark.streaming.ingest import Sinks, fold_finished, replace
+from tidemark.sources.bus import read_event_stream, to_bus_messages
+from tidemark.streaming.ingest import Sinks, fold_finished, replace, start_ingest
 
 
 def values(spark, **languages):
@@ -182,3 +183,34 @@ def test_marks_are_invisible(spark, filled, tmp_path):
     enrich_changed(spark, replace(sinks, stream="s"), languages)
     assert f"{MARK}1" in store._files_in(spark, load_path(sinks.events, 202401, sinks.load(0)))
     assert read_events(spark, sinks.events).select(*CANONICAL_COLUMNS).count() == 20
+
+
+def test_only_unseen_ids_of_overlapping_sources(spark, event, tmp_path):
+    path = str(tmp_path / "events")
+    events = event(*[{"created_at": f"2024-0{1 + i % 3}-05 00:00:00"} for i in range(30)])
+    assert unseen_events(events, path, "x").count() == 30  # nothing is stored yet
+    write_events(events.filter("event_id <= 20"), path, "a")
+    write_events(unseen_events(events.filter("event_id > 10"), path, "b"), path, "b")
+    write_events(unseen_events(events.filter("event_id > 10"), path, "b"), path, "b")  # the load runs again
+    assert sorted(r.event_id for r in read_events(spark, path).collect()) == list(range(1, 31))
+    assert unseen_events(events, path, "c").count() == 0 and unseen_events(events.limit(0), path, "c").count() == 0
+    late = events.filter("event_id = 5").withColumn("event_id", F.lit(99).cast("bigint"))
+    frame = unseen_events(late.unionByName(late), path, "c")
+    assert frame.count() == 2 and frame.columns == CANONICAL_COLUMNS
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    filters = [part.split("]")[0] for part in plan.split("PartitionFilters: [")[1:]]
+    assert filters and all("202402" in f and "202401" not in f for f in filters)
+
+
+def test_streams_that_overlap_store_each_id_once(spark, event, tmp_path):
+    events = event(*[{"created_at": f"2024-0{1 + i % 2}-05 00:00:00"} for i in range(24)])
+    sinks = Sinks(str(tmp_path / "out"))
+    for number, part in enumerate((events.filter("event_id <= 16"), events.filter("event_id > 8").unionByName(events.filter("event_id = 20")))):
+        folder = str(tmp_path / f"messages-{number}")
+        places = [F.lit("events").alias("topic"), F.lit(0).alias("partition"), F.col("key").cast("bigint").alias("offset"), F.lit(None).cast("timestamp").alias("timestamp")]
+        to_bus_messages(part).select("key", "value", *places).write.parquet(folder)
+        stream = read_event_stream(spark, files=folder)
+        checkpoint = str(tmp_path / f"checkpoint-{number}")
+        start_ingest(stream, sinks, checkpoint, {"availableNow": True}, beside=bool(number), only_unseen=True).awaitTermination()
+    assert sorted(r.event_id for r in read_events(spark, sinks.events).collect()) == list(range(1, 25))
+    assert read_rollup(spark, sinks.rollups, ACTIVITY).agg(F.sum("events")).first()[0] == 24

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.timestamps import month_number
 from tidemark.schema import CANONICAL_COLUMNS
+from tidemark.sources.store import EVENTS_DDL, LOAD, exists, read_table
 
 
 def enrich_language(
@@ -43,3 +45,22 @@ def dedup_events(events: DataFrame) -> DataFrame:
         .agg(F.min(F.struct(*CANONICAL_COLUMNS[1:])).alias("_row"))
         .select("event_id", "_row.*")
     )
+
+
+def unseen_events(events: DataFrame, path: str, load: str | tuple[str, str]) -> DataFrame:
+    """Events whose ids no other load of the stored table at `path` has; `load` (or from..to) is the one they will be written as.
+
+    Copies within `events` stay, see `dedup_events`. An event has one `created_at` wherever it comes from, so only the months of
+    the new events are read, and there the ids alone. The ids that both sides have are found first, by a semi-join from
+    the stored side: Spark prunes that scan by a Bloom filter of the new ids once it is large. What is left to take out is small
+    then. The events' own load plays no part, so a load that runs again gives the same rows.
+    """
+    spark = events.sparkSession
+    if not exists(spark, path):
+        return events
+    first, last = (load, load) if isinstance(load, str) else load
+    months = [r.m for r in events.select(month_number("created_at").alias("m")).distinct().collect()]
+    others = read_table(spark, path, EVENTS_DDL, months).filter(~F.col(LOAD).between(first, last))
+    ids = events.select("event_id").distinct()
+    known = others.select("event_id").join(ids, "event_id", "left_semi").distinct()
+    return events.join(known, "event_id", "left_anti").select(*events.columns)

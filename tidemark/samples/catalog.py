@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.timestamps import month_number, ts_lit
 from tidemark.operators.admission import sliding_window_admission
-from tidemark.operators.enrich import dedup_events
+from tidemark.operators.enrich import dedup_events, unseen_events
 from tidemark.operators.equivalence import result_differences, result_fingerprint
 from tidemark.operators.filters import between, of_month
 from tidemark.operators.normalize import normalize_events, payload_epoch, reject_counts, tag_events
@@ -576,6 +576,18 @@ def dedup(spark, sf):
     return dedup_events(events.unionByName(events).unionByName(events.filter("repo_id > 50")))
 
 
+@query(f"{sql.BASE} SELECT {sql.UNENRICHED} FROM canon WHERE event_id % 3 > 0 OR event_id % 2 = 0")
+def dedup_stored(spark, sf):
+    """Two sources that overlap, the second one delivered twice and run again: every id is stored once."""
+    path, events = work_dir(spark, "overlap"), sample_events(spark, sf)
+    write_events(events.filter("event_id % 3 > 0"), path, batch_load("one", 0))
+    second = events.filter("event_id % 2 = 0")
+    for number in (0, 0, 1):
+        load = batch_load("two", number)
+        write_events(unseen_events(second, path, load), path, load)
+    return read_events(spark, path)
+
+
 # Messages -------------------------------------------------------------------------------------------
 
 

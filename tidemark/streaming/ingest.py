@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from tidemark.operators.enrich import dedup_events, unseen_events
 from tidemark.operators.normalize import observe_rejects, tag_events, usable
 from tidemark.operators.reconcile import fold_fingerprints, write_fingerprints
 from tidemark.operators.rollups import fold_rollup, fold_rollup_loads, write_rollups
@@ -131,6 +132,7 @@ def write_batch(
     retries: int = 0,
     sketches: bool = False,
     fingerprints: bool = False,
+    only_unseen: bool = False,
 ) -> None:
     """Store one micro-batch in every sink.
 
@@ -145,9 +147,13 @@ def write_batch(
     checked = checked.persist()
     load = sinks.load(batch_id)
 
+    def fresh() -> DataFrame:
+        events = valid_events(checked)
+        return unseen_events(dedup_events(events), sinks.events, load) if only_unseen else events
+
     def store_events() -> None:
         started = time.perf_counter()
-        write_events(valid_events(checked), sinks.events, load)
+        write_events(fresh(), sinks.events, load)
         latency = time.perf_counter() - started
         write_audit(batch_audit(checked, batch_id, latency, end_offsets() if end_offsets else {}), sinks.audit, load)
 
@@ -155,11 +161,11 @@ def write_batch(
         write_dead_letters(poison_messages(checked), sinks.dead_letters, load)  # fills the cache
         steps = [store_events]
         if rollups:
-            steps.append(lambda: maintain_rollups(valid_events(checked), sinks, batch_id))
+            steps.append(lambda: maintain_rollups(fresh(), sinks, batch_id))
         if sketches:
-            steps.append(lambda: write_sketches(valid_events(checked), sinks.sketches, load))
+            steps.append(lambda: write_sketches(fresh(), sinks.sketches, load))
         if fingerprints:
-            steps.append(lambda: write_fingerprints(valid_events(checked), sinks.fingerprints, load))
+            steps.append(lambda: write_fingerprints(fresh(), sinks.fingerprints, load))
         run_together(messages.sparkSession, *steps)
 
     try:
@@ -179,6 +185,7 @@ def start_ingest(
     beside: bool = False,
     sketches: bool = False,
     fingerprints: bool = False,
+    only_unseen: bool = False,
 ) -> StreamingQuery:
     """One query for the whole write path. Batch size is bounded by the source (`maxOffsetsPerTrigger`)
     and by the trigger, whichever comes first; the offset is committed after all writes succeeded.
@@ -189,6 +196,8 @@ def start_ingest(
 
     `sketches` also maintains the daily sketches (`operators.sketches`), of which the corpus figures can then be read, `fingerprints`
     the sums by which roll-ups are reconciled month by month (`operators.reconcile`).
+    `only_unseen` stores of each batch the events that no other load has, one of each id (`operators.enrich.unseen_events`): for sources
+    that overlap. The audit still counts all valid messages.
     Without `end_offsets` the audit takes the newest offsets from the query's own progress: those of the
     batch before, as the source reported them.
     """
@@ -205,7 +214,7 @@ def start_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         started.wait()
         own = replace(sinks, stream=stream_identity(running[0]))
-        write_batch(batch, batch_id, own, end_offsets or ends, rollups, retries, sketches, fingerprints)
+        write_batch(batch, batch_id, own, end_offsets or ends, rollups, retries, sketches, fingerprints, only_unseen)
 
     running.append(
         messages.writeStream.queryName(sinks.name)
