@@ -44,7 +44,11 @@ def repo_card(events: DataFrame, rollup: DataFrame, repo_name: str) -> DataFrame
     Pushes, forks and issues go by name, stars by the id the name resolves to. The id is a scalar subquery,
     so it is known before the roll-up is read and reaches its scan as a plain comparison.
     """
-    found = repo_lookup(events, repo_name)
+    return card_of(repo_lookup(events, repo_name), rollup, repo_name)
+
+
+def card_of(found: DataFrame, rollup: DataFrame, repo_name: str) -> DataFrame:
+    """The card for a look-up by name, from events (`repo_lookup`) or from stored names (`names.lookup_from_names`)."""
     per_day = (
         _stars_of(rollup, found.select("repo_id").scalar())
         .groupBy(F.to_date("hour").alias("date"))

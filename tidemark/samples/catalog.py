@@ -16,6 +16,7 @@ from tidemark.operators.admission import sliding_window_admission
 from tidemark.operators.enrich import dedup_events, unseen_events
 from tidemark.operators.equivalence import result_differences, result_fingerprint
 from tidemark.operators.filters import between, of_month
+from tidemark.operators.names import fold_names, lookup_from_names, name_history, read_names, write_names
 from tidemark.operators.normalize import normalize_events, payload_epoch, reject_counts, tag_events
 from tidemark.operators.profiles import (
     column_profile,
@@ -239,6 +240,48 @@ def repo_card_unknown(spark, sf):
     return cards.repo_card(sample_events(spark, sf), _stars(spark, sf), "no/such").select("repo_id", "repo_name")
 
 
+# A repository gets a new name in the middle of the sample, and another one takes its old name.
+_RENAMED = f"""{sql.BASE}, renamed AS (SELECT * REPLACE (CASE
+    WHEN repo_id = {REPO_ID} AND created_at >= TIMESTAMP '2024-01-16' THEN 'new/name'
+    WHEN repo_id = 52 AND created_at >= TIMESTAMP '2024-01-21' THEN '{REPO}' ELSE repo_name END AS repo_name) FROM canon),
+found AS (SELECT asked, max_by(repo_id, event_id) AS repo_id, count(*) FILTER (event_type = 'PushEvent') AS pushes,
+    count(*) FILTER (event_type = 'ForkEvent') AS forks, count(*) FILTER (event_type = 'IssuesEvent') AS issues
+  FROM renamed JOIN (SELECT unnest(['{REPO}', 'new/name']) AS asked) ON repo_name = asked GROUP BY asked)"""
+
+
+def _renamed(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Stored names, of three loads, one of them run again and two folded, and the star roll-up."""
+    path, events = work_dir(spark, "names"), sample_events(spark, sf)
+    name = (
+        F.when((F.col("repo_id") == REPO_ID) & (F.col("created_at") >= ts_lit("2024-01-16")), "new/name")
+        .when((F.col("repo_id") == 52) & (F.col("created_at") >= ts_lit("2024-01-21")), REPO)
+        .otherwise(F.col("repo_name"))
+    )
+    events = events.withColumn("repo_name", name)
+    for number in (0, 1, 1, 2):
+        write_names(events.filter(F.col("event_id") % 3 == number), path, batch_load("live", number))
+    fold_names(spark, path, "live", 2)
+    return read_names(spark, path), repo_stars_hourly(events)
+
+
+@query(f"""{_RENAMED} SELECT asked AS repo_name, repo_id, pushes, forks, issues,
+  (SELECT count(*) FROM canon WHERE event_type = 'WatchEvent' AND canon.repo_id = found.repo_id) AS stars FROM found""")
+def repo_card_renamed(spark, sf):
+    """Cards of a new name and of an old name that another repository has now, from stored names alone."""
+    names, stars = _renamed(spark, sf)
+    found = [cards.card_of(lookup_from_names(names, n), stars, n) for n in (REPO, "new/name")]
+    return found[0].unionByName(found[1]).select("repo_name", "repo_id", "pushes", "forks", "issues", "stars")
+
+
+@query(f"""{_RENAMED}, spans AS (SELECT repo_id, repo_name, min(created_at) AS since, max(created_at) AS until, count(*) AS events
+  FROM renamed GROUP BY ALL),
+ends AS (SELECT *, least(lead(since) OVER (PARTITION BY repo_id ORDER BY since, repo_name),
+  lead(since) OVER (PARTITION BY repo_name ORDER BY since, repo_id)) AS e FROM spans)
+SELECT repo_id, repo_name, since AS valid_from, CASE WHEN until > e THEN until ELSE e END AS valid_to, events FROM ends""")
+def name_periods(spark, sf):
+    return name_history(_renamed(spark, sf)[0])
+
+
 # Languages, activity, corpus, completeness ---------------------------------------------------------
 
 

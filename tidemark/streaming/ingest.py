@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.operators.enrich import dedup_events, unseen_events
+from tidemark.operators.names import fold_names, write_names
 from tidemark.operators.normalize import observe_rejects, tag_events, usable
 from tidemark.operators.reconcile import fold_fingerprints, write_fingerprints
 from tidemark.operators.rollups import fold_rollup, fold_rollup_loads, write_rollups
@@ -76,6 +77,10 @@ class Sinks:
     def rollups(self) -> str:
         return f"{self.root}/rollups"
 
+    @property
+    def names(self) -> str:
+        return f"{self.root}/names"
+
     @property
     def fingerprints(self) -> str:
         return f"{self.root}/fingerprints"
@@ -133,6 +138,7 @@ def write_batch(
     sketches: bool = False,
     fingerprints: bool = False,
     only_unseen: bool = False,
+    names: bool = False,
 ) -> None:
     """Store one micro-batch in every sink.
 
@@ -166,6 +172,8 @@ def write_batch(
             steps.append(lambda: write_sketches(fresh(), sinks.sketches, load))
         if fingerprints:
             steps.append(lambda: write_fingerprints(fresh(), sinks.fingerprints, load))
+        if names:
+            steps.append(lambda: write_names(fresh(), sinks.names, load))
         run_together(messages.sparkSession, *steps)
 
     try:
@@ -186,6 +194,7 @@ def start_ingest(
     sketches: bool = False,
     fingerprints: bool = False,
     only_unseen: bool = False,
+    names: bool = False,
 ) -> StreamingQuery:
     """One query for the whole write path. Batch size is bounded by the source (`maxOffsetsPerTrigger`)
     and by the trigger, whichever comes first; the offset is committed after all writes succeeded.
@@ -197,7 +206,7 @@ def start_ingest(
     `sketches` also maintains the daily sketches (`operators.sketches`), of which the corpus figures can then be read, `fingerprints`
     the sums by which roll-ups are reconciled month by month (`operators.reconcile`).
     `only_unseen` stores of each batch the events that no other load has, one of each id (`operators.enrich.unseen_events`): for sources
-    that overlap. The audit still counts all valid messages.
+    that overlap. `names` keeps the history of repository names (`operators.names`). The audit still counts all valid messages.
     Without `end_offsets` the audit takes the newest offsets from the query's own progress: those of the
     batch before, as the source reported them.
     """
@@ -214,7 +223,7 @@ def start_ingest(
     def write(batch: DataFrame, batch_id: int) -> None:
         started.wait()
         own = replace(sinks, stream=stream_identity(running[0]))
-        write_batch(batch, batch_id, own, end_offsets or ends, rollups, retries, sketches, fingerprints, only_unseen)
+        write_batch(batch, batch_id, own, end_offsets or ends, rollups, retries, sketches, fingerprints, only_unseen, names)
 
     running.append(
         messages.writeStream.queryName(sinks.name)
@@ -240,6 +249,7 @@ def fold_finished(spark: SparkSession, sinks: Sinks, below: int) -> None:
     for name in SKETCH_SCHEMAS:
         fold_sketches(spark, sinks.sketches, name, sinks.writer, below)
     fold_fingerprints(spark, sinks.fingerprints, sinks.writer, below)
+    fold_names(spark, sinks.names, sinks.writer, below)
     fold_batches(spark, sinks.dead_letters, DEAD_LETTERS, sinks.writer, below, ["source_partition", "source_offset"], ["source_partition"])
     fold_batches(spark, sinks.audit, AUDIT, sinks.writer, below, ["batch_id", "partition"], ["partition"])
 
