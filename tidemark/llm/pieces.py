@@ -299,7 +299,7 @@ def with_pieces(
 
     def encode(column: pa.Array) -> pa.Array:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        parts = [_encoded(pc.fill_null(part, "").to_pylist(), model, verify) for part in slices(column, 1 << 22)]
+        parts = [_encoded(pc.fill_null(part, "").to_pylist(), model, verify) for part in slices(column, 1 << 21)]
         return pa.concat_arrays(parts) if parts else _encoded([], model, False)
 
     return docs.withColumn(out, F.arrow_udf(encode, RESULT)(F.col(text)))

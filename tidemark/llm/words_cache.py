@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-MOST_ENTRIES = 1 << 18  # of one generation
+MOST_ENTRIES = 1 << 17  # of one generation
 LONGEST_KEPT = 64
 JOINED = 256
 
