@@ -2,6 +2,7 @@
 
 import gzip
 import json
+import os
 from datetime import datetime
 
 import pytest
@@ -17,6 +18,7 @@ from tidemark.operators.normalize import (
     tag_events,
     usable,
 )
+from tidemark.schema import CANONICAL
 from tidemark.sources.archive import MAX_LINE_BYTES, hour_path, hour_range, parse_hour, read_archive
 from tidemark.sources.pages import read_event_pages, split_page
 
@@ -258,3 +260,22 @@ def test_deep_nesting_and_size_become_rejects(spark, tmp_path, monkeypatch):
     assert len(texts) == 2 and all(t.startswith("page exceeds 2000 bytes: file:") for t in texts)
     with pytest.raises(Exception, match="page exceeds"):
         read_event_pages(spark, str(tmp_path)).collect()
+
+
+def test_pages_are_landed_as_one_file_each_and_nothing_else(spark, tmp_path):
+    from tidemark.samples.landing import land_pages
+
+    rows = [(k, "PushEvent", datetime(2024, 1, 1), 5, "user-5", 2, "org2/repo2", 0, "", 10, "") for k in range(250)]
+    events = spark.createDataFrame(rows, CANONICAL).withColumn("event_id", F.when(F.col("event_id") != 7, F.col("event_id")))
+    folder = land_pages(spark, events).removeprefix("file://")
+    assert sorted(os.listdir(folder)) == ["page-0.txt", "page-1.txt", "page-2.txt", "page-None.txt"]
+    found = normalize_events(read_event_pages(spark, folder))[0]
+    assert sorted(r.event_id for r in found.collect()) == [k for k in range(250) if k != 7]
+
+
+def test_a_page_builds_one_decoder(monkeypatch):
+    built = []
+    real = json.JSONDecoder
+    monkeypatch.setattr(json, "JSONDecoder", lambda: built.append(1) or real())
+    assert len(split_page("[" + ",".join(PAGE) + "]")) == len(PAGE)
+    assert len(built) == 1

@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import gzip
+import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,13 +67,31 @@ def land_archive_day(spark: SparkSession, events: DataFrame) -> str:
 
 
 def land_pages(spark: SparkSession, events: DataFrame) -> str:
-    """Pages of up to a hundred events, one JSON array per file. A broken line stands in them as a number."""
+    """Pages of up to a hundred events, one JSON array per file. A broken line stands in them as a number.
+
+    The tasks write the files themselves: a page is a few KB, and the text writer's cost of a file (two child processes
+    that set modes, a checksum file, moves by the driver) was larger than that of its events.
+    """
     base = work_dir(spark, "pages")
     element = F.when(F.col("repo_id") == BROKEN, F.lit("5")).otherwise(F.col("line"))
     pages = (
         raw_lines(events)
         .groupBy(F.floor(F.col("event_id") / PAGE_SIZE).alias("page"))
-        .agg(F.concat(F.lit("["), F.concat_ws(",\n ", F.collect_list(element)), F.lit("]")).alias("text"))
+        .agg(F.concat(F.lit("["), F.concat_ws(",\n ", F.collect_list(element)), F.lit("]\n")).alias("text"))
     )
-    pages.select("text").write.option("maxRecordsPerFile", 1).text(base)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, folder = fs.FileSystem.from_uri(base if "://" in base or base.startswith("file:") else f"file://{base}")
+        for batch in batches:
+            for page, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                # A page has one name, whichever attempt writes it; a draft has a name that readers skip.
+                draft = f"{folder}/_{page}-{uuid.uuid4().hex}"
+                with system.open_output_stream(draft) as out:
+                    out.write(text.encode())
+                system.move(draft, f"{folder}/page-{page}.txt")
+        yield from ()
+
+    path_of = spark._jvm.org.apache.hadoop.fs.Path
+    path_of(base).getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path_of(base))
+    pages.mapInArrow(write, "page BIGINT").write.format("noop").mode("overwrite").save()
     return base

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import re
+from collections.abc import Callable
 from json.decoder import scanstring
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,19 +21,17 @@ MAX_PAGE_BYTES = 4 * 1024 * 1024
 _ELEMENTS = T.ArrayType(
     T.StructType([T.StructField("text", T.StringType()), T.StructField("payload", T.StringType())])
 )
-_BLANK = " \t\r\n"
+_BLANK = frozenset(" \t\r\n")
+_BLANKS = re.compile(r"[ \t\r\n]*")
 
 
 def _skip_blank(text: str, at: int) -> int:
-    while at < len(text) and text[at] in _BLANK:
-        at += 1
-    return at
+    return _BLANKS.match(text, at).end() if text[at : at + 1] in _BLANK else at
 
 
-def _element(text: str, at: int) -> tuple[int, str | None]:
+def _element(text: str, at: int, decode: Callable[[str, int], tuple[object, int]]) -> tuple[int, str | None]:
     """End of the element at `at` and the source text of its member `payload`; no JSON function keeps that
     byte for byte. Every member is decoded once."""
-    decode = json.JSONDecoder().raw_decode
     if text[at : at + 1] != "{":
         return decode(text, at)[1], None
     found, at = None, _skip_blank(text, at + 1)
@@ -59,6 +59,7 @@ def _element(text: str, at: int) -> tuple[int, str | None]:
 
 def split_page(text: str) -> list[tuple[str, str | None]]:
     """(element, payload) source texts of a page; ValueError if the page is not one JSON array."""
+    decode = json.JSONDecoder().raw_decode  # building one costs more than reading a member
     at = _skip_blank(text, 0)
     if text[at : at + 1] != "[":
         raise ValueError("page is not a JSON array")
@@ -67,7 +68,7 @@ def split_page(text: str) -> list[tuple[str, str | None]]:
         at += 1
     else:
         while True:
-            end, payload = _element(text, at)
+            end, payload = _element(text, at, decode)
             out.append((text[at:end], payload))
             at = _skip_blank(text, end)
             mark = text[at : at + 1]
@@ -94,17 +95,21 @@ def read_event_pages(spark: SparkSession, path: str | list[str], on_bad_page: st
         raise ValueError("on_bad_page must be 'fail' or 'reject'")
     strict = on_bad_page == "fail"
 
-    @F.pandas_udf(_ELEMENTS)
-    def elements(pages: pd.Series) -> pd.Series:
-        def cut(text: str) -> list[dict]:
+    @F.arrow_udf(_ELEMENTS)
+    def elements(pages: pa.Array) -> pa.Array:
+        starts, texts, payloads = [0], [], []
+        for text in pages.to_pylist():
             try:
-                return [{"text": t, "payload": p} for t, p in split_page(text)]
+                found = split_page(text)
             except (ValueError, RecursionError):
                 if strict:
                     raise
-                return [{"text": None, "payload": text}]
-
-        return pages.map(cut)
+                found = [(None, text)]
+            texts.extend([t for t, _ in found])
+            payloads.extend([p for _, p in found])
+            starts.append(len(texts))
+        rows = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(payloads, pa.string())], ["text", "payload"])
+        return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), rows)
 
     files = spark.read.format("binaryFile").load(path)
     too_long = F.concat(F.lit(f"page exceeds {MAX_PAGE_BYTES} bytes: "), F.col("path"))
