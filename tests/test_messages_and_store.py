@@ -330,3 +330,21 @@ def test_writes_look_up_their_own_folders_only(spark, event, tmp_path, monkeypat
     write_events(event({}), str(path), batch_load("s", 1))
     assert len(looked) == 2 and all("foreign" not in folder for folder in looked)
     assert read_events(spark, str(path)).count() == 2
+
+
+def test_stored_dead_letters_are_checked_once(spark, monkeypatch):
+    from tidemark.samples import catalog
+
+    seen, real = spark.sparkContext.accumulator(0), catalog.bus_messages
+
+    @F.udf("string")
+    def counted(key):
+        seen.add(1)
+        return key
+
+    monkeypatch.setattr(
+        catalog, "bus_messages", lambda events: real(events).withColumn("key", counted.asNondeterministic()("key"))
+    )
+    sf = "/root/testdata/sf0.001"
+    letters = catalog.store_dead_letters(spark, sf).count()
+    assert 0 < letters and seen.value == spark.read.parquet(f"{sf}/events.parquet").count()
