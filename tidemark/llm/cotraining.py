@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.columns import unused
 from tidemark.llm.text import buffers_of, lines_of, mix, slices, span_hashes, words_of
+from tidemark.llm.words_cache import release_caches
 
 # At most this many labelled documents (those with the smallest seeded hash of their id) are used for fitting. The ids
 # are known to every task, and their texts are the only ones read in the labelled passes.
@@ -207,6 +208,7 @@ def _columns(docs: DataFrame, doc_id: str, text: str, attributes: tuple[str, ...
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Features]]:
+    release_caches()
     for batch in batches:
         at = 0
         for part in slices(batch.column(1)):
@@ -328,6 +330,7 @@ def with_quality(
     held = docs.sparkSession.sparkContext.broadcast(model)  # two tables of fixed size
 
     def score(texts: pa.Array, *values: pa.Array) -> pa.Array:
+        release_caches()
         found: list[tuple[np.ndarray, ...]] = []
         at = 0
         for part in slices(texts):

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.columns import unused
 from tidemark.llm.components import components
 from tidemark.llm.text import buffers_of, mix, slices, windows, words_of
+from tidemark.llm.words_cache import release_caches
 from tidemark.session import work_dir
 
 WORDS = 4
@@ -223,6 +224,7 @@ def members(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """The class of every row: doc_id, a hash of its text, n_shingles and cid (null for an empty set)."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             at = 0
             for part in slices(batch.column(2)):
@@ -293,6 +295,7 @@ def _entries(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
     """Plain index entries of all texts; a class that a task has met before is not indexed again by it."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         met: set[int] = set()
         for batch in batches:
             for part in slices(batch.column(0)):
@@ -324,6 +327,7 @@ def _crowded_entries(asked: DataFrame, texts: DataFrame, words: int, percent: in
     """Neighbourhood entries of (cid, space) pairs."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         for batch in batches:
             at = 0
             for part in slices(batch.column(2), 1 << 18):
@@ -351,6 +355,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     others = salted.join(texts.withColumnRenamed("cid", "b"), "b").select("a", "salt", "b", "text")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
         current, held = None, np.zeros(0, np.uint64)
         for batch in batches:
             at = 0

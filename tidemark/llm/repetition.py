@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.columns import unused
 from tidemark.llm.text import Spans, buffers_of, lines_of, mix, slices, windows, words_of
+from tidemark.llm.words_cache import release_caches
 
 # Published thresholds of the repetition rules for web text. A text passes up to and including them.
 # Top windows count all their places; duplicated windows and lines count those after the first.
@@ -132,6 +133,7 @@ def profile(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def _profiles(column: pa.Array) -> pa.Array:
+    release_caches()
     parts = [profile(part) for part in slices(column)] or [profile(column)]
     arrays = [pa.array(np.concatenate([p[f.name] for p in parts]), f.type) for f in _ARROW]
     return pa.StructArray.from_arrays(arrays, fields=list(_ARROW))

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import lru_cache
+from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +21,24 @@ LONGEST_KEPT = 64
 JOINED = 256
 
 
+@lru_cache(maxsize=1)
+def live_caches() -> WeakSet[WordCache]:
+    """The caches of this worker process."""
+    return WeakSet()
+
+
+def release_caches() -> None:
+    """Give back what the tokenizers of earlier stages hold: a worker goes on with the tasks of other operators.
+
+    A cache that is asked again fills again.
+    """
+    held = [cache for cache in live_caches() if cache.known or cache.older]
+    for cache in held:
+        cache.clear()
+    if held:
+        pa.default_memory_pool().release_unused()
+
+
 class WordCache:
     """`encode` gives the ids of many strings; every part stands for `lead` + part.
 
@@ -35,6 +55,10 @@ class WordCache:
     ):
         """`returns` says of new parts whether decoding their ids gives the part back; `lossy` has those for which it does not."""
         self.encode, self.lead, self.opens, self.returns = encode, lead, opens, returns
+        self.clear()
+        live_caches().add(self)
+
+    def clear(self) -> None:
         self.lossy: set[str] = set()
         self.known: dict[str, bytes] = {}  # ids as little-endian 32-bit numbers
         self.older: dict[str, bytes] = {}
@@ -64,7 +88,7 @@ class WordCache:
     def _fetch(self, wanted: set[str]) -> None:
         """Have all these parts in `known`."""
         if len(self.lossy) > MOST_ENTRIES:  # what is forgotten here has to be met as new again
-            self.older, self.known, self.lossy = {}, {}, set()
+            self.clear()
         missing = wanted.difference(self.known)
         if missing:
             older = self.older
