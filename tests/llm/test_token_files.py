@@ -1,4 +1,5 @@
 import json
+import gc
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ from llm_helpers import SF
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from tidemark.llm import words_cache
+from tidemark.llm import token_files, words_cache
 from tidemark.llm.perfect_hash import PerfectHash, fingerprints
 from tidemark.llm.token_files import _ByteLevel, _byte_level, library_encoder, look_up, read_token_files, write_token_files
 from tidemark.llm.words_cache import parts_before_words
@@ -93,3 +94,27 @@ def test_words_give_what_the_whole_text_gives(monkeypatch, entries):
     for some in (texts, docs, texts, []):
         wanted = [[*e.ids, 0] for e in backend.tokenizer.encode_batch(some, add_special_tokens=False)]
         assert [i.tolist() for i in backend.encode(some, 0)] == wanted
+
+
+def test_encoding_runs_without_the_cycle_search(monkeypatch):
+    seen = []
+
+    class Fake:
+        def encode(self, texts, end_id):
+            seen.append(gc.isenabled())
+            return [np.array([end_id], np.uint32) for _ in texts]
+
+    monkeypatch.setattr(token_files, "_byte_level", lambda definition: Fake())
+    assert gc.isenabled()
+    token_files.library_encoder("{}", 0)(pa.array(["a", None]))
+    assert seen == [False] and gc.isenabled()
+
+
+def test_released_caches_are_empty_and_fill_again():
+    with open(path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        backend = _ByteLevel(file.read())
+    first = [i.tolist() for i in backend.encode(["a few plain words", "x  y"], 0)]
+    assert backend.words.known
+    words_cache.release_caches()
+    assert not backend.words.known and not backend.words.older
+    assert [i.tolist() for i in backend.encode(["a few plain words", "x  y"], 0)] == first
