@@ -1,7 +1,7 @@
 """From raw documents to token ids: five stages, each written to Parquet and read again by the next one.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept. All but the last return the
-columns of `documents`; the last adds the ids.
+columns of `documents`; the last adds the ids. Arrow batches of the session are bounded in bytes, unless it sets a limit of its own.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from tidemark.llm.jaccard import keep_one_of_each
 from tidemark.llm.mixing import mixed_documents
 from tidemark.llm.pieces import read_model, with_pieces
 from tidemark.llm.repetition import keep_unrepetitive
-from tidemark.session import work_dir
+from tidemark.session import bound_batches, work_dir
 
 SHINGLE_WORDS = 5
 SIMILAR_PERCENT = 80
@@ -23,17 +23,20 @@ MODEL = "piece_bpe_32k.model"
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text is long enough and not made of repetitions."""
+    bound_batches(spark)
     return keep_unrepetitive(docs)
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier keeps; it learns from the labels and from the documents that came so far."""
+    bound_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return keep_good(docs, fit(docs, labels))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    bound_batches(spark)
     return keep_one_of_each(docs, words=SHINGLE_WORDS, percent=SIMILAR_PERCENT)
 
 
@@ -44,6 +47,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def sentencepiece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their ids, whose decoding is compared with the text."""
+    bound_batches(spark)
     encoded = with_pieces(docs, read_model(tokenizer_path(MODEL)))
     return encoded.select(*docs.columns, "pieces.ids", "pieces.n_tokens", "pieces.round_trip", "pieces.parity")
 

@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.columns import unused
 from tidemark.llm.text import buffers_of, lines_of, mix, slices, span_hashes, words_of
-from tidemark.llm.words_cache import release_caches
+from tidemark.llm.memory import give_back
+from tidemark.llm.words_cache import frugal, release_caches
 
 # At most this many labelled documents (those with the smallest seeded hash of their id) are used for fitting. The ids
 # are known to every task, and their texts are the only ones read in the labelled passes.
@@ -30,6 +31,7 @@ ROUNDS = 2
 CONFIDENT = 0.98
 KEEP_FROM = 0.5
 SEED = 7
+SLICE = 1 << 19  # bytes of text whose features are held at a time
 
 WORD_BUCKETS = 1 << 16
 SHAPES = 1 << 12
@@ -208,10 +210,9 @@ def _columns(docs: DataFrame, doc_id: str, text: str, attributes: tuple[str, ...
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, Features]]:
-    release_caches()
     for batch in batches:
         at = 0
-        for part in slices(batch.column(1)):
+        for part in slices(batch.column(1), SLICE):
             yield batch.column(0).slice(at, len(part)), features_of(part, [c.slice(at, len(part)) for c in batch.columns[2:]])
             at += len(part)
 
@@ -235,7 +236,7 @@ def _sums(rows: DataFrame, counted) -> list[np.ndarray]:
         cell = np.flatnonzero(flat)
         yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(flat[cell])], names=["cell", "n"])
 
-    summed = rows.mapInArrow(count, "cell BIGINT, n BIGINT").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    summed = rows.mapInArrow(frugal(count), "cell BIGINT, n BIGINT").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     flat = np.zeros(2 * (CONTENT + PAGE))
     flat[summed.column("cell").to_numpy()] = summed.column("n").to_numpy()
     return [flat[: 2 * CONTENT].reshape(2, CONTENT), flat[2 * CONTENT :].reshape(2, PAGE)]
@@ -296,7 +297,7 @@ def _calibrated(labelled: DataFrame, known: Labels, weights: list[np.ndarray]) -
                 [ids, pa.array(known.of(ids)), pa.array(keep), *map(pa.array, raw)], names=["id", "good", "fresh", "content", "page"]
             )
 
-    table = labelled.mapInArrow(score, "id BIGINT, good BIGINT, fresh BOOLEAN, content DOUBLE, page DOUBLE").toArrow().sort_by("id")
+    table = labelled.mapInArrow(frugal(score), "id BIGINT, good BIGINT, fresh BOOLEAN, content DOUBLE, page DOUBLE").toArrow().sort_by("id")
     good = table.column("good").to_numpy().astype(float)
     fresh = table.column("fresh").to_numpy().astype(bool)
     raw = np.stack([table.column("content").to_numpy(), table.column("page").to_numpy()])
@@ -333,10 +334,12 @@ def with_quality(
         release_caches()
         found: list[tuple[np.ndarray, ...]] = []
         at = 0
-        for part in slices(texts):
+        for part in slices(texts, SLICE):
             features = features_of(part, [v.slice(at, len(part)) for v in values])
             found.append(held.value.score(features))
             at += len(part)
+            del features
+        give_back()
         columns = [np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(3)]
         arrays = [pa.array(c, pa.float64()) for c in columns] + [pa.array(columns[2] >= keep_from)]
         return pa.StructArray.from_arrays(arrays, names=[n for n, _ in _ARROW])

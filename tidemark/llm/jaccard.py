@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.columns import unused
 from tidemark.llm.components import components
 from tidemark.llm.text import buffers_of, mix, slices, windows, words_of
-from tidemark.llm.words_cache import release_caches
+from tidemark.llm.words_cache import frugal
 from tidemark.session import work_dir
 
 WORDS = 4
@@ -41,6 +41,8 @@ PERCENT = 85
 SPREAD = 512
 COMPARISONS_PER_ENTRY = 32  # sketch comparisons that cost about as much as one index entry
 MOST_HELD = 1 << 25  # bytes of the sketches of one block of a group
+MOST_PAIRS = 1 << 18  # pairs of a group that a task holds before it hands them on
+SLICE = 1 << 19  # bytes of text whose index entries are made at a time
 LEAST_BITS, MOST_BITS = 256, 1 << 15
 LARGEST_SET = 1 << 40
 
@@ -224,10 +226,9 @@ def members(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     """The class of every row: doc_id, a hash of its text, n_shingles and cid (null for an empty set)."""
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
         for batch in batches:
             at = 0
-            for part in slices(batch.column(2)):
+            for part in slices(batch.column(2), SLICE):
                 sets = sets_of(part, words)
                 cid = pa.array(class_ids(sets), mask=sets.size == 0)
                 ids, hashes = (batch.column(k).slice(at, len(part)) for k in (0, 1))
@@ -237,7 +238,7 @@ def members(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
                 )
 
     given = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    return _written(given.mapInArrow(place, MEMBER), "jaccard-members", MEMBER)
+    return _written(given.mapInArrow(frugal(place), MEMBER), "jaccard-members", MEMBER)
 
 
 def _meetings(entries: DataFrame) -> DataFrame:
@@ -284,7 +285,7 @@ def _meetings(entries: DataFrame) -> DataFrame:
             last = int(cid[-1])
 
     ordered = entries.repartition("key").sortWithinPartitions("key", "cid")
-    return _written(ordered.mapInArrow(meet, GROUP), "jaccard-groups", GROUP)
+    return _written(ordered.mapInArrow(frugal(meet), GROUP), "jaccard-groups", GROUP)
 
 
 GROUP = "key BIGINT, space INT, cid BIGINT, pivot BIGINT"
@@ -295,16 +296,15 @@ def _entries(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
     """Plain index entries of all texts; a class that a task has met before is not indexed again by it."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
         met: set[int] = set()
         for batch in batches:
-            for part in slices(batch.column(0)):
+            for part in slices(batch.column(0), SLICE):
                 sets = sets_of(part, words)
                 cid = class_ids(sets)
                 owner, space = spaces_of(np.where(_first_met(cid, met), sets.size, 0), percent)
                 yield _entry_batch(sets, owner, space, cid, percent, False)
 
-    return docs.select(F.col(text)).mapInArrow(index, ENTRY)
+    return docs.select(F.col(text)).mapInArrow(frugal(index), ENTRY)
 
 
 def _first_met(cid: np.ndarray, met: set[int]) -> np.ndarray:
@@ -327,7 +327,6 @@ def _crowded_entries(asked: DataFrame, texts: DataFrame, words: int, percent: in
     """Neighbourhood entries of (cid, space) pairs."""
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
         for batch in batches:
             at = 0
             for part in slices(batch.column(2), 1 << 18):
@@ -336,7 +335,7 @@ def _crowded_entries(asked: DataFrame, texts: DataFrame, words: int, percent: in
                 at += len(part)
                 yield _entry_batch(sets, np.arange(len(part)), space.astype(np.int64), cid, percent, True)
 
-    return asked.join(texts, "cid").select("cid", "space", "text").mapInArrow(index, ENTRY)
+    return asked.join(texts, "cid").select("cid", "space", "text").mapInArrow(frugal(index), ENTRY)
 
 
 EDGE = "a BIGINT, b BIGINT, linked BOOLEAN"
@@ -355,11 +354,10 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     others = salted.join(texts.withColumnRenamed("cid", "b"), "b").select("a", "salt", "b", "text")
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_caches()
         current, held = None, np.zeros(0, np.uint64)
         for batch in batches:
             at = 0
-            for part in slices(batch.column(3)):
+            for part in slices(batch.column(3), SLICE):
                 sets = sets_of(part, words)
                 starts = sets.starts
                 a, b, linked = [], [], []
@@ -378,7 +376,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
     stream = own.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    return _written(stream.mapInArrow(test, EDGE), "jaccard-tested", EDGE)
+    return _written(stream.mapInArrow(frugal(test), EDGE), "jaccard-tested", EDGE)
 
 
 SKETCH = "cid BIGINT, space INT, n BIGINT, sketch BINARY"
@@ -390,7 +388,7 @@ def _sketches(texts: DataFrame, words: int, percent: int) -> DataFrame:
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
-            for part in slices(batch.column(1)):
+            for part in slices(batch.column(1), SLICE):
                 sets = sets_of(part, words)
                 cid = batch.column(0).slice(at, len(part)).to_numpy()
                 at += len(part)
@@ -401,7 +399,7 @@ def _sketches(texts: DataFrame, words: int, percent: int) -> DataFrame:
                     names=["cid", "space", "n", "sketch"],
                 )
 
-    return _written(texts.select("cid", "text").mapInArrow(sketch, SKETCH), "jaccard-sketches", SKETCH)
+    return _written(texts.select("cid", "text").mapInArrow(frugal(sketch), SKETCH), "jaccard-sketches", SKETCH)
 
 
 PAIR = "a BIGINT, b BIGINT"
@@ -415,7 +413,8 @@ def _rows_of(column: pa.Array, rows: np.ndarray, length: int) -> np.ndarray:
     """Binary values of one length as rows of a matrix."""
     offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
     data = np.frombuffer(column.buffers()[2], np.uint8)
-    return data[offsets[rows][:, None] + np.arange(length)]
+    # Taken as windows: an index of every byte would be eight times as large as the sketches.
+    return np.lib.stride_tricks.sliding_window_view(data, length)[offsets[rows]]
 
 
 def _with_first(sketched: DataFrame, percent: int) -> DataFrame:
@@ -443,7 +442,7 @@ def _with_first(sketched: DataFrame, percent: int) -> DataFrame:
             held = batch.slice(int(first[-1]), 1)
 
     ordered = sketched.select("key", "cid", "n", "sketch").repartition("key").sortWithinPartitions("key", "cid")
-    return ordered.mapInArrow(compare, PAIR).distinct()
+    return ordered.mapInArrow(frugal(compare), PAIR).distinct()
 
 
 def _across(sketched: DataFrame, percent: int, nearest: bool) -> DataFrame:
@@ -456,7 +455,7 @@ def _across(sketched: DataFrame, percent: int, nearest: bool) -> DataFrame:
     def pairs(rows: tuple[np.ndarray, ...], sketch: np.ndarray, lo: int, hi: int) -> Iterator[pa.RecordBatch]:
         block, cid, label, n = rows
         best, partner = np.full(len(cid), np.iinfo(np.int64).max), np.full(len(cid), -1)
-        one, two = [], []
+        one, two, waiting = [], [], 0
         for k in range(len(cid) - 1):
             differing = np.bitwise_count(sketch[k] ^ sketch[k + 1 :]).sum(1, np.int64)
             good = may_link(differing, n[k], n[k + 1 :], percent) & (label[k + 1 :] != label[k])
@@ -468,6 +467,10 @@ def _across(sketched: DataFrame, percent: int, nearest: bool) -> DataFrame:
             if not nearest:
                 one.append(np.full(len(others), cid[k]))
                 two.append(cid[others])
+                waiting += len(others)
+                if waiting >= MOST_PAIRS:
+                    yield _pair_batch(np.concatenate(one), np.concatenate(two))
+                    one, two, waiting = [], [], 0
                 continue
             near = differing[others - k - 1]
             if near.min() < best[k]:
@@ -506,7 +509,7 @@ def _across(sketched: DataFrame, percent: int, nearest: bool) -> DataFrame:
 
     columns = ["key", "lo", "hi", "block", "cid", "label", "n", "sketch"]
     ordered = sketched.select(*columns).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "cid")
-    return ordered.mapInArrow(compare, PAIR).distinct()
+    return ordered.mapInArrow(frugal(compare), PAIR).distinct()
 
 
 LABEL = "node BIGINT, component BIGINT"
@@ -518,8 +521,9 @@ class _Search:
     def __init__(self, spark: SparkSession, texts: DataFrame, words: int, percent: int):
         self.texts, self.words, self.percent = texts, words, percent
         self.sketches = _sketches(texts, words, percent)
-        self.tested = spark.createDataFrame([], EDGE)
-        self.labels = spark.createDataFrame([], LABEL)
+        # From Arrow tables, since Python rows would start workers of another kind beside those of the tasks.
+        self.tested = spark.createDataFrame(pa.schema([("a", pa.int64()), ("b", pa.int64()), ("linked", pa.bool_())]).empty_table())
+        self.labels = spark.createDataFrame(pa.schema([("node", pa.int64()), ("component", pa.int64())]).empty_table())
 
     def test(self, pairs: DataFrame) -> bool:
         """Verify the pairs that are new; true if there were any."""
@@ -590,8 +594,9 @@ def _split_by_cost(open_: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     With g members, one costs g / 2 comparisons in a group, and an entry per element and segment in the index.
     """
     lower, most = bands(percent)
-    spaces = [(k, int(lower[k + 1] - 1 + (most[k] + 2) // 2) * 2 * COMPARISONS_PER_ENTRY) for k in range(len(most))]
-    limits = open_.sparkSession.createDataFrame(spaces, "space INT, most BIGINT")
+    limit = [int(lower[k + 1] - 1 + (most[k] + 2) // 2) * 2 * COMPARISONS_PER_ENTRY for k in range(len(most))]
+    spaces = pa.table({"space": pa.array(range(len(most)), pa.int32()), "most": pa.array(limit, pa.int64())})
+    limits = open_.sparkSession.createDataFrame(spaces)
     judged = open_.join(F.broadcast(limits), "space")  # one row per size band
     return judged.filter("size <= most").drop("most"), judged.filter("size > most").drop("most")
 

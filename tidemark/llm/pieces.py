@@ -21,13 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.memory import give_back
 from tidemark.llm.text import buffers_of, slices
-from tidemark.llm.words_cache import WordCache, split_at_blanks
+from tidemark.llm.words_cache import MODEL_LOADERS, WordCache, split_at_blanks
 
 # Numbers of the public model format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 MARKER = "▁"
+SLICE = 1 << 22  # bytes of text encoded at a time
+MOST_COMPARED = 1 << 17  # ids of SentencePiece that are held as Python numbers at a time
 
 
 def _fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -251,6 +254,9 @@ def _original(model: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=model)
 
 
+MODEL_LOADERS.extend([_backend, _original])
+
+
 def read_model(path: str) -> bytes:
     """A model file of the driver. Its bytes (a vocabulary, bounded by design) travel with the tasks."""
     with open(path, "rb") as file:
@@ -263,6 +269,16 @@ _ARROW = pa.struct(
 )
 
 
+def _runs_of(sizes: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts with about MOST_COMPARED ids; a longer text is a range of its own."""
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    first = 0
+    while first < len(sizes):
+        last = max(int(np.searchsorted(upto, upto[first] + MOST_COMPARED, "right")) - 1, first + 1)
+        yield first, last
+        first = last
+
+
 def _encoded(texts: list[str], model: bytes, verify: bool) -> pa.Array:
     raw, back = _backend(model).encode(texts)
     sizes = np.fromiter(map(len, raw), np.int64, len(raw)) // 4
@@ -270,15 +286,19 @@ def _encoded(texts: list[str], model: bytes, verify: bool) -> pa.Array:
     flat = np.frombuffer(b"".join(raw), "<u4").astype(np.int32)
     same: list[bool | None] = [None] * len(texts)
     if verify:
-        theirs = _original(model).encode(texts, num_threads=1)
-        counts = np.fromiter(map(len, theirs), np.int64, len(theirs))
-        if np.array_equal(counts, sizes):  # the normal case: all texts at once
-            differ = np.flatnonzero(np.fromiter(chain.from_iterable(theirs), np.int32, len(flat)) != flat)
-            wrong = np.zeros(len(texts), bool)
-            wrong[np.searchsorted(starts, differ, "right") - 1] = True
-            same = (~wrong).tolist()
-        else:
-            same = [np.array(b, "<u4").tobytes() == a for a, b in zip(raw, theirs, strict=True)]
+        same = []
+        for first, last in _runs_of(sizes):
+            theirs = _original(model).encode(texts[first:last], num_threads=1)
+            counts = np.fromiter(map(len, theirs), np.int64, len(theirs))
+            if np.array_equal(counts, sizes[first:last]):  # the normal case: all texts at once
+                own = flat[starts[first] : starts[last]]
+                differ = np.flatnonzero(np.fromiter(chain.from_iterable(theirs), np.int32, len(own)) != own)
+                wrong = np.zeros(last - first, bool)
+                wrong[np.searchsorted(starts[first : last + 1] - starts[first], differ, "right") - 1] = True
+                same += (~wrong).tolist()
+            else:
+                same += [np.array(b, "<u4").tobytes() == a for a, b in zip(raw[first:last], theirs, strict=True)]
+            del theirs
     arrays = [
         pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(flat)), pa.array(sizes),
         pa.array([zlib.crc32(r) for r in raw], pa.int64()), pa.array(back, pa.bool_()), pa.array(same, pa.bool_()),
@@ -299,8 +319,11 @@ def with_pieces(
 
     def encode(column: pa.Array) -> pa.Array:
         os.environ.setdefault("RAYON_NUM_THREADS", str(threads))
-        parts = [_encoded(pc.fill_null(part, "").to_pylist(), model, verify) for part in slices(column, 1 << 22)]
-        return pa.concat_arrays(parts) if parts else _encoded([], model, False)
+        parts = [_encoded(pc.fill_null(part, "").to_pylist(), model, verify) for part in slices(column, SLICE)]
+        found = pa.concat_arrays(parts) if parts else _encoded([], model, False)
+        del parts
+        give_back()
+        return found
 
     return docs.withColumn(out, F.arrow_udf(encode, RESULT)(F.col(text)))
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.columns import unused
+from tidemark.llm.memory import give_back
 from tidemark.llm.text import Spans, buffers_of, lines_of, mix, slices, windows, words_of
 from tidemark.llm.words_cache import release_caches
 
@@ -27,6 +28,8 @@ FEWEST_WORDS = 10
 BASE_WINDOW = 5
 MOST_REPEAT_PERCENT = 20
 
+SLICE = 1 << 19  # bytes of text judged at a time
+
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 
@@ -134,7 +137,8 @@ def profile(column: pa.Array) -> dict[str, np.ndarray]:
 
 def _profiles(column: pa.Array) -> pa.Array:
     release_caches()
-    parts = [profile(part) for part in slices(column)] or [profile(column)]
+    parts = [profile(part) for part in slices(column, SLICE)] or [profile(column)]
+    give_back()
     arrays = [pa.array(np.concatenate([p[f.name] for p in parts]), f.type) for f in _ARROW]
     return pa.StructArray.from_arrays(arrays, fields=list(_ARROW))
 

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.files import new_file, open_ranges
 from tidemark.llm.perfect_hash import PerfectHash, fingerprints
 from tidemark.llm.text import buffers_of, slices
-from tidemark.llm.words_cache import WordCache, cut_at_every_blank, parts_before_words, split_at_blanks
+from tidemark.llm.words_cache import MODEL_LOADERS, WordCache, cut_at_every_blank, parts_before_words, split_at_blanks
 
 MAGIC = b"TMIDX001"
 READ_IDS = 1 << 20
@@ -100,6 +100,9 @@ def _byte_level(definition: str) -> _ByteLevel:
     return _ByteLevel(definition)
 
 
+MODEL_LOADERS.append(_byte_level)
+
+
 def library_encoder(definition: str, end_id: int, threads: int = 1) -> Callable[[pa.Array], list[np.ndarray]]:
     """Encode a text column with the tokenizers library; `definition` is the tokenizer's JSON. Null counts as empty."""
 

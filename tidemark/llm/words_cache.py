@@ -7,15 +7,18 @@ has two generations, and what was not asked for during a whole generation goes.
 
 from __future__ import annotations
 
+import gc
 import re
-from collections.abc import Callable
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 from weakref import WeakSet
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tidemark.llm.memory import give_back
+
 MOST_ENTRIES = 1 << 18  # of one generation
 LONGEST_KEPT = 64
 JOINED = 256
@@ -27,16 +30,39 @@ def live_caches() -> WeakSet[WordCache]:
     return WeakSet()
 
 
+# Functions, cached by lru_cache, that hold the models of this worker process.
+MODEL_LOADERS: list[Callable] = []
+
+
 def release_caches() -> None:
-    """Give back what the tokenizers of earlier stages hold: a worker goes on with the tasks of other operators.
+    """Give back what the tokenizers of earlier stages hold and what earlier tasks have freed: a worker goes on with the
+    tasks of other operators.
 
-    A cache that is asked again fills again.
+    A cache that is asked again fills again, a model is built again.
     """
     held = [cache for cache in live_caches() if cache.known or cache.older]
+    models = [load for load in MODEL_LOADERS if load.cache_info().currsize]
     for cache in held:
         cache.clear()
-    if held:
-        pa.default_memory_pool().release_unused()
+    for load in models:
+        load.cache_clear()
+    if models:
+        gc.collect()  # a backend and its cache refer to each other
+    give_back()
+
+
+def frugal(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same work of a task, begun without what earlier operators left in its worker; it leaves no freed memory there."""
+
+    @wraps(work)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_caches()
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+
+    return run
 
 
 class WordCache:
