@@ -1,4 +1,6 @@
 import math
+import os
+import threading
 
 import numpy as np
 import pytest
@@ -7,6 +9,7 @@ from llm_helpers import SF, same_rows
 from tidemark.llm import embeddings
 from tidemark.llm.components import components
 from tidemark.llm.embeddings import codes_of, near_vectors, plan_tables, possible, usable
+from tidemark.session import FREE_SHUFFLES
 from tidemark.llm.queries import QUERIES, SQL
 
 
@@ -118,3 +121,89 @@ def test_negative_zeros_keep_their_links(spark):
     for kind in ("DOUBLE", "FLOAT"):
         frame = spark.createDataFrame(rows, f"vec_id BIGINT, embedding ARRAY<{kind}>")
         assert collected(near_vectors(frame)) == plain(rows)
+
+
+@pytest.mark.parametrize("block", [1 << 18, 60])
+def test_tables_inside_a_cell_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embeddings, "DENSE", 8)
+    monkeypatch.setattr(embeddings, "BLOCK", block)
+    monkeypatch.setattr(embeddings, "PASS_BYTES", 0)
+    rows = some_rows(400, 24, 4)
+    base = some_rows(1, 24, 9)[0][1]
+    rows += [(600 + i, [x + 0.001 * i * (k % 5) for k, x in enumerate(base)]) for i in range(90)]
+    for kind in ("DOUBLE", "FLOAT"):
+        rows = [(i, np.array(v, "f4" if kind == "FLOAT" else "f8").tolist()) for i, v in rows]
+        frame = spark.createDataFrame(rows, f"vec_id BIGINT, embedding ARRAY<{kind}>")
+        assert collected(near_vectors(frame)) == plain(rows)
+
+
+def test_pairs_at_the_threshold_are_met():
+    draw = np.random.default_rng(6)
+    unit = draw.standard_normal((6000, 64))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    aside = draw.standard_normal((3000, 64))
+    aside -= (aside * unit[:3000]).sum(axis=1, keepdims=True) * unit[:3000]
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    raw = np.concatenate([unit, (0.9 + 1e-9) * unit[:3000] + math.sqrt(1 - 0.9**2) * aside])
+    side = np.zeros(len(raw), np.int64)
+    found = list(embeddings._near_pairs(raw, side, 0.9, 0.9999, 100, (4, 13), 0))
+    pairs = sorted((min(a, b), max(a, b)) for x, y in found for a, b in zip(x.tolist(), y.tolist()))
+    assert len(pairs) == len(set(pairs)) and set(pairs) <= {(i, 6000 + i) for i in range(3000)} and len(pairs) >= 2998
+    side[6000:] = 1  # two blocks: the same pairs, all of them across
+    across = embeddings._near_pairs(raw, side, 0.9, 0.9999, 100, (4, 13), 0)
+    assert sorted((min(a, b), max(a, b)) for x, y in across for a, b in zip(x.tolist(), y.tolist())) == pairs
+
+
+def test_buckets_do_not_depend_on_the_batch():
+    raw = np.random.default_rng(7).standard_normal((5000, 64)).astype("f4")
+    unit = embeddings._unit(raw, embeddings._norms(raw))
+    keys = embeddings.table_keys(unit, 7, 25)
+    for k in (1, 3, 64, 1001):
+        parts = [embeddings._unit(raw[i : i + k], embeddings._norms(raw[i : i + k])) for i in range(0, 2000, k)]
+        assert (np.concatenate([embeddings.table_keys(p, 7, 9, 11) for p in parts]) == keys[: sum(map(len, parts)), 11:20]).all()
+
+
+def test_cut_cells_are_dealt_within_the_bytes_of_a_pass():
+    plans, weights = {64: (4, 13), 8: (2, 8)}, {64: 1 << 30, 8: 1 << 20}
+    cut = {(64, 3, 5): (9, 1 << 28), (64, 3, 6): (4, 1 << 29), (8, 0, 1): (2, 1 << 19)}
+    passes = embeddings._passes(13, plans, weights, cut)
+    whole = [pair for each in passes for pair in each]
+    assert sorted(whole) == sorted([(t, 0) for t in range(13)] + [(3, d) for d in range(1, 5)] + [(0, 1)])
+    assert all(len(each) == 1 for each in passes if (3, 1) in each or (12, 0) in each)
+
+
+def test_disk_does_not_grow_with_the_number_of_tables(spark, monkeypatch):
+    monkeypatch.setattr(embeddings, "PASS_BYTES", 0, raising=False)
+    unit = np.random.default_rng(8).standard_normal((6000, 64)).astype("f4")
+    path = f"{spark.conf.get('spark.checkpoint.dir')}/dealt"
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(unit)], "vec_id BIGINT, embedding ARRAY<FLOAT>").write.parquet(path)
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    folders = [f.getPath() for f in manager.localDirs()]
+
+    def held():
+        total = 0
+        for folder in folders:
+            for at, _, names in os.walk(folder):
+                for name in names:
+                    if name.startswith("shuffle_"):
+                        try:
+                            total += os.path.getsize(f"{at}/{name}")
+                        except OSError:  # given up meanwhile
+                            pass
+        return total
+
+    before, peak, over = held(), [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            peak[0] = max(peak[0], held() - before)
+
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        assert near_vectors(spark.read.parquet(path)).filter("n_links > 0").count() == 0
+    finally:
+        over.set()
+        watcher.join()
+    assert peak[0] < 4 * unit.nbytes
+    assert spark.conf.get(FREE_SHUFFLES) == "false"
