@@ -146,30 +146,30 @@ def test_pairs_at_the_threshold_are_met():
     aside /= np.linalg.norm(aside, axis=1, keepdims=True)
     raw = np.concatenate([unit, (0.9 + 1e-9) * unit[:3000] + math.sqrt(1 - 0.9**2) * aside])
     side = np.zeros(len(raw), np.int64)
-    found = list(embeddings._near_pairs(raw, side, 0.9, 0.9999, 100, (4, 13), 0))
+    found = list(embeddings._near_pairs(raw, side, 0.9, 0.9999, 100, 8, 0, -1))
     pairs = sorted((min(a, b), max(a, b)) for x, y in found for a, b in zip(x.tolist(), y.tolist()))
     assert len(pairs) == len(set(pairs)) and set(pairs) <= {(i, 6000 + i) for i in range(3000)} and len(pairs) >= 2998
     side[6000:] = 1  # two blocks: the same pairs, all of them across
-    across = embeddings._near_pairs(raw, side, 0.9, 0.9999, 100, (4, 13), 0)
+    across = embeddings._near_pairs(raw, side, 0.9, 0.9999, 100, 8, 0, -1)
     assert sorted((min(a, b), max(a, b)) for x, y in across for a, b in zip(x.tolist(), y.tolist())) == pairs
 
 
-def test_buckets_do_not_depend_on_the_batch():
+def test_cells_do_not_depend_on_the_batch():
     raw = np.random.default_rng(7).standard_normal((5000, 64)).astype("f4")
     unit = embeddings._unit(raw, embeddings._norms(raw))
-    keys = embeddings.table_keys(unit, 7, 25)
+    cells = embeddings.cells_of(unit, 50, 25)
     for k in (1, 3, 64, 1001):
         parts = [embeddings._unit(raw[i : i + k], embeddings._norms(raw[i : i + k])) for i in range(0, 2000, k)]
-        assert (np.concatenate([embeddings.table_keys(p, 7, 9, 11) for p in parts]) == keys[: sum(map(len, parts)), 11:20]).all()
+        assert (np.concatenate([embeddings.cells_of(p, 50, 9, 11) for p in parts]) == cells[: sum(map(len, parts)), 11:20]).all()
 
 
 def test_cut_cells_are_dealt_within_the_bytes_of_a_pass():
-    plans, weights = {64: (4, 13), 8: (2, 8)}, {64: 1 << 30, 8: 1 << 20}
-    cut = {(64, 3, 5): (9, 1 << 28), (64, 3, 6): (4, 1 << 29), (8, 0, 1): (2, 1 << 19)}
-    passes = embeddings._passes(13, plans, weights, cut)
-    whole = [pair for each in passes for pair in each]
-    assert sorted(whole) == sorted([(t, 0) for t in range(13)] + [(3, d) for d in range(1, 5)] + [(0, 1)])
-    assert all(len(each) == 1 for each in passes if (3, 1) in each or (12, 0) in each)
+    plans, weights = {64: (4, 7), 8: (2, 5)}, {64: 1 << 30, 8: 1 << 20}
+    cut = {(64, 3, 5): (9, 1 << 28), (64, 3, 7): (4, 1 << 29), (8, 0, 2): (2, 1 << 19)}
+    passes = embeddings._passes(7, plans, weights, cut)
+    whole = [unit for each in passes for unit in each]
+    assert sorted(whole) == sorted([(t, 0, o) for t in range(7) for o in (0, 1)] + [(3, d, 1) for d in range(1, 5)] + [(0, 1, 0)])
+    assert max(sum(apart == 0 for _, apart, _ in each) for each in passes) == 1
 
 
 def test_disk_does_not_grow_with_the_number_of_tables(spark, monkeypatch):
