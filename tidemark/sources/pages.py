@@ -29,9 +29,12 @@ def _skip_blank(text: str, at: int) -> int:
     return _BLANKS.match(text, at).end() if text[at : at + 1] in _BLANK else at
 
 
-def _element(text: str, at: int, decode: Callable[[str, int], tuple[object, int]]) -> tuple[int, str | None]:
+def _element(
+    text: str, at: int, decode: Callable[[str, int], tuple[object, int]] | None = None
+) -> tuple[int, str | None]:
     """End of the element at `at` and the source text of its member `payload`; no JSON function keeps that
     byte for byte. Every member is decoded once."""
+    decode = decode or json.JSONDecoder().raw_decode
     if text[at : at + 1] != "{":
         return decode(text, at)[1], None
     found, at = None, _skip_blank(text, at + 1)
